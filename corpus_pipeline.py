@@ -4,25 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankwright.llm import exact_dedup, packing
+from rankwright.llm import exact_dedup, language, near_dedup, packing, secrets
 from rankwright.llm.common import table, written
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is not known go."""
+    return language.keep_identified(docs)
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id goes on."""
     return exact_dedup.drop_exact_copies(docs)
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the one with the smallest doc_id goes on."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document goes on; live-looking credentials in it are replaced by a placeholder."""
+    return secrets.redact(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is tokenised and packed into sequences."""
     return packing.best_fit_pack(docs)
 
 
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
-    ("packing", packing_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("secret_scans", secrets_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
+#: Text likelihoods, near duplicates and tokens are beyond SQL; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lexicon_bpe, packing, token_files
+from . import chat, exact_dedup, html_text, language, lexicon_bpe, near_dedup, packing, quality, secrets, token_files
 from .common import table
 
 
@@ -12,10 +12,34 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.paired_by_number(table(spark, sf_dir, "conversations"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_bpe.codec_digest(table(spark, sf_dir, "documents"))
 
@@ -25,11 +49,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op5_token_files": op5_token_files,
-    "op9_bpe_codec": op9_bpe_codec,
-    "op10_best_fit_packing": op10_best_fit_packing,
-}
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_quality_rules, op3_language_id, op4_secret_scan, op5_token_files, op6_html_text, op7_preference_chat, op8_simhash, op9_bpe_codec, op10_best_fit_packing,
+    )
+}
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -38,4 +62,44 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM d
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+
+def _op4_sql() -> str:
+    quoted = lambda s: s.replace("'", "''")
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, source, {k} AS kind, '{kind.name}' AS name, {kind.least} AS least, regexp_extract_all(t, '{quoted(kind.pattern)}', 0) AS f, "
+        f"regexp_extract_all(t, '{quoted(kind.pattern)}', {kind.group}) AS v, regexp_split_to_array(t, '{quoted(kind.pattern)}') AS g FROM d"
+        for k, kind in enumerate(secrets.KINDS)
+    )
+    base = len(secrets.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), m AS ({kinds}),
+u AS (SELECT doc_id, source, kind, name, least, generate_subscripts(f, 1) AS nth, unnest(f) AS f, unnest(v) AS v, unnest(g[1:len(f)]) AS g FROM m WHERE len(f) > 0),
+p AS (SELECT *, CAST(sum(length(g) + length(f)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS BIGINT) AS e FROM u),
+s AS (SELECT *, e - length(f) AS b FROM p WHERE length(v) >= least),
+o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
+x AS (SELECT s.*, owners >= {secrets.EXAMPLE_OWNERS} AS example, name || ':' || b || ':' || e AS item FROM s JOIN o ON s.v = o.v),
+r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(item, ',' ORDER BY b, kind) FILTER (WHERE kind < {base}) AS base, string_agg(item, ',' ORDER BY b, kind) FILTER (WHERE kind < {base} OR NOT example) AS spans,
+  count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_examples FROM x GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+
+OP7_SQL = f"""
+WITH g AS (SELECT conv_id // 2 AS pair_id, conv_id, turn, role, text, conv_id % 2 = 0 AS side,
+    '{chat.START}' || coalesce(role, '') || chr(10) || coalesce(text, '') || '{chat.STOP}' || chr(10) AS r FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY conv_id, turn, role, text) AS k, length(r) || ':' || CASE WHEN role = '{chat.TRAINED_ROLE}' THEN '1' ELSE '0' END AS mask FROM g),
+e AS (SELECT a.pair_id, a.k, row_number() OVER (PARTITION BY a.pair_id ORDER BY a.k) AS nth FROM n a JOIN n b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side AND NOT b.side
+  AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text),
+l AS (SELECT pair_id, count(*) FILTER (WHERE k = nth) AS p FROM e GROUP BY pair_id),
+j AS (SELECT n.*, coalesce(p, 0) AS p FROM n LEFT JOIN l ON n.pair_id = l.pair_id)
+SELECT pair_id, min(conv_id) FILTER (WHERE side) AS chosen_id, min(conv_id) FILTER (WHERE NOT side) AS rejected_id, CAST(max(p) AS INTEGER) AS prompt_turns,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (WHERE side AND k <= p), '') AS prompt,
+  coalesce(string_agg(r, '' ORDER BY k) FILTER (WHERE side AND k > p), '') AS chosen, coalesce(string_agg(r, '' ORDER BY k) FILTER (WHERE NOT side AND k > p), '') AS rejected,
+  coalesce(string_agg(mask, ',' ORDER BY k) FILTER (WHERE side AND k > p), '') AS chosen_mask, coalesce(string_agg(mask, ',' ORDER BY k) FILTER (WHERE NOT side AND k > p), '') AS rejected_mask
+FROM j GROUP BY pair_id
+"""
+
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secret_scan": _op4_sql(), "op7_preference_chat": OP7_SQL}
