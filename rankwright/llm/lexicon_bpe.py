@@ -23,13 +23,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns, small_batches
+from .common import require_columns, small_batches, written
 from .tokens import ByteLevel, byte_level
 
 #: Words of the lexicon: the feature's size, not a cap on what is encoded.
 LEXICON_WORDS = 50_000
 #: Words a task counts before it hands its counts on.
-COUNTED_WORDS = 300_000
+COUNTED_WORDS = 150_000
 MAGIC = b"MATL"
 
 
@@ -174,11 +174,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, *, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Compile the ``words`` most frequent words (ties by the word) and send the file to all executors.
+    """Compile the most frequent words, at most ``words``, and send the file to all executors.
 
-    Returns the name under which SparkFiles has it.
+    The lexicon holds every word whose count lies on or above the lowest step at which no more than ``words``
+    do; words of one step are all in or all out.  Returns the name under which SparkFiles has it.
     """
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(words).collect()
+    counted = written(word_counts(docs, text_col), "word-counts")
+    # Words by steps of their count, 32 to a doubling: at most some two thousand steps for any corpus.
+    step = F.floor(F.log2("n") * 32)
+    sizes = counted.groupBy(step.alias("step")).agg(F.count("*").alias("w")).collect()
+    least, held = None, 0
+    for row in sorted(sizes, key=lambda r: -r.step):
+        held += row.w
+        if held > words:
+            break
+        least = row.step
+    top = counted.where(step >= least).select("word").collect() if least is not None else []
     encoder = byte_level()
     found = (r.word for r in top if not any(s in r.word for s in encoder.special))
     blob = compile_lexicon({w.encode(): encoder.chunk(w) for w in found})
@@ -190,11 +201,11 @@ def build_lexicon(docs: DataFrame, *, text_col: str = "text", words: int = LEXIC
     return name
 
 
-def encode_with_lexicon(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_with_lexicon(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """Ids of every whole text as the tokenizers library gives them: doc_id, ids (packed little-endian u32).
 
-    Null text counts as empty and has no ids; null and repeated doc_ids stay; other columns are ignored.
-    A text that holds a special token's name is encoded by the library as a whole.
+    With ``decoded`` also text, the ids decoded again, from the same worker.  Null text counts as empty and
+    has no ids; null and repeated doc_ids stay; other columns are ignored.  A text that holds a special token's name is encoded by the library as a whole.
     """
     require_columns(docs, [id_col, text_col])
     small_batches(docs.sparkSession)
@@ -211,9 +222,13 @@ def encode_with_lexicon(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id"
             for key, place in zip(keys, words.find([k.encode() for k in keys]).tolist()):
                 known[key] = words.ids_of(place) if place >= 0 else encoder.exact[key]
             ids = [encoder.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            out = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                out["text"] = pa.array(map(encoder.decode, ids), pa.string())
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, ids binary")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInArrow(encode, "doc_id long, ids binary" + ", text string" * decoded)
 
 
 def decode_ids(ids: DataFrame) -> DataFrame:
@@ -230,7 +245,7 @@ def decode_ids(ids: DataFrame) -> DataFrame:
 
 def codec_digest(docs: DataFrame) -> DataFrame:
     """Encode, decode, and describe both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    coded = decode_ids(encode_with_lexicon(docs, build_lexicon(docs)))
+    coded = encode_with_lexicon(docs, build_lexicon(docs), decoded=True)
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

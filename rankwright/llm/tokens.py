@@ -66,12 +66,12 @@ def pack(ids) -> bytes:
 class _Memory(dict):
     """word -> packed ids, filled on demand and bounded."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, share: int = 1):
         super().__init__()
-        self.encode = encode
+        self.encode, self.share = encode, share
 
     def __missing__(self, word):
-        if len(self) >= MEMORY_WORDS:
+        if len(self) * self.share >= MEMORY_WORDS:
             self.clear()
         ids = self[word] = self.encode(word)
         return ids
@@ -90,7 +90,7 @@ class ByteLevel:
         self.core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in special.items()}
         self.spaced = _Memory(lambda w: self.chunk(w if w[:1] == "\n" else " " + w))
-        self.exact = _Memory(self.chunk)
+        self.exact = _Memory(self.chunk, 3)
 
     def chunk(self, text: str) -> bytes:
         return pack(self.core.encode_ordinary(text))
