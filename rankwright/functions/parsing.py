@@ -15,7 +15,7 @@ def names_from_text(value: Column) -> Column:
     text = F.trim(value)
     listed = F.when(text.startswith("["), F.coalesce(_from_json_list(text), F.array().cast("array<string>")))
     parts = F.coalesce(listed, F.split(text, r"\s*,\s*"))
-    return F.coalesce(F.filter(F.transform(parts, F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def list_or_nothing(value: Column) -> Column:

@@ -223,15 +223,15 @@ def nested_cv_k(spark, d):
 # --- targeting ------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {ORDERS} SELECT id, round(10 * p - 5 * (1 - p), 6) AS expected_value FROM s")
+@query(f"WITH {ORDERS} SELECT id, round(10 * p - 5 * (1 - p), 9) AS expected_value FROM s")
 def ev_per_contact(spark, d):
-    return scored_orders(spark, d).select("id", F.round(curves.expected_value(F.col("p")), 6).alias("expected_value"))
+    return scored_orders(spark, d).select("id", F.round(curves.expected_value(F.col("p")), 9).alias("expected_value"))
 
 
 @query(f"""WITH {PROBABILITY}, t AS (SELECT * FROM q WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 250)
-SELECT CAST(row_number() OVER (ORDER BY score DESC, id DESC) AS BIGINT) AS rank, id, score, round(10 * score - 5 * (1 - score), 6) AS expected_value FROM t""")
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id DESC) AS BIGINT) AS rank, id, score, round(10 * score - 5 * (1 - score), 9) AS expected_value FROM t""")
 def rank_test_floor(spark, d):
-    return _six(curves.select_targets(by_probability(scored_orders(spark, d)), 250, floor=0.3), "expected_value")
+    return curves.select_targets(by_probability(scored_orders(spark, d)), 250, floor=0.3).withColumn("expected_value", F.round("expected_value", 9))
 
 
 @query(f"""WITH {PROBABILITY}, t AS (SELECT * FROM q WHERE score >= 0.3 ORDER BY score DESC, id DESC LIMIT 1000)
@@ -508,8 +508,8 @@ def stable_configs(spark, d):
     return selection.stable_configurations(_summary(spark, d), top=3).select("recipe_config_id", "finalist_rank", "selection_note")
 
 
-@query(f"""WITH {_OUTER_AGG}, t AS (SELECT *, CASE WHEN feature_size <= 1 THEN 1 ELSE 3 END AS tier FROM oz), f AS (SELECT recipe_config_id, tier, row_number() OVER (ORDER BY tier, outer_config_rank) AS finalist_rank FROM t)
-SELECT * FROM f WHERE finalist_rank <= 3""")
+@query(f"""WITH {_OUTER_AGG}, t AS (SELECT *, CASE WHEN feature_size <= 1 THEN 1 ELSE 3 END AS tier FROM oz), fz AS (SELECT recipe_config_id, tier, row_number() OVER (ORDER BY tier, outer_config_rank) AS finalist_rank FROM t)
+SELECT * FROM fz WHERE finalist_rank <= 3""")
 def cost_aware_configs(spark, d):
     return selection.cost_aware_configurations(_summary(spark, d), top=3, least_folds=2, most_features=1).select("recipe_config_id", "tier", "finalist_rank")
 
@@ -571,6 +571,81 @@ def stability(spark, d):
     return _six(scoring.stability(_validation(spark, d)), "mean_score", "std_score")
 
 
+# --- candidate sets -------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {RANKED}, o AS (SELECT method AS name, feature, round(CAST(rank_score AS DOUBLE), 9) AS es, row_number() OVER (PARTITION BY method ORDER BY raw_score DESC, feature) AS ord FROM nr), z AS (SELECT unnest([1, 3, 5]) AS size),
+c AS (SELECT name, size, list_sort(list(feature)) AS features, round(avg(es), 6) AS heuristic FROM o, z WHERE ord <= size GROUP BY name, size),
+k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY features ORDER BY heuristic DESC, name) = 1)
+SELECT name, CAST(size AS BIGINT) AS size, array_to_string(features, ',') AS features, heuristic FROM k""")
+def prefix_candidates(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("raw_score"), "feature"))
+    ranked = long_rankings(spark, d).select(F.col("method").alias("name"), "feature", place.alias("order"), F.round("rank_score", 9).alias("ensemble_score"))
+    out = selection.prefix_candidates(ranked, [1, 3, 5])
+    return _six(out.withColumn("features", F.array_join("features", ",")), "heuristic").drop("candidate_id")
+
+
+_SETS = """fs AS (SELECT 'm_' || CAST(o_orderkey AS VARCHAR) AS origin, o_orderkey % 100 AS rank, CAST(1 + o_orderkey % 2 AS BIGINT) AS n_features,
+list_sort(list_distinct(list_filter(['var_' || CAST(o_orderkey % 5 AS VARCHAR), 'var_' || CAST(o_orderkey % 7 AS VARCHAR)], lambda f: f <> 'var_6'))) AS features FROM orders)"""
+
+
+def _named_sets(spark, d) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = F.concat(F.lit("['var_"), (key % 5).cast("string"), F.lit("', 'var_"), (key % 7).cast("string"), F.lit("']"))
+    return table(spark, d, "orders").select(F.concat(F.lit("m_"), key.cast("string")).alias("origin"), (key % 100).alias("rank"), (1 + key % 2).cast("long").alias("n_features"), text.alias("features"))
+
+
+@query(f"""WITH {_SETS}, k AS (SELECT * FROM fs WHERE len(features) > 0 QUALIFY row_number() OVER (PARTITION BY features ORDER BY rank, n_features, origin) = 1),
+t AS (SELECT *, row_number() OVER (ORDER BY rank, n_features, origin) AS r FROM k) SELECT 'fs_' || lpad(CAST(r AS VARCHAR), 3, '0') AS feature_set_id, origin, array_to_string(features, ',') AS features FROM t WHERE r <= 12""")
+def unique_sets(spark, d):
+    out = selection.unique_feature_sets(_named_sets(spark, d), [f"var_{k}" for k in range(6)], top=12)
+    return out.withColumn("features", F.array_join("features", ","))
+
+
+@query(f"""WITH {_SETS}, m AS (SELECT CASE WHEN origin LIKE '%1' THEN 0 ELSE 1 END AS source, origin, rank AS place, features FROM fs WHERE len(features) > 0),
+k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY features ORDER BY source, place, origin) = 1), t AS (SELECT *, row_number() OVER (ORDER BY source, place, origin) AS r FROM k)
+SELECT 'fs_' || lpad(CAST(r AS VARCHAR), 3, '0') AS feature_set_id, origin, array_to_string(features, ',') AS features FROM t WHERE r <= 10""")
+def merged_sets(spark, d):
+    named = _named_sets(spark, d).select("origin", F.col("rank").alias("place"), F.filter(parsing.names_from_text(F.col("features")), lambda f: f != "var_6").alias("features")).where(F.size("features") > 0)
+    out = selection.merged_sets([named.where("origin LIKE '%1'"), named.where("origin NOT LIKE '%1'")], top=10)
+    return out.withColumn("features", F.array_join("features", ","))
+
+
+@query(f"""WITH {_SETS}, e AS (SELECT CAST(rank % 3 AS INTEGER) AS outer_fold, origin, unnest(features) AS feature, generate_subscripts(features, 1) AS pos FROM fs)
+SELECT feature, count(*) AS times, count(DISTINCT outer_fold) AS folds, count(DISTINCT origin) AS configs, round(avg(CAST(pos AS DOUBLE)), 6) AS mean_order FROM e GROUP BY feature""")
+def feature_frequency(spark, d):
+    own = F.filter(parsing.names_from_text(F.col("features")), lambda f: f != "var_6")
+    named = _named_sets(spark, d).select((F.col("rank") % 3).cast("int").alias("outer_fold"), F.col("origin").alias("recipe_config_id"), parsing.set_key(own).alias("features"))
+    return _six(scoring.feature_frequency(named), "mean_order")
+
+
+@query(f"""WITH {_INNER}, v AS (SELECT pipeline_recipe_id AS method, max(CAST(oof_score AS DOUBLE)) AS value FROM sc GROUP BY 1),
+w AS (SELECT method, greatest(value - min(value) OVER (), 0.05 * greatest(avg(value) OVER () - min(value) OVER (), 1.0)) AS w, max(value) OVER () = min(value) OVER () AS flat, count(*) OVER () AS m FROM v)
+SELECT method, round(CASE WHEN flat THEN 1.0 / m ELSE w / sum(w) OVER () END, 6) AS weight FROM w""")
+def weights_from_scores(spark, d):
+    return _six(rankings.weights_from_scores(_scores(spark, d).withColumnRenamed("pipeline_recipe_id", "method"), score="oof_score"), "weight")
+
+
+@query(f"""WITH {RANKED}, a AS (SELECT DISTINCT 'ps_mean_000' || CAST(g AS VARCHAR) AS r, m AS method FROM (VALUES (1, 'variance'), (2, 'peak'), (3, 'centre'), (4, 'variance'), (4, 'peak'), (5, 'variance'), (5, 'centre'), (6, 'peak'), (6, 'centre'),
+(7, 'variance'), (7, 'peak'), (7, 'centre')) t(g, m)), e AS (SELECT r, feature, round(avg(CAST(rank_score AS DOUBLE)), 9) AS es, round(avg(rank), 9) AS mr FROM nr JOIN a ON nr.method = a.method GROUP BY r, feature)
+SELECT r AS prescreen_recipe_id, count(*) AS features, round(max(es), 6) AS best_score, round(min(es), 6) AS worst_score FROM e GROUP BY r""")
+def materialized_rankings(spark, d):
+    from ..operators import pipelines
+
+    space = recipes.prescreen_recipes(spark, METHODS).where("NOT adaptive")
+    whole = pipelines.materialised_rankings(long_rankings(spark, d), space)
+    return _six(whole.groupBy("prescreen_recipe_id").agg(F.count("*").alias("features"), F.max("ensemble_score").alias("best_score"), F.min("ensemble_score").alias("worst_score")), "best_score", "worst_score")
+
+
+@query()
+def fold_candidates(spark, d):
+    from ..operators import pipelines
+
+    return pipelines.fold_candidates(long_rankings(spark, d), recipes.prescreen_recipes(spark, METHODS), [1, 3, 5, 10])
+
+
 # --- feature statistics ---------------------------------------------------------------------------------------------
 
 
@@ -588,7 +663,7 @@ def variance_filter(spark, d):
     return _six(features.variance_filter(embedding_long(spark, d)), "variance")
 
 
-@query(f"""WITH {LONG}, t AS (SELECT feature, q AS quantile, quantile_cont(value, q) AS threshold FROM (SELECT feature, value, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS q FROM l) GROUP BY feature, q)
+@query(f"""WITH {LONG}, t AS (SELECT feature, unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]) AS quantile, unnest(quantile_cont(value, [0.25, 0.5, 0.75])) AS threshold FROM l GROUP BY feature)
 SELECT l.feature, quantile, count(*) AS n, CAST(sum(CASE WHEN value >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS ones FROM l JOIN t ON l.feature = t.feature GROUP BY l.feature, quantile""")
 def quantile_binarize(spark, d):
     long = embedding_long(spark, d)

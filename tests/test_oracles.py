@@ -22,7 +22,7 @@ def duck():
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     plain = frame.astype(object).where(frame.notna(), None)
-    as_text = lambda v: f"{float(v):.6f}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
+    as_text = lambda v: f"{float(v):.9f}" if isinstance(v, (float, int)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(as_text, r)) for r in plain.itertuples(index=False))
 
 
