@@ -69,15 +69,15 @@ def train(labelled: list[tuple[str, str]]) -> TextModel:
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = 2000) -> TextModel:
-    """Train on a bounded sample: the ``sample`` labelled rows with the least hash of the id."""
-    rows = (
-        docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.xxhash64(F.col(id_col)).alias("h"), F.lower(F.col(label_col)).alias("l"), F.col(text_col).alias("t"))
-        .orderBy("h", "l", "t")
-        .limit(sample)
-        .select("l", "t")
-        .collect()
+    """Train on a bounded sample: the ``sample`` labelled rows with the least hash of the id.
+
+    The hashes are chosen first and alone, so that only the texts of the sample are moved.
+    """
+    hashed = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.xxhash64(F.col(id_col)).alias("h"), F.lower(F.col(label_col)).alias("l"), F.col(text_col).alias("t")
     )
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
+    rows = hashed.where(F.col("h") <= F.lit(last).cast("long")).orderBy("h", "l", "t").limit(sample).select("l", "t").collect()
     return train([(r.l, r.t) for r in rows])
 
 
