@@ -349,12 +349,12 @@ def borda_scores(spark, d):
 
 
 @query(f"""WITH {ORDERS}, e AS (SELECT 'a' AS expert, id, p AS score FROM s UNION ALL SELECT 'b', id, 1 - p FROM s), w AS (SELECT * FROM (VALUES ('a', 0.25::DOUBLE), ('b', 0.75::DOUBLE)) t(expert, weight))
-SELECT id, round(sum(weight * score), 6) AS score FROM e JOIN w ON e.expert = w.expert GROUP BY id""")
+SELECT id, round(sum(weight * score), 9) AS score FROM e JOIN w ON e.expert = w.expert GROUP BY id""")
 def fused_scores(spark, d):
     s = scored_orders(spark, d)
     experts = s.select(F.lit("a").alias("expert"), "id", F.col("p").alias("score")).unionByName(s.select(F.lit("b").alias("expert"), "id", (1 - F.col("p")).alias("score")))
     weights = rankings.fusion_weights(spark.createDataFrame([("a", 100.0), ("b", 300.0)], "expert string, cv_mean double"))
-    return _six(rankings.fused_scores(experts, weights), "score")
+    return rankings.fused_scores(experts, weights).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH {PREDICTIONS}, x AS (SELECT pipeline_recipe_id AS config, sample_index AS id, score FROM pr), r AS (SELECT id, (rank() OVER (PARTITION BY config ORDER BY score) + (count(*) OVER (PARTITION BY config, score) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY config) AS pct FROM x),
