@@ -10,20 +10,19 @@ merged exactly by the BPE core.
 from __future__ import annotations
 
 import json
-import os
 import struct
-import tempfile
 import uuid
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns, small_batches, written
+from .common import require_columns, shared_folder, small_batches, written
 from .tokens import ByteLevel, byte_level
 
 #: Words of the lexicon: the feature's size, not a cap on what is encoded.
@@ -194,10 +193,13 @@ def build_lexicon(docs: DataFrame, *, text_col: str = "text", words: int = LEXIC
     found = (r.word for r in top if not any(s in r.word for s in encoder.special))
     blob = compile_lexicon({w.encode(): encoder.chunk(w) for w in found})
     name = f"lexicon-{uuid.uuid4().hex}.mat"
-    file = os.path.join(tempfile.mkdtemp(), name)
-    with open(file, "wb") as f:
-        f.write(blob)
-    docs.sparkSession.sparkContext.addFile(file)
+    spark = docs.sparkSession
+    file = f"{shared_folder(spark, 'lexicon')}/{name}"
+    fs, path = pafs.FileSystem.from_uri(file)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(blob)
+    spark.sparkContext.addFile(file)
     return name
 
 
