@@ -1,4 +1,4 @@
-"""Rules every operator shares: nulls, total orders, ranks, guarded statistics, running totals."""
+"""Rules every operator shares: nulls, total orders, ranks, guarded statistics."""
 
 from __future__ import annotations
 
@@ -51,25 +51,3 @@ def ratio(a: Column, b: Column) -> Column:
 def profit(tp: Column, fp: Column, features: Column | int = 0, *, hit: float = HIT_VALUE, miss: float = MISS_COST, feature: float = FEATURE_COST) -> Column:
     features = F.lit(features) if not isinstance(features, Column) else features
     return hit * tp - miss * fp - feature * features
-
-
-def running_totals(df: DataFrame, key: str, sums: Sequence[str], *, descending: bool = True, ranges: int = 64) -> DataFrame:
-    """``df`` (one row for each ``key``) with cum_<c> for each column, over all rows in the order of ``key``.
-
-    A window without partitions would bring every row to one task.  Instead the keys are cut into ranges at
-    approximate quantiles, each range adds up its own rows, and the totals of the ranges before it (at most
-    ``ranges`` numbers) are added.
-    """
-    cuts = df.select(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 1000).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col(key) >= F.lit(c), 1).otherwise(0)
-    marked = df.withColumn("_range", part)
-    totals = marked.groupBy("_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
-    order = F.col("_range").desc() if descending else F.col("_range").asc()
-    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
-    offsets = totals.select("_range", *(F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums))
-    own = Window.partitionBy("_range").orderBy(F.col(key).desc() if descending else F.col(key).asc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = marked.join(F.broadcast(offsets), "_range")
-    return summed.select(*df.columns, *((F.sum(c).over(own) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums))

@@ -3,7 +3,9 @@
 Input is one row for each scored row: ``id``, ``y`` (0 or 1), ``score``, and any
 grouping columns.  Rows are ranked by score, then id, both from high to low.
 Without groups the best ``cap`` rows are taken by a top-k before any window, so
-that the window runs over ``cap`` rows and not over the table.
+that the window runs over ``cap`` rows and not over the table.  In groups Spark
+limits each task's rows to the best ``cap`` of a group before they are shuffled; a
+larger ``cap`` than that works for is first taken from hashed parts of each group.
 """
 
 from __future__ import annotations
@@ -14,15 +16,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import BREAK_EVEN, FEATURE_COST, HIT_VALUE, MAX_TARGETS, MISS_COST, best_first, profit, ratio, require_columns
+from ..functions.ranges import placed
+
+#: Largest cap that Spark pushes below the shuffle of a grouped window, and the parts a group is cut into beyond it.
+GROUP_LIMIT, SALTS = 1000, 64
 
 
 def ranked(df: DataFrame, groups: Sequence[str] = (), cap: int | None = None) -> DataFrame:
     """``df`` with ``k``, the rank from 1 on; only ranks up to ``cap`` if given."""
     require_columns(df, ["id", "score", *groups])
-    if cap is not None and not groups:
+    if cap is None:
+        return placed(df, groups, best_first())
+    if not groups:
         df = df.orderBy(*best_first()).limit(cap)
-    out = df.withColumn("k", F.row_number().over(Window.partitionBy(*groups).orderBy(*best_first())))
-    return out if cap is None else out.where(F.col("k") <= cap)
+    elif cap > GROUP_LIMIT:
+        part = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+        df = df.withColumn("_k", F.row_number().over(Window.partitionBy(*groups, part).orderBy(*best_first()))).where(F.col("_k") <= cap).drop("_k")
+    return df.withColumn("k", F.row_number().over(Window.partitionBy(*groups).orderBy(*best_first()))).where(F.col("k") <= cap)
 
 
 def ranked_curve(df: DataFrame, groups: Sequence[str] = (), *, cap: int = MAX_TARGETS, zero: bool = False) -> DataFrame:

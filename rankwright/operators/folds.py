@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import ratio, require_columns
+from ..functions.ranges import placed
 
 
 def _dealt(df: DataFrame, strata: list[str], seed: str, n_splits: int) -> DataFrame:
@@ -43,8 +44,7 @@ def inner_folds(df: DataFrame, outer: DataFrame, *, n_splits: int = 5, seed: int
 def contiguous_folds(df: DataFrame, *, n_splits: int = 5) -> DataFrame:
     """id, fold: unshuffled blocks within a label, in id order."""
     sizes = df.groupBy("y").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy("id"))
-    return df.select("id", "y", place.alias("r")).join(F.broadcast(sizes), "y").select("id", (F.floor((F.col("r") - 1) * n_splits / F.col("n")) + 1).cast("int").alias("fold"))
+    return placed(df.select("id", "y"), ["y"], [F.col("id")], name="r").join(F.broadcast(sizes), "y").select("id", (F.floor((F.col("r") - 1) * n_splits / F.col("n")) + 1).cast("int").alias("fold"))
 
 
 def summarise_outer(df: DataFrame, outer: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ledger import running_totals
+from ..functions.ranges import running_totals
 
 
 def score_counts(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -16,12 +16,7 @@ def score_counts(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def _cumulated(df: DataFrame, groups: Sequence[str], descending: bool) -> DataFrame:
-    counts = score_counts(df, groups)
-    if not groups:
-        return running_totals(counts, "score", ["pos", "neg"], descending=descending)
-    order = F.col("score").desc() if descending else F.col("score").asc()
-    so_far = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select("*", F.sum("pos").over(so_far).alias("cum_pos"), F.sum("neg").over(so_far).alias("cum_neg"))
+    return running_totals(score_counts(df, groups), "score", ["pos", "neg"], groups=groups, descending=descending)
 
 
 def roc_auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:

@@ -382,16 +382,21 @@ def forest_feature_scores(df: DataFrame, fit: Fit | None = None) -> list[float]:
     return [float(v) for v in (fit or boosted(trees=20))(df).model.featureImportances.toArray()]
 
 
-def permutation_ranking(df: DataFrame, scorer: Scorer, metric: Callable[[DataFrame], float], width: int, *, seed: int = 42) -> list[float]:
-    """Loss of ``metric`` when one feature's values are dealt out anew among the rows."""
+def permutation_ranking(df: DataFrame, scorer: Scorer, metric: Callable[[DataFrame], float], width: int, *, seed: int = 42, bucket_rows: int = 100_000) -> list[float]:
+    """Loss of ``metric`` when one feature's values are dealt out anew among the rows.
+
+    Rows fall into buckets by hash, as many as hold ``bucket_rows`` on average, and values change places
+    within a bucket; whoever shares a bucket is as good as drawn, so this shuffles as well as over all rows.
+    """
     base = metric(scorer.score(df))
+    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.lit(seed), "id"), F.lit(-(-df.count() // bucket_rows) or 1))
     out = []
     for k in range(width):
-        place = lambda key: F.row_number().over(Window.orderBy(key, "id"))
-        values = df.select(place(F.xxhash64(F.lit(seed + k), "id")).alias("_r"), F.col("features")[k].alias("_x"))
-        mixed = df.withColumn("_r", place(F.lit(0))).join(values, "_r")
+        place = lambda *key: F.row_number().over(Window.partitionBy(bucket).orderBy(*key, "id"))
+        values = df.select(bucket.alias("_b"), place(F.xxhash64(F.lit(seed + k), "id")).alias("_r"), F.col("features")[k].alias("_x"))
+        mixed = df.withColumns({"_b": bucket, "_r": place()}).join(values, ["_b", "_r"])
         new = F.transform("features", lambda x, i: F.when(i == k, F.col("_x")).otherwise(x))
-        out.append(base - metric(scorer.score(mixed.withColumn("features", new).drop("_r", "_x"))))
+        out.append(base - metric(scorer.score(mixed.withColumn("features", new).drop("_b", "_r", "_x"))))
     return out
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank, guarded_corr
+from ..functions.ranges import placed, running_totals
 
 
 def normalised_ranks(raw: DataFrame) -> DataFrame:
@@ -132,9 +133,8 @@ def borda_scores(train: DataFrame, scored: DataFrame) -> DataFrame:
     brought to 0..1 over the rows that are scored."""
     signs = train.groupBy("feature").agg(F.when(F.coalesce(guarded_corr("value", "y"), F.lit(0.0)) < 0, -1.0).otherwise(1.0).alias("sign"))
     directed = scored.join(F.broadcast(signs), "feature").withColumn("v", F.col("value") * F.col("sign"))
-    place = F.row_number().over(Window.partitionBy("feature").orderBy("v", "id"))
     sizes = scored.groupBy("feature").agg(F.count("*").alias("n"))
-    points = directed.withColumn("r", place).join(F.broadcast(sizes), "feature").groupBy("id").agg(F.avg((F.col("n") + 1 - F.col("r")).cast("double")).alias("points"))
+    points = placed(directed.select("id", "feature", "v"), ["feature"], [F.col("v"), F.col("id")], name="r").join(F.broadcast(sizes), "feature").groupBy("id").agg(F.avg((F.col("n") + 1 - F.col("r")).cast("double")).alias("points"))
     ends = points.agg(F.min("points").alias("lo"), F.max("points").alias("hi"))
     return points.join(F.broadcast(ends)).select("id", ((F.col("points") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)).alias("score"))
 
@@ -160,7 +160,11 @@ def rank_mean_ensemble(predictions: DataFrame, *, top: int) -> DataFrame:
     sizes = predictions.groupBy("config").agg(F.count_distinct("id").alias("n")).join(F.broadcast(rows)).where(F.col("n") == F.col("rows"))
     enough = sizes.agg(F.count("*").alias("configs"))
     whole = predictions.join(F.broadcast(sizes.join(F.broadcast(enough)).where("configs >= 2").select("config", "n")), "config")
-    share = whole.withColumn("pct", average_rank(F.col("score"), ["config"], descending=False) / F.col("n"))
+    # Rows that tie share the mean of their ranks, which follows from the counts by distinct score.
+    counts = whole.groupBy("config", F.col("score").alias("s"), "n").agg(F.count("*").alias("ties"))
+    ranks = running_totals(counts, "s", ["ties"], groups=["config"], descending=False)
+    ranks = ranks.select(F.col("config").alias("c"), "s", ((F.col("cum_ties") - (F.col("ties") - 1) / 2.0) / F.col("n")).alias("pct"))
+    share = whole.join(ranks, (F.col("config") == F.col("c")) & F.col("score").eqNullSafe(F.col("s")))
     mean = share.groupBy("id").agg(F.avg("pct").alias("mean_rank")).orderBy(F.desc("mean_rank"), F.desc("id")).limit(top)
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_rank"), F.desc("id"))).cast("long"))
 

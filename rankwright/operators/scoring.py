@@ -92,14 +92,16 @@ def baselines(predictions: DataFrame, *, cap: int = MAX_TARGETS) -> DataFrame:
     and, where there are more samples than ``cap``, contacting all of them, which the rules don't allow."""
     samples = ok_rows(predictions).groupBy(*CONTEXT, "sample_index").agg(F.max("y_true").cast("long").alias("y"))
     order = F.row_number().over(Window.partitionBy(*CONTEXT).orderBy("sample_index"))
-    marked = samples.withColumn("r", order)
-    sums = marked.groupBy(*CONTEXT).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("r") <= cap, F.col("y"))).alias("tp"), F.sum(F.when(F.col("r") <= cap, 1 - F.col("y"))).alias("fp"), F.sum("y").alias("all_tp"), F.sum(1 - F.col("y")).alias("all_fp")
-    )
+    # The first rows are picked apart from the totals, so that no window sees a whole context.
+    first = samples.withColumn("r", order).where(F.col("r") <= cap).groupBy(*CONTEXT).agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
+    first = first.toDF(*(f"_{c}" for c in CONTEXT), "tp", "fp")
+    every = samples.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.sum("y").alias("all_tp"), F.sum(1 - F.col("y")).alias("all_fp"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTEXT]
+    sums = every.join(first, same)
     entry = lambda name, tp, fp, size, legal: F.struct(F.lit(name).alias("baseline"), profit(F.col(tp), F.col(fp), size).cast("long").alias("business_score"), F.lit(legal).alias("legal"))
     capped = F.array(entry("select_all_0", "tp", "fp", 0, True), entry("select_all_1", "tp", "fp", 1, True))
-    every = F.when(F.col("n") > cap, F.array(entry("select_all_full", "all_tp", "all_fp", 0, False))).otherwise(F.slice(capped, 1, 0))
-    return sums.select(*CONTEXT, F.explode(F.concat(capped, every)).alias("b")).select(*CONTEXT, "b.*")
+    whole = F.when(F.col("n") > cap, F.array(entry("select_all_full", "all_tp", "all_fp", 0, False))).otherwise(F.slice(capped, 1, 0))
+    return sums.select(*CONTEXT, F.explode(F.concat(capped, whole)).alias("b")).select(*CONTEXT, "b.*")
 
 
 def with_baselines(scores: DataFrame, base: DataFrame, names: Sequence[str] = ("select_all_0", "select_all_1")) -> DataFrame:
