@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all contracts here: space, tab, line feed, vertical tab, form feed, return.
@@ -44,6 +44,11 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """A row's own columns as one struct ``_row``, so that names used beside it can't clash with theirs."""
+    return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row")
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only for a counted side whose bytes stay under BROADCAST_BYTES."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

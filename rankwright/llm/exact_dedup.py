@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, require_columns, shared_folder, written
+from .common import SPACES, broadcast_if_small, require_columns, shared_folder, whole_row, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM = {
@@ -114,10 +114,10 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Rows that repeat an id and its text name one document; there are few, and only these are compared.
     again = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
     again = again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_id", F.col(id_col).cast("long"))
+    marked = docs.select(whole_row(docs), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"), F.col(id_col).cast("long").alias("_id"))
     same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_sha"] == b["_sha"])
     left = marked.join(gone, same(marked, gone), "left_anti")
     if again.isEmpty():
-        return left.drop("_sha", "_id")
+        return left.select("_row.*")
     once = left.join(again, same(left, again), "left_anti").unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["_id", "_sha"]))
-    return once.drop("_sha", "_id")
+    return once.select("_row.*")

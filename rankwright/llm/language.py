@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require_columns, small_batches
+from .common import require_columns, small_batches, whole_row
 
 #: Hash slots of the character trigrams.
 SLOTS = 1 << 15
@@ -111,23 +111,25 @@ class Evidence:
     least: float = 0.5
 
 
-def identify(
+def identified_rows(
     docs: DataFrame,
     model: TextModel,
     *,
+    row: Column,
     text: Column,
     declared: Column | None = None,
     host: Column | None = None,
     suffix: Column | None = None,
     evidence: Evidence = Evidence(),
 ) -> DataFrame:
-    """``docs`` with a struct column ``language``: lang, posterior, text_lang, kept.
+    """For every row of ``docs``: ``row``, a struct of what is to be carried along, and the struct ``language``:
+    lang, posterior, text_lang, kept.
 
     ``lang`` is the language of greatest posterior (ties by name), or "und".  A row is rejected (not kept)
     if that is "und" or the posterior is under ``evidence.least``.  Null text counts as empty and gives no
     likelihood; a text without letters is "und" unless other evidence speaks; null declarations, suffixes
     and hosts give no evidence; a declared language the model doesn't know gives none.  Repeated rows stay,
-    an empty table gives an empty result, and all columns of ``docs`` are carried through.
+    and an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     names = (*model.languages, UNKNOWN)
@@ -140,13 +142,12 @@ def identify(
         return texts.map(lambda t: found.log_likelihoods(t, weight))
 
     none = F.lit(None).cast("string")
-    base = docs.withColumns(
-        {
-            "_text": likelihoods(F.coalesce(text, F.lit(""))),
-            "_declared": F.lower(declared) if declared is not None else none,
-            "_host": host if host is not None else none,
-            "_suffix": suffix if suffix is not None else none,
-        }
+    base = docs.select(
+        row.alias("_row"),
+        likelihoods(F.coalesce(text, F.lit(""))).alias("_text"),
+        (F.lower(declared) if declared is not None else none).alias("_declared"),
+        (host if host is not None else none).alias("_host"),
+        (suffix if suffix is not None else none).alias("_suffix"),
     )
     top = F.array_max("_text")
     base = base.withColumn("_like", F.transform("_text", lambda x: F.exp(x - top)))
@@ -195,13 +196,24 @@ def identify(
     posterior = F.round(1.0 / F.col("_sum"), 6)
     kept = (lang != UNKNOWN) & (posterior >= evidence.least)
     result = F.struct(lang.alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), kept.alias("kept"))
-    return joined.select(*(docs[c] for c in docs.columns), result.alias("language"))
+    return joined.select("_row", result.alias("language"))
+
+
+def identify(docs: DataFrame, model: TextModel, **how) -> DataFrame:
+    """``docs`` with the column ``language`` of ``identified_rows``, which replaces one of that name."""
+    found = identified_rows(docs, model, row=whole_row(docs), **how)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "language"), "language")
+
+
+def _documents(docs: DataFrame, row: Column, model: TextModel | None, evidence: Evidence) -> DataFrame:
+    require_columns(docs, ["doc_id", "text", "lang", "source"])
+    return identified_rows(docs, model or fit(docs), row=row, text=docs["text"], declared=docs["lang"], host=docs["source"], evidence=evidence)
 
 
 def identify_documents(docs: DataFrame, model: TextModel | None = None, evidence: Evidence = Evidence()) -> DataFrame:
     """Documents: ``lang`` is the declared language and ``source`` the host; sources have no address suffix."""
-    require_columns(docs, ["doc_id", "text", "lang", "source"])
-    return identify(docs, model or fit(docs), text=docs["text"], declared=docs["lang"], host=docs["source"], evidence=evidence)
+    found = _documents(docs, whole_row(docs), model, evidence)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "language"), "language")
 
 
 def identify_pages(pages: DataFrame, model: TextModel, evidence: Evidence = Evidence()) -> DataFrame:
@@ -214,9 +226,10 @@ def identify_pages(pages: DataFrame, model: TextModel, evidence: Evidence = Evid
 
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, declared, lang, posterior, text_lang, kept of every document."""
-    return identify_documents(docs).select("doc_id", F.col("lang").alias("declared"), "language.*")
+    found = _documents(docs, F.struct(docs["doc_id"], docs["lang"].alias("declared")), None, Evidence())
+    return found.select("_row.*", "language.*")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is known, with their own columns."""
-    return identify_documents(docs).where("language.kept").drop("language")
+    return _documents(docs, whole_row(docs), None, Evidence()).where("language.kept").select("_row.*")

@@ -142,7 +142,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     joined = flagged.join(spared, flagged[id_col].eqNullSafe(spared["_id"]), "left")
     none = F.array().cast("array<string>")
     least = lambda m: F.when(m.rlike(rf"^(?:{_ASSIGN})$"), F.char_length(value(m)) >= KINDS[0].least).otherwise(True)
-    live = lambda m: least(m) & ~F.array_contains(F.coalesce(F.col("_spared"), none), F.sha2(value(m), 256))
+    live = lambda m: least(m) & ~F.array_contains(F.coalesce(spared["_spared"], none), F.sha2(value(m), 256))
     shown = F.transform(matches, lambda m: F.when(live(m), F.replace(m, value(m), F.lit(PLACEHOLDER))).otherwise(m))
     pieces = F.split(text, every, -1)
     glued = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(shown)), shown, lambda piece, m: F.concat(piece, m)), ""), F.element_at(pieces, -1))
@@ -150,5 +150,5 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     if chars_col and chars_col in docs.columns:
         same = glued == F.col(text_col)
         columns[chars_col] = F.when(same, F.col(chars_col)).otherwise(F.char_length(glued).cast(docs.schema[chars_col].dataType))
-    new = joined.select(*(columns[c].alias(c) if c in columns else flagged[c] for c in docs.columns))
+    new = joined.select(*(columns[c].alias(c) if c in columns else flagged[f"`{c}`"] for c in docs.columns))
     return docs.where(~hit).unionByName(new)

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankwright.llm.common import written
@@ -55,3 +56,24 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, SF), "odd")
     assert docs.collect() == []
+
+
+#: Names that the stages use beside a document's own columns, and some that look like results.
+CLASHING = """_row _text _declared _host _suffix _like _post _h _s _n _sums _by_suffix _spoken _scores _sum language _sha _id _gone _spared
+repo owner value_sha256 kind posterior kept keep_id group_size text_sha256 component_id fingerprint root fp piece sequence_id offset _part _nth""".split()
+
+
+def test_stages_carry_columns_with_clashing_names(spark, odd_docs, no_docs):
+    plain = odd_docs.select(no_docs.columns)
+    odd = plain.select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHING)), F.lit("dot").alias("a.b"))
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = (written(stage(spark, d, SF), "clash") for d in (odd, plain))
+        key = lambda r: tuple(map(str, r))
+        if name == "best_fit_packing":
+            same = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            assert sorted(got.select(same).collect(), key=key) == sorted(want.select(same).collect(), key=key)
+            continue
+        assert got.columns == odd.columns
+        rows = sorted(got.collect(), key=key)
+        assert [r[: len(plain.columns)] for r in rows] == [tuple(r) for r in sorted(want.collect(), key=key)]
+        assert {r[len(plain.columns) :] for r in rows} == {(*range(len(CLASHING)), "dot")}
