@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import require_columns, small_batches, whole_row
+from .common import broadcast_if_small, require_columns, small_batches, whole_row, written
 
 #: Hash slots of the character trigrams.
 SLOTS = 1 << 15
@@ -171,6 +171,11 @@ def identified_rows(
         hosts.join(suffixes, hosts["_suffix"].eqNullSafe(suffixes["_x"]))
         .select(F.col("_host").alias("_h"), F.col("_suffix").alias("_s"), F.col("n").alias("_n"), F.array(*(f"s{k}" for k in range(len(names)))).alias("_sums"), "_by_suffix")
     )
+    # A row for each host: if they are known to be few, the documents need not be moved to meet them.
+    priors = written(priors, "host-priors")
+    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    size = priors.agg(F.coalesce(F.sum(bytes_of("_h") + bytes_of("_s") + 64 + 16 * len(names)), F.lit(0)).alias("b")).first().b
+    priors = broadcast_if_small(priors, 1, size)
     joined = base.join(priors, base["_host"].eqNullSafe(priors["_h"]) & base["_suffix"].eqNullSafe(priors["_s"]))
 
     def log_score(k: int) -> Column:
