@@ -14,9 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require_columns, written
+from .common import require_columns, whole_row, written
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Header, body and END line are one match.  The END line is sought over at most 8 lone hyphens (headers of encrypted
+#: keys have 4); a key cut off before it goes as far as its lines of base64.  The value is all that follows the header.
+_BASE64 = "[A-Za-z0-9+/=]"
+_PEM = rf"""-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]*(?:-[^-]+){{0,8}}-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\x09-\x0D\\"'>,]*{_BASE64 * 16}{_BASE64}*){{0,400}})"""
 
 
 @dataclass(frozen=True)
@@ -39,7 +43,7 @@ KINDS = (
     Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
     Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, False),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, False),
-    Kind("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27, False),
+    Kind("pem", _PEM, 1, 40, False),
 )
 BASE = tuple(k for k in KINDS if k.base)
 #: A value held by this many owners or more is a copied example.
@@ -65,7 +69,8 @@ def _matches(text: Column, order: int, kind: Kind) -> Column:
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None) -> DataFrame:
     """Every match with a long enough value: row (one number for each row of ``docs``), doc_id, repo, owner,
-    kind, start, end (code points, end exclusive), value_sha256; rows without any have one line with a null kind."""
+    kind, start, end (code points, end exclusive), cut (where what has to be hidden starts: an assignment's value, the
+    whole match else), value_sha256; rows without any have one line with a null kind."""
     require_columns(docs, [c for c in (id_col, text_col, repo_col, owner_col) if c])
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
@@ -79,10 +84,11 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
     before = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before))
     each = each.withColumn("start", F.col("end") - F.col("len"))
+    each = each.withColumn("cut", F.when(F.col("kind") == 0, F.col("end") - F.char_length("value")).otherwise(F.col("start")))
     least = F.element_at(F.array(*(F.lit(k.least) for k in KINDS)), F.col("kind") + 1)
     short = F.char_length("value") < least
     blank = lambda c: F.when(~short, F.col(c)).alias(c)
-    return each.select("row", "doc_id", "repo", "owner", blank("kind"), blank("start"), blank("end"), F.when(~short, F.sha2("value", 256)).alias("value_sha256"))
+    return each.select("row", "doc_id", "repo", "owner", blank("kind"), blank("start"), blank("end"), blank("cut"), F.when(~short, F.sha2("value", 256)).alias("value_sha256"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -122,33 +128,34 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", chars_col: str | None = "n_chars", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with every live-looking value replaced by PLACEHOLDER; widely copied examples stay.
 
-    A value is what one match of any kind holds, leftmost first.  Rows without a match are passed on as
-    they are; ``chars_col``, if the table has it, is set anew where the text changes.
+    The kinds are sought apart, as in the report, and live values that overlap are replaced as one.  Rows
+    without a match are passed on as they are; ``chars_col``, if the table has it, is set anew where the
+    text changes.
     """
     require_columns(docs, [id_col, text_col, owner_col])
-    every = _any(KINDS)
-    # The pattern of one match, taken alone, tells the value of an assignment from its name.
-    value = lambda m: F.when(m.rlike(rf"^(?:{_ASSIGN})$"), F.regexp_extract(m, _ASSIGN, 2)).otherwise(m)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = text.rlike(every)
-    matches = F.regexp_extract_all(text, F.lit(every), F.lit(0))
-    flagged = docs.where(hit)
-    values = flagged.select(
-        F.col(id_col).alias("_id"), F.col(owner_col).cast("string").alias("owner"), F.col(id_col).cast("string").alias("repo"), F.explode(F.array_distinct(F.transform(matches, lambda m: F.sha2(value(m), 256)))).alias("value_sha256")
-    )
-    values = written(values, "secret-values")
-    examples = ownership(values).where(F.col("n_owners") >= example_owners).select("value_sha256")
-    spared = values.join(examples, "value_sha256").groupBy("_id").agg(F.collect_set("value_sha256").alias("_spared"))
-    joined = flagged.join(spared, flagged[id_col].eqNullSafe(spared["_id"]), "left")
-    none = F.array().cast("array<string>")
-    least = lambda m: F.when(m.rlike(rf"^(?:{_ASSIGN})$"), F.char_length(value(m)) >= KINDS[0].least).otherwise(True)
-    live = lambda m: least(m) & ~F.array_contains(F.coalesce(spared["_spared"], none), F.sha2(value(m), 256))
-    shown = F.transform(matches, lambda m: F.when(live(m), F.replace(m, value(m), F.lit(PLACEHOLDER))).otherwise(m))
-    pieces = F.split(text, every, -1)
-    glued = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size(shown)), shown, lambda piece, m: F.concat(piece, m)), ""), F.element_at(pieces, -1))
-    columns = {text_col: glued}
+    hit = text.rlike(_any(KINDS))
+    # Written, so that the numbers of the few rows with a match hold in what follows.
+    own = F.col(id_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), text.alias("_text")
+    flagged = written(docs.where(hit).select(F.monotonically_increasing_id().alias("_n"), *own, whole_row(docs)), "secret-rows")
+    found = spans(flagged, id_col="_n", text_col="_text", repo_col="_repo", owner_col="_owner")
+    found = written(found.where("kind IS NOT NULL").select(F.col("doc_id").alias("_n"), "repo", "owner", "cut", "end", "value_sha256"), "secret-values")
+    examples = ownership(found).where(F.col("n_owners") >= example_owners).select("value_sha256")
+    live = found.join(examples, "value_sha256", "left_anti").select("_n", "cut", "end")
+    in_row = Window.partitionBy("_n").orderBy("cut", "end")
+    before = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
+    apart = live.withColumn("new", F.when(F.col("cut") < before, 0).otherwise(1)).withColumn("part", F.sum("new").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = apart.groupBy("_n", "part").agg(F.min("cut").cast("int").alias("a"), F.max("end").cast("int").alias("b"))
+    hidden = parts.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_hidden"))
+    joined = flagged.join(hidden, "_n", "left")
+    ends = F.concat(F.array(F.lit(0)), F.transform("_hidden", lambda x: x["b"]))
+    shown = F.zip_with("_hidden", F.slice(ends, 1, F.size("_hidden")), lambda x, last: F.concat(F.substring(F.col("_text"), last + 1, x["a"] - last), F.lit(PLACEHOLDER)))
+    rest = F.substring(F.col("_text"), F.element_at(ends, -1) + 1, F.char_length("_text"))
+    changed = F.col("_hidden").isNotNull()
+    glued = F.concat(F.array_join(shown, ""), rest)
+    kept = lambda c: F.col("_row")[c]
+    columns = {text_col: F.when(changed, glued).otherwise(kept(text_col))}
     if chars_col and chars_col in docs.columns:
-        same = glued == F.col(text_col)
-        columns[chars_col] = F.when(same, F.col(chars_col)).otherwise(F.char_length(glued).cast(docs.schema[chars_col].dataType))
-    new = joined.select(*(columns[c].alias(c) if c in columns else flagged[f"`{c}`"] for c in docs.columns))
+        columns[chars_col] = F.when(changed, F.char_length(glued).cast(docs.schema[chars_col].dataType)).otherwise(kept(chars_col))
+    new = joined.select(*(columns.get(c, kept(c)).alias(c) for c in docs.columns))
     return docs.where(~hit).unionByName(new)

@@ -153,6 +153,41 @@ def test_redacted_documents_hold_no_live_secret(documents):
     assert changed and all("[SECRET]" in r.text and r.n_chars == len(r.text) for r in changed)
 
 
+def test_private_keys_are_found_and_hidden_with_their_bodies(spark):
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    line = lambda k: sha256(str(k).encode()).hexdigest().upper().replace("0", "/")
+    body = lambda k: "\n".join(line((k, j)) for j in range(9))
+    key = lambda k: f"{head}\n{body(k)}\n{tail}"
+    locked = f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,{line('iv')}\n\n{body('locked')}\n{tail}"
+    texts = [f"é a {key(k)} z" for k in range(4)] + [f"copied {key('x')} end" for _ in range(3)]
+    texts += [f"secret: {key('s')} z", f"cut off {head}\n{body('cut')}\n\nProse.", f"{head}{key('two')} z", locked, f"it stands between {head} and {tail} in a file"]
+    texts += [f'password = "abcdefghijklm{key("glued")}', f"a {key('1st')}, {key('2nd')} b", "indented " + key("i").replace("\n", "\n    "), key("json").replace("\n", "\\n")]
+    docs = spark.createDataFrame([(k, t, f"o{k}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    report, clean = by_id(secrets.secret_report(docs)), by_id(secrets.redact(docs))
+    want = ["é a [SECRET] z"] * 4 + texts[4:7] + ["secret: [SECRET] z", "cut off [SECRET]\n\nProse.", f"{head}[SECRET] z", "[SECRET]", texts[11]]
+    want += ['password = "[SECRET]', "a [SECRET], [SECRET] b", "indented [SECRET]", "[SECRET]"]
+    assert [clean[k].text for k in range(len(texts))] == want
+    assert all(r.n_chars == len(r.text) for r in clean.values())
+    at = len("é a ")
+    for k in range(4):
+        assert f"pem:{at}:{at + len(key(k))}" in report[k].spans.split(",") and report[k].n_live > 0
+    assert all("pem" not in report[k].spans and report[k].n_live == 0 and report[k].n_examples > 0 for k in (4, 5, 6))
+
+
+def test_private_keys_match_sql(spark):
+    import duckdb
+    from rankwright.llm.queries import ORACLES
+
+    body = "\n".join(["aB3/" * 16] * 20)
+    keys = [f"x -----BEGIN PRIVATE KEY-----\n{body}{k}\n-----END PRIVATE KEY----- y" for k in "abc"] + [f"-----BEGIN EC PRIVATE KEY-----\n{body}\n\nSo."]
+    documents = spark.createDataFrame([(n, t, f"o{n}") for n, t in enumerate([*keys, keys[0], keys[0]])], "doc_id long, text string, source string").toPandas()
+    got = secrets.secret_report(spark.createDataFrame(documents)).toPandas()
+    c = duckdb.connect()
+    c.register("documents", documents)
+    want = c.execute(ORACLES["op4_secret_scan"]).df()
+    assert sorted(map(tuple, got[list(want.columns)].values)) == sorted(map(tuple, want.values))
+
+
 TURNS = "conv_id long, turn int, role string, text string, pair_id int, side string"
 
 
