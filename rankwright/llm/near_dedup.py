@@ -18,10 +18,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns, small_batches, written
+from .common import require_columns, small_batches, whole_row, written
 
 BITS, SEED, SHINGLE = 64, 42, 4
 #: Variants that one task spells out at a time (8 bytes each, and as much again to sort).
@@ -46,17 +46,23 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
 
 
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's id and the SHA-256 of its text: what a row is known by."""
+    return docs[f"`{id_col}`"].cast("long"), F.unhex(F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); null text counts as empty."""
+    """doc_id, sha (of the text), fp (the fingerprint as a signed long); null text counts as empty."""
     require_columns(docs, [id_col, text_col])
     small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "sha", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    doc_id, sha = _identity(docs, id_col, text_col)
+    return docs.select(doc_id.alias("doc_id"), sha.alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, sha binary, fp long")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -195,16 +201,34 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ignored, and an empty table gives an empty result.
     """
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+    named = _first_of_components(marked, F.col("doc_id"), radius, range_variants).withColumnRenamed("first", "component_id")
+    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _first_of_components(marked: DataFrame, order: Column, radius: int = 2, range_variants: int = RANGE_VARIANTS) -> DataFrame:
+    """fp, first: the least ``order`` among the rows of the fingerprint's component."""
+    nodes = written(marked.groupBy("fp").agg(F.min(order).alias("first")), "fingerprint-nodes")
     roots = components(ball_links(nodes, radius=radius, range_variants=range_variants))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "first")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id; repeated ids stay together."""
-    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """``docs`` with exactly one row of each component: the one with the smallest id, nulls last, and of several
+    texts under that id the one with the least SHA-256; of rows that repeat both, one."""
+    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
+    firsts = _first_of_components(marked, key)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
+    judged = marked.join(firsts, "fp").groupBy("doc_id", "sha", stays.alias("stays")).agg(F.count("*").alias("n"))
+    judged = written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "stays"), "near-judged")
+    gone, again = (judged.where(c).select("_id", "_sha") for c in ("NOT stays", "stays"))
+    own_id, own_sha = _identity(docs, id_col, text_col)
+    rows = docs.select(whole_row(docs), own_id.alias("_id"), own_sha.alias("_sha"))
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_sha"] == b["_sha"])
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    if again.isEmpty():
+        return left.select("_row.*")
+    once = left.join(again, same(left, again), "left_anti").unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["_id", "_sha"]))
+    return once.select("_row.*")

@@ -151,3 +151,21 @@ def test_near_groups_odd_rows(odd_docs, no_docs):
     assert shown(near_dedup.near_duplicate_groups(odd_docs)) == want
     assert near_dedup.near_duplicate_groups(no_docs).collect() == []
     assert near_dedup.drop_near_copies(odd_docs).columns == odd_docs.columns
+
+
+def test_dropping_near_copies_decides_by_row(spark):
+    texts = [" ".join(sha256(f"{k} {j}".encode()).hexdigest()[:8] for j in range(200)) for k in range(6)]
+    close = lambda a, b: 0 < (simhash_brute(a) ^ simhash_brute(b)).bit_count() <= 4
+    near = lambda k: next(t for j in range(100) if close(t := f"{texts[k]} end{j}", texts[k]))
+    rows = [
+        (1, texts[0]), (None, near(0)),  # a null id beside an id
+        (None, texts[3]), (None, texts[4]),  # unique, without ids
+        (None, texts[1]), (None, near(1)), (None, near(1)),  # near copies, none with an id
+        (2, texts[2]), (3, near(2)), (3, texts[5]),  # a repeated id, one text of it a near copy
+        (7, "once again"), (7, "once again"), (8, None), (8, ""),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in near_dedup.drop_near_copies(docs).collect()]
+    first = min((texts[1], near(1)), key=lambda t: sha256(t.encode()).digest())
+    want = [(1, texts[0]), (None, texts[3]), (None, texts[4]), (None, first), (2, texts[2]), (3, texts[5]), (7, "once again"), (8, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
