@@ -7,6 +7,7 @@ whether a stated stand-in is used ("substitute"), or neither ("unavailable").
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import _shared_root
 from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
 from .rankings import fused_scores, fusion_weights
@@ -152,17 +154,21 @@ def grow_extra_trees(x: np.ndarray, y: np.ndarray, *, trees: int, depth: int, le
     return out
 
 
+def reached_nodes(feature: np.ndarray, threshold: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The node without a split at which each row ends."""
+    node = np.ones(len(x), int)
+    while True:
+        inner = feature[node] >= 0
+        if not inner.any():
+            return node
+        go = x[np.arange(len(x)), np.maximum(feature[node], 0)] > threshold[node]
+        node = np.where(inner, 2 * node + go, node)
+
+
 def tree_scores(trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
     total = np.zeros(len(x))
     for feature, threshold, value in trees:
-        node = np.ones(len(x), int)
-        while True:
-            inner = feature[node] >= 0
-            if not inner.any():
-                break
-            go = x[np.arange(len(x)), np.maximum(feature[node], 0)] > threshold[node]
-            node = np.where(inner, 2 * node + go, node)
-        total += value[node]
+        total += value[reached_nodes(feature, threshold, x)]
     return total / len(trees)
 
 
@@ -412,15 +418,140 @@ def committee(df: DataFrame, folds: DataFrame, experts: Mapping[str, tuple[Fit,
     return fused_scores(rows, weights)
 
 
-def evaluate_tasks(df: DataFrame, tasks: DataFrame, *, trees: int = 30, depth: int = 4) -> DataFrame:
-    """Fan-out of many small fits: each task (task_id, fold, places) is fitted and scored in one Python task on a
-    broadcast training table of checked size; a fit that fails becomes a row with its error."""
-    rows = df.select("id", "y", "fold", "features").orderBy("id").limit(200_001).collect()
-    if len(rows) > 200_000:
-        raise ValueError("the fan-out is for tables of up to 200,000 rows; fit larger ones with out_of_fold")
+def _tallies(df: DataFrame, jobs: list, grown: dict, asked: list[tuple]) -> dict[int, tuple]:
+    """n, positives, least and greatest value of what each of ``asked`` (job, tree, node, place, cut) sees of all training
+    rows: those in the node whose value is at most the cut, if there is one.  Tasks add up first, so a row each is moved."""
+    by_tree: dict[tuple, list] = {}
+    for k, (j, t, *rest) in enumerate(asked):
+        by_tree.setdefault((j, t), []).append((k, *rest))
+
+    def run(batches):
+        n, pos = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        lo, hi = np.full(len(asked), np.inf), np.full(len(asked), -np.inf)
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, y, fold = np.stack(batch["features"].to_numpy()).astype(float), batch["y"].to_numpy(), batch["fold"].to_numpy()
+            for j, (_, own, places) in enumerate(jobs):
+                rest = fold != own
+                xs, ys = x[rest][:, places], y[rest] == 1
+                for t in sorted(t for i, t in by_tree if i == j):
+                    at = reached_nodes(*grown[j, t][:2], xs)
+                    for k, node, place, cut in by_tree[j, t]:
+                        seen = at == node
+                        if cut is not None:
+                            seen &= xs[:, place] <= cut
+                        if seen.any():
+                            v = xs[seen, place]
+                            n[k], pos[k], lo[k], hi[k] = n[k] + len(v), pos[k] + ys[seen].sum(), min(lo[k], v.min()), max(hi[k], v.max())
+        yield pd.DataFrame({"k": np.arange(len(asked)), "n": n, "pos": pos, "lo": lo, "hi": hi})
+
+    parts = df.select("y", "fold", "features").mapInPandas(run, "k long, n long, pos long, lo double, hi double")
+    return {r.k: (r.n, r.pos, r.lo, r.hi) for r in parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+
+
+def grow_spread_trees(df: DataFrame, jobs: list[tuple[int, int, list[int]]], *, trees: int, depth: int, leaf: int) -> dict:
+    """(job, tree) -> feature, threshold, value: the trees of ``grow_extra_trees`` on all training rows of each job
+    (seed, own fold, places), grown level by level for all jobs at once, with draws that hang on seed, tree and node.
+
+    What comes to the driver are counts and ranges of nodes, whatever the number of rows."""
+    grown = {(j, t): (np.full(2 ** (depth + 1), -1), np.zeros(2 ** (depth + 1)), np.zeros(2 ** (depth + 1))) for j in range(len(jobs)) for t in range(trees)}
+    known: dict[tuple, tuple] = {}
+    share: dict[int, float] = {}
+    weighed = lambda j, n, pos: (0.5 / share[j] * pos, 0.5 / max(1 - share[j], 1e-9) * (n - pos))
+
+    def settle(j, t, node, n, pos):
+        known[j, t, node] = n, pos
+        one, zero = weighed(j, n, pos)
+        grown[j, t][2][node] = one / max(one + zero, 1e-12)
+
+    frontier = [(j, t, 1) for j, t in grown]
+    for level in range(depth):
+        draws, asked = {}, []
+        for j, t, node in frontier:
+            draws[j, t, node] = r = np.random.default_rng([jobs[j][0], t, node])
+            width = len(jobs[j][2])
+            asked += [(j, t, node, int(f), None) for f in r.choice(width, max(1, int(np.sqrt(width))), replace=False)]
+        found = _tallies(df, jobs, grown, asked) if asked else {}
+        cuts = []
+        for k, (j, t, node, f, _) in enumerate(asked):
+            n, pos, lo, hi = found.get(k, (0, 0, np.inf, -np.inf))
+            if not level:
+                share[j] = max(pos / n, 1e-9) if n else 1e-9
+                settle(j, t, node, n, pos)
+            if n >= 2 * leaf and 0 < pos < n and lo < hi:
+                cuts.append((j, t, node, f, float(draws[j, t, node].uniform(lo, hi))))
+        left, best = _tallies(df, jobs, grown, cuts) if cuts else {}, {}
+        for k, (j, t, node, f, cut) in enumerate(cuts):
+            n, pos = known[j, t, node]
+            n_left, pos_left = left[k][:2]
+            if n_left < leaf or n - n_left < leaf:
+                continue
+            sides = weighed(j, n_left, pos_left), weighed(j, n - n_left, pos - pos_left)
+            impurity = sum(one * zero / (one + zero) for one, zero in sides)
+            if (j, t, node) not in best or impurity < best[j, t, node][0]:
+                best[j, t, node] = impurity, f, cut, n_left, pos_left
+        frontier = []
+        for (j, t, node), (_, f, cut, n_left, pos_left) in best.items():
+            n, pos = known[j, t, node]
+            grown[j, t][0][node], grown[j, t][1][node] = f, cut
+            for child, m, p in ((2 * node, n_left, pos_left), (2 * node + 1, n - n_left, pos - pos_left)):
+                settle(j, t, child, m, p)
+                if m >= 2 * leaf and 0 < p < m:
+                    frontier.append((j, t, child))
+    return grown
+
+
+_BLOCKS = "task_id long, fold int, block array<struct<sample_index: long, y_true: int, score: double>>, status string, error string"
+
+
+def _evaluate_spread(df: DataFrame, tasks: DataFrame, *, trees: int, depth: int) -> DataFrame:
+    """``evaluate_tasks`` for a table of any size: fits on all training rows, blocks of a batch of rows each."""
+    spark = df.sparkSession
+    path = f"{_shared_root(spark)}/rankwright/fan-out-{uuid.uuid4().hex}"
+    df.select("id", "y", "fold", "features").write.parquet(path)
+    df = spark.read.parquet(path)
+    sample = np.array([df.first().features], float)
+    folds = {r.fold for r in df.select("fold").distinct().collect()}
+    jobs, rest = [], []
+    for r in tasks.orderBy("task_id", "fold").collect():
+        try:
+            if not sample[:, list(r.places)].shape[1]:
+                raise ValueError("a task without features")
+            jobs.append((int(r.task_id), r.fold, list(r.places)))
+            if r.fold not in folds:
+                rest.append((r.task_id, r.fold, [], "ok", None))
+        except Exception as e:
+            rest.append((r.task_id, r.fold, [], "error", f"{type(e).__name__}: {e}"))
+    grown = grow_spread_trees(df, jobs, trees=trees, depth=depth, leaf=8)
+    shared = spark.sparkContext.broadcast([(job, [grown[j, t] for t in range(trees)]) for j, job in enumerate(jobs)])
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, fold = np.stack(batch["features"].to_numpy()).astype(float), batch["fold"].to_numpy()
+            for (task, own, places), forest in shared.value:
+                if (mine := fold == own).any():
+                    scores = tree_scores(forest, x[mine][:, places])
+                    block = [{"sample_index": int(i), "y_true": int(v), "score": float(s)} for i, v, s in zip(batch["id"][mine], batch["y"][mine], scores)]
+                    yield pd.DataFrame([(task, own, block, "ok", None)], columns=["task_id", "fold", "block", "status", "error"])
+
+    return df.mapInPandas(run, _BLOCKS).unionByName(spark.createDataFrame(rest, _BLOCKS))
+
+
+def evaluate_tasks(df: DataFrame, tasks: DataFrame, *, trees: int = 30, depth: int = 4, rows_at_once: int = 200_000) -> DataFrame:
+    """Fan-out of many small fits: each task (task_id, fold, places) is fitted on the rows of the other folds and scores
+    its own; a fit that fails becomes a row with its error.
+
+    A table of up to ``rows_at_once`` rows is broadcast, and a task is one Python task and one row.  A larger one
+    stays where it is: the trees of all tasks are grown level by level from counts over all rows, and a task has
+    a row for each batch of its rows."""
+    if df.select("id").limit(rows_at_once + 1).count() > rows_at_once:
+        return _evaluate_spread(df, tasks, trees=trees, depth=depth)
+    rows = df.select("id", "y", "fold", "features").orderBy("id").collect()
     data = (np.array([r.id for r in rows]), np.array([r.y for r in rows], float), np.array([r.fold for r in rows]), np.array([r.features for r in rows], float))
     shared = df.sparkSession.sparkContext.broadcast(data)
-    schema = "task_id long, fold int, block array<struct<sample_index: long, y_true: int, score: double>>, status string, error string"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         ids, y, fold, x = shared.value
@@ -436,7 +567,7 @@ def evaluate_tasks(df: DataFrame, tasks: DataFrame, *, trees: int = 30, depth: i
                 out.append((t.task_id, t.fold, [], "error", f"{type(e).__name__}: {e}"))
         return pd.DataFrame(out, columns=["task_id", "fold", "block", "status", "error"])
 
-    return tasks.groupBy("task_id").applyInPandas(run, schema)
+    return tasks.groupBy("task_id").applyInPandas(run, _BLOCKS)
 
 
 def class_weight_of(df: DataFrame) -> float:

@@ -340,6 +340,28 @@ def test_committee_and_fan_out(spark):
     assert scoring.from_blocks(got).count() == df.count()
 
 
+def test_fan_out_of_a_table_that_is_not_collected(spark):
+    df = matrix(spark, n=2000)
+    f = folds.outer_folds(df, n_splits=2).withColumnRenamed("outer_fold", "fold")
+    tasks = spark.createDataFrame([(1, 1, [0, 1]), (1, 2, [0, 1]), (2, 1, [99]), (3, 2, [2]), (4, 9, [0])], "task_id long, fold int, places array<int>")
+    rows = df.join(f, "id")
+    runs = [models.evaluate_tasks(rows.repartition(n), tasks, trees=30, rows_at_once=100).cache() for n in (3, 7)]
+    assert {(r.task_id, r.status) for r in runs[0].collect()} == {(1, "ok"), (2, "error"), (3, "ok"), (4, "ok")}
+    first, again = ({(r.task_id, r.sample_index): (r.fold, r.score) for r in scoring.from_blocks(g).collect()} for g in runs)
+    assert first == again and len(first) == df.count() + rows.where("fold = 2").count()
+    ones = scoring.from_blocks(runs[0]).where("task_id = 1").select(F.col("sample_index").alias("id"), F.col("y_true").alias("y"), "score")
+    small = scoring.from_blocks(models.evaluate_tasks(rows, tasks, trees=30)).where("task_id = 1").select(F.col("sample_index").alias("id"), F.col("y_true").alias("y"), "score")
+    assert auc(ones) > 0.9 and abs(auc(ones) - auc(small)) < 0.05
+    # A node holds the balanced share of positives of every training row that reaches it.
+    (feature, threshold, value), = models.grow_spread_trees(rows, [(1, 1, [0, 1])], trees=1, depth=3, leaf=8).values()
+    train = rows.where("fold <> 1").collect()
+    x, y = np.array([r.features[:2] for r in train]), np.array([r.y for r in train])
+    at = models.reached_nodes(feature, threshold, x)
+    w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for node in set(at):
+        assert (at == node).sum() >= 8 and abs(value[node] - (w * y)[at == node].sum() / w[at == node].sum()) < 1e-12
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "x.txt").write_text("1 2 oops\n3  4 5\n6 7 8\n")
     (tmp_path / "y.txt").write_text("y\n1\n2\n0\n")
