@@ -692,6 +692,18 @@ def robust_scaled(spark, d):
     return features.robust_scaled(long).withColumn("value", F.round("value", 4))
 
 
+@query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY feature) SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature")
+def standardised_all_features(spark, d):
+    return features.standardised(embedding_long(spark, d).drop("y")).withColumn("value", F.round("value", 4))
+
+
+@query(f"""WITH {LONG}, m AS (SELECT feature, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS s FROM l GROUP BY feature),
+v AS (SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature)
+SELECT id, feature, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM v""")
+def robust_scaled_all_features(spark, d):
+    return features.robust_scaled(embedding_long(spark, d).drop("y")).withColumn("value", F.round("value", 4))
+
+
 @query(f"WITH {ORDERS} SELECT round(CAST(count(*) FILTER (WHERE y = 0) AS DOUBLE) / count(*) FILTER (WHERE y = 1), 6) AS scale_pos_weight FROM s")
 def scale_pos_weight(spark, d):
     return _six(features.class_weight(scored_orders(spark, d)), "scale_pos_weight")

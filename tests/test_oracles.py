@@ -37,3 +37,10 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["standardised_all_features", "robust_scaled_all_features"])
+def test_scaling_returns_every_feature_of_every_row(spark, duck, name):
+    n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
+    got = QUERIES[name](spark, SF).groupBy("feature").count().collect()
+    assert {(r.feature, r["count"]) for r in got} == {(f"var_{k}", n) for k in range(64)}
