@@ -11,26 +11,18 @@ written with its range numbers to the shared folder, and everything is read from
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this session's own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_rankwright_ranges", None)
-    if not root:
-        root = spark._rankwright_ranges = "file://" + tempfile.mkdtemp(prefix="rankwright-")
-    return root.rstrip("/")
+from .shared import shared_folder
 
 
 def in_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
     """``df`` with _part, the number of a row's range of (groups, order)."""
     spark = df.sparkSession
-    path = f"{_shared_root(spark)}/rankwright/ranges-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "ranges")
     by = [*(F.col(g) for g in groups), *order]
     cut = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
     marked = cut.withColumn("_part", F.spark_partition_id())

@@ -7,7 +7,6 @@ whether a stated stand-in is used ("substitute"), or neither ("unavailable").
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranges import _shared_root
+from ..functions.shared import written
 from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
 from .rankings import fused_scores, fusion_weights
@@ -505,13 +504,16 @@ def grow_spread_trees(df: DataFrame, jobs: list[tuple[int, int, list[int]]], *,
 _BLOCKS = "task_id long, fold int, block array<struct<sample_index: long, y_true: int, score: double>>, status string, error string"
 
 
-def _evaluate_spread(df: DataFrame, tasks: DataFrame, *, trees: int, depth: int) -> DataFrame:
-    """``evaluate_tasks`` for a table of any size: fits on all training rows, blocks of a batch of rows each."""
+def evaluate_tasks(df: DataFrame, tasks: DataFrame, *, trees: int = 30, depth: int = 4) -> DataFrame:
+    """Fan-out of many small fits: each task (task_id, fold, places) is fitted on the rows of the other folds and scores
+    its own; a fit that fails becomes a row with its error.
+
+    The table stays where it is: the trees of all tasks are grown level by level from counts over all rows, and a task
+    has a block for each batch of its rows.  A task whose fold has no rows has one empty block; an empty table gives an error row a task."""
     spark = df.sparkSession
-    path = f"{_shared_root(spark)}/rankwright/fan-out-{uuid.uuid4().hex}"
-    df.select("id", "y", "fold", "features").write.parquet(path)
-    df = spark.read.parquet(path)
-    sample = np.array([df.first().features], float)
+    df = written(df.select("id", "y", "fold", "features"), "fan-out")
+    first = df.first()
+    sample = np.array([first.features if first else []], float)
     folds = {r.fold for r in df.select("fold").distinct().collect()}
     jobs, rest = [], []
     for r in tasks.orderBy("task_id", "fold").collect():
@@ -540,35 +542,5 @@ def _evaluate_spread(df: DataFrame, tasks: DataFrame, *, trees: int, depth: int)
     return df.mapInPandas(run, _BLOCKS).unionByName(spark.createDataFrame(rest, _BLOCKS))
 
 
-def evaluate_tasks(df: DataFrame, tasks: DataFrame, *, trees: int = 30, depth: int = 4, rows_at_once: int = 200_000) -> DataFrame:
-    """Fan-out of many small fits: each task (task_id, fold, places) is fitted on the rows of the other folds and scores
-    its own; a fit that fails becomes a row with its error.
-
-    A table of up to ``rows_at_once`` rows is broadcast, and a task is one Python task and one row.  A larger one
-    stays where it is: the trees of all tasks are grown level by level from counts over all rows, and a task has
-    a row for each batch of its rows."""
-    if df.select("id").limit(rows_at_once + 1).count() > rows_at_once:
-        return _evaluate_spread(df, tasks, trees=trees, depth=depth)
-    rows = df.select("id", "y", "fold", "features").orderBy("id").collect()
-    data = (np.array([r.id for r in rows]), np.array([r.y for r in rows], float), np.array([r.fold for r in rows]), np.array([r.features for r in rows], float))
-    shared = df.sparkSession.sparkContext.broadcast(data)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, y, fold, x = shared.value
-        out = []
-        for t in group.itertuples():
-            try:
-                own, rest = fold == t.fold, fold != t.fold
-                places = list(t.places)
-                grown = grow_extra_trees(x[rest][:, places], y[rest], trees=trees, depth=depth, leaf=8, seed=int(t.task_id))
-                scores = tree_scores(grown, x[own][:, places])
-                out.append((t.task_id, t.fold, [{"sample_index": int(i), "y_true": int(v), "score": float(s)} for i, v, s in zip(ids[own], y[own], scores)], "ok", None))
-            except Exception as e:
-                out.append((t.task_id, t.fold, [], "error", f"{type(e).__name__}: {e}"))
-        return pd.DataFrame(out, columns=["task_id", "fold", "block", "status", "error"])
-
-    return tasks.groupBy("task_id").applyInPandas(run, _BLOCKS)
-
-
 def class_weight_of(df: DataFrame) -> float:
     return class_weight(df).first().scale_pos_weight
