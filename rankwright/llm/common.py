@@ -2,40 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import broadcast_if_small, shared_folder, shared_root, written  # noqa: F401
+
 #: White space of all contracts here: space, tab, line feed, vertical tab, form feed, return.
 SPACES = r"[\x20\x09-\x0D]+"
-#: A side is broadcast only when it is known to hold at most this many bytes.
-BROADCAST_BYTES = 8 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark, "_rankwright_shared", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="rankwright-")
-            spark._rankwright_shared = root
-    return root.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/rankwright/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with more than this share of the rows is hot; there are fewer than HOT_KEYS of them, whatever the table.
+HOT_KEYS = 10_000
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
@@ -49,9 +26,32 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row")
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only for a counted side whose bytes stay under BROADCAST_BYTES."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+def hot_and_rest(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``side`` (one a key) whose ``weight`` is over total / HOT_KEYS, to be broadcast, and the others.
+
+    Weights add up to ``total`` at most, so that fewer than HOT_KEYS rows are broadcast; no key among the others
+    holds enough rows to make one task long.
+    """
+    hot = F.col(weight) * HOT_KEYS > F.lit(total).cast("long")
+    return F.broadcast(side.where(hot)), side.where(~hot)
+
+
+def join_on_counted(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (one row a key, with the number of its rows in ``weight``): the rows of hot
+    keys stay where they are.  Every key of ``rows`` that ``side`` lacks goes."""
+    hot, rest = hot_and_rest(side, weight, total)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def semi_join_on_counted(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, *, key_bytes: int) -> DataFrame:
+    """The ``rows`` whose key is in ``side`` (one row a key, written): no row is moved if the keys are counted to be few,
+    and those of hot keys never are."""
+    keys = side.select(key)
+    if (small := broadcast_if_small(keys, side.count(), key_bytes)) is not keys:
+        return rows.join(small, key, "left_semi")
+    hot, rest = (part.select(key) for part in hot_and_rest(side, weight, total))
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,18 +1,25 @@
 """Exact deduplication by a stateful stream.
 
-A stream of (digest, id, content locator) feeds an aggregation whose keyed state
-lies on disk in RocksDB and never expires; the state holds a digest, the
-smallest id, the locator of that text and the number of texts.  Spark adds up
-within a task before it shuffles, so a text with very many copies costs a row a
-task.  Digests that were hit are then checked by their full bytes.
+A stream of (digest, part, id, content locator) feeds an aggregation whose keyed
+state lies on disk in RocksDB and never expires; the state holds, for each
+digest, the smallest id, the locator of that text and the number of texts.  A
+locator names a file and a row of it, from which the text is read again.  Before
+new documents enter the state, the digests that are hit, among themselves or in
+the state, are checked by the full bytes of their texts; texts that differ under
+one digest get parts of their own.  Spark adds up within a task before it
+shuffles, so a text with very many copies costs a row a task.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, require_columns, shared_folder, whole_row, written
+from .common import SPACES, broadcast_if_small, hot_and_rest, join_on_counted, require_columns, semi_join_on_counted, shared_folder, whole_row, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM = {
@@ -23,6 +30,8 @@ _STREAM = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
+_KEYS = "digest string, part string, doc_id long, file string, row long"
+_FIRST = "struct<no_id: boolean, doc_id: long, file: string, row: long>"
 
 
 def normalised(text):
@@ -31,24 +40,53 @@ def normalised(text):
 
 
 class DedupState:
-    """The stream's state in a shared folder; ``absorb`` may be called again with later documents."""
+    """The stream's state in a shared folder; ``absorb`` may be called again with later documents.
+
+    Locators point into the tables that were given, as long as they are plain Parquet tables, which then have to
+    stay as they are, else into copies of the texts in ``folder``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, text_col: str = "text"):
+        self.spark, self.folder, self.text_col, self.used = spark, folder or shared_folder(spark, "dedup"), text_col, False
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or shared_folder(spark, "dedup")
+    def located(self, docs: DataFrame, id_col: str) -> DataFrame:
+        """doc_id, norm, file, row of every row: the normalised text and where it stands."""
+        where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        pick = lambda df, i, t: df.select(df[f"`{i}`"].cast("long").alias("doc_id"), normalised(df[f"`{t}`"]).alias("norm"), *where)
+        try:
+            if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+                found = pick(docs, id_col, self.text_col)
+                found.schema  # noqa: B018  the plan is analysed here
+                return found
+        except AnalysisException:
+            pass  # not Parquet: rows have no numbers
+        path = f"{shared_folder(self.spark, 'dedup-content')}"
+        docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{self.text_col}`"].cast("string").alias(self.text_col)).write.parquet(path)
+        return pick(self.spark.read.parquet(path), "doc_id", self.text_col)
+
+    def texts_at(self, locators: DataFrame) -> DataFrame:
+        """``locators`` (file, row, ...) with norm, the text that stands there; only files that are named are read."""
+        # No more names than Spark's own list of the files that the state was fed from.
+        names = sorted(r.file for r in locators.select("file").distinct().collect())
+        paths = [re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(n)) for n in names]
+        content = self.spark.read.schema(f"`{self.text_col}` string")
+        content = content.parquet(*paths) if paths else self.spark.createDataFrame([], f"`{self.text_col}` string, _metadata struct<file_path: string, row_index: long>")
+        read = content.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(f"`{self.text_col}`")).alias("norm"))
+        return locators.join(read, ["file", "row"])
 
     def absorb(self, keys: DataFrame, files_per_batch: int | None = None) -> None:
-        """Run the stream over ``keys`` (digest, doc_id, locator) until all of it is in the state."""
+        """Run the stream over ``keys`` (digest, part, doc_id, file, row) until all of it is in the state."""
         spark, inbox, out = self.spark, f"{self.folder}/inbox", f"{self.folder}/changes"
-        keys.select("digest", "doc_id", "locator").write.mode("append").parquet(inbox)
+        keys.select("digest", "part", "doc_id", "file", "row").write.mode("append").parquet(inbox)
         # An id that is null stands behind all others.
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator"))
-        source = spark.readStream.schema("digest string, doc_id long, locator string")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row"))
+        source = spark.readStream.schema(_KEYS)
         if files_per_batch:
             source = source.option("maxFilesPerTrigger", files_per_batch)
-        state = source.parquet(inbox).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n"))
+        state = source.parquet(inbox).groupBy("digest", "part").agg(first.alias("first"), F.count("*").alias("n"))
 
         def save(changed: DataFrame, batch: int) -> None:
-            changed.select("digest", "first", "n").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+            changed.select("digest", "part", "first", "n").write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
         before = {k: spark.conf.get(k, None) for k in _STREAM}
         try:
@@ -62,14 +100,46 @@ class DedupState:
                     spark.conf.unset(k)
                 else:
                     spark.conf.set(k, v)
+        self.used = True
 
     def groups(self) -> DataFrame:
-        """digest, keep_id, locator, group_size as of now."""
-        schema = "digest string, first struct<no_id: boolean, doc_id: long, locator: string>, n long, batch int"
-        changes = self.spark.read.schema(schema).parquet(f"{self.folder}/changes")
-        # A batch holds a digest once; of several batches the last one has the whole count.
-        last = changes.groupBy("digest").agg(F.max(F.struct("batch", "n", "first")).alias("s"))
-        return last.select("digest", F.col("s.first.doc_id").alias("keep_id"), F.col("s.first.locator").alias("locator"), F.col("s.n").alias("group_size"))
+        """digest, part, keep_id, file, row, group_size as of now."""
+        if not self.used:
+            return self.spark.createDataFrame([], "digest string, part string, keep_id long, file string, row long, group_size long")
+        changes = self.spark.read.schema(f"digest string, part string, first {_FIRST}, n long, batch int").parquet(f"{self.folder}/changes")
+        # A batch holds a key once; of several batches the last one has the whole count.
+        last = changes.groupBy("digest", "part").agg(F.max(F.struct("batch", "n", "first")).alias("s"))
+        return last.select("digest", "part", F.col("s.first.doc_id").alias("keep_id"), F.col("s.first.file").alias("file"), F.col("s.first.row").alias("row"), F.col("s.n").alias("group_size"))
+
+
+def _with_parts(texts: DataFrame, keys: DataFrame, state: DedupState) -> DataFrame:
+    """``keys`` with part, by which texts that differ under one digest are told apart.
+
+    Every digest that is hit is checked by full bytes: the distinct texts under it, of these documents and of the
+    state's, must be one.  Tasks leave out what they have seen, so of many copies a text a task is moved.
+    """
+    counted = keys.groupBy("digest").agg(F.count("*").alias("n"))
+    hits, earlier = counted.where("n > 1"), None
+    if state.used:
+        found = state.groups().join(counted.select("digest"), "digest", "left_semi").select("digest", "part", "file", "row")
+        earlier = written(state.texts_at(written(found, "dedup-locators")).select("digest", "part", "norm"), "dedup-earlier")
+        known = earlier.select("digest").distinct().withColumn("known", F.lit(True))
+        hits = counted.join(known, "digest", "left").where("n > 1 OR known").select("digest", "n")
+    seen = semi_join_on_counted(texts.select("digest", "norm"), written(hits, "dedup-hits"), "digest", "n", keys.count(), key_bytes=96)
+    seen = (seen if earlier is None else seen.union(earlier.select("digest", "norm"))).distinct()
+    collided = written(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "dedup-collided")
+    plain = keys.withColumn("part", F.lit(""))
+    if collided.isEmpty():
+        return plain
+    # A text's part is that of the state if it is there, else the place of its first row: no two texts have that.
+    odd = texts.join(collided, "digest", "left_semi")
+    own = odd.groupBy("digest", "norm").agg(F.min(F.struct("file", "row")).alias("at")).select("digest", "norm", F.concat_ws("#", "at.file", "at.row").alias("own"))
+    if earlier is None:
+        named = own.withColumnRenamed("own", "part")
+    else:
+        named = own.join(earlier, ["digest", "norm"], "left").select("digest", "norm", F.coalesce("part", "own").alias("part"))
+    apart = odd.join(named, ["digest", "norm"]).select(*keys.columns, "part")
+    return written(plain.join(collided, "digest", "left_anti").unionByName(apart), "dedup-parts")
 
 
 def exact_groups(
@@ -77,47 +147,56 @@ def exact_groups(
 ) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when they are after normalisation; the smallest id of equal texts stays.  Null text
-    counts as empty, null ids stand behind all others, rows that repeat both id and text are the same
-    document and all say ``kept``; an empty table gives an empty result.  Other columns are ignored.
-    ``digest_digits`` below 64 makes the digest collide, which the check by full bytes then repairs.
+    Texts are equal when they are after normalisation; the smallest id of equal texts stays.  With a ``state`` that
+    has seen documents before, those count as well.  Null text counts as empty, null ids stand behind all others,
+    rows that repeat both id and text are the same document and all say ``kept``; an empty table gives an empty
+    result.  Other columns are ignored.  ``digest_digits`` below 64 makes digests collide, which the check by full
+    bytes then tells apart; one state wants the same number always.
     """
     require_columns(docs, [id_col, text_col])
-    spark = docs.sparkSession
-    state = state or DedupState(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.input_file_name().alias("locator"))
-    texts = texts.withColumn("text_sha256", F.sha2("norm", 256))
+    state = state or DedupState(docs.sparkSession, text_col=text_col)
+    if state.text_col != text_col:
+        raise ValueError(f"the state's texts are in {state.text_col}")
+    texts = state.located(docs, id_col).withColumn("text_sha256", F.sha2("norm", 256))
     texts = texts.withColumn("digest", F.substring("text_sha256", 1, digest_digits))
-    keys = written(texts.select("digest", "doc_id", "locator", "text_sha256"), "dedup-keys")
+    keys = written(texts.select("digest", "doc_id", "file", "row", "text_sha256"), "dedup-keys")
+    keys = _with_parts(texts, keys, state)
     state.absorb(keys, files_per_batch)
-    groups = written(state.groups(), "dedup-groups")
-
-    # Full bytes: of every digest that was hit, the least and the greatest text must be one.  Tasks
-    # compare within themselves first, so of many copies one text a task is moved.
-    hits = groups.where("group_size > 1").select("digest")
-    hits = broadcast_if_small(hits, hits.count(), 96)
-    compared = texts.select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
-    collided = written(compared.where("a <> b").select("digest"), "dedup-collided")
-    rows = keys.join(groups, "digest", "left").select("digest", "doc_id", "keep_id", "group_size", "text_sha256")
-    if not collided.isEmpty():
-        odd = texts.join(collided, "digest", "left_semi")
-        own = odd.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        repaired = odd.join(own, ["digest", "norm"]).select("digest", "doc_id", "keep_id", "group_size", "text_sha256")
-        rows = rows.join(collided, "digest", "left_anti").unionByName(repaired)
+    groups = written(state.groups().select("digest", "part", "keep_id", "group_size"), "dedup-groups")
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first().n
+    rows = join_on_counted(keys.select("digest", "part", "doc_id", "text_sha256"), groups, ["digest", "part"], "group_size", total)
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def drop_marked(docs: DataFrame, judged: DataFrame, doc_id, sha) -> DataFrame:
+    """``docs`` without the rows that ``judged`` (doc_id, sha, stays, n) turns down, and once each of the others.
+
+    A row is known by its id, which may be null, and the digest ``sha`` of its text; ``n`` counts the rows of that key.
+    The few keys with very many rows are broadcast, the rest as well if they are counted to be few; else whole rows
+    are moved.
+    """
+    key = lambda i, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), s.cast("string"))
+    judged = judged.groupBy(key(F.col("doc_id"), F.col("sha")).alias("_key"), "stays").agg(F.sum("n").alias("_n"))
+    judged = written(judged.where("NOT stays OR _n > 1"), "judged")
+    size = judged.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if("stays").alias("again"), F.count_if(~F.col("stays")).alias("gone")).first()
+    rows = docs.select(whole_row(docs), key(doc_id, sha).alias("_key"))
+    gone, again = ([f.select("_key") for f in hot_and_rest(judged.where(c), "_n", size.rows)] for c in ("NOT stays", "stays"))
+    gone[1], again[1] = broadcast_if_small(gone[1], size.gone, 120), broadcast_if_small(again[1], size.again, 120)
+    gone[0], again[0] = F.broadcast(gone[0]), F.broadcast(again[0])
+    for part in gone:
+        rows = rows.join(part, "_key", "left_anti")
+    if not size.again:
+        return rows.select("_row.*")
+    once = rows
+    for part in again:
+        once = once.join(part, "_key", "left_anti")
+    for part in again:
+        once = once.unionByName(rows.join(part, "_key", "left_semi").dropDuplicates(["_key"]).select(*once.columns))
+    return once.select("_row.*")
+
+
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without exact copies: of equal texts the row with the smallest id stays, and once."""
     groups = exact_groups(docs, id_col=id_col, text_col=text_col)
-    gone = groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    # Rows that repeat an id and its text name one document; there are few, and only these are compared.
-    again = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
-    again = again.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.select(whole_row(docs), F.sha2(normalised(F.col(text_col)), 256).alias("_sha"), F.col(id_col).cast("long").alias("_id"))
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_sha"] == b["_sha"])
-    left = marked.join(gone, same(marked, gone), "left_anti")
-    if again.isEmpty():
-        return left.select("_row.*")
-    once = left.join(again, same(left, again), "left_anti").unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["_id", "_sha"]))
-    return once.select("_row.*")
+    judged = groups.groupBy("doc_id", F.col("text_sha256").alias("sha"), F.col("kept").alias("stays")).agg(F.count("*").alias("n"))
+    return drop_marked(docs, judged, docs[f"`{id_col}`"].cast("long"), F.sha2(normalised(docs[f"`{text_col}`"]), 256))

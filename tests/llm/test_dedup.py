@@ -10,8 +10,11 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from rankwright.llm import exact_dedup, near_dedup
 
+from .conftest import SF
+
 
 def exact_brute(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
@@ -51,6 +54,40 @@ def test_state_outlives_a_batch_and_a_call(spark, documents):
     assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == {d: w[1:3] for d, w in want.items() if d % 2 == 0}
 
 
+def test_texts_of_an_earlier_call_are_compared_by_their_bytes(spark):
+    table = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    state = exact_dedup.DedupState(spark)
+    one = lambda rows: sorted(tuple(r)[:4] for r in exact_dedup.exact_groups(table(rows), digest_digits=0, state=state).collect())
+    assert one([(1, "a")]) == [(1, 1, 1, True)]
+    # Every digest is the same: only the bytes tell that the first is no copy of what the state holds, and the second is.
+    assert one([(11, "zz"), (12, "a")]) == [(11, 11, 1, True), (12, 1, 2, False)]
+    assert one([(0, "zz"), (13, "b"), (14, "b"), (15, "a  "), (16, "a ")]) == [(0, 0, 2, True), (13, 13, 2, True), (14, 13, 2, False), (15, 15, 2, True), (16, 15, 2, False)]
+    assert sorted(tuple(r) for r in state.groups().select("keep_id", "group_size").collect()) == [(0, 2), (1, 2), (13, 2), (15, 2)]
+
+
+def test_locators_lead_to_the_texts(spark, documents):
+    state = exact_dedup.DedupState(spark)
+    exact_dedup.exact_groups(documents, state=state)
+    found = state.texts_at(state.groups()).join(documents.selectExpr("doc_id AS keep_id", "text"), "keep_id").withColumn("want", exact_dedup.normalised(F.col("text")))
+    assert found.where("norm <> want").count() == 0 and found.count() == state.groups().count()
+    folder = re.escape(SF)
+    assert all(re.match(f"file:/+{folder.lstrip('/')}/documents.parquet", r.file) for r in state.groups().collect())
+    again = exact_dedup.exact_groups(documents, state=state).collect()
+    assert {r.group_size % 2 for r in again} == {0}
+
+
+def test_hot_keys_meet_without_a_shuffle_of_their_rows(spark, monkeypatch):
+    from rankwright.llm import common
+
+    monkeypatch.setattr("rankwright.functions.shared.BROADCAST_BYTES", 0)
+    rows = [(k, "hot text") for k in range(900)] + [(k, f"t{k % 60}") for k in range(900, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    assert shown(exact_dedup.exact_groups(docs)) == exact_brute(rows)
+    kept = [r.doc_id for r in exact_dedup.drop_exact_copies(docs.union(docs.where("doc_id < 500"))).collect()]
+    assert sorted(kept) == sorted(r[0] for r in exact_brute(rows) if r[3])
+
+
 def test_dropping_exact_copies(documents, odd_docs):
     want = {r[0] for r in exact_brute([(r.doc_id, r.text) for r in documents.collect()]) if r[3]}
     kept = exact_dedup.drop_exact_copies(documents.union(documents))
