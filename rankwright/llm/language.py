@@ -5,7 +5,8 @@ likelihood of the declared (markup) language, the likelihood of the address
 suffix, and the prior of the host.  Host priors are sums of text posteriors by
 host, smoothed towards those of the host's suffix, which are smoothed towards
 those of the whole table; all come from grouped aggregation, and a document is
-left out of its own host's prior.
+left out of its own host's prior.  Texts are scored once, into a written table
+that holds no text.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, require_columns, small_batches, whole_row, written
+from .common import broadcast_if_small, hot_and_rest, join_on_counted, require_columns, small_batches, whole_row, written
 
 #: Hash slots of the character trigrams.
 SLOTS = 1 << 15
@@ -68,16 +69,26 @@ def train(labelled: list[tuple[str, str]]) -> TextModel:
     return TextModel(languages, np.ascontiguousarray(np.stack(rows, 1)))
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = 2000) -> TextModel:
-    """Train on a bounded sample: the ``sample`` labelled rows with the least hash of the id.
+def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = 2000, languages: int = 100) -> TextModel:
+    """Train on a bounded sample of labelled rows: the ``languages`` most frequent labels of the whole table get the same
+    share of ``sample`` rows each, those with the least hash of the id.
 
-    The hashes are chosen first and alone, so that only the texts of the sample are moved.
+    Labels are counted over all rows, so that a rare language is learnt as well as a frequent one.  The hashes are
+    chosen first and alone, so that only the texts of the sample are moved.  A table without labels gives a model
+    that knows no language.
     """
     hashed = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.xxhash64(F.col(id_col)).alias("h"), F.lower(F.col(label_col)).alias("l"), F.col(text_col).alias("t")
     )
-    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h").alias("h")).first().h
-    rows = hashed.where(F.col("h") <= F.lit(last).cast("long")).orderBy("h", "l", "t").limit(sample).select("l", "t").collect()
+    known = [r.l for r in hashed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()]
+    if not known:
+        return train([])
+    share = max(1, sample // len(known))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    last = hashed.where(F.col("l").isin(known)).select("l", "h").withColumn("k", place).where(F.col("k") <= share).groupBy("l").agg(F.max("h").alias("last"))
+    near = hashed.join(F.broadcast(last), "l").where("h <= last").select("l", "h", "t")
+    # Rows that repeat an id have one hash: they are cut off here.
+    rows = near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("k") <= share).orderBy("l", "h", "t").collect()
     return train([(r.l, r.t) for r in rows])
 
 
@@ -111,6 +122,48 @@ class Evidence:
     least: float = 0.5
 
 
+def _host_key(host: Column, suffix: Column) -> Column:
+    """One string for each pair of host and suffix, null or not."""
+    size = lambda c: F.coalesce(F.char_length(c).cast("string"), F.lit("-"))
+    return F.concat(size(host), F.lit(":"), size(suffix), F.lit(":"), F.coalesce(host, F.lit("")), F.coalesce(suffix, F.lit("")))
+
+
+def _scored(docs: DataFrame, model: TextModel, *, row: Column, text: Column, declared: Column | None, host: Column | None, suffix: Column | None, weight: int) -> DataFrame:
+    """_row, _text (log-likelihoods), _post (text posteriors), _declared, _host, _suffix, _key of every row, written."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def likelihoods(texts):
+        found = shared.value
+        return texts.map(lambda t: found.log_likelihoods(t, weight))
+
+    none = F.lit(None).cast("string")
+    host, suffix = host if host is not None else none, suffix if suffix is not None else none
+    declared = F.lower(declared) if declared is not None else none
+    base = docs.select(row.alias("_row"), likelihoods(F.coalesce(text, F.lit(""))).alias("_text"), declared.alias("_declared"), host.alias("_host"), suffix.alias("_suffix"))
+    top = F.array_max("_text")
+    base = base.withColumn("_like", F.transform("_text", lambda x: F.exp(x - top)))
+    whole = F.aggregate("_like", F.lit(0.0), lambda a, x: a + x)
+    base = base.withColumn("_post", F.transform("_like", lambda x: x / whole)).withColumn("_key", _host_key(F.col("_host"), F.col("_suffix")))
+    return written(base.drop("_like"), "language-scores")
+
+
+def host_priors(base: DataFrame, names: int, evidence: Evidence) -> DataFrame:
+    """_key, _n, _sums, _by_suffix of every pair of host and suffix: the rows, their text posteriors added up, and the
+    suffix's shares, smoothed towards those of the whole table.  Every level is added up from the one below."""
+    sums = [F.sum(F.col("_post")[k]).alias(f"s{k}") for k in range(names)]
+    hosts = base.groupBy("_key", "_suffix").agg(F.count("*").alias("n"), *sums)
+    add = [F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(names)))]
+    suffixes = hosts.groupBy("_suffix").agg(*add)
+    total = suffixes.agg(*add).select(F.col("n").alias("gn"), *(F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias(f"g{k}") for k in range(names)))
+    share = lambda k: (F.col(f"g{k}") + 1.0) / (F.coalesce(F.col("gn"), F.lit(0)) + float(names))
+    smoothed = F.array(*((F.col(f"s{k}") + evidence.suffix_count * share(k)) / (F.col("n") + evidence.suffix_count) for k in range(names)))
+    suffixes = suffixes.join(F.broadcast(total)).select(F.col("_suffix").alias("_x"), smoothed.alias("_by_suffix"))
+    priors = hosts.join(suffixes, hosts["_suffix"].eqNullSafe(suffixes["_x"]))
+    return written(priors.select("_key", F.col("n").alias("_n"), F.array(*(f"s{k}" for k in range(names))).alias("_sums"), "_by_suffix"), "host-priors")
+
+
 def identified_rows(
     docs: DataFrame,
     model: TextModel,
@@ -126,68 +179,36 @@ def identified_rows(
     lang, posterior, text_lang, kept.
 
     ``lang`` is the language of greatest posterior (ties by name), or "und".  A row is rejected (not kept)
-    if that is "und" or the posterior is under ``evidence.least``.  Null text counts as empty and gives no
-    likelihood; a text without letters is "und" unless other evidence speaks; null declarations, suffixes
-    and hosts give no evidence; a declared language the model doesn't know gives none.  Repeated rows stay,
-    and an empty table gives an empty result.
+    if that is "und" or the posterior is under ``evidence.least``.  A declared language that the model doesn't know
+    speaks for "none of the model's languages", and where that wins it is the row's language.  Null text counts as
+    empty and gives no likelihood; a text without letters is "und" unless other evidence speaks; null declarations,
+    suffixes and hosts give no evidence.  A model that knows no language rejects nothing.  Repeated rows stay, and
+    an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     names = (*model.languages, UNKNOWN)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    weight = evidence.text_weight
+    base = _scored(docs, model, row=row, text=text, declared=declared, host=host, suffix=suffix, weight=evidence.text_weight)
+    priors = host_priors(base, len(names), evidence)
+    # A row for each host: if they are known to be few, the documents need not be moved to meet them; else those of
+    # hosts with very many documents, no host among them, stay where they are.
+    size = priors.agg(F.coalesce(F.sum(F.octet_length("_key") + 64 + 16 * len(names)), F.lit(0)).alias("b"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
+    small = broadcast_if_small(priors, 1, size.b)
+    joined = base.join(small, "_key") if small is not priors else join_on_counted(base, priors, "_key", "_n", size.n)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def likelihoods(texts):
-        found = shared.value
-        return texts.map(lambda t: found.log_likelihoods(t, weight))
-
-    none = F.lit(None).cast("string")
-    base = docs.select(
-        row.alias("_row"),
-        likelihoods(F.coalesce(text, F.lit(""))).alias("_text"),
-        (F.lower(declared) if declared is not None else none).alias("_declared"),
-        (host if host is not None else none).alias("_host"),
-        (suffix if suffix is not None else none).alias("_suffix"),
-    )
-    top = F.array_max("_text")
-    base = base.withColumn("_like", F.transform("_text", lambda x: F.exp(x - top)))
-    whole = F.aggregate("_like", F.lit(0.0), lambda a, x: a + x)
-    base = base.withColumn("_post", F.transform("_like", lambda x: x / whole))
-
-    sums = [F.sum(F.col("_post")[k]).alias(f"s{k}") for k in range(len(names))]
-    # Every level is added up from the one below, so that the texts are scored once for all of them.
-    hosts = base.groupBy("_host", "_suffix").agg(F.count("*").alias("n"), *sums)
-    add = [F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(len(names))))]
-    suffixes = hosts.groupBy("_suffix").agg(*add)
-    total = suffixes.agg(*add)
-    g = [F.coalesce(F.col(f"g{k}"), F.lit(0.0)) for k in range(len(names))]
-    share = lambda k: (g[k] + 1.0) / (F.coalesce(F.col("gn"), F.lit(0)) + float(len(names)))
-    total = total.select(F.col("n").alias("gn"), *(F.col(f"s{k}").alias(f"g{k}") for k in range(len(names))))
-    suffixes = suffixes.join(F.broadcast(total)).select(
-        F.col("_suffix").alias("_x"),
-        F.array(*((F.col(f"s{k}") + evidence.suffix_count * share(k)) / (F.col("n") + evidence.suffix_count) for k in range(len(names)))).alias("_by_suffix"),
-    )
-    priors = (
-        hosts.join(suffixes, hosts["_suffix"].eqNullSafe(suffixes["_x"]))
-        .select(F.col("_host").alias("_h"), F.col("_suffix").alias("_s"), F.col("n").alias("_n"), F.array(*(f"s{k}" for k in range(len(names)))).alias("_sums"), "_by_suffix")
-    )
-    # A row for each host: if they are known to be few, the documents need not be moved to meet them.
-    priors = written(priors, "host-priors")
-    bytes_of = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
-    size = priors.agg(F.coalesce(F.sum(bytes_of("_h") + bytes_of("_s") + 64 + 16 * len(names)), F.lit(0)).alias("b")).first().b
-    priors = broadcast_if_small(priors, 1, size)
-    joined = base.join(priors, base["_host"].eqNullSafe(priors["_h"]) & base["_suffix"].eqNullSafe(priors["_s"]))
+    known = F.col("_declared").isin(*model.languages) if model.languages else F.lit(False)
+    foreign = F.col("_declared").isNotNull() & ~known
 
     def log_score(k: int) -> Column:
-        own = F.when(F.col("_host").isNotNull(), F.greatest(F.col("_sums")[k] - F.col("_post")[k], F.lit(0.0))).otherwise(0.0)
-        others = F.when(F.col("_host").isNotNull(), F.col("_n") - 1).otherwise(0)
+        hosted = F.col("_host").isNotNull()
+        own = F.when(hosted, F.greatest(F.col("_sums")[k] - F.col("_post")[k], F.lit(0.0))).otherwise(0.0)
+        others = F.when(hosted, F.col("_n") - 1).otherwise(0)
         score = F.col("_text")[k] + F.log((own + evidence.host_count * F.col("_by_suffix")[k]) / (others + evidence.host_count))
         for seen, right in (("_declared", evidence.declared_right), ("_spoken", evidence.suffix_right)):
-            wrong = (1 - right) / max(len(names) - 1, 1)
-            known = F.col(seen).isin(*model.languages) if model.languages else F.lit(False)
-            hit = F.when(F.col(seen) == names[k], F.lit(right)).otherwise(F.lit(1 / len(names) if names[k] == UNKNOWN else wrong))
-            score = score + F.when(known, F.log(hit)).otherwise(0.0)
-        return score
+            wrong = F.lit((1 - right) / max(len(names) - 1, 1))
+            speaks = F.col(seen).isin(*model.languages) if model.languages else F.lit(False)
+            blank = F.lit(1 / len(names)) if names[k] == UNKNOWN else wrong
+            score = score + F.when(speaks, F.log(F.when(F.col(seen) == names[k], F.lit(right)).otherwise(blank))).otherwise(0.0)
+        right = evidence.declared_right if names[k] == UNKNOWN else (1 - evidence.declared_right) / max(len(names) - 1, 1)
+        return score + F.when(foreign, F.log(F.lit(right))).otherwise(0.0)
 
     spoken = F.create_map(*(F.lit(x) for kv in SUFFIX_LANGUAGES.items() for x in kv))[F.lower("_suffix")]
     joined = joined.withColumn("_spoken", spoken)
@@ -195,11 +216,12 @@ def identified_rows(
     best = F.array_max("_scores")
     joined = joined.withColumn("_sum", F.aggregate(F.transform("_scores", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x))
     named = F.array(*map(F.lit, names))
-    blind = F.lit(len(model.languages) == 0) | ((F.array_max("_text") == 0.0) & F.col("_declared").isNull() & F.col("_spoken").isNull() & F.col("_host").isNull())
-    lang = F.when(blind, F.lit(UNKNOWN)).otherwise(named[F.array_position("_scores", best).cast("int") - 1])
+    silent = (F.array_max("_text") == 0.0) & F.col("_declared").isNull() & F.col("_spoken").isNull() & F.col("_host").isNull()
+    likeliest = named[F.array_position("_scores", best).cast("int") - 1]
+    lang = F.when(silent, F.lit(UNKNOWN)).when(foreign & (likeliest == UNKNOWN), F.col("_declared")).otherwise(likeliest)
     text_lang = F.when(F.array_max("_text") == 0.0, F.lit(UNKNOWN)).otherwise(named[F.array_position("_text", F.array_max("_text")).cast("int") - 1])
     posterior = F.round(1.0 / F.col("_sum"), 6)
-    kept = (lang != UNKNOWN) & (posterior >= evidence.least)
+    kept = (lang != UNKNOWN) & (posterior >= evidence.least) | F.lit(not model.languages)
     result = F.struct(lang.alias("lang"), posterior.alias("posterior"), text_lang.alias("text_lang"), kept.alias("kept"))
     return joined.select("_row", result.alias("language"))
 
@@ -236,5 +258,17 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language is known, with their own columns."""
-    return _documents(docs, whole_row(docs), None, Evidence()).where("language.kept").select("_row.*")
+    """Documents whose language is known, with their own columns; the others go.
+
+    The verdict hangs on text, declared language and host alone, by whose digest the rejected rows are known: only
+    digests of rejected rows meet the documents, broadcast if they are counted to be few.
+    """
+    require_columns(docs, ["doc_id", "text", "lang", "source"])
+    part = lambda c: F.coalesce(F.concat(F.char_length(docs[c]).cast("string"), F.lit(":"), docs[c]), F.lit("-"))
+    key = F.unhex(F.sha2(F.concat(part("lang"), part("source"), part("text")), 256))
+    judged = _documents(docs, F.struct(key.alias("key")), None, Evidence()).where("NOT language.kept")
+    gone = written(judged.select(F.col("_row.key").alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")), "language-gone")
+    size = gone.agg(F.count("*").alias("keys"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
+    hot, rest = (p.select("_key") for p in hot_and_rest(gone, "_n", size.rows))
+    rows = docs.select(whole_row(docs), key.alias("_key"))
+    return rows.join(F.broadcast(hot), "_key", "left_anti").join(broadcast_if_small(rest, size.keys, 48), "_key", "left_anti").select("_row.*")
