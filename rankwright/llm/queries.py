@@ -76,7 +76,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), m AS
 u AS (SELECT doc_id, source, kind, name, least, generate_subscripts(f, 1) AS nth, unnest(f) AS f, unnest(v) AS v, unnest(g[1:len(f)]) AS g FROM m WHERE len(f) > 0),
 p AS (SELECT *, CAST(sum(length(g) + length(f)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS BIGINT) AS e FROM u),
 s AS (SELECT *, e - length(f) AS b FROM p WHERE length(v) >= least),
-o AS (SELECT v, count(DISTINCT source) AS owners FROM s GROUP BY v),
+o AS (SELECT v, least(count(DISTINCT source), count(DISTINCT doc_id)) AS owners FROM s GROUP BY v),
 x AS (SELECT s.*, owners >= {secrets.EXAMPLE_OWNERS} AS example, name || ':' || b || ':' || e AS item FROM s JOIN o ON s.v = o.v),
 r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   string_agg(item, ',' ORDER BY b, kind) FILTER (WHERE kind < {base}) AS base, string_agg(item, ',' ORDER BY b, kind) FILTER (WHERE kind < {base} OR NOT example) AS spans,

@@ -3,18 +3,21 @@
 A kind's matches come from one regular expression, and so do the pieces between
 them; lengths of pieces and matches, summed up in order, are the places of the
 matches.  Every found value is then counted over the corpus by distinct
-repositories and distinct owners: a value that many owners have is an example
-that was copied around, one that only one or two have may be a live credential.
+repositories and distinct owners: a value that many owners have, in as many
+repositories, is an example that was copied around; one that only one or two
+have, or that one repository has under several owners, may be a live credential.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require_columns, whole_row, written
+from .common import hot_and_rest, join_on_counted, require_columns, whole_row, written
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Header, body and END line are one match.  The END line is sought over at most 8 lone hyphens (headers of encrypted
@@ -25,36 +28,40 @@ _PEM = rf"""-----BEGIN [A-Z ]*PRIVATE KEY-----([^-]*(?:-[^-]+){{0,8}}-----END [A
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern, the group that holds the value, and the least length of the value."""
+    """A pattern, the group that holds the value, the least length of the value, and strings of which every match
+    holds one (``folded``: in either case), by which most texts are passed over without the pattern."""
 
     name: str
     pattern: str
     group: int
     least: int
     base: bool = True
+    holds: tuple[str, ...] = ()
+    folded: bool = False
+
+    def found_in(self, text: Column) -> Column:
+        seen = F.lower(text) if self.folded else text
+        pattern = text.rlike(self.pattern)
+        return reduce(or_, (seen.contains(x) for x in self.holds)) & pattern if self.holds else pattern
 
 
 #: The base kinds in their order, then those that the ownership count adds.  A maximal run of the access
 #: and hex alphabets that is too short holds no longer match, so the least length may stand in the pattern.
 KINDS = (
-    Kind("assign", _ASSIGN, 2, 12),
-    Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
+    Kind("assign", _ASSIGN, 2, 12, holds=("password", "passwd", "secret", "token", "apikey", "api_key"), folded=True),
+    Kind("access", r"AKIA[A-Z0-9]{14,}", 0, 18, holds=("AKIA",)),
     Kind("hex", r"[0-9a-f]{16,}", 0, 16),
-    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
-    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, False),
-    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, False),
-    Kind("pem", _PEM, 1, 40, False),
+    Kind("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False, holds=("_",)),
+    Kind("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15, False, holds=("xox",)),
+    Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, False, holds=("eyJ",)),
+    Kind("pem", _PEM, 1, 40, False, holds=("-----BEGIN",)),
 )
 BASE = tuple(k for k in KINDS if k.base)
-#: A value held by this many owners or more is a copied example.
+#: A value held by this many owners or more, in this many repositories or more, is a copied example.
 EXAMPLE_OWNERS = 3
 PLACEHOLDER = "[SECRET]"
 
 
-def _any(kinds: tuple[Kind, ...]) -> str:
-    return "|".join(f"(?:{k.pattern})" for k in kinds)
-
-
 def _matches(text: Column, order: int, kind: Kind) -> Column:
     """array<struct<kind, nth, gap, len, value>>: gap is the length of the piece before the match."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -64,7 +71,7 @@ def _matches(text: Column, order: int, kind: Kind) -> Column:
     zipped = F.slice(F.arrays_zip(found.alias("f"), values.alias("v"), gaps.alias("g")), 1, F.size(found))
     one = lambda x, i: F.struct(F.lit(order).alias("kind"), i.alias("nth"), x["g"].alias("gap"), F.char_length(x["f"]).alias("len"), x["v"].alias("value"))
     rows = F.transform(zipped, one)
-    return F.when(text.rlike(kind.pattern), rows).otherwise(F.array().cast("array<struct<kind:int,nth:int,gap:int,len:int,value:string>>"))
+    return F.when(kind.found_in(text), rows).otherwise(F.array().cast("array<struct<kind:int,nth:int,gap:int,len:int,value:string>>"))
 
 
 def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str | None = None) -> DataFrame:
@@ -92,24 +99,35 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_sha256, n_repos, n_owners: distinct by grouping twice, each time within tasks first."""
-    per_owner = found.where("value_sha256 IS NOT NULL").select("value_sha256", "owner", "repo").distinct().groupBy("value_sha256", "owner").agg(F.count("repo").alias("repos"))
-    return per_owner.groupBy("value_sha256").agg(F.sum("repos").alias("n_repos"), F.count("owner").alias("n_owners"))
+    """value_sha256, n_repos, n_owners (distinct ones that aren't null) and n_spans of every value, grouped within tasks first."""
+    per = found.where("value_sha256 IS NOT NULL").groupBy("value_sha256", "owner", "repo").agg(F.count("*").alias("n"))
+    both = F.array(F.struct(F.lit(True).alias("is_owner"), F.col("owner").alias("name"), F.col("n")), F.struct(F.lit(False).alias("is_owner"), F.col("repo").alias("name"), F.lit(0).cast("long").alias("n")))
+    names = per.select("value_sha256", F.explode(both).alias("x")).select("value_sha256", "x.*").groupBy("value_sha256", "is_owner", "name").agg(F.sum("n").alias("n"))
+    known = F.col("name").isNotNull()
+    return names.groupBy("value_sha256").agg(
+        F.count_if(known & ~F.col("is_owner")).alias("n_repos"), F.count_if(known & F.col("is_owner")).alias("n_owners"), F.sum("n").alias("n_spans")
+    )
+
+
+def is_example(owners: int = EXAMPLE_OWNERS) -> Column:
+    return F.least("n_owners", "n_repos") >= owners
 
 
 def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
 
     The document stands for the repository.  All base spans stay; of the added kinds those are left out
-    whose value ``example_owners`` owners or more have.  ``n_live`` counts spans of values that fewer have,
-    ``n_examples`` the others.  Null text counts as empty; a null owner is no owner, and a value without an
-    owner counts as live; null and repeated ids stay; an empty table gives an empty result.
+    whose value ``example_owners`` owners or more have, in as many documents.  ``n_live`` counts spans of values that
+    fewer have, ``n_examples`` the others.  Null text counts as empty; a null owner is no owner and a null id no
+    repository, and a value without an owner counts as live; null and repeated ids stay; an empty table gives an
+    empty result.  Other columns are ignored.
     """
     found = written(spans(docs, id_col=id_col, text_col=text_col, owner_col=owner_col), "secret-spans")
     # Rows without a match don't meet the join, where all their nulls would make one key.
-    held = found.where("value_sha256 IS NOT NULL").join(ownership(found), "value_sha256")
-    joined = held.unionByName(found.where("value_sha256 IS NULL"), allowMissingColumns=True)
-    example = F.coalesce(F.col("n_owners") >= example_owners, F.lit(False))
+    some = found.where("value_sha256 IS NOT NULL")
+    owned = written(ownership(found), "secret-owners")
+    joined = join_on_counted(some, owned, "value_sha256", "n_spans", some.count()).unionByName(found.where("value_sha256 IS NULL"), allowMissingColumns=True)
+    example = F.coalesce(is_example(example_owners), F.lit(False))
     named = F.concat_ws(":", F.element_at(F.array(*(F.lit(k.name) for k in KINDS)), F.col("kind") + 1), F.col("start"), F.col("end"))
     item = F.struct(F.col("start").cast("long").alias("s"), F.col("kind").alias("k"), named.alias("t"))
     is_base = F.col("kind") < len(BASE)
@@ -128,20 +146,23 @@ def secret_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", chars_col: str | None = "n_chars", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """``docs`` with every live-looking value replaced by PLACEHOLDER; widely copied examples stay.
 
-    The kinds are sought apart, as in the report, and live values that overlap are replaced as one.  Rows
-    without a match are passed on as they are; ``chars_col``, if the table has it, is set anew where the
-    text changes.
+    The kinds are sought apart, as in the report, and live values that overlap are replaced as one; of a private key
+    all from its header to its END line goes, or what is there of its body.  Owners are counted in the table that is
+    given: after deduplication a text that ten owners had counts for the one that kept it.  Rows without a match, null
+    texts among them, are passed on as they are; ``chars_col``, if the table has it, is set anew where the text
+    changes; null and repeated ids stay; an empty table gives an empty result; other columns stay.
     """
     require_columns(docs, [id_col, text_col, owner_col])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hit = text.rlike(_any(KINDS))
+    hit = reduce(or_, (kind.found_in(text) for kind in sorted(KINDS, key=lambda k: not k.holds)))
     # Written, so that the numbers of the few rows with a match hold in what follows.
     own = F.col(id_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), text.alias("_text")
     flagged = written(docs.where(hit).select(F.monotonically_increasing_id().alias("_n"), *own, whole_row(docs)), "secret-rows")
     found = spans(flagged, id_col="_n", text_col="_text", repo_col="_repo", owner_col="_owner")
     found = written(found.where("kind IS NOT NULL").select(F.col("doc_id").alias("_n"), "repo", "owner", "cut", "end", "value_sha256"), "secret-values")
-    examples = ownership(found).where(F.col("n_owners") >= example_owners).select("value_sha256")
-    live = found.join(examples, "value_sha256", "left_anti").select("_n", "cut", "end")
+    examples = written(ownership(found).where(is_example(example_owners)), "secret-examples")
+    hot, rest = (part.select("value_sha256") for part in hot_and_rest(examples, "n_spans", found.count()))
+    live = found.join(F.broadcast(hot), "value_sha256", "left_anti").join(rest, "value_sha256", "left_anti").select("_n", "cut", "end")
     in_row = Window.partitionBy("_n").orderBy("cut", "end")
     before = F.max("end").over(in_row.rowsBetween(Window.unboundedPreceding, -1))
     apart = live.withColumn("new", F.when(F.col("cut") < before, 0).otherwise(1)).withColumn("part", F.sum("new").over(in_row.rowsBetween(Window.unboundedPreceding, 0)))
