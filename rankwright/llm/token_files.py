@@ -3,7 +3,9 @@
 A shard is a sequence of zstandard frames and, at its end, the seek table of the
 public "zstd seekable format": a skippable frame with compressed size,
 decompressed size and the low 32 bits of XXH64 for every frame.  Any zstandard
-tool can read a shard; a reader of single documents seeks to their frames only.
+tool can read a shard.  A skippable frame before the seek table holds the first
+and the last id of every frame, so that a reader of single documents decompresses
+their frames and no others.
 
 A frame, decompressed, holds: u32 documents, u32 bytes of an id (2 or 4), then
 for the documents i64 ids, u8 null marks and u32 token counts, then the tokens.
@@ -13,7 +15,8 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ from .tokens import byte_level, pack
 
 #: Fixed values of the zstd seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
+#: The skippable frame of first and last ids (a magic number that zstandard leaves to users), and an entry of it:
+#: first id, last id, and whether each of them is null.
+IDS_MAGIC, IDS = 0x184D2A53, struct.Struct("<qqBB")
 FRAME_BYTES = 1 << 20
 MANIFEST = (
     "shard int, file string, frame int, position long, packed_bytes long, raw_bytes long, checksum long, "
@@ -37,12 +43,13 @@ MANIFEST = (
 
 
 class FrameWriter:
-    """Gathers documents into frames of about FRAME_BYTES and writes them to an open stream."""
+    """Gathers documents into frames of about ``frame_bytes`` and writes them to an open stream."""
 
     def __init__(self, stream, id_bytes: int, level: int = 1, frame_bytes: int = FRAME_BYTES):
         self.stream, self.id_bytes, self.frame_bytes = stream, id_bytes, frame_bytes
         self.packer = zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int, int, int, int]] = []
+        self.ends: list[bytes] = []
         self.position = 0
         self._clear()
 
@@ -53,7 +60,10 @@ class FrameWriter:
         """tokens: little-endian unsigned 32-bit ids."""
         count = len(tokens) // 4
         if self.id_bytes == 2:
-            tokens = np.frombuffer(tokens, "<u4").astype("<u2").tobytes()
+            wide = np.frombuffer(tokens, "<u4")
+            if count and wide.max() > 0xFFFF:
+                raise ValueError(f"id {wide.max()} doesn't fit into two bytes")
+            tokens = wide.astype("<u2").tobytes()
         self.ids.append(doc_id or 0)
         self.nulls.append(doc_id is None)
         self.counts.append(count)
@@ -78,11 +88,14 @@ class FrameWriter:
         self.stream.write(packed)
         check = xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
         self.frames.append((self.position, len(packed), len(raw), check, len(self.ids), sum(self.counts)))
+        self.ends.append(IDS.pack(self.ids[0], self.ids[-1], self.nulls[0], self.nulls[-1]))
         self.position += len(packed)
         self._clear()
 
     def close(self) -> None:
         self.flush()
+        ends = b"".join(self.ends)
+        self.stream.write(struct.pack("<II", IDS_MAGIC, len(ends)) + ends)
         entries = b"".join(struct.pack("<III", f[1], f[2], f[3]) for f in self.frames)
         footer = struct.pack("<IBI", len(self.frames), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.stream.write(struct.pack("<II", SKIPPABLE_MAGIC, len(entries) + len(footer)) + entries + footer)
@@ -122,40 +135,49 @@ def read_frame(stream, position: int, packed: int, raw: int, check: int) -> Iter
         yield (None if null else doc), tokens.astype("<u4").tobytes()
 
 
-def read_documents(file: str, wanted: set[int]) -> dict[int, bytes]:
-    """Tokens of the wanted documents of one shard.  Ids rise through a shard, so the search halves the
-    frames and only those that can hold a wanted id are decompressed."""
+def _rank(doc_id: int | None) -> tuple[bool, int]:
+    """Order of ids in a shard: null first."""
+    return doc_id is not None, doc_id or 0
+
+
+def read_frame_ids(stream, frames: list[tuple[int, int, int, int]]) -> list[tuple[tuple, tuple]]:
+    """Rank of the first and of the last id of every frame, from the frame before the seek table."""
+    at = frames[-1][0] + frames[-1][1] if frames else 0
+    stream.seek(at)
+    magic, size = struct.unpack("<II", stream.read(8))
+    if magic != IDS_MAGIC or size != IDS.size * len(frames):
+        raise ValueError("no ids before the seek table")
+    return [(_rank(None if no_first else first), _rank(None if no_last else last)) for first, last, no_first, no_last in IDS.iter_unpack(stream.read(size))]
+
+
+def read_documents(file: str, wanted: Iterable[int | None]) -> dict[int | None, list[bytes]]:
+    """Tokens of every document of one shard whose id is wanted, in the shard's order; null may be asked for.
+
+    Ids rise through a shard, so the frames whose first and last ids enclose a wanted one are known beforehand;
+    each of them is decompressed once and no other is.  Ids that the shard lacks are left out.
+    """
     fs, path = pafs.FileSystem.from_uri(file)
-    found: dict[int, bytes] = {}
+    asked, found, needed = set(wanted), {}, set()
     with fs.open_input_file(path) as stream:
         frames = read_seek_table(stream)
-        first: dict[int, int] = {}
-
-        def first_id(k: int) -> int:
-            if k not in first:
-                doc, _ = next(read_frame(stream, *frames[k]))
-                first[k] = -(1 << 63) if doc is None else doc
-            return first[k]
-
-        for doc in sorted(wanted):
-            low, high = 0, len(frames)
-            while high - low > 1:
-                mid = (low + high) // 2
-                low, high = (mid, high) if first_id(mid) <= doc else (low, mid)
-            for got, tokens in read_frame(stream, *frames[low]) if frames else ():
-                if got == doc:
-                    found[doc] = tokens
-                    break
+        ends = read_frame_ids(stream, frames)
+        firsts, lasts = [e[0] for e in ends], [e[1] for e in ends]
+        for doc in asked:
+            needed.update(range(bisect_left(lasts, _rank(doc)), bisect_right(firsts, _rank(doc))))
+        for k in sorted(needed):
+            for doc, tokens in read_frame(stream, *frames[k]):
+                if doc in asked:
+                    found.setdefault(doc, []).append(tokens)
     return found
 
 
-def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, id_bytes: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, id_bytes: int = 2, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Encode ``docs`` with byte_bpe_50k.json into shards under ``folder`` in ascending id order; return the manifest.
 
     One row of the manifest stands for one frame.  Null ids come first, null text counts as empty, rows
     with equal ids all stay, other columns are ignored; an empty table gives an empty manifest.  A task
     that runs again writes a file of another name, and the manifest lists the files of the attempts that
-    Spark committed.  ``id_bytes`` 2 holds for vocabularies of up to 65,536 ids.
+    Spark committed.  ``id_bytes`` 2 holds for vocabularies of up to 65,536 ids; a larger id is an error.
     """
     require_columns(docs, [id_col, text_col])
     small_batches(docs.sparkSession)
@@ -176,7 +198,7 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
                     fs, path = pafs.FileSystem.from_uri(file)
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     stream = fs.open_output_stream(path, compression=None)
-                    writer = FrameWriter(stream, id_bytes)
+                    writer = FrameWriter(stream, id_bytes, frame_bytes=frame_bytes)
                 writer.add(doc, encode(text) + end)
         if writer is not None:
             writer.close()
