@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -30,11 +31,15 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label|itemprop|data-y)\s*=\s*(?
 LABEL = re.compile(r"data-y=\"([01])\"")
 WORD = re.compile(r"[a-z]+")
 
-#: What a browser never shows as text of the page, read over up to its end tag.
-SILENT = frozenset("script style template noscript head textarea select iframe object svg math canvas audio video".split())
+#: What a browser never shows as text of the page, read over up to its end tag; without one, those in RAW take all that
+#: follows, as in a browser, and the others nothing.
+SILENT = frozenset("script style template noscript head textarea select iframe canvas audio video".split())
+RAW = frozenset("script style noscript textarea iframe".split())
+#: What may stand in a head; anything else ends a head whose end tag is left out.
+HEAD = frozenset("html head title base link meta script style noscript template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label link mark meta output q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr button".split()
+    "small span strike strong sub sup time tt u var wbr button object svg math".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks whose start ends an open paragraph, as the HTML standard has it.
@@ -78,77 +83,116 @@ N_TAGS, N_TOKENS, N_PLAIN = len(TAG_GROUPS), len(TOKEN_GROUPS), 15
 N_FEATURES = N_PLAIN + 2 * (N_TAGS + N_TOKENS)
 
 
+class _Open:
+    """The open elements, innermost last, and where those of a name stand: every question is answered by a search in a
+    sorted list, however many are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+        self.links = 0
+
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.links += name == "a"
+        self.stack.append((name, node))
+
+    def pop_to(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            name, _ = self.stack.pop()
+            self.places[name].pop()
+            if name not in INLINE:
+                self.blocks.pop()
+            self.links -= name == "a"
+
+    def last(self, name: str) -> int:
+        """Place of the innermost element of that name, 0 if there is none but the root."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def end(self, name: str) -> None:
+        """An end tag closes the innermost element of its name; one of an inline element doesn't reach over blocks."""
+        place = self.last(name)
+        if place and (name not in INLINE or place > self.blocks[-1]):
+            self.pop_to(place)
+
+    def end_implied(self, name: str) -> None:
+        """Close what the start of a block closes by itself."""
+        if name in ENDS_P and (place := self.last("p")) and place == self.blocks[-1]:
+            self.pop_to(place)
+        if name in IMPLIED:
+            ended, stop = IMPLIED[name]
+            floor = max(self.last(x) for x in stop)
+            inside = (places[k] for x in ended if (places := self.places.get(x)) and (k := bisect_right(places, floor)) < len(places))
+            if lowest := min(inside, default=0):
+                self.pop_to(lowest)
+
+
 class Page:
     """Block elements of a page in document order, and its text runs with the node that holds each."""
 
-    __slots__ = ("parent", "tag", "tokens", "label", "runs", "breaks")
+    __slots__ = ("parent", "tag", "tokens", "label", "runs")
 
     def __init__(self, html: str):
         self.parent, self.tag, self.tokens, self.label = [-1], ["html"], [0], [1]
         self.runs: list[tuple[int, str, bool]] = []
-        stack: list[tuple[str, int]] = [("html", 0)]
-        links, at, n = 0, 0, len(html)
+        open_ = _Open()
+        at, n, in_head = 0, len(html), False
+        unclosed: set[str] = set()
         find = TOKEN.search
         while at < n:
             m = find(html, at)
+            start = n if m is None else m.start()
+            if start > at:
+                raw = html[at:start]
+                if not in_head or not raw.isspace():
+                    in_head = False
+                    self.runs.append((open_.node(), unescape(raw) if "&" in raw else raw, open_.links > 0))
             if m is None:
-                self._text(stack, html[at:], links)
                 break
-            if m.start() > at:
-                self._text(stack, html[at : m.start()], links)
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 continue
             name, ends, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+            if in_head:
+                if name == "title" and not ends:
+                    closing = re.compile(r"</title\b[^>]*>", re.I).search(html, at)
+                    at = closing.end() if closing else at
+                    continue
+                in_head = name in HEAD
+                if in_head and (ends or name not in SILENT):
+                    continue
             if ends:
-                links = self._end(stack, name, links)
+                open_.end(name)
             elif name in SILENT:
-                if not attributes.endswith("/") or name in ("script", "style"):
-                    closing = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                    if closing:
-                        at = closing.end()
-                    elif name == "head":  # its end tag may be left out: the body ends it
-                        body = re.compile(r"<body\b", re.I).search(html, at)
-                        at = body.start() if body else n
-                    else:
-                        at = n
+                if attributes.endswith("/") and name not in ("script", "style"):
+                    continue
+                closing = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                if closing:
+                    at = closing.end()
+                elif name in RAW:
+                    at = n
+                else:  # what holds for this place holds for all later ones
+                    unclosed.add(name)
+                    in_head = in_head or name == "head"
             elif name == "br":
-                self.runs.append((stack[-1][1], " ", False))
+                self.runs.append((open_.node(), " ", False))
             elif name in INLINE:
-                if name not in VOID:
-                    links += name == "a"
-                    stack.append((name, stack[-1][1]))
-            elif name not in ("html", "body") or not any(s[0] == name for s in stack):
-                links = self._start(stack, name, attributes, links)
-
-    def _text(self, stack, raw: str, links: int) -> None:
-        self.runs.append((stack[-1][1], unescape(raw) if "&" in raw else raw, links > 0))
-
-    def _pop_to(self, stack, depth: int, links: int) -> int:
-        while len(stack) > depth:
-            links -= stack.pop()[0] == "a"
-        return max(links, 0)
-
-    def _start(self, stack, name: str, attributes: str, links: int) -> int:
-        if name in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    links = self._pop_to(stack, k, links)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        if name in IMPLIED:
-            ended, stop = IMPLIED[name]
-            lowest = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ended:
-                    lowest = k
-                elif stack[k][0] in stop:
-                    break
-            if lowest is not None:
-                links = self._pop_to(stack, lowest, links)
-        tokens, label = 0, self.label[stack[-1][1]]
+                if name not in VOID and not attributes.endswith("/"):
+                    open_.push(name, open_.node())
+            elif name not in ("html", "body") or not open_.places.get(name):
+                self._start(open_, name, attributes)
+
+    def _start(self, open_: _Open, name: str, attributes: str) -> None:
+        open_.end_implied(name)
+        tokens, label = 0, self.label[open_.node()]
         if "=" in attributes:
             for value in ATTRIBUTE.findall(attributes):
                 for word in WORD.findall("".join(value).lower()):
@@ -158,21 +202,12 @@ class Page:
             marked = LABEL.search(attributes)
             if marked:
                 label = min(label, int(marked[1]))
-        self.parent.append(stack[-1][1])
+        self.parent.append(open_.node())
         self.tag.append(name)
         self.tokens.append(tokens)
         self.label.append(label)
         if name not in VOID:
-            stack.append((name, len(self.tag) - 1))
-        return links
-
-    def _end(self, stack, name: str, links: int) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == name:
-                return self._pop_to(stack, k, links)
-            if name in INLINE and stack[k][0] not in INLINE:
-                break
-        return links
+            open_.push(name, len(self.tag) - 1)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -461,7 +496,10 @@ def extract(html: str, trees: Trees) -> str:
 
 def extract_pages(pages: DataFrame, trees: Trees | None = None, *, html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row: null html counts as empty and gives an empty text, null ids
-    and urls stay, repeated rows stay, an empty table gives an empty result, other columns are ignored."""
+    and urls stay, repeated rows stay, an empty table gives an empty result, other columns are ignored.
+
+    White space is what Python's ``str.split`` takes for it: the Unicode property, with no-break spaces, and U+001C
+    to U+001F.  A page takes time in proportion to its length, however its elements are nested."""
     require_columns(pages, ["page_id", "url", html_col])
     spark = pages.sparkSession
     small_batches(spark)
