@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns, small_batches, whole_row, written
+from .common import join_on_counted, require_columns, small_batches, written
+from .exact_dedup import drop_marked
 
 BITS, SEED, SHINGLE = 64, 42, 4
 #: Variants that one task spells out at a time (8 bytes each, and as much again to sort).
@@ -168,27 +169,31 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): equal roots are connected.
 
     Rounds of contraction: each node goes to the neighbour, or itself, with the least of a hash that is
-    new in each round, until no link is left.  Minima are taken within tasks first.  Nothing but the
-    question whether links are left comes to the driver.
+    new in each round, until no link is left.  Minima are taken within tasks first, and the links of a node
+    that has very many of them, the hub of a star, stay where they are.  Nothing but counts comes to the driver.
     """
     maps: list[DataFrame] = []
     edges = written(links.select("a", "b"), "links")
-    while not edges.isEmpty():
+    while count := edges.count():
         seed = F.lit(len(maps))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, seed).alias("h"), F.col(c).alias("n"))
-        best = both.groupBy("a").agg(F.min(rank("b")).alias("r")).select(F.col("a").alias("node"), F.least("r", F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("n")))["n"].alias("root"))
-        step = written(best, "component-step")
-        maps.append(step)
-        to_a, to_b = step.toDF("a", "ra"), step.toDF("b", "rb")
-        moved = edges.join(to_a, "a").join(to_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = written(moved, "links")
+        best = both.groupBy("a").agg(F.min(rank("b")).alias("r"), F.count("*").alias("links"))
+        step = best.select(F.col("a").alias("node"), F.least("r", F.struct(F.xxhash64("a", seed).alias("h"), F.col("a").alias("n")))["n"].alias("root"), "links")
+        step = written(step, "component-step")
+        maps.append(step.select("node", "root"))
+        to_a, to_b = step.toDF("a", "ra", "links"), step.toDF("b", "rb", "links")
+        half = join_on_counted(edges, to_a, "a", "links", 2 * count).drop("links")
+        moved = join_on_counted(half, to_b, "b", "links", 2 * count).where("ra <> rb")
+        edges = written(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     if not maps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = maps[-1]
     for step in reversed(maps[:-1]):
-        after = roots.toDF("root", "last")
-        roots = step.join(after, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        # A root that gathered very many nodes is met by a broadcast; roots that went no further keep their nodes.
+        after = step.groupBy("root").agg(F.count("*").alias("n")).join(roots.toDF("root", "last"), "root", "left").select("root", F.coalesce("last", "root").alias("last"), "n")
+        met = join_on_counted(step, written(after, "component-after"), "root", "n", step.count())
+        roots = written(met.select("node", F.col("last").alias("root")), "component-roots")
     return roots
 
 
@@ -201,34 +206,28 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ignored, and an empty table gives an empty result.
     """
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    named = _first_of_components(marked, F.col("doc_id"), radius, range_variants).withColumnRenamed("first", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _with_first(marked, F.col("doc_id"), radius, range_variants)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-def _first_of_components(marked: DataFrame, order: Column, radius: int = 2, range_variants: int = RANGE_VARIANTS) -> DataFrame:
-    """fp, first: the least ``order`` among the rows of the fingerprint's component."""
-    nodes = written(marked.groupBy("fp").agg(F.min(order).alias("first")), "fingerprint-nodes")
+def _with_first(marked: DataFrame, order: Column, radius: int = 2, range_variants: int = RANGE_VARIANTS) -> DataFrame:
+    """``marked`` with first: the least ``order`` among the rows of the fingerprint's component."""
+    nodes = written(marked.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), "fingerprint-nodes")
     roots = components(ball_links(nodes, radius=radius, range_variants=range_variants))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "first")
+    rooted = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "fingerprint-roots")
+    size = rooted.agg(F.count("*").alias("fps"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("fps")), "fingerprint-least")
+    named = written(join_on_counted(rooted.select("fp", "root", "n"), least, "root", "fps", size.fps).select("fp", "first", "n"), "fingerprint-first")
+    return join_on_counted(marked, named, "fp", "n", size.rows).drop("n")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with exactly one row of each component: the one with the smallest id, nulls last, and of several
-    texts under that id the one with the least SHA-256; of rows that repeat both, one."""
+    texts under that id the one with the least SHA-256; of rows that repeat both, one.  Null text counts as empty, an
+    empty table gives an empty result, and all columns stay."""
     marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")
-    firsts = _first_of_components(marked, key)
+    named = _with_first(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    judged = marked.join(firsts, "fp").groupBy("doc_id", "sha", stays.alias("stays")).agg(F.count("*").alias("n"))
-    judged = written(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "stays"), "near-judged")
-    gone, again = (judged.where(c).select("_id", "_sha") for c in ("NOT stays", "stays"))
+    judged = named.groupBy("doc_id", F.hex("sha").alias("sha"), stays.alias("stays")).agg(F.count("*").alias("n"))
     own_id, own_sha = _identity(docs, id_col, text_col)
-    rows = docs.select(whole_row(docs), own_id.alias("_id"), own_sha.alias("_sha"))
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_sha"] == b["_sha"])
-    left = rows.join(gone, same(rows, gone), "left_anti")
-    if again.isEmpty():
-        return left.select("_row.*")
-    once = left.join(again, same(left, again), "left_anti").unionByName(left.join(again, same(left, again), "left_semi").dropDuplicates(["_id", "_sha"]))
-    return once.select("_row.*")
+    return drop_marked(docs, judged, own_id, F.hex(own_sha))
