@@ -11,6 +11,7 @@ import pyarrow.fs as pafs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from rankwright.llm import lexicon_bpe, packing, token_files
 from rankwright.llm.common import shared_folder
 from rankwright.llm.tokens import byte_level, pack, word_level
@@ -73,18 +74,54 @@ def test_token_files_odd_rows(odd_docs, no_docs):
     assert token_files.token_file_digest(no_docs).collect() == []
 
 
-def test_reader_opens_only_wanted_frames_and_checks_them(spark, documents, monkeypatch):
-    monkeypatch.setattr(token_files, "FRAME_BYTES", 1 << 20)
-    manifest = token_files.write_token_files(documents, shared_folder(spark, "t"))
-    file = manifest.orderBy("shard").first().file
-    fs, path = pafs.FileSystem.from_uri(file)
+def test_reader_decompresses_only_wanted_frames_and_checks_them(spark, documents, monkeypatch):
+    # Every third id stands twice, five rows have none, and frames are small.
+    docs = documents.union(documents.where("doc_id % 3 = 0")).union(documents.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    manifest = token_files.write_token_files(docs.coalesce(1), shared_folder(spark, "t"), frame_bytes=20_000).collect()
+    files = sorted({r.file for r in manifest})
+    calls, plain = [], token_files.read_frame
+    monkeypatch.setattr(token_files, "read_frame", lambda stream, *frame: calls.append(frame) or plain(stream, *frame))
+    seen = 0
+    for file in files:
+        fs, path = pafs.FileSystem.from_uri(file)
+        with fs.open_input_file(path) as stream:
+            table = token_files.read_seek_table(stream)
+            everything = [list(plain(stream, *frame)) for frame in table]
+            with pytest.raises(ValueError, match="checksum"):
+                next(plain(stream, *table[0][:3], table[0][3] ^ 1))
+        where: dict = {}
+        for k, frame in enumerate(everything):
+            for doc, tokens in frame:
+                where.setdefault(doc, []).append((k, tokens))
+        asked = [*list(where)[:: max(1, len(where) // 40)], -5, 10**9]
+        for doc in asked:
+            calls.clear()
+            assert token_files.read_documents(file, [doc]) == ({doc: [t for _, t in where[doc]]} if doc in where else {})
+            assert {c[0] for c in calls} >= {table[k][0] for k, _ in where.get(doc, [])} and len(calls) <= max(1, len({k for k, _ in where.get(doc, [])}))
+        assert token_files.read_documents(file, where) == {doc: [t for _, t in parts] for doc, parts in where.items()}
+        seen += len(table)
+    assert seen > 20
+
+
+def test_shards_are_plain_zstandard_streams(spark, documents):
+    import io
+
+    import zstandard
+
+    row = token_files.write_token_files(documents, shared_folder(spark, "t")).orderBy("shard").first()
+    fs, path = pafs.FileSystem.from_uri(row.file)
     with fs.open_input_file(path) as stream:
-        table = token_files.read_seek_table(stream)
-        first = list(token_files.read_frame(stream, *table[0]))
-        with pytest.raises(ValueError, match="checksum"):
-            next(token_files.read_frame(stream, *table[0][:3], table[0][3] ^ 1))
-    doc, tokens = first[len(first) // 2]
-    assert token_files.read_documents(file, {doc, -5}) == {doc: tokens}
+        data, table = stream.read(), token_files.read_seek_table(stream)
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
+    assert len(whole) == sum(raw for _, _, raw, _ in table)
+
+
+def test_two_byte_ids_do_not_wrap():
+    import io
+
+    writer = token_files.FrameWriter(io.BytesIO(), 2)
+    with pytest.raises(ValueError, match="70000"):
+        writer.add(1, pack([1, 70_000]))
 
 
 def test_lexicon_holds_its_words_and_no_others(tmp_path):
