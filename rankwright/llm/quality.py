@@ -3,10 +3,15 @@
 Each rule says good (1), bad (0) or nothing (-1).  A document's votes make a
 pattern, of which there are at most 3 to the number of rules; documents are
 counted by pattern over the whole table, and the expectation-maximisation runs
-on these counts.  It estimates, for each rule, how often it votes good or bad on
-good and on bad documents, and gives each pattern its posterior probability of
-good quality, by which a document is kept.  Documents that fail the base rule are
-turned down whatever the rules say, and the model is fitted on the others.
+on these counts.  It estimates, for each rule, how often it is right on good and
+on bad documents when it votes, and gives each pattern its posterior probability
+of good quality, by which a document is kept.  A rule that abstains says nothing.
+Documents that fail the base rule are turned down whatever the rules say, and the
+model is fitted on the others.
+
+The likelihood has several peaks, so the maximisation starts from the majority of
+votes and once from the bad votes of each rule, and the most probable end counts;
+which one that is doesn't hang on the size of the table.
 """
 
 from __future__ import annotations
@@ -84,34 +89,35 @@ def votes(text: str, f: tuple) -> list[int]:
     ]
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 200, prior_votes: float = 20.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Share of good documents, vote probabilities [class, rule, bad/good/abstain], and a posterior for each pattern.
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 300, prior_votes: float = 1.0, accuracy: float = 0.75) -> tuple[float, np.ndarray, np.ndarray]:
+    """Share of good documents, chance of a bad and a good vote [class, rule, bad/good], and a posterior for each pattern.
 
-    The start takes every rule for right four times out of five; pseudo-votes at that accuracy keep rules
-    that hardly ever vote from running off, and keep the two classes from changing places.
+    Each rule has ``prior_votes`` made-up votes of the given ``accuracy`` in either class.  They keep rules that
+    hardly ever vote from running off, and say which of the two classes is the good one.
     """
-    rules = patterns.shape[1]
-    kind = np.where(patterns < 0, 2, patterns)
-    hot = np.stack([kind == k for k in range(3)], 2).astype(float)
-    total = counts.sum()
-    abstain = (hot[:, :, 2] * counts[:, None]).sum(0) / max(total, 1)
-    start = np.empty((2, rules, 3))
-    for c in (0, 1):
-        start[c, :, c], start[c, :, 1 - c], start[c, :, 2] = 0.8 * (1 - abstain), 0.2 * (1 - abstain), abstain
-    pseudo = prior_votes * (start + 1e-3)
-    share, prob = 0.8, start + 1e-3
-    prob /= prob.sum(2, keepdims=True)
-    posterior = np.full(len(patterns), share)
-    for _ in range(rounds):
-        log = np.einsum("prk,crk->pc", hot, np.log(prob)) + np.log([1 - share, share])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        weight = np.stack([1 - new, new], 1) * counts[:, None]
-        prob = np.einsum("pc,prk->crk", weight, hot) + pseudo
-        prob /= prob.sum(2, keepdims=True)
-        share = float(np.clip((weight[:, 1].sum() + 4) / (total + 5), 0.02, 0.98))
-        moved, posterior = np.abs(new - posterior).max(initial=0), new
-        if moved < 1e-9:
-            break
+    good, bad = (patterns == 1).astype(float), (patterns == 0).astype(float)
+    rules, total = patterns.shape[1], counts.sum()
+    right, wrong = np.full(rules, prior_votes * accuracy), np.full(rules, prior_votes * (1 - accuracy))
+    prior_good, prior_bad = np.array([wrong, right]), np.array([right, wrong])
+
+    def climb(posterior: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        for _ in range(rounds):
+            weight = np.stack([1 - posterior, posterior], 1) * counts[:, None]
+            says_good, says_bad = weight.T @ good + prior_good, weight.T @ bad + prior_bad
+            rate = says_good / (says_good + says_bad)
+            share = (weight[:, 1].sum() + 4) / (total + 5)
+            log = good @ np.log(rate.T) + bad @ np.log(1 - rate.T) + np.log([1 - share, share])
+            top = log.max(1, initial=-np.inf)
+            each = np.exp(log - top[:, None])
+            value = counts @ (top + np.log(each.sum(1))) + (prior_good * np.log(rate) + prior_bad * np.log(1 - rate)).sum() + 4 * np.log(share) + np.log(1 - share)
+            moved, posterior = np.abs(each[:, 1] / each.sum(1) - posterior).max(initial=0), each[:, 1] / each.sum(1)
+            if moved < 1e-9:
+                break
+        return float(value), float(share), np.stack([1 - rate, rate], 2), posterior
+
+    starts = [(good.sum(1) + accuracy) / (good.sum(1) + bad.sum(1) + 1)]
+    starts += [np.where(bad[:, r] > 0, 0.05, 0.95) for r in range(rules) if bad[:, r].any()]
+    _, share, prob, posterior = max(map(climb, starts), key=lambda end: end[0])
     return share, prob, posterior
 
 
