@@ -4,7 +4,8 @@ The most frequent words of the corpus are compiled, with their token ids, into
 an automaton that shares prefixes and suffixes.  Every arc carries a number; the
 numbers on a word's path add up to the word's place in the lexicon, where its
 ids stand.  Executors map the file into memory.  A word outside the lexicon is
-merged exactly by the BPE core.
+merged exactly by the BPE core.  A worker remembers what it has looked up, so
+that a batch takes only its new words through the automaton, all of them at once.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import require_columns, shared_folder, small_batches, written
-from .tokens import ByteLevel, byte_level
+from .tokens import ODD, ByteLevel, byte_level
 
 #: Words of the lexicon: the feature's size, not a cap on what is encoded.
 LEXICON_WORDS = 50_000
-#: Words a task counts before it hands its counts on.
-COUNTED_WORDS = 150_000
+#: Words a task counts before it hands its counts on, and words a worker remembers before it starts afresh.
+COUNTED_WORDS, REMEMBERED_WORDS = 150_000, 200_000
 MAGIC = b"MATL"
 
 
@@ -132,8 +133,11 @@ class Lexicon:
             depth += 1
         return place
 
-    def ids_of(self, place: int) -> bytes:
-        return self.ids[self.offsets[place] : self.offsets[place + 1]].tobytes()
+    def ids_of(self, places: list[int]) -> list[bytes]:
+        """Packed ids of each place."""
+        raw, offsets = memoryview(self.ids).cast("B"), self.offsets
+        begins, ends = 4 * offsets[places], 4 * offsets[np.asarray(places, np.int64) + 1]
+        return [bytes(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -141,12 +145,52 @@ def _opened(file: str) -> Lexicon:
     return Lexicon(file)
 
 
-def _chunks(encoder: ByteLevel, text: str) -> list[str]:
-    """A text as words that each carry the white space before them."""
+def _cut(encoder: ByteLevel, text: str) -> tuple[list[str], list[str]]:
+    """A text as pieces that stand as they are, and behind them words that are meant with a space before, or start
+    with a line feed."""
     words = encoder.words(text)
     if words is None:
-        return encoder.chunks(text)
-    return [w if not k or w[:1] == "\n" else " " + w for k, w in enumerate(words) if k or w]
+        return encoder.chunks(text), []
+    first = words[:1] if words[0] else []
+    del words[0]
+    return first, words
+
+
+def _spaced(word: str) -> str:
+    return word if word[:1] == "\n" else " " + word
+
+
+class Remembered:
+    """What a worker knows: words and pieces with their packed ids, looked up in the lexicon or else merged."""
+
+    def __init__(self, encoder: ByteLevel, lexicon: Lexicon, limit: int = REMEMBERED_WORDS):
+        self.encoder, self.lexicon, self.limit = encoder, lexicon, limit
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, known: dict[str, bytes], wanted: set[str], form) -> None:
+        new = wanted - known.keys()
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            new = wanted
+        keys = list(new)
+        texts = list(map(form, keys)) if form else keys
+        places = self.lexicon.find([t.encode() for t in texts])
+        held = np.flatnonzero(places >= 0).tolist()
+        for k, ids in zip(held, self.lexicon.ids_of(places[held])):
+            known[keys[k]] = ids
+        merge = self.encoder.chunk
+        for k in np.flatnonzero(places < 0).tolist():
+            known[keys[k]] = merge(texts[k])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of whole texts."""
+        special, whole = self.encoder.special, self.encoder.whole
+        cut = [None if any(s in t for s in special) or ODD.search(t) else _cut(self.encoder, t) for t in texts]
+        self._learn(self.pieces, set().union(*(c[0] for c in cut if c)), None)
+        self._learn(self.words, set().union(*(c[1] for c in cut if c)), _spaced)
+        piece, word = self.pieces.__getitem__, self.words.__getitem__
+        return [whole(t) if c is None else b"".join(map(piece, c[0])) + b"".join(map(word, c[1])) for t, c in zip(texts, cut)]
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -154,19 +198,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
 
     def count(batches):
-        encoder, seen = byte_level(), Counter()
+        encoder, pieces, words = byte_level(), Counter(), Counter()
 
         def out():
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            for seen, form in ((pieces, str), (words, _spaced)):
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array(map(form, seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                    seen.clear()
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(_chunks(encoder, text))
-            if len(seen) >= COUNTED_WORDS:
+                first, rest = _cut(encoder, text)
+                pieces.update(first)
+                words.update(rest)
+            if len(words) + len(pieces) >= COUNTED_WORDS:
                 yield from out()
-                seen.clear()
-        if seen:
-            yield from out()
+        yield from out()
 
     counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -214,16 +261,9 @@ def encode_with_lexicon(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id"
 
     def encode(batches):
         encoder = byte_level()
-        words = _opened(SparkFiles.get(lexicon))
+        known = Remembered(encoder, _opened(SparkFiles.get(lexicon)))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            whole = [any(s in t for s in encoder.special) or any(c in t for c in "\x1c\x1d\x1e\x1f") for t in texts]
-            cut = [None if w else _chunks(encoder, t) for t, w in zip(texts, whole)]
-            known = dict.fromkeys(w for c in cut if c for w in c)
-            keys = list(known)
-            for key, place in zip(keys, words.find([k.encode() for k in keys]).tolist()):
-                known[key] = words.ids_of(place) if place >= 0 else encoder.exact[key]
-            ids = [encoder.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut)]
+            ids = known.encode(batch.column(1).to_pylist())
             out = {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
             if decoded:
                 out["text"] = pa.array(map(encoder.decode, ids), pa.string())

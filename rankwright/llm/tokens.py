@@ -32,7 +32,8 @@ _ASCII_SPACES = " \t\n\r\x0b\x0c"
 _DOUBLE = tuple(a + b for b in " \n" for a in _ASCII_SPACES + "\x1c\x1d\x1e\x1f" + WIDE_SPACES)
 _ASCII_DOUBLE = tuple(x for x in _DOUBLE if x.isascii())
 _CHUNKS = regex.compile(r"\s*[^\s]+|\s+")
-_ODD = regex.compile(r"[\x1c-\x1f]")
+#: Separators that the library takes for white space and the word cutter here doesn't.
+ODD = regex.compile(r"[\x1c-\x1f]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -88,12 +89,13 @@ class ByteLevel:
         ranks, special = _ranks(self.path)
         self.special = tuple(special)
         self.core = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.merge = self.core._core_bpe.encode_ordinary
         self.bytes_of = {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in special.items()}
         self.spaced = _Memory(lambda w: self.chunk(w if w[:1] == "\n" else " " + w))
         self.exact = _Memory(self.chunk, 3)
 
     def chunk(self, text: str) -> bytes:
-        return pack(self.core.encode_ordinary(text))
+        return pack(self.merge(text))
 
     def words(self, text: str) -> list[str] | None:
         """Words of a text that has no two white-space characters in a row where a word starts, else None.
@@ -112,7 +114,7 @@ class ByteLevel:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or _ODD.search(text):
+        if any(s in text for s in self.special) or ODD.search(text):
             return self.whole(text)
         words = self.words(text)
         if words is None:
