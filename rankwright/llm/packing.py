@@ -131,16 +131,20 @@ def pieces_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack_pieces(pieces: DataFrame, cap: Capacities = Capacities()) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (doc_id, piece, length, ...).
+    """Add sequence_id and offset to ``pieces`` (doc_id, piece, length, ...), in place of columns of those names.
 
     The pieces are sorted over range partitions by length and id; a partition numbers its own pieces of
     each length.  The counts of (partition, length), at most partitions plus lengths of them since the
     partitions are ranges of lengths, go to the driver, and the plan made there goes to all executors.
-    An empty table gives an empty result.
+    Other columns stay, whatever their names; null and repeated ids are pieces like any other, and repeated rows
+    are packed as often as they stand there.  An empty table gives an empty result.
     """
     require_columns(pieces, ["doc_id", "piece", "length"])
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
+    own = lambda name: name if name not in {n.lower() for n in names} else own(name + "_")
+    part_col, nth_col = own("_part"), own("_nth")
     ordered = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
 
     def number(batches):
@@ -155,16 +159,16 @@ def pack_pieces(pieces: DataFrame, cap: Capacities = Capacities()) -> DataFrame:
             if lengths[0] == last:
                 nth[lengths == last] += seen
             last, seen = lengths[-1], nth[-1] + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth, pa.int64())], names=[*names, "_part", "_nth"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), part, np.int32)), pa.array(nth, pa.int64())], names=[*names, part_col, nth_col])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    numbered = written(ordered.mapInArrow(number, f"{fields}, _part int, _nth long"), "numbered-pieces")
-    seen = numbered.groupBy("_part", "length").agg(F.count("*").alias("n")).collect()
+    numbered = written(ordered.mapInArrow(number, f"{fields}, {part_col} int, {nth_col} long"), "numbered-pieces")
+    seen = numbered.groupBy(F.col(part_col).alias("part"), F.col("length").alias("length")).agg(F.count("*").alias("n")).collect()
     counts: dict[int, int] = {}
     base: dict[tuple[int, int], int] = {}
-    for row in sorted(seen, key=lambda r: (r.length, r._part)):
-        base[row._part, row.length] = counts.get(row.length, 0)
-        counts[row.length] = base[row._part, row.length] + row.n
+    for row in sorted(seen, key=lambda r: (r.length, r.part)):
+        base[row.part, row.length] = counts.get(row.length, 0)
+        counts[row.length] = base[row.part, row.length] + row.n
     steps, _ = plan(counts, cap)
     steps = steps[np.lexsort((steps[:, 1], steps[:, 0]))]
     shared = spark.sparkContext.broadcast((base, steps))
@@ -176,10 +180,10 @@ def pack_pieces(pieces: DataFrame, cap: Capacities = Capacities()) -> DataFrame:
             if not batch.num_rows:
                 continue
             lengths = batch.column("length").to_numpy()
-            parts = batch.column("_part").to_numpy()
+            parts = batch.column(part_col).to_numpy()
             begins = np.flatnonzero(np.r_[True, (lengths[1:] != lengths[:-1]) | (parts[1:] != parts[:-1])])
             first = np.array([base[int(parts[k]), int(lengths[k])] for k in begins])
-            rank = np.repeat(first, np.diff(np.r_[begins, len(lengths)])) + batch.column("_nth").to_numpy()
+            rank = np.repeat(first, np.diff(np.r_[begins, len(lengths)])) + batch.column(nth_col).to_numpy()
             step = steps[np.searchsorted(key, lengths * (1 << 48) + rank, side="right") - 1]
             nth = rank - step[:, 1]
             sequence = step[:, 3] + nth // step[:, 4]
