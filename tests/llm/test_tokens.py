@@ -130,7 +130,7 @@ def test_lexicon_holds_its_words_and_no_others(tmp_path):
     lexicon = lexicon_bpe.Lexicon(str(tmp_path / "x.mat"))
     asked = [*words, b"abcd", b"", b"b", b"xbcx", b"thing"]
     places = lexicon.find(asked)
-    assert [lexicon.ids_of(p) for p in places[: len(words)]] == list(words.values())
+    assert lexicon.ids_of(places[: len(words)]) == list(words.values())
     assert sorted(places[: len(words)]) == list(range(len(words))) and (places[len(words) :] == -1).all()
 
 
@@ -140,8 +140,20 @@ def test_lexicon_shares_suffixes():
     assert len(many) - len(one) < 4 * 8 * 16
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=30), max_size=6), st.integers(0, 8))
+def test_remembered_words_encode_as_the_library_does(tmp_path_factory, texts, limit):
+    file = tmp_path_factory.getbasetemp() / "words.mat"
+    encoder = byte_level()
+    if not file.exists():
+        file.write_bytes(lexicon_bpe.compile_lexicon({w.encode(): encoder.chunk(w) for w in (" a", "a", "b", " ab", "\n", "\nab", " ", "  a", " 1", "é")}))
+    known = lexicon_bpe.Remembered(encoder, lexicon_bpe.Lexicon(str(file)), limit)
+    for _ in range(2):
+        assert known.encode(texts) == [pack(encoder.library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_codec_matches_the_library(documents):
-    rows = {r.doc_id: r.text for r in documents.limit(300).collect()}
+    rows = {r.doc_id: r.text for r in documents.collect()}
     got = by_id(lexicon_bpe.codec_digest(documents))
     assert len(got) == documents.count()
     library = byte_level().library
@@ -236,6 +248,33 @@ def test_packing_odd_rows(odd_docs, no_docs):
     assert packing.best_fit_pack(no_docs).collect() == []
 
 
+def test_every_capacity_has_a_say_in_the_choice():
+    """Both bins can take the last piece: the one with the least room for tokens isn't the one with the least for attention."""
+
+    def placed(cap):
+        steps, _ = packing.plan({60: 1, 41: 2, 12: 1}, cap)
+        where: dict[int, list[int]] = {}
+        for length, _, n, sequence, each, _ in steps.tolist():
+            for k in range(n):
+                where.setdefault(sequence + k // each, []).append(length)
+        return sorted(sorted(v) for v in where.values())
+
+    assert placed(packing.Capacities(100, 100, 10_000)) == [[12, 41, 41], [60]]
+    assert placed(packing.Capacities(100, 100, 10_000, weights=(0.0, 0.0, 1.0))) == [[12, 60], [41, 41]]
+    assert placed(packing.Capacities(100, 100, 10_000, weights=(0.0, 1.0, 0.0))) == [[12, 41, 41], [60]]
+    assert placed(packing.Capacities(100, 2, 10_000)) == [[12, 60], [41, 41]]
+    assert placed(packing.Capacities(100, 100, 3_650)) == [[12], [41, 41], [60]]
+
+
+def test_pieces_with_clashing_columns(spark):
+    rows = [(1, 0, 3000, 7, 8, 9, 10), (None, 0, 1000, 7, 8, 9, 10), (2, 0, 4096, 7, 8, 9, 10), (2, 0, 4096, 7, 8, 9, 10)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _part int, _nth int, sequence_id string, offset string")
+    got = packing.pack_pieces(pieces).collect()
+    assert got[0].__fields__ == ["doc_id", "piece", "length", "_part", "_nth", "sequence_id", "offset"]
+    assert len(got) == 4 and {(r._part, r._nth) for r in got} == {(7, 8)} and len({r.sequence_id for r in got}) == 3
+    assert packing.pack_pieces(pieces.limit(0)).collect() == []
+
+
 def test_a_piece_that_cannot_fit_is_refused():
     with pytest.raises(ValueError):
         packing.plan({60: 1}, packing.Capacities(50, 5, 2500))
