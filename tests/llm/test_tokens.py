@@ -263,7 +263,7 @@ def test_every_capacity_has_a_say_in_the_choice():
     assert placed(packing.Capacities(100, 100, 10_000, weights=(0.0, 0.0, 1.0))) == [[12, 60], [41, 41]]
     assert placed(packing.Capacities(100, 100, 10_000, weights=(0.0, 1.0, 0.0))) == [[12, 41, 41], [60]]
     assert placed(packing.Capacities(100, 2, 10_000)) == [[12, 60], [41, 41]]
-    assert placed(packing.Capacities(100, 100, 3_650)) == [[12], [41, 41], [60]]
+    assert placed(packing.Capacities(100, 100, 3_700, weights=(0.0, 0.0, 1.0))) == [[12, 41, 41], [60]]
 
 
 def test_pieces_with_clashing_columns(spark):
