@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder
+from .shared import broadcast_if_small, shared_folder, written
 
 
 def in_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
@@ -61,3 +61,23 @@ def running_totals(df: DataFrame, key: str, sums: Sequence[str], *, groups: Sequ
     joined = _with_offsets(in_ranges(df, groups, [order], ranges), groups, [F.sum(c) for c in sums])
     own = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*df.columns, *((F.sum(c).over(own) + F.col(f"_o{i}")).alias(f"cum_{c}") for i, c in enumerate(sums)))
+
+
+def quantiles(df: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """group, q: the exact quantiles of each group's values, interpolated between neighbours, in the order asked for.
+
+    Values are put in order over ranges, so no group has to fit into a task; only the two neighbours of each
+    quantile are picked out.  Nulls and NaN don't count; a group without values has no row.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    place = F.col("_p") * (F.col("_n") - 1)
+    wanted = counts.select(group, "_n", F.posexplode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("_i", "_p"))
+    low, part = F.floor(place), place - F.floor(place)
+    ends = F.array(F.struct((low + 1).alias("_k"), (1 - part).alias("_w")), F.struct((F.ceil(place) + 1).alias("_k"), part.alias("_w")))
+    wanted = written(wanted.select(group, "_i", F.explode(ends).alias("e")).select(group, "_i", "e._k", "e._w").where("_w > 0"), "quantile-places")
+    numbered = placed(rows, [group], [F.col("_v")], name="_k")
+    picked = numbered.join(broadcast_if_small(wanted, wanted.count(), 64), [group, "_k"])
+    each = picked.groupBy(group, "_i").agg(F.sum(F.col("_v") * F.col("_w")).alias("_q"))
+    listed = F.array_sort(F.collect_list(F.struct("_i", "_q")))  # as many as are asked for
+    return each.groupBy(group).agg(F.transform(listed, lambda x: x["_q"]).alias("q"))

@@ -22,6 +22,12 @@ from ..functions.ranges import placed
 GROUP_LIMIT, SALTS = 1000, 64
 
 
+def join_groups(rows: DataFrame, sides: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``rows`` with what ``sides`` says of their group.  One row is broadcast; of groups, whose number may grow with
+    the table, Spark decides by their size."""
+    return rows.join(sides, list(groups)) if groups else rows.join(F.broadcast(sides))
+
+
 def ranked(df: DataFrame, groups: Sequence[str] = (), cap: int | None = None) -> DataFrame:
     """``df`` with ``k``, the rank from 1 on; only ranks up to ``cap`` if given."""
     require_columns(df, ["id", "score", *groups])
@@ -93,15 +99,22 @@ def scaled_curve(
     df: DataFrame, groups: Sequence[str] = (), *, features: int, cap: int = MAX_TARGETS, reference_rows: int = 1000,
     feature_cost: float = FEATURE_COST, hit: float = HIT_VALUE, miss: float = MISS_COST,
 ) -> DataFrame:
-    """Profit whose feature price is scaled by the number of rows over ``reference_rows``."""
+    """Profit all of whose values, of hits, misses and features, are scaled by the number of rows over ``reference_rows``.
+
+    gross is the scaled value before features, scaled_score what is left after their scaled price and
+    unscaled_cost_score after their whole price; k = 0 stands alone where ``cap`` is 0.
+    """
     if reference_rows <= 0:
         raise ValueError("reference_rows must be positive")
     sizes = df.groupBy(*groups).agg(F.count("*").alias("n"))
     curve = ranked_curve(df, groups, cap=cap, zero=cap == 0)
-    joined = curve.join(F.broadcast(sizes), list(groups)) if groups else curve.join(F.broadcast(sizes))
+    joined = join_groups(curve, sizes, groups)
     scale = F.col("n") / F.lit(float(reference_rows))
-    gross = (hit * F.col("tp") - miss * F.col("fp")).cast("double")
-    return joined.select(*groups, "k", "tp", "fp", "threshold", gross.alias("gross"), scale.alias("scale"), (gross - features * feature_cost * scale).alias("scaled_score"))
+    gross = F.col("tp") * (hit * scale) - F.col("fp") * (miss * scale)
+    price = float(features * feature_cost)
+    return joined.select(
+        *groups, "k", "tp", "fp", "threshold", gross.alias("gross"), scale.alias("scale"), (gross - price * scale).alias("scaled_score"), (gross - price).alias("unscaled_cost_score")
+    )
 
 
 def score_at(df: DataFrame, ks: Sequence[int], groups: Sequence[str] = (), *, features: int) -> DataFrame:
@@ -129,7 +142,7 @@ def f1_curve(df: DataFrame, groups: Sequence[str] = (), *, cap: int = MAX_TARGET
     """k, tp, fp, fn, tn, precision, recall, f1, accuracy, specificity, threshold; a rate over nothing is 0."""
     totals = df.groupBy(*groups).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     curve = ranked_curve(df, groups, cap=cap)
-    c = curve.join(F.broadcast(totals), list(groups)) if groups else curve.join(F.broadcast(totals))
+    c = join_groups(curve, totals, groups)
     c = c.withColumns({"fn": F.col("pos") - F.col("tp"), "tn": F.col("neg") - F.col("fp")})
     c = c.withColumns({"precision": ratio(F.col("tp"), F.col("k")), "recall": ratio(F.col("tp"), F.col("pos"))})
     return c.select(
@@ -144,7 +157,7 @@ def f1_curve(df: DataFrame, groups: Sequence[str] = (), *, cap: int = MAX_TARGET
 def elbow_k(curve: DataFrame, groups: Sequence[str] = (), *, share: float = 0.95) -> DataFrame:
     """Smallest k whose score reaches ``share`` of the best; 0 where none does (a negative best)."""
     best = curve.groupBy(*groups).agg(F.max("business_score").alias("best"))
-    c = curve.join(F.broadcast(best), list(groups)) if groups else curve.join(F.broadcast(best))
+    c = join_groups(curve, best, groups)
     return c.groupBy(*groups).agg(F.coalesce(F.min(F.when(F.col("business_score") >= share * F.col("best"), F.col("k"))), F.lit(0)).alias("elbow_k"))
 
 

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ledger import guarded_corr
+from ..functions.ranges import quantiles
+from ..functions.shared import written
 
 
 def long_view(df: DataFrame, vector: str, *carry: str, prefix: str = "var_") -> DataFrame:
@@ -29,16 +32,15 @@ def standardised(long: DataFrame) -> DataFrame:
 
 def robust_scaled(long: DataFrame, train: DataFrame | None = None) -> DataFrame:
     """id, feature, value centred by the median and scaled by the interquartile range of ``train``."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    stats = (long if train is None else train).groupBy("feature").agg(q.alias("q"))
+    stats = quantiles(long if train is None else train, "feature", "value", (0.25, 0.5, 0.75))
     spread = F.col("q")[2] - F.col("q")[0]
     return long.join(F.broadcast(stats), "feature").select("id", "feature", ((F.col("value") - F.col("q")[1]) / F.when(spread > 0, spread).otherwise(1.0)).alias("value"))
 
 
-def quantile_thresholds(train: DataFrame, *, quantiles: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+def quantile_thresholds(train: DataFrame, *, at: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """feature, quantile, threshold."""
-    cuts = train.groupBy("feature").agg(F.percentile("value", F.array(*map(F.lit, quantiles))).alias("t"))
-    rows = F.arrays_zip(F.array(*map(F.lit, quantiles)).alias("quantile"), F.col("t").alias("threshold"))
+    cuts = quantiles(train, "feature", "value", at)
+    rows = F.arrays_zip(F.array(*map(F.lit, at)).alias("quantile"), F.col("q").alias("threshold"))
     return cuts.select("feature", F.explode(rows).alias("r")).select("feature", "r.quantile", "r.threshold")
 
 
@@ -49,43 +51,84 @@ def binarised(long: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def shift_report(train: DataFrame, test: DataFrame) -> DataFrame:
     """Means, spreads, the standardised mean difference, and the share of test rows outside the training p1..p99."""
-    a = train.groupBy("feature").agg(F.avg("value").alias("train_mean"), F.stddev_pop("value").alias("train_std"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    inside = F.broadcast(a.select("feature", "q"))
+    ends = written(quantiles(train, "feature", "value", (0.01, 0.99)), "shift-ends")
+    a = train.groupBy("feature").agg(F.avg("value").alias("train_mean"), F.stddev_pop("value").alias("train_std"))
+    inside = F.broadcast(ends)
     b = test.join(inside, "feature").groupBy("feature").agg(
         F.avg("value").alias("test_mean"), F.stddev_pop("value").alias("test_std"),
         F.avg(F.when((F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[1]), 1.0).otherwise(0.0)).alias("outside_share"),
     )
     pooled = F.sqrt((F.col("train_std") * F.col("train_std") + F.col("test_std") * F.col("test_std")) / 2)
-    j = a.drop("q").join(b, "feature")
+    j = a.join(b, "feature")
     return j.withColumn("smd", F.abs(F.col("test_mean") - F.col("train_mean")) / F.greatest(pooled, F.lit(1e-12)))
 
 
-def correlated_pairs(df: DataFrame, vector: str, *, size: int, least: float) -> DataFrame:
-    """a, b, corr with a < b of all pairs of the array's places whose absolute correlation reaches ``least``.
+def gram(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """a, b, n, sa, sb, saa, sbb, sab for all places a <= b of an array column: what correlations are made of.
 
-    All sums that the correlations need come from one aggregation over the rows: a triangle of
-    size * (size + 1) / 2 products is exploded in each row and added up within tasks before the shuffle.
+    Tasks add up whole blocks of rows as matrices, so that a row for each pair and task is moved, whatever the number
+    of rows.  Values are taken from the first row's, against loss of digits; pairs in which one is null, NaN or
+    missing don't count.
     """
-    pairs = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.sequence(i, F.lit(size - 1)), lambda j: F.struct(i.alias("a"), j.alias("b"), F.col(vector)[i].cast("double").alias("x"), F.col(vector)[j].cast("double").alias("y"))))
-    )
-    rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("a < b")
-    return rows.groupBy("a", "b").agg(guarded_corr("x", "y").alias("corr")).where(F.abs("corr") >= least)
-
-
-def correlation_matrix(long: DataFrame, features: Sequence[str]) -> np.ndarray:
-    """Pearson matrix of a few features (their number squared comes to the driver); NaN for constant ones."""
-    own = long.where(F.col("feature").isin(*features))
-    other = own.select("id", F.col("feature").alias("f2"), F.col("value").alias("v2"))
-    rows = own.join(other, "id").groupBy("feature", "f2").agg(guarded_corr("value", "v2").alias("r")).collect()
-    place = {f: k for k, f in enumerate(features)}
-    out = np.full((len(features), len(features)), np.nan)
-    for r in rows:
-        if r.r is not None:
-            out[place[r.feature], place[r.f2]] = r.r
+    first = df.select(vector).where(F.size(vector) >= size).first()
+    origin = np.nan_to_num(np.array([np.nan if v is None else v for v in first[0][:size]], float)) if first else np.zeros(size)
+    a, b = np.triu_indices(size)
+
+    def add(batches):
+        n, one, two, sab = (np.zeros((size, size)) for _ in range(4))
+        for batch in batches:
+            rows = [[np.nan if v is None else v for v in (r if r is not None else ())[:size]] for r in batch.column(0).to_pylist()]
+            if not rows:
+                continue
+            x = np.array([r + [np.nan] * (size - len(r)) for r in rows], float) - origin
+            known = ~np.isnan(x)
+            x, seen = np.where(known, x, 0.0), known.astype(float)
+            n += seen.T @ seen
+            one += x.T @ seen
+            two += (x * x).T @ seen
+            sab += x.T @ x
+        parts = [a, b, n[a, b].astype(np.int64), one[a, b], one[b, a], two[a, b], two[b, a], sab[a, b]]
+        yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, (pa.int32(), pa.int32(), pa.int64(), *[pa.float64()] * 5))], names=["a", "b", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    parts = df.select(F.transform(vector, lambda v: v.cast("double")).alias("v")).mapInArrow(add, "a int, b int, n long, sa double, sb double, saa double, sbb double, sab double")
+    return parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")))
+
+
+def correlations(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """a, b, corr for all places a <= b; null where one of the two is constant."""
+    spread = lambda s, ss: F.col(ss) - F.col(s) * F.col(s) / F.col("n")
+    both = spread("sa", "saa") * spread("sb", "sbb")
+    return gram(df, vector, size).select("a", "b", F.when(both > 0, (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(both)).alias("corr"))
+
+
+def correlated_pairs(df: DataFrame, vector: str, *, size: int, least: float) -> DataFrame:
+    """a, b, corr with a < b of all pairs of the array's places whose absolute correlation reaches ``least``."""
+    return correlations(df, vector, size).where((F.col("a") < F.col("b")) & (F.abs("corr") >= least))
+
+
+def correlation_matrix(df: DataFrame, vector: str, places: Sequence[int]) -> np.ndarray:
+    """Pearson matrix of the array's ``places`` (their number squared comes to the driver); NaN for constant ones."""
+    narrow = df.select(F.array(*(F.get(vector, F.lit(p)) for p in places)).alias("v"))
+    out = np.full((len(places), len(places)), np.nan)
+    for r in correlations(narrow, "v", len(places)).collect():
+        if r.corr is not None:
+            out[r.a, r.b] = out[r.b, r.a] = r.corr
     return out
 
 
+def best_univariate_feature(df: DataFrame, vector: str = "features") -> DataFrame:
+    """feature, abs_corr: the feature of the greatest absolute correlation with the label; ties by name."""
+    long = long_view(df, vector, "y")
+    corr = long.groupBy("feature").agg(F.coalesce(F.abs(guarded_corr("value", "y")), F.lit(0.0)).alias("abs_corr"))
+    return corr.orderBy(F.desc("abs_corr"), "feature").limit(1)
+
+
+def cluster_set_summary(report: DataFrame) -> DataFrame:
+    """One row for each feature_set of a report by cluster (feature_set, cluster, n, rate): its clusters, the least and
+    greatest size and rate."""
+    return report.groupBy("feature_set").agg(F.count("*").alias("clusters"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.min("rate").alias("min_rate"), F.max("rate").alias("max_rate"))
+
+
 def prune_correlated(features: Sequence[str], corr: np.ndarray, strength: dict[str, float], *, least: float = 0.85) -> list[str]:
     """Of each pair that correlates, in column order, the weaker feature goes, unless one is gone already."""
     gone: set[str] = set()

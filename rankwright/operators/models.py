@@ -22,6 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import placed, quantiles
 from ..functions.shared import written
 from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
@@ -37,16 +38,24 @@ def availability(spark) -> DataFrame:
     return spark.createDataFrame(sorted(KIND.items()), "method string, kind string")
 
 
-def scaled(train: DataFrame, *others: DataFrame, robust: bool = True) -> list[DataFrame]:
-    """Tables whose ``features`` are centred and scaled by the median and interquartile range (or mean and
-    population spread) of ``train``; only one row of statistics, as wide as the array, comes to the driver."""
+def scaling(train: DataFrame, *, robust: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """What centres and scales ``features`` by the median and interquartile range (or mean and population spread) of
+    ``train``; only one row of statistics, as wide as the array, comes to the driver."""
     long = train.select(F.posexplode("features").alias("p", "v"))
-    spread = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if robust else F.array(F.avg("v") - F.stddev_pop("v") / 2, F.avg("v"), F.avg("v") + F.stddev_pop("v") / 2)
-    rows = sorted(long.groupBy("p").agg(spread.alias("q")).collect(), key=lambda r: r.p)
+    if robust:
+        stats = quantiles(long, "p", "v", (0.25, 0.5, 0.75))
+    else:
+        stats = long.groupBy("p").agg(F.array(F.avg("v") - F.stddev_pop("v") / 2, F.avg("v"), F.avg("v") + F.stddev_pop("v") / 2).alias("q"))
+    rows = sorted(stats.collect(), key=lambda r: r.p)
     centre = F.array(*(F.lit(float(r.q[1])) for r in rows))
     scale = F.array(*(F.lit(float(r.q[2] - r.q[0]) or 1.0) for r in rows))
     one = F.zip_with(F.zip_with("features", centre, lambda x, c: x - c), scale, lambda x, s: x / s)
-    return [df.withColumn("features", one) for df in (train, *others)]
+    return lambda df: df.withColumn("features", one)
+
+
+def scaled(train: DataFrame, *others: DataFrame, robust: bool = True) -> list[DataFrame]:
+    """Tables scaled by the statistics of ``train``."""
+    return list(map(scaling(train, robust=robust), (train, *others)))
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -387,21 +396,17 @@ def forest_feature_scores(df: DataFrame, fit: Fit | None = None) -> list[float]:
     return [float(v) for v in (fit or boosted(trees=20))(df).model.featureImportances.toArray()]
 
 
-def permutation_ranking(df: DataFrame, scorer: Scorer, metric: Callable[[DataFrame], float], width: int, *, seed: int = 42, bucket_rows: int = 100_000) -> list[float]:
-    """Loss of ``metric`` when one feature's values are dealt out anew among the rows.
-
-    Rows fall into buckets by hash, as many as hold ``bucket_rows`` on average, and values change places
-    within a bucket; whoever shares a bucket is as good as drawn, so this shuffles as well as over all rows.
-    """
+def permutation_ranking(df: DataFrame, scorer: Scorer, metric: Callable[[DataFrame], float], width: int, *, seed: int = 42) -> list[float]:
+    """Loss of ``metric`` when one feature's values are dealt out anew among all rows: the row of the n-th least hash gets
+    the value of the row of the n-th least id.  Places come from ranges, so the table may be of any size."""
     base = metric(scorer.score(df))
-    bucket = F.pmod(F.xxhash64(F.lit("bucket"), F.lit(seed), "id"), F.lit(-(-df.count() // bucket_rows) or 1))
+    numbered = written(placed(df, [], [F.col("id")], name="_r"), "permutation-rows")
     out = []
     for k in range(width):
-        place = lambda *key: F.row_number().over(Window.partitionBy(bucket).orderBy(*key, "id"))
-        values = df.select(bucket.alias("_b"), place(F.xxhash64(F.lit(seed + k), "id")).alias("_r"), F.col("features")[k].alias("_x"))
-        mixed = df.withColumns({"_b": bucket, "_r": place()}).join(values, ["_b", "_r"])
+        values = placed(df.select("id", F.col("features")[k].alias("_x")), [], [F.xxhash64(F.lit(seed + k), "id"), F.col("id")], name="_r").select("_r", "_x")
         new = F.transform("features", lambda x, i: F.when(i == k, F.col("_x")).otherwise(x))
-        out.append(base - metric(scorer.score(mixed.withColumn("features", new).drop("_b", "_r", "_x"))))
+        mixed = numbered.join(values, "_r").withColumn("features", new).drop("_r", "_x")
+        out.append(base - metric(scorer.score(mixed)))
     return out
 
 
@@ -435,14 +440,21 @@ def _tallies(df: DataFrame, jobs: list, grown: dict, asked: list[tuple]) -> dict
                 rest = fold != own
                 xs, ys = x[rest][:, places], y[rest] == 1
                 for t in sorted(t for i, t in by_tree if i == j):
+                    # Rows by node, so that what is asked of a node looks at its own rows only.
                     at = reached_nodes(*grown[j, t][:2], xs)
+                    order = np.argsort(at, kind="stable")
+                    nodes, begins = np.unique(at[order], return_index=True)
+                    rows_of = dict(zip(nodes.tolist(), np.split(order, begins[1:])))
                     for k, node, place, cut in by_tree[j, t]:
-                        seen = at == node
+                        rows = rows_of.get(node)
+                        if rows is None:
+                            continue
+                        v, hit = xs[rows, place], ys[rows]
                         if cut is not None:
-                            seen &= xs[:, place] <= cut
-                        if seen.any():
-                            v = xs[seen, place]
-                            n[k], pos[k], lo[k], hi[k] = n[k] + len(v), pos[k] + ys[seen].sum(), min(lo[k], v.min()), max(hi[k], v.max())
+                            under = v <= cut
+                            v, hit = v[under], hit[under]
+                        if len(v):
+                            n[k], pos[k], lo[k], hi[k] = n[k] + len(v), pos[k] + hit.sum(), min(lo[k], v.min()), max(hi[k], v.max())
         yield pd.DataFrame({"k": np.arange(len(asked)), "n": n, "pos": pos, "lo": lo, "hi": hi})
 
     parts = df.select("y", "fold", "features").mapInPandas(run, "k long, n long, pos long, lo double, hi double")

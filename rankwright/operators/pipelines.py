@@ -13,7 +13,7 @@ from ..functions.parsing import set_key
 from .curves import best_point, profit_curve, ranked
 from .features import correlation_matrix, long_view, prune_correlated, prune_inflated, variance_filter
 from .models import Fit, forest_feature_scores, l1_feature_scores, out_of_fold
-from .rankings import binned_mutual_information, normalised_ranks, rank_sum, train_only_weights
+from .rankings import binned_mutual_information, floored_weights, normalised_ranks, rank_sum, top_rank_scores
 
 Prescreen = Callable[[DataFrame], DataFrame]
 
@@ -33,7 +33,7 @@ def multicollinearity_filter(df: DataFrame, features: Sequence[str], *, correlat
     number of features squared, and come to the driver."""
     long = long_view(df, "features", "id", "y").where(F.col("feature").isin(*features))
     strength = {r.feature: r.mutual_info for r in binned_mutual_information(long).collect()}
-    corr = correlation_matrix(long, features)
+    corr = correlation_matrix(df, "features", [int(f.removeprefix("var_")) for f in features])
     left = prune_correlated(features, corr, strength, least=correlation)
     places = [list(features).index(f) for f in left]
     left = prune_inflated(left, corr[np.ix_(places, places)], most=inflation)
@@ -51,15 +51,15 @@ def narrowed(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def materialised_rankings(rankings: DataFrame, recipes: DataFrame) -> DataFrame:
     """prescreen_recipe_id, feature, ensemble_score, mean_rank, order for every recipe in one job.
 
-    Mean recipes weigh their methods alike; adaptive ones by ``train_only_weights``, of which the top ones count
-    where the recipe says so.  Recipes of which a method has no ranking give no rows.
+    Mean recipes weigh their methods alike; adaptive ones as ``train_only_weights`` does over the recipe's own methods,
+    of which the top ones count where the recipe says so.  Recipes of which a method has no ranking give no rows.
     """
     members = recipes.select("prescreen_recipe_id", "prescreen_method_count", "rank_aggregation", "adaptive_method_count", F.explode("prescreen_methods").alias("method"))
-    weights = train_only_weights(rankings).withColumnRenamed("weight", "w")
-    known = members.join(F.broadcast(weights), "method")
-    place = F.row_number().over(Window.partitionBy("prescreen_recipe_id").orderBy(F.desc("w"), "method"))
-    complete = F.count("*").over(Window.partitionBy("prescreen_recipe_id")) == F.col("prescreen_method_count")
-    used = known.withColumns({"_place": place, "_whole": complete}).where("_whole")
+    known = members.join(F.broadcast(top_rank_scores(rankings)), "method")
+    own = Window.partitionBy("prescreen_recipe_id")  # a row for each method of a recipe
+    weights = floored_weights(known, ["prescreen_recipe_id"]).withColumnRenamed("weight", "w")
+    place = F.row_number().over(own.orderBy(F.desc("w"), "method"))
+    used = weights.withColumns({"_place": place, "_whole": F.count("*").over(own) == F.col("prescreen_method_count")}).where("_whole")
     used = used.withColumn("weight", F.when(F.col("rank_aggregation") == "mean", 1.0).when((F.col("rank_aggregation") == "weighted_top_k") & (F.col("_place") > F.col("adaptive_method_count")), 0.0).otherwise(F.col("w")))
     total = F.sum("weight").over(Window.partitionBy("prescreen_recipe_id"))
     shares = used.withColumn("share", F.col("weight") / total).select("prescreen_recipe_id", "method", "share")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import average_rank, guarded_corr
-from ..functions.ranges import placed, running_totals
+from ..functions.ranges import placed, quantiles, running_totals
 
 
 def normalised_ranks(raw: DataFrame) -> DataFrame:
@@ -59,25 +59,33 @@ def weights_text(weights: DataFrame) -> DataFrame:
     return shares.agg(F.array_join(F.array_sort(F.collect_list("s")), ";").alias("weights"))
 
 
-def _floored(per_method: DataFrame, least: float) -> DataFrame:
-    """method, value -> method, weight: shifted by the least value, raised to a floor, adding up to 1."""
-    low = per_method.agg(F.min("value").alias("lo"), F.avg("value").alias("mean"), F.max("value").alias("hi"), F.count("*").alias("m"))
-    j = per_method.join(F.broadcast(low))
-    j = j.withColumn("w", F.greatest(F.col("value") - F.col("lo"), least * F.greatest(F.col("mean") - F.col("lo"), F.lit(1.0))))
-    total = j.agg(F.sum("w").alias("t"))
-    flat = F.col("hi") == F.col("lo")
-    return j.join(F.broadcast(total)).select("method", F.when(flat | (F.col("t") <= 0), 1.0 / F.col("m")).otherwise(F.col("w") / F.col("t")).alias("weight"))
+def floored_weights(values: DataFrame, groups: Sequence[str] = (), *, least: float = 0.05) -> DataFrame:
+    """``values`` (method, value, one row a method and group) with weight: what a value lies above the least one (1 for
+    all if they are equal), to which ``least`` times its mean, or times 1 if that is more, is added; adding up to 1."""
+    whole = Window.partitionBy(*groups)  # as many rows as methods
+    low, high = F.min("value").over(whole), F.max("value").over(whole)
+    above = values.withColumn("_above", F.when(low == high, 1.0).otherwise(F.col("value") - low))
+    raised = above.withColumn("_above", F.col("_above") + least * F.greatest(F.avg("_above").over(whole), F.lit(1.0)))
+    return raised.withColumn("weight", F.col("_above") / F.sum("_above").over(whole)).drop("_above")
 
 
 def weights_from_scores(scores: DataFrame, *, score: str = "score", least: float = 0.05) -> DataFrame:
-    """Weights from the best score of each method."""
-    return _floored(scores.where(F.col(score).isNotNull()).groupBy("method").agg(F.max(score).cast("double").alias("value")), least)
+    """method, weight from the best score of each method; where ``prescreen_method_count`` is known, of methods on their own."""
+    if "prescreen_method_count" in scores.columns:
+        scores = scores.where("prescreen_method_count = 1")
+    best = scores.where(F.col(score).isNotNull()).groupBy("method").agg(F.max(score).cast("double").alias("value"))
+    return floored_weights(best, least=least).select("method", "weight")
+
+
+def top_rank_scores(rankings: DataFrame, *, top: int = 25) -> DataFrame:
+    """method, value: the mean of each method's ``top`` best rank scores."""
+    best = rankings.withColumn("_r", F.row_number().over(Window.partitionBy("method").orderBy(F.desc("rank_score"), "feature"))).where(F.col("_r") <= top)
+    return best.groupBy("method").agg(F.avg("rank_score").alias("value"))
 
 
 def train_only_weights(rankings: DataFrame, *, top: int = 25, least: float = 0.05) -> DataFrame:
-    """Weights from the mean rank_score of each method's best ``top`` features, not floored by scores of a test."""
-    best = rankings.withColumn("_r", F.row_number().over(Window.partitionBy("method").orderBy("rank", "feature"))).where(F.col("_r") <= top)
-    return _floored(best.groupBy("method").agg(F.avg("rank_score").alias("value")), least)
+    """method, weight from how high each method's best features score, which no label of a validation row has touched."""
+    return floored_weights(top_rank_scores(rankings, top=top), least=least).select("method", "weight")
 
 
 def all_ensembles(rankings: DataFrame, methods: Sequence[str], sizes: Sequence[int] | None = None) -> DataFrame:
@@ -114,7 +122,7 @@ def abs_corr(long: DataFrame) -> DataFrame:
 
 def binned_mutual_information(long: DataFrame, *, bins: int = 10) -> DataFrame:
     """feature, mutual_info of quantile bins and the label: a stated stand-in for nearest-neighbour estimators."""
-    cuts = long.groupBy("feature").agg(F.percentile("value", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("cuts"))
+    cuts = quantiles(long, "feature", "value", [k / bins for k in range(1, bins)]).withColumnRenamed("q", "cuts")
     binned = long.join(F.broadcast(cuts), "feature").select("feature", "y", F.size(F.filter("cuts", lambda c: c < F.col("value"))).alias("bin"))
     cells = binned.groupBy("feature", "bin", "y").agg(F.count("*").alias("n"))
     per = cells.withColumns(

@@ -56,6 +56,31 @@ def default_model_specs() -> list[tuple[str, str, str, dict]]:
     return out
 
 
+#: Small grids for the families that came out best (fixed values): family -> rows of parameters under SEARCH_NAMES.
+SEARCH_NAMES = {
+    "extra_trees": ("n_estimators", "max_depth", "min_samples_leaf", "class_weight"),
+    "random_forest": ("n_estimators", "max_depth", "min_samples_leaf", "class_weight"),
+    "lightgbm": ("n_estimators", "learning_rate", "num_leaves", "min_child_samples", "scale_pos_weight_multiplier"),
+    "xgboost": ("n_estimators", "learning_rate", "max_depth", "min_child_weight", "scale_pos_weight_multiplier"),
+    "logistic": ("C", "l1_ratio", "class_weight"),
+}
+SEARCH_ROWS = {
+    "extra_trees": ((240, 4, 12, "balanced"), (240, 5, 20, "balanced_subsample"), (300, 7, 25, None)),
+    "random_forest": ((220, 4, 12, "balanced_subsample"), (220, 6, 20, "balanced"), (300, 7, 25, None)),
+    "lightgbm": ((120, 0.05, 15, 15, 0.75), (160, 0.04, 24, 25, 1.0), (200, 0.03, 31, 35, 1.25)),
+    "xgboost": ((120, 0.05, 2, 1.0, 0.75), (160, 0.04, 3, 3.0, 1.0), (200, 0.03, 4, 5.0, 1.25)),
+    "logistic": ((0.2, 0.2, "balanced"), (0.5, 0.5, "balanced"), (1.0, 0.8, None)),
+}
+
+
+def search_specs(families: Sequence[str] | None = None) -> list[tuple[str, str, str, dict]]:
+    """Specs of the small grids, as ``model_specs`` takes them."""
+    return [
+        (f"{family}_hpo{k:02d}", family, "classifier", dict(zip(SEARCH_NAMES[family], row)))
+        for family in families or SEARCH_ROWS for k, row in enumerate(SEARCH_ROWS[family], 1)
+    ]
+
+
 def pipeline_recipes(prescreens: DataFrame, sizes: DataFrame, models: DataFrame, *, stage: str = "round_1") -> DataFrame:
     """The cartesian space, numbered in the order of its three tables' ids: a product that is asked for, of small tables."""
     crossed = prescreens.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(models))

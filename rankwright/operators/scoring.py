@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS, profit, require_columns
 from .curves import best_point, profit_curve, ranked_curve
 from .metrics import roc_auc
+from .records import best_f1, random_baselines
 
 CONTEXT = ("outer_fold", "round_name")
 RECIPE = (*CONTEXT, "pipeline_recipe_id")
+#: Columns that say what a recipe is; the same on every row of it.
+NAMES = ("prescreen_recipe_id", "prescreen_name", "prescreen_methods", "rank_aggregation", "feature_recipe_id", "pipeline_recipe_id", "model_spec_id", "base_model_family", "model_kind", "model_params", "selected_features_text")
 REQUIRED = (*RECIPE, "inner_fold", "sample_index", "y_true", "score", "feature_size")
 
 
@@ -64,12 +67,18 @@ def inner_scores(predictions: DataFrame, *, cap: int = MAX_TARGETS, manifest: Da
         require_none(inconsistent_sizes(ok), "feature_size is not one whole number")
     keyed = ok.select(*RECIPE, F.col("sample_index").alias("id"), F.col("y_true").alias("y"), "score")
     point = best_point(profit_curve(keyed, RECIPE, features=0, cap=cap, zero=True), RECIPE)
-    meta = ok.groupBy(*RECIPE).agg(F.max("feature_size").cast("long").alias("feature_size"), F.count("*").alias("n"), F.count_distinct("inner_fold").alias("inner_folds"))
-    scored = point.join(meta, list(RECIPE)).join(roc_auc(keyed, RECIPE), list(RECIPE), "left")
+    names = [c for c in NAMES if c in predictions.columns and c not in RECIPE] + (["mean_duration_seconds"] if "duration_seconds" in predictions.columns else [])
+    meta = ok.groupBy(*RECIPE).agg(
+        F.max("feature_size").cast("long").alias("feature_size"), F.count("*").alias("n"), F.count_distinct("inner_fold").alias("inner_folds"),
+        *(F.avg("duration_seconds").alias(c) if c == "mean_duration_seconds" else F.min(c).alias(c) for c in names),
+    )
+    both = F.count_if(F.col("y") == 1) * F.count_if(F.col("y") == 0) > 0
+    f1 = best_f1(keyed, RECIPE, cap=cap).join(keyed.groupBy(*RECIPE).agg(both.alias("_both")), list(RECIPE)).select(*RECIPE, F.when(F.col("_both"), F.col("best_f1")).alias("f1_score"))
+    scored = point.join(meta, list(RECIPE)).join(roc_auc(keyed, RECIPE), list(RECIPE), "left").join(f1, list(RECIPE), "left")
     out = scored.select(
         *RECIPE, "feature_size", "n", "inner_folds", F.col("k").alias("oof_k"), F.col("business_score").alias("gross_score"),
         (F.col("feature_size") * FEATURE_COST).alias("feature_penalty"), (F.col("business_score") - F.col("feature_size") * FEATURE_COST).alias("oof_score"),
-        (F.col("k") / F.col("n").cast("double")).alias("contact_rate"), "threshold", "roc_auc",
+        (F.col("k") / F.col("n").cast("double")).alias("contact_rate"), "threshold", "roc_auc", "tp", "fp", "f1_score", *names,
     )
     if manifest is None:
         return out.withColumn("status", F.lit("ok"))
@@ -87,10 +96,28 @@ def from_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select(*(c for c in blocks.columns if c != "block"), F.inline("block"))
 
 
-def baselines(predictions: DataFrame, *, cap: int = MAX_TARGETS) -> DataFrame:
-    """baseline, business_score for each context: contacting the first ``cap`` samples at no feature or at one,
-    and, where there are more samples than ``cap``, contacting all of them, which the rules don't allow."""
-    samples = ok_rows(predictions).groupBy(*CONTEXT, "sample_index").agg(F.max("y_true").cast("long").alias("y"))
+def block_scores(blocks: DataFrame, *, cap: int = MAX_TARGETS, manifest: DataFrame | None = None, check: bool = True) -> DataFrame:
+    """``inner_scores`` of prediction blocks (one row a recipe and inner fold).  A recipe of which a block failed (status
+    "error") has a row of its own instead, with that status, the error and no score."""
+    failed = blocks.where("status = 'error'").groupBy(*RECIPE).agg(F.max("feature_size").cast("long").alias("feature_size"), F.min("error").alias("error"))
+    whole = blocks.join(failed.select(*RECIPE), list(RECIPE), "left_anti")
+    scores = inner_scores(from_blocks(whole.withColumn("status", F.lit("ok"))), cap=cap, manifest=manifest, check=check)
+    return scores.withColumn("error", F.lit(None).cast("string")).unionByName(failed.withColumn("status", F.lit("error")), allowMissingColumns=True)
+
+
+def baselines(predictions: DataFrame, *, cap: int = MAX_TARGETS, random_repeats: int = 0, seed: int = 42, manifest: DataFrame | None = None) -> DataFrame:
+    """One row for each context and baseline: contacting the first ``cap`` samples at no feature or at one, contacting all
+    of them, which the rules don't allow where there are more, and the best point of scores drawn at random.
+
+    With ``manifest`` (outer_fold, sample_index, y) labels come from it, not from the predictions.  Columns: baseline,
+    random_repeat, business_score, k, n, contact_rate, n_features, feature_penalty, gross_score, tp, fp, f1_score,
+    roc_auc_score, legal, status.
+    """
+    ok = ok_rows(predictions)
+    if manifest is None:
+        samples = ok.groupBy(*CONTEXT, "sample_index").agg(F.max("y_true").cast("long").alias("y"))
+    else:
+        samples = ok.select(*CONTEXT).distinct().join(manifest.select("outer_fold", "sample_index", F.col("y").cast("long").alias("y")).distinct(), "outer_fold").select(*CONTEXT, "sample_index", "y")
     order = F.row_number().over(Window.partitionBy(*CONTEXT).orderBy("sample_index"))
     # The first rows are picked apart from the totals, so that no window sees a whole context.
     first = samples.withColumn("r", order).where(F.col("r") <= cap).groupBy(*CONTEXT).agg(F.sum("y").alias("tp"), F.sum(1 - F.col("y")).alias("fp"))
@@ -98,43 +125,94 @@ def baselines(predictions: DataFrame, *, cap: int = MAX_TARGETS) -> DataFrame:
     every = samples.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.sum("y").alias("all_tp"), F.sum(1 - F.col("y")).alias("all_fp"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in CONTEXT]
     sums = every.join(first, same)
-    entry = lambda name, tp, fp, size, legal: F.struct(F.lit(name).alias("baseline"), profit(F.col(tp), F.col(fp), size).cast("long").alias("business_score"), F.lit(legal).alias("legal"))
+    entry = lambda name, tp, fp, size, legal: F.struct(F.lit(name).alias("baseline"), F.col(tp).alias("tp"), F.col(fp).alias("fp"), F.lit(size).alias("n_features"), F.lit(legal).alias("legal"))
     capped = F.array(entry("select_all_0", "tp", "fp", 0, True), entry("select_all_1", "tp", "fp", 1, True))
-    whole = F.when(F.col("n") > cap, F.array(entry("select_all_full", "all_tp", "all_fp", 0, False))).otherwise(F.slice(capped, 1, 0))
-    return sums.select(*CONTEXT, F.explode(F.concat(capped, whole)).alias("b")).select(*CONTEXT, "b.*")
+    whole = F.array(entry("select_all_full_0", "all_tp", "all_fp", 0, False), entry("select_all_full_1", "all_tp", "all_fp", 1, False))
+    rows = sums.select(*CONTEXT, "n", F.explode(F.concat(capped, F.when(F.col("n") > cap, whole).otherwise(F.slice(capped, 1, 0)))).alias("b")).select(*CONTEXT, "n", "b.*")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = rows.withColumns({"random_repeat": none("int"), "k": F.col("tp") + F.col("fp"), "f1_score": none("double"), "roc_auc_score": none("double")})
+    if random_repeats:
+        drawn = random_baselines(samples.withColumnRenamed("sample_index", "id"), CONTEXT, repeats=random_repeats, seed=seed, cap=cap)
+        rows = rows.unionByName(drawn.select(*CONTEXT, "n", F.lit("random_score").alias("baseline"), "tp", "fp", F.lit(0).alias("n_features"), F.lit(True).alias("legal"), "random_repeat", "k", "f1_score", "roc_auc_score"))
+    gross = profit(F.col("tp"), F.col("fp")).cast("long")
+    price = (F.col("n_features") * int(FEATURE_COST)).cast("long")
+    return rows.select(
+        *CONTEXT, "baseline", "random_repeat", (gross - price).alias("business_score"), F.col("k").cast("long").alias("k"), "n", (F.col("k") / F.col("n").cast("double")).alias("contact_rate"), "n_features",
+        price.alias("feature_penalty"), gross.alias("gross_score"), F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), "f1_score", "roc_auc_score", "legal",
+        F.when(F.col("legal"), "ok").otherwise("illegal_max_targets_exceeded").alias("status"),
+    )
 
 
 def with_baselines(scores: DataFrame, base: DataFrame, names: Sequence[str] = ("select_all_0", "select_all_1")) -> DataFrame:
     """Scores with <baseline>_business_score and beats_<baseline> (strictly) of their context."""
+    base = base.where(F.col("random_repeat").isNull() | (F.col("random_repeat") == 0))
     wide = base.groupBy(*CONTEXT).pivot("baseline", list(names)).agg(F.first("business_score"))
     joined = scores.join(F.broadcast(wide.toDF(*CONTEXT, *(f"{n}_business_score" for n in names))), list(CONTEXT), "left")
     return joined.withColumns({f"beats_{n}": F.col("oof_score") > F.col(f"{n}_business_score") for n in names})
 
 
 def aggregate_inner(scores: DataFrame, by: Sequence[str], *, score: str = "oof_score") -> DataFrame:
-    """Mean, median, least, greatest and spread of the scores by recipe, ranked within the outer fold."""
+    """Scores of recipes over inner folds or contexts, with inner_selection_rank within the outer fold.
+
+    Pooled scores (no ``inner_fold`` column) are ranked by mean score, mean AUC and size; those that miss predictions
+    or folds are left out.  Scores of single inner folds are ranked by mean, median and least score and size.
+    Other columns that are known (k, F1, contact rate, gross score, penalty, baselines, names) are carried on as means
+    or, for names, as those of the first row.  Ties go by the keys.
+    """
+    pooled = "inner_fold" not in scores.columns
     ok = scores.where((F.col("status") == "ok") & F.col(score).isNotNull())
     for key in by:
         ok = ok.where(F.col(key).isNotNull())
+    for gap in ("missing_samples", "missing_folds"):
+        if pooled and gap in scores.columns:
+            ok = ok.where(F.col(gap) == 0)
     value = F.col(score).cast("double")
+    folds = F.count("*") if pooled else F.count_distinct("inner_fold")
     stats = ok.groupBy(*by).agg(
-        F.count("*").alias("runs"), F.avg(value).alias("mean_score"), F.median(value).alias("median_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"),
-        F.stddev_samp(value).alias("std_score"), F.max("feature_size").cast("long").alias("feature_size"), F.avg("roc_auc").alias("mean_roc_auc"),
+        folds.alias("runs"), F.avg(value).alias("mean_score"), F.median(value).alias("median_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"),
+        F.stddev_samp(value).alias("std_score"), F.max("feature_size").cast("long").alias("feature_size"), *([F.avg("roc_auc").alias("mean_roc_auc")] if "roc_auc" in scores.columns else []),
+        *([F.min("inner_folds").alias("inner_folds")] if "inner_folds" in scores.columns else []),
+        *_means(scores, {"oof_k": "mean_k", "k": "mean_k", "f1_score": "mean_f1", "contact_rate": "mean_contact_rate", "gross_score": "mean_gross_score", "feature_penalty": "mean_feature_penalty"}),
+        *_shares(scores), *_firsts(scores, by),
     )
     groups = ["outer_fold"] if "outer_fold" in by else []
-    order = [F.desc_nulls_last("mean_score"), F.desc_nulls_last("median_score"), F.asc_nulls_last("feature_size"), *(F.asc(k) for k in by)]
+    keys = ["mean_score", "mean_roc_auc"] if pooled else ["mean_score", "median_score", "min_score"]
+    order = [*(F.desc_nulls_last(k) for k in keys if k in stats.columns), F.asc_nulls_last("feature_size"), *(F.asc(k) for k in by)]
     return stats.withColumn("inner_selection_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
 
 
+def _means(scores: DataFrame, wanted: Mapping[str, str]) -> list:
+    found = {}
+    for column, name in wanted.items():
+        if column in scores.columns and name not in found:
+            found[name] = F.avg(F.col(column).cast("double")).alias(name)
+    return list(found.values())
+
+
+def _shares(scores: DataFrame) -> list:
+    """Mean of the scores of baselines, and the share of rows that beat each."""
+    return [
+        *(F.avg(F.col(c).cast("double")).alias(c) for c in scores.columns if c.endswith("_business_score") and c.startswith(("select_all", "random"))),
+        *(F.avg(F.col(c).cast("double")).alias(f"share_{c}") for c in scores.columns if c.startswith("beats_")),
+    ]
+
+
+def _firsts(scores: DataFrame, by: Sequence[str]) -> list:
+    return [F.min(c).alias(c) for c in NAMES if c in scores.columns and c not in by]
+
+
 def aggregate_outer(scores: DataFrame, by: Sequence[str] = ("recipe_config_id",)) -> DataFrame:
-    """Statistics of the outer folds by configuration, best first with outer_config_rank."""
+    """Statistics of the outer folds by configuration, best first with outer_config_rank: by mean and median score,
+    number of folds, spread and size, ties by the keys."""
     ok = scores.where((F.col("status") == "ok") & F.col("business_score").isNotNull())
-    value = F.col("business_score").cast("double")
+    value, k = F.col("business_score").cast("double"), F.col("k").cast("double")
     stats = ok.groupBy(*by).agg(
         F.count_distinct("outer_fold").alias("outer_folds"), F.avg(value).alias("mean_score"), F.median(value).alias("median_score"), F.min(value).alias("min_score"), F.max(value).alias("max_score"),
-        F.stddev_samp(value).alias("std_score"), F.avg(F.col("k").cast("double")).alias("mean_k"), F.max("feature_size").cast("long").alias("feature_size"),
+        F.stddev_samp(value).alias("std_score"), F.avg(k).alias("mean_k"), F.median(k).alias("median_k"), F.max("feature_size").cast("long").alias("feature_size"),
+        *_means(scores, {"f1_score": "mean_f1", "roc_auc": "mean_roc_auc", "inner_oof_score": "mean_inner_score", "inner_selection_rank": "mean_inner_rank"}),
+        *([F.median(F.col("selected_feature_count").cast("double")).alias("selected_feature_count")] if "selected_feature_count" in scores.columns else []), *_firsts(scores, by),
     )
-    order = [F.desc_nulls_last("mean_score"), F.desc_nulls_last("min_score"), F.asc_nulls_last("std_score"), F.asc_nulls_last("feature_size"), *(F.asc(k) for k in by)]
+    order = [*(F.desc_nulls_last(c) for c in ("mean_score", "median_score", "outer_folds")), F.asc_nulls_last("std_score"), F.asc_nulls_last("feature_size"), *(F.asc(c) for c in by)]
     return stats.withColumn("outer_config_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # one row a configuration
 
 

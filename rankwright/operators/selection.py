@@ -40,21 +40,26 @@ def suffix_join(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str])
     return left.join(right, key, "left")
 
 
-def top_recipes(aggregated: DataFrame, *, top: int, least_folds: int = 1) -> DataFrame:
+def top_recipes(aggregated: DataFrame, *, top: int, least_folds: int = 1, runs: str = "runs") -> DataFrame:
     """The best ``top`` of each outer fold; recipes with too few runs go after the ranking, so ranks may have gaps."""
     order = Window.partitionBy("outer_fold").orderBy("inner_selection_rank")
-    kept = aggregated.where(F.col("runs") >= least_folds)
+    kept = aggregated.where(F.col(runs) >= least_folds)
     return kept.withColumn("selected_rank", F.row_number().over(order).cast("long")).where(F.col("selected_rank") <= top)
 
 
-def global_candidates(aggregated: DataFrame, by: Sequence[str], folds: DataFrame, *, top: int = 20, least_runs: int = 5, most_features: int | None = None) -> DataFrame:
-    """The best configurations over all folds, repeated for each of ``folds`` (outer_fold)."""
-    kept = aggregated.where(F.col("runs") >= least_runs)
+def global_candidates(scores: DataFrame, by: Sequence[str], folds: DataFrame, *, top: int = 20, least_runs: int = 5, most_features: int | None = None) -> DataFrame:
+    """The best configurations over all outer folds (outer_fold, mean_score, runs, feature_size, ...), repeated for each
+    of ``folds`` (outer_fold): by mean and least score, number of folds, size and AUC, ties by the keys."""
+    kept = scores.where(F.col("runs") >= least_runs)
     if most_features is not None:
         kept = kept.where(F.col("feature_size") <= most_features)
     value = F.col("mean_score")
-    stats = kept.groupBy(*by).agg(F.avg(value).alias("global_mean"), F.median(value).alias("global_median"), F.min(value).alias("global_min"), F.max(value).alias("global_max"), F.max("feature_size").cast("long").alias("feature_size"))
-    order = [F.desc("global_mean"), F.desc("global_median"), F.desc("global_min"), F.asc("feature_size"), *(F.asc(k) for k in by)]
+    auc = F.avg("mean_roc_auc") if "mean_roc_auc" in scores.columns else F.lit(None).cast("double")
+    stats = kept.groupBy(*by).agg(
+        F.avg(value).alias("global_mean"), F.median(value).alias("global_median"), F.min(value).alias("global_min"), F.max(value).alias("global_max"),
+        F.max("feature_size").cast("long").alias("feature_size"), F.count_distinct("outer_fold").alias("outer_folds"), auc.alias("global_roc_auc"),
+    )
+    order = [*(F.desc_nulls_last(c) for c in ("global_mean", "global_min", "outer_folds")), F.asc_nulls_last("feature_size"), F.desc_nulls_last("global_roc_auc"), *(F.asc(k) for k in by)]
     best = stats.orderBy(*order).limit(top).withColumn("global_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return best.crossJoin(F.broadcast(folds.select("outer_fold").distinct()))
 
@@ -69,18 +74,22 @@ def stable_configurations(summary: DataFrame, *, top: int = 10, least_folds: int
 
 
 def cost_aware_configurations(
-    summary: DataFrame, *, top: int, least_folds: int, most_features: int, fallback_folds: int = 1, exact_folds: int | None = None, incomplete: bool = True
+    summary: DataFrame, *, top: int, least_folds: int, most_features: int | None = None, fallback_folds: int = 1, exact_folds: bool = False, incomplete: bool = True
 ) -> DataFrame:
-    """Three tiers, each in rank order, until ``top`` are found: enough folds and few features; fewer folds; more features."""
-    folds = (F.col("outer_folds") == exact_folds) if exact_folds is not None else (F.col("outer_folds") >= least_folds)
-    cheap = F.col("feature_size") <= most_features
-    tier = F.when(folds & cheap, 1)
+    """Up to ``top`` configurations in tiers: few features and enough folds (or exactly that many); then, only if
+    ``incomplete`` is allowed, few features and ``fallback_folds``, then whatever is left.
+
+    Within a tier they go by mean and least score, number of folds, size and id.
+    """
+    cheap = F.col("feature_size") <= most_features if most_features is not None else F.lit(True)
+    folds = F.col("outer_folds") == least_folds if exact_folds else F.col("outer_folds") >= least_folds
+    tier = F.when(cheap & folds, 1)
     if incomplete:
-        tier = tier.when((F.col("outer_folds") >= fallback_folds) & cheap, 2)
-    tier = tier.when(folds, 3)
-    ranked = summary.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    best = ranked.orderBy("tier", "outer_config_rank").limit(top)
-    return best.withColumn("finalist_rank", F.row_number().over(Window.orderBy("tier", "outer_config_rank")).cast("long"))
+        tier = tier.when(cheap & (F.col("outer_folds") >= fallback_folds), 2).otherwise(3)
+    note = F.element_at(F.array(F.lit("primary"), F.lit("fewer_folds"), F.lit("any_size")), F.col("tier"))
+    order = [F.col("tier"), *(F.desc_nulls_last(c) for c in ("mean_score", "min_score", "outer_folds")), F.asc_nulls_last("feature_size"), F.asc("recipe_config_id")]
+    best = summary.withColumn("tier", tier).where(F.col("tier").isNotNull()).orderBy(*order).limit(top)
+    return best.withColumn("selection_note", note).withColumn("finalist_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def candidate_pools(scores: DataFrame, rankings: DataFrame, *, top: int = 60, pools: int = 6, include: Sequence[str] = ()) -> DataFrame:

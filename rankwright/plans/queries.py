@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import curves, features, folds, metrics, models, rankings, recipes, scoring, selection
+from ..operators import curves, features, folds, metrics, models, pipelines, rankings, recipes, scoring, selection
 from .frames import (
     LONG, METHODS, ORDERS, PREDICTIONS, PROBABILITY, RANKED, RAW, by_probability, embedding_long, embedding_rows, predictions, raw_rankings, scored_orders, table,
 )
@@ -89,9 +89,10 @@ def profit_curve_effective_k(spark, d):
 
 
 @query(f"""WITH {ORDERS}, {_curve_sql('s', 500)}, n AS (SELECT count(*) AS n FROM s)
-SELECT k, tp, fp, threshold, CAST(10 * tp - 5 * fp AS DOUBLE) AS gross, round(n / 1000.0::DOUBLE, 6) AS scale, round(CAST(10 * tp - 5 * fp AS DOUBLE) - 400 * (n / 1000.0::DOUBLE), 6) AS scaled_score FROM c, n""")
+SELECT k, tp, fp, threshold, round((10 * tp - 5 * fp) * (n / 1000.0::DOUBLE), 6) AS gross, round(n / 1000.0::DOUBLE, 6) AS scale, round((10 * tp - 5 * fp - 400) * (n / 1000.0::DOUBLE), 6) AS scaled_score,
+  round((10 * tp - 5 * fp) * (n / 1000.0::DOUBLE) - 400, 6) AS unscaled_cost_score FROM c, n""")
 def scaled_curve(spark, d):
-    return _six(curves.scaled_curve(scored_orders(spark, d), features=2, cap=500), "scale", "scaled_score")
+    return _six(curves.scaled_curve(scored_orders(spark, d), features=2, cap=500), "gross", "scale", "scaled_score", "unscaled_cost_score")
 
 
 @query(f"""WITH {ORDERS}, {_curve_sql('s', 1000, 'grp')}, a AS (SELECT unnest([0, 10, 100, 500]) AS asked_k),
@@ -312,8 +313,8 @@ def weighted_ranking(spark, d):
 
 
 @query(f"""WITH {RANKED}, t AS (SELECT method, rank_score FROM nr QUALIFY row_number() OVER (PARTITION BY method ORDER BY rank, feature) <= 25), v AS (SELECT method, avg(CAST(rank_score AS DOUBLE)) AS value FROM t GROUP BY method),
-w AS (SELECT method, greatest(value - min(value) OVER (), 0.05 * greatest(avg(value) OVER () - min(value) OVER (), 1.0)) AS w, max(value) OVER () = min(value) OVER () AS flat, count(*) OVER () AS m FROM v)
-SELECT method, round(CASE WHEN flat THEN 1.0 / m ELSE w / sum(w) OVER () END, 6) AS weight FROM w""")
+h AS (SELECT method, CASE WHEN max(value) OVER () = min(value) OVER () THEN 1.0::DOUBLE ELSE value - min(value) OVER () END AS h FROM v),
+w AS (SELECT method, h + 0.05::DOUBLE * greatest(avg(h) OVER (), 1.0::DOUBLE) AS w FROM h) SELECT method, round(w / sum(w) OVER (), 6) AS weight FROM w""")
 def train_only_weights(spark, d):
     return _six(rankings.train_only_weights(long_rankings(spark, d)), "weight")
 
@@ -406,12 +407,13 @@ _KEYS = "outer_fold, round_name, pipeline_recipe_id"
 _INNER = f"""{PREDICTIONS}, ky AS (SELECT {_KEYS}, sample_index AS id, y_true AS y, score FROM pr), {_curve_sql('ky', 1000, _KEYS)}, {_zero_sql('ky', _KEYS)},
 pt AS (SELECT *, 10 * tp - 5 * fp AS gross FROM c0 QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY 10 * tp - 5 * fp DESC, k) = 1),
 mt AS (SELECT {_KEYS}, max(feature_size) AS feature_size, count(*) AS n, count(DISTINCT inner_fold) AS inner_folds FROM pr GROUP BY {_KEYS}), {_auc_sql('ky', _KEYS)},
+f1 AS (SELECT {_KEYS}, max(coalesce(2.0::DOUBLE * tp / nullif(k + pos, 0), 0)) FILTER (WHERE pos > 0 AND neg > 0) AS f1_score FROM c JOIN (SELECT {_KEYS}, sum(y) AS pos, sum(1 - y) AS neg FROM ky GROUP BY {_KEYS}) USING ({_KEYS}) GROUP BY {_KEYS}),
 sc AS (SELECT {_KEYS}, feature_size, n, inner_folds, k AS oof_k, CAST(gross AS BIGINT) AS gross_score, feature_size * 200 AS feature_penalty, CAST(gross - feature_size * 200 AS BIGINT) AS oof_score,
-  round(CAST(k AS DOUBLE) / n, 6) AS contact_rate, threshold, round(roc_auc, 6) AS roc_auc, 'ok' AS status FROM pt JOIN mt USING ({_KEYS}) LEFT JOIN auc USING ({_KEYS}))"""
+  round(CAST(k AS DOUBLE) / n, 6) AS contact_rate, threshold, round(roc_auc, 6) AS roc_auc, tp, fp, round(f1_score, 6) AS f1_score, 'ok' AS status FROM pt JOIN mt USING ({_KEYS}) LEFT JOIN auc USING ({_KEYS}) LEFT JOIN f1 USING ({_KEYS}))"""
 
 
 def _scores(spark, d) -> DataFrame:
-    return _six(scoring.inner_scores(predictions(spark, d), check=False), "contact_rate", "roc_auc")
+    return _six(scoring.inner_scores(predictions(spark, d), check=False), "contact_rate", "roc_auc", "f1_score")
 
 
 @query(f"WITH {_INNER} SELECT * FROM sc")
@@ -421,13 +423,16 @@ def inner_oof_scores(spark, d):
 
 _BASE = f"""{PREDICTIONS}, sm AS (SELECT outer_fold, round_name, sample_index, max(y_true) AS y FROM pr GROUP BY ALL), rn AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, round_name ORDER BY sample_index) AS r FROM sm),
 t AS (SELECT outer_fold, round_name, count(*) AS n, coalesce(sum(y) FILTER (WHERE r <= 1000), 0) AS tp, coalesce(sum(1 - y) FILTER (WHERE r <= 1000), 0) AS fp, sum(y) AS atp, sum(1 - y) AS afp FROM rn GROUP BY ALL),
-bl AS (SELECT outer_fold, round_name, 'select_all_0' AS baseline, CAST(10 * tp - 5 * fp AS BIGINT) AS business_score, true AS legal FROM t UNION ALL SELECT outer_fold, round_name, 'select_all_1', CAST(10 * tp - 5 * fp - 200 AS BIGINT), true FROM t
-UNION ALL SELECT outer_fold, round_name, 'select_all_full', CAST(10 * atp - 5 * afp AS BIGINT), false FROM t WHERE n > 1000)"""
+v AS (SELECT * FROM (VALUES ('select_all_0', 0, true), ('select_all_1', 1, true), ('select_all_full_0', 0, false), ('select_all_full_1', 1, false)) v(baseline, n_features, legal)),
+b0 AS (SELECT outer_fold, round_name, baseline, n, n_features, legal, CASE WHEN legal THEN tp ELSE atp END AS tp, CASE WHEN legal THEN fp ELSE afp END AS fp FROM t, v WHERE legal OR n > 1000),
+bl AS (SELECT outer_fold, round_name, baseline, CAST(NULL AS INTEGER) AS random_repeat, CAST(10 * tp - 5 * fp - 200 * n_features AS BIGINT) AS business_score, CAST(tp + fp AS BIGINT) AS k, n, round(CAST(tp + fp AS DOUBLE) / n, 6) AS contact_rate, n_features,
+  CAST(200 * n_features AS BIGINT) AS feature_penalty, CAST(10 * tp - 5 * fp AS BIGINT) AS gross_score, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(NULL AS DOUBLE) AS f1_score, CAST(NULL AS DOUBLE) AS roc_auc_score, legal,
+  CASE WHEN legal THEN 'ok' ELSE 'illegal_max_targets_exceeded' END AS status FROM b0)"""
 
 
 @query(f"WITH {_BASE} SELECT * FROM bl")
 def select_all_baselines(spark, d):
-    return scoring.baselines(predictions(spark, d))
+    return _six(scoring.baselines(predictions(spark, d)), "contact_rate")
 
 
 @query(
@@ -440,12 +445,13 @@ def baseline_merge(spark, d):
 
 
 _AGGREGATED = f"""{_INNER}, ag AS (SELECT outer_fold, pipeline_recipe_id, count(*) AS runs, avg(CAST(oof_score AS DOUBLE)) AS mean_score, median(CAST(oof_score AS DOUBLE)) AS median_score, min(CAST(oof_score AS DOUBLE)) AS min_score,
-max(CAST(oof_score AS DOUBLE)) AS max_score, stddev_samp(CAST(oof_score AS DOUBLE)) AS std_score, max(feature_size) AS feature_size, round(avg(roc_auc), 6) AS mean_roc_auc FROM sc GROUP BY outer_fold, pipeline_recipe_id),
-ar AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY mean_score DESC, median_score DESC, feature_size, outer_fold, pipeline_recipe_id) AS inner_selection_rank FROM ag)"""
+max(CAST(oof_score AS DOUBLE)) AS max_score, stddev_samp(CAST(oof_score AS DOUBLE)) AS std_score, max(feature_size) AS feature_size, round(avg(roc_auc), 6) AS mean_roc_auc,
+min(inner_folds) AS inner_folds, avg(CAST(oof_k AS DOUBLE)) AS mean_k, round(avg(f1_score), 6) AS mean_f1, round(avg(contact_rate), 6) AS mean_contact_rate, avg(CAST(gross_score AS DOUBLE)) AS mean_gross_score, avg(CAST(feature_penalty AS DOUBLE)) AS mean_feature_penalty FROM sc GROUP BY outer_fold, pipeline_recipe_id),
+ar AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY mean_score DESC, mean_roc_auc DESC, feature_size, outer_fold, pipeline_recipe_id) AS inner_selection_rank FROM ag)"""
 
 
 def _aggregated(spark, d) -> DataFrame:
-    return _six(scoring.aggregate_inner(_scores(spark, d), ["outer_fold", "pipeline_recipe_id"]), "mean_roc_auc")
+    return _six(scoring.aggregate_inner(_scores(spark, d), ["outer_fold", "pipeline_recipe_id"]), "mean_roc_auc", "mean_contact_rate", "mean_f1")
 
 
 @query(f"WITH {_AGGREGATED} SELECT * FROM ar")
@@ -458,12 +464,13 @@ def top_recipes(spark, d):
     return selection.top_recipes(_aggregated(spark, d), top=2).select("outer_fold", "pipeline_recipe_id", "selected_rank")
 
 
-@query(f"""WITH {_AGGREGATED}, g AS (SELECT pipeline_recipe_id, avg(mean_score) AS global_mean, median(mean_score) AS global_median, min(mean_score) AS global_min, max(mean_score) AS global_max, max(feature_size) AS feature_size FROM ar GROUP BY pipeline_recipe_id),
-t AS (SELECT *, row_number() OVER (ORDER BY global_mean DESC, global_median DESC, global_min DESC, feature_size, pipeline_recipe_id) AS global_rank FROM g QUALIFY global_rank <= 2)
+@query(f"""WITH {_AGGREGATED}, g AS (SELECT pipeline_recipe_id, avg(mean_score) AS global_mean, median(mean_score) AS global_median, min(mean_score) AS global_min, max(mean_score) AS global_max, max(feature_size) AS feature_size,
+  count(DISTINCT outer_fold) AS outer_folds, round(avg(mean_roc_auc), 6) AS global_roc_auc FROM ar GROUP BY pipeline_recipe_id),
+t AS (SELECT *, row_number() OVER (ORDER BY global_mean DESC, global_min DESC, outer_folds DESC, feature_size, global_roc_auc DESC, pipeline_recipe_id) AS global_rank FROM g QUALIFY global_rank <= 2)
 SELECT t.*, outer_fold FROM t, (SELECT DISTINCT outer_fold FROM ar)""")
 def global_candidates(spark, d):
     a = _aggregated(spark, d)
-    return selection.global_candidates(a, ["pipeline_recipe_id"], a, top=2, least_runs=1)
+    return _six(selection.global_candidates(a, ["pipeline_recipe_id"], a, top=2, least_runs=1), "global_roc_auc")
 
 
 @query(f"WITH {_AGGREGATED} SELECT outer_fold, pipeline_recipe_id, feature_size FROM ar WHERE (outer_fold, feature_size) IN ((1, 1), (2, 2))")
@@ -490,8 +497,8 @@ def rate_matched_rescore(spark, d):
 
 
 _OUTER_AGG = f"""{_OUTER}, oa AS (SELECT recipe_config_id, count(DISTINCT outer_fold) AS outer_folds, avg(business_score) AS mean_score, median(business_score) AS median_score, min(business_score) AS min_score, max(business_score) AS max_score,
-round(stddev_samp(business_score), 6) AS std_score, avg(CAST(k AS DOUBLE)) AS mean_k, max(feature_size) AS feature_size FROM ob GROUP BY recipe_config_id),
-oz AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, min_score DESC, std_score, feature_size, recipe_config_id) AS outer_config_rank FROM oa)"""
+round(stddev_samp(business_score), 6) AS std_score, avg(CAST(k AS DOUBLE)) AS mean_k, median(CAST(k AS DOUBLE)) AS median_k, max(feature_size) AS feature_size FROM ob GROUP BY recipe_config_id),
+oz AS (SELECT *, row_number() OVER (ORDER BY mean_score DESC, median_score DESC, outer_folds DESC, std_score, feature_size, recipe_config_id) AS outer_config_rank FROM oa)"""
 
 
 def _summary(spark, d) -> DataFrame:
@@ -508,7 +515,8 @@ def stable_configs(spark, d):
     return selection.stable_configurations(_summary(spark, d), top=3).select("recipe_config_id", "finalist_rank", "selection_note")
 
 
-@query(f"""WITH {_OUTER_AGG}, t AS (SELECT *, CASE WHEN feature_size <= 1 THEN 1 ELSE 3 END AS tier FROM oz), fz AS (SELECT recipe_config_id, tier, row_number() OVER (ORDER BY tier, outer_config_rank) AS finalist_rank FROM t)
+@query(f"""WITH {_OUTER_AGG}, t AS (SELECT *, CASE WHEN feature_size <= 1 THEN 1 ELSE 3 END AS tier FROM oz),
+fz AS (SELECT recipe_config_id, tier, row_number() OVER (ORDER BY tier, mean_score DESC, min_score DESC, outer_folds DESC, feature_size, recipe_config_id) AS finalist_rank FROM t)
 SELECT * FROM fz WHERE finalist_rank <= 3""")
 def cost_aware_configs(spark, d):
     return selection.cost_aware_configurations(_summary(spark, d), top=3, least_folds=2, most_features=1).select("recipe_config_id", "tier", "finalist_rank")
@@ -622,27 +630,27 @@ def feature_frequency(spark, d):
 
 
 @query(f"""WITH {_INNER}, v AS (SELECT pipeline_recipe_id AS method, max(CAST(oof_score AS DOUBLE)) AS value FROM sc GROUP BY 1),
-w AS (SELECT method, greatest(value - min(value) OVER (), 0.05 * greatest(avg(value) OVER () - min(value) OVER (), 1.0)) AS w, max(value) OVER () = min(value) OVER () AS flat, count(*) OVER () AS m FROM v)
-SELECT method, round(CASE WHEN flat THEN 1.0 / m ELSE w / sum(w) OVER () END, 6) AS weight FROM w""")
+h AS (SELECT method, CASE WHEN max(value) OVER () = min(value) OVER () THEN 1.0::DOUBLE ELSE value - min(value) OVER () END AS h FROM v),
+w AS (SELECT method, h + 0.05::DOUBLE * greatest(avg(h) OVER (), 1.0::DOUBLE) AS w FROM h) SELECT method, round(w / sum(w) OVER (), 6) AS weight FROM w""")
 def weights_from_scores(spark, d):
     return _six(rankings.weights_from_scores(_scores(spark, d).withColumnRenamed("pipeline_recipe_id", "method"), score="oof_score"), "weight")
 
 
-@query(f"""WITH {RANKED}, a AS (SELECT DISTINCT 'ps_mean_000' || CAST(g AS VARCHAR) AS r, m AS method FROM (VALUES (1, 'variance'), (2, 'peak'), (3, 'centre'), (4, 'variance'), (4, 'peak'), (5, 'variance'), (5, 'centre'), (6, 'peak'), (6, 'centre'),
-(7, 'variance'), (7, 'peak'), (7, 'centre')) t(g, m)), e AS (SELECT r, feature, round(avg(CAST(rank_score AS DOUBLE)), 9) AS es, round(avg(rank), 9) AS mr FROM nr JOIN a ON nr.method = a.method GROUP BY r, feature)
-SELECT r AS prescreen_recipe_id, count(*) AS features, round(max(es), 6) AS best_score, round(min(es), 6) AS worst_score FROM e GROUP BY r""")
-def materialized_rankings(spark, d):
-    from ..operators import pipelines
+_MATERIALISED = f"""{RANKED}, mt AS (SELECT method, avg(CAST(rank_score AS DOUBLE)) AS value FROM (SELECT * FROM nr QUALIFY row_number() OVER (PARTITION BY method ORDER BY rank_score DESC, feature) <= 25) GROUP BY method),
+a AS (SELECT 'ps_mean_000' || CAST(g AS VARCHAR) AS r, m AS method, 1.0::DOUBLE AS share FROM (VALUES (1, 'variance'), (2, 'peak'), (3, 'centre'), (4, 'variance'), (4, 'peak'), (5, 'variance'), (5, 'centre'), (6, 'peak'), (6, 'centre'),
+(7, 'variance'), (7, 'peak'), (7, 'centre')) t(g, m) UNION ALL SELECT r, method, h + 0.05 * greatest(avg(h) OVER (PARTITION BY r), 1.0) FROM (SELECT r, method, CASE WHEN max(value) OVER () = min(value) OVER () THEN 1.0::DOUBLE ELSE value - min(value) OVER () END AS h
+FROM mt, (VALUES ('ps_adaptive_weighted'), ('ps_adaptive_top3')) u(r))), w AS (SELECT r, method, share / sum(share) OVER (PARTITION BY r) AS share FROM a),
+e AS (SELECT r, feature, sum(share * CAST(rank_score AS DOUBLE)) AS es, sum(share * rank) AS mr FROM nr JOIN w ON nr.method = w.method GROUP BY r, feature)"""
+
 
-    space = recipes.prescreen_recipes(spark, METHODS).where("NOT adaptive")
-    whole = pipelines.materialised_rankings(long_rankings(spark, d), space)
-    return _six(whole.groupBy("prescreen_recipe_id").agg(F.count("*").alias("features"), F.max("ensemble_score").alias("best_score"), F.min("ensemble_score").alias("worst_score")), "best_score", "worst_score")
+@query(f"WITH {_MATERIALISED} SELECT r AS prescreen_recipe_id, feature, round(es, 6) AS ensemble_score, round(mr, 6) AS mean_rank FROM e")
+def materialized_rankings(spark, d):
+    whole = pipelines.materialised_rankings(long_rankings(spark, d), recipes.prescreen_recipes(spark, METHODS))
+    return _six(whole, "ensemble_score", "mean_rank").drop("order")
 
 
 @query()
 def fold_candidates(spark, d):
-    from ..operators import pipelines
-
     return pipelines.fold_candidates(long_rankings(spark, d), recipes.prescreen_recipes(spark, METHODS), [1, 3, 5, 10])
 
 
@@ -679,28 +687,15 @@ def corr_pairs(spark, d):
     return _six(features.correlated_pairs(embedding_rows(spark, d), "features", size=64, least=0.05), "corr")
 
 
-@query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY feature) SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature WHERE l.feature IN ('var_0', 'var_7')")
-def standardised(spark, d):
-    long = embedding_long(spark, d).where("feature IN ('var_0', 'var_7')").drop("y")
-    return features.standardised(long).withColumn("value", F.round("value", 4))
-
-
-@query(f"""WITH {LONG}, m AS (SELECT feature, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS s FROM l GROUP BY feature)
-SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature WHERE l.feature IN ('var_0', 'var_7')""")
-def robust_scaled(spark, d):
-    long = embedding_long(spark, d).where("feature IN ('var_0', 'var_7')").drop("y")
-    return features.robust_scaled(long).withColumn("value", F.round("value", 4))
-
-
 @query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY feature) SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature")
-def standardised_all_features(spark, d):
+def standardised(spark, d):
     return features.standardised(embedding_long(spark, d).drop("y")).withColumn("value", F.round("value", 4))
 
 
 @query(f"""WITH {LONG}, m AS (SELECT feature, median(value) AS m, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS s FROM l GROUP BY feature),
 v AS (SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature)
 SELECT id, feature, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM v""")
-def robust_scaled_all_features(spark, d):
+def robust_scaled(spark, d):
     return features.robust_scaled(embedding_long(spark, d).drop("y")).withColumn("value", F.round("value", 4))
 
 
@@ -745,33 +740,29 @@ def config_ids(spark, d):
 # --- estimators: no SQL gives their numbers ---------------------------------------------------------------------------
 
 
-def _train(spark, d) -> DataFrame:
-    return embedding_rows(spark, d).withColumn("features", F.slice("features", 1, 8))
-
-
 @query()
 def oof_logistic_curve(spark, d):
-    df = _train(spark, d)
+    df = embedding_rows(spark, d)
     scores = models.out_of_fold(df, folds.outer_folds(df, n_splits=3), models.logistic(c=0.1))
-    return curves.profit_curve(scores, features=8, cap=200, zero=True)
+    return curves.profit_curve(scores, features=64, cap=200, zero=True)
 
 
 @query()
 def oof_calibrated_points(spark, d):
-    df = _train(spark, d)
+    df = embedding_rows(spark, d)
     scores = models.out_of_fold(df, folds.outer_folds(df, n_splits=3), models.logistic(c=0.1)).select("id", "y", "score")
-    return curves.effective_point(models.calibrated(scores, scores), features=8, cap=200)
+    return curves.effective_point(models.calibrated(scores, scores), features=64, cap=200)
 
 
 @query()
 def extra_trees_targets(spark, d):
-    df = _train(spark, d)
+    df = embedding_rows(spark, d)
     return models.select_and_score(df.where("id % 2 = 0"), df.where("id % 2 = 1"), models.extra_trees(trees=32), k=100)
 
 
 @query()
 def kmeans_segment_targets(spark, d):
-    df = _train(spark, d)
+    df = embedding_rows(spark, d)
     train, test = models.kmeans_clusters(df.where("id % 2 = 0"), df.where("id % 2 = 1"), k=4, restarts=2)
     scored = models.per_cluster_scores(train, test, models.logistic(c=0.1), models.logistic(c=0.1))
     return selection.top_targets(scored, 100)
@@ -779,7 +770,7 @@ def kmeans_segment_targets(spark, d):
 
 @query()
 def fan_out_blocks(spark, d):
-    df = _train(spark, d)
+    df = embedding_rows(spark, d)
     fold = df.join(folds.outer_folds(df, n_splits=3).withColumnRenamed("outer_fold", "fold"), "id")
     tasks = spark.createDataFrame([(t, f, p) for t, p in enumerate(([0], [0, 1], [0, 1, 2, 3])) for f in (1, 2, 3)], "task_id long, fold int, places array<int>")
     return scoring.from_blocks(models.evaluate_tasks(fold, tasks, trees=10))

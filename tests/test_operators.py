@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankwright.functions import parsing, ranges, shared
-from rankwright.operators import curves, features, folds, metrics, models, rankings, recipes, scoring, selection
+from rankwright.operators import curves, features, folds, metrics, models, rankings, recipes, records, scoring, search, selection
 from rankwright.sources import tables
 from rankwright.streaming.predictions import absorb_predictions
 
@@ -43,11 +43,41 @@ def test_business_scores(spark):
 def test_scaled_curve(spark):
     s = scored(spark, [1, 1, 0, 0, 0], [0.95, 0.9, 0.4, 0.3, 0.2])
     best = only(curves.best_point(curves.scaled_curve(s, features=2, cap=3, reference_rows=10), score="scaled_score"))
-    assert (best.k, best.scale, best.gross, best.scaled_score) == (2, 0.5, 20.0, -180.0)
+    assert (best.k, best.scale, best.gross, best.scaled_score, best.unscaled_cost_score) == (2, 0.5, 10.0, -190.0, -390.0)
+    none = only(curves.scaled_curve(s, features=2, cap=0, reference_rows=10))
+    assert (none.k, none.gross, none.scaled_score, none.unscaled_cost_score) == (0, 0.0, -200.0, -400.0)
     with pytest.raises(ValueError):
         curves.scaled_curve(s, features=1, reference_rows=0)
 
 
+def test_orders_of_aggregated_scores(spark):
+    inner = spark.createDataFrame([("ok", 1, 1, "a", 10.0), ("ok", 1, 2, "a", 20.0), ("ok", 1, 1, "b", 25.0), ("error", 1, 2, "b", None)], "status string, outer_fold int, inner_fold int, recipe string, score double")
+    inner = inner.withColumn("feature_size", F.lit(3))
+    ranked = scoring.aggregate_inner(inner, ["outer_fold", "recipe"], score="score").orderBy("inner_selection_rank").collect()
+    assert [(r.recipe, r.runs) for r in ranked] == [("b", 1), ("a", 2)]
+    # Pooled scores: of equal means the higher AUC goes first whatever the size; those that miss predictions go.
+    pooled = spark.createDataFrame([("a", 5.0, 0.6, 1, 0), ("b", 5.0, 0.7, 9, 0), ("c", 9.0, 0.9, 1, 2)], "recipe string, oof_score double, roc_auc double, feature_size int, missing_samples int").withColumn("status", F.lit("ok"))
+    assert [r.recipe for r in scoring.aggregate_inner(pooled, ["recipe"]).orderBy("inner_selection_rank").collect()] == ["b", "a"]
+    # Outer scores: mean, median, number of folds, spread, size; the least score doesn't count.
+    rows = [("few", f, x, 1) for f, x in ((1, 0.0), (2, 30.0), (3, 30.0))] + [("many", f, x, 1) for f, x in ((1, 20.0), (2, 20.0), (3, 20.0), (4, 20.0))]
+    outer = spark.createDataFrame(rows, "recipe_config_id string, outer_fold int, business_score double, feature_size int").withColumns({"status": F.lit("ok"), "k": F.lit(1)})
+    assert [r.recipe_config_id for r in scoring.aggregate_outer(outer).orderBy("outer_config_rank").collect()] == ["few", "many"]
+    # Over all folds: mean, least score, number of folds, size, AUC.
+    scores = [("a", 1, 10.0, 3, 0.5), ("a", 2, 30.0, 3, 0.5), ("b", 1, 20.0, 3, 0.5), ("b", 2, 20.0, 3, 0.5), ("c", 1, 20.0, 2, 0.9), ("d", 1, 20.0, 2, 0.95)]
+    table = spark.createDataFrame(scores, "config string, outer_fold int, mean_score double, feature_size int, mean_roc_auc double").withColumn("runs", F.lit(5))
+    best = selection.global_candidates(table, ["config"], table.where("outer_fold = 1")).orderBy("global_rank").collect()
+    assert [r.config for r in best] == ["b", "d", "c", "a"]
+
+
+def test_weights_add_the_floor(spark):
+    values = spark.createDataFrame([("a", 0.9), ("b", 0.6), ("c", 0.5)], "method string, score double")
+    got = {r.method: round(r.weight, 3) for r in rankings.weights_from_scores(values).collect()}
+    assert got == {"a": 0.692, "b": 0.231, "c": 0.077}
+    flat = {r.weight for r in rankings.weights_from_scores(values.withColumn("score", F.lit(0.5))).collect()}
+    assert flat == {1 / 3}
+    assert rankings.weights_from_scores(values.limit(0)).collect() == []
+
+
 def test_ties_go_to_the_highest_id_and_the_smallest_k(spark):
     s = scored(spark, [1, 0, 0, 1], [0.5, 0.5, 0.5, 0.5])
     assert [r.id for r in curves.ranked(s).orderBy("k").collect()] == [3, 2, 1, 0]
@@ -102,7 +132,7 @@ def test_baselines_of_more_samples_than_the_cap(spark):
     rows = [(f, 1, "r", "p", "q", k, int(k >= 6), 0.5, "ok", 1) for f in (1, 2) for k in range(8 * f - 4)]
     df = spark.createDataFrame(rows, "outer_fold int, inner_fold int, round_name string, pipeline_recipe_id string, prescreen_name string, sample_index long, y_true int, score double, status string, feature_size int")
     got = {(r.outer_fold, r.baseline): r.business_score for r in scoring.baselines(df, cap=7).collect()}
-    assert got == {(1, "select_all_0"): -20, (1, "select_all_1"): -220, (2, "select_all_0"): -20, (2, "select_all_1"): -220, (2, "select_all_full"): 30}
+    assert got == {(1, "select_all_0"): -20, (1, "select_all_1"): -220, (2, "select_all_0"): -20, (2, "select_all_1"): -220, (2, "select_all_full_0"): 30, (2, "select_all_full_1"): -170}
 
 
 def test_rank_mean_shares_ranks_of_ties(spark):
@@ -221,6 +251,13 @@ def test_outer_points_and_finalists(spark):
     assert selection.stable_configurations(summary, least_folds=9).first().selection_note == "fallback_all"
     tiers = selection.cost_aware_configurations(summary, top=2, least_folds=2, most_features=1).collect()
     assert [(t.recipe_config_id, t.tier) for t in tiers] == [("a", 1), ("b", 2)]
+    strict = selection.cost_aware_configurations(summary, top=2, least_folds=2, most_features=1, incomplete=False).collect()
+    assert [t.recipe_config_id for t in strict] == ["a"]
+    assert selection.cost_aware_configurations(summary, top=2, least_folds=2, most_features=0, incomplete=False).collect() == []
+    relaxed = selection.cost_aware_configurations(summary, top=3, least_folds=2, most_features=0).collect()
+    assert [(t.recipe_config_id, t.tier) for t in relaxed] == [("b", 3), ("a", 3)]
+    exact = selection.cost_aware_configurations(summary, top=1, least_folds=1, exact_folds=True)
+    assert only(exact).recipe_config_id == "b"
     outer = spark.createDataFrame([(1, 0), (1, 1), (1, 2)], "outer_fold int, id long")
     assert scoring.complete_pairs(p.where("recipe_config_id = 'cheap' OR sample_index > 0"), outer).collect() == [(1, "cheap")]
     assert only(scoring.pooled_best(p.unionByName(p).where("recipe_config_id = 'cheap'"), ["recipe_config_id"], features=1)).status == "duplicate"
@@ -273,8 +310,13 @@ def test_feature_filters(spark):
     assert features.prune_inflated(["a", "b", "c"], corr) == ["c"]
     long = spark.createDataFrame([(k, f, float(v), k % 2) for k in range(40) for f, v in (("x", k % 2), ("z", 1.0))], "id long, feature string, value double, y int")
     assert {r.feature: round(r.abs_corr, 9) for r in rankings.abs_corr(long).collect()} == {"x": 1.0, "z": 0.0}
-    matrix = features.correlation_matrix(long, ["x", "z"])
-    assert abs(matrix[0, 0] - 1) < 1e-9 and np.isnan(matrix[0, 1])
+    vectors = spark.createDataFrame([([float(k % 2), 1.0, 5.0 - k % 2, None if k == 3 else 1e9 + k],) for k in range(40)] + [(None,), ([],)], "v array<double>").repartition(3)
+    matrix = features.correlation_matrix(vectors, "v", [0, 1, 2, 3])
+    assert abs(matrix[0, 0] - 1) < 1e-9 and np.isnan(matrix[0, 1]) and abs(matrix[0, 2] + 1) < 1e-9
+    kept = [k for k in range(40) if k != 3]
+    assert abs(matrix[0, 3] - np.corrcoef([k % 2 for k in kept], kept)[0, 1]) < 1e-9
+    assert [(r.a, r.b) for r in features.correlated_pairs(vectors, "v", size=3, least=0.9).collect()] == [(0, 2)]
+    assert features.correlated_pairs(vectors.limit(0), "v", size=3, least=0.0).collect() == []
     basis = features.spline_basis(np.linspace(0, 1, 11), np.linspace(0, 1, 4))
     assert basis.shape == (11, 5) and (basis >= 0).all()
     assert features.collapse_basis(np.array([1.0, -2.0, 3.0, 4.0]), 2).tolist() == [3.0, 7.0]
@@ -366,7 +408,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "x.txt").write_text("1 2 oops\n3  4 5\n6 7 8\n")
     (tmp_path / "y.txt").write_text("y\n1\n2\n0\n")
     rows = tables.read_training(spark, str(tmp_path / "x.txt"), str(tmp_path / "y.txt")).orderBy("id").collect()
-    assert [(r.id, r.y, r.features) for r in rows] == [(0, 1, [1.0, 2.0, 0.0]), (2, 0, [6.0, 7.0, 8.0])]
+    # The second file's header pairs with the first line: labels 1 and 2 belong to the lines after it, 0 to none.
+    assert [(r.id, r.y, r.features) for r in rows] == [(0, 1, [3.0, 4.0, 5.0])]
     ranking = selection.top_targets(scored(spark, *FIVE).withColumn("id", F.col("id") * 10), 2)
     tables.export_ranking(ranking, ["var_1", "var_42"], {"approach": "a", "oof_business_score": 3.5, "features": ["var_1"]}, str(tmp_path / "a"))
     assert [r.value for r in spark.read.text(str(tmp_path / "a/customers")).collect()] == ["1", "11"]
@@ -401,3 +444,198 @@ def test_shared_root_wants_a_shared_folder_on_a_cluster():
             shared.shared_root(Session(master))
     for master in ("local", "local[8]", "local[*]"):
         assert shared.shared_root(Session(master)).startswith("file:///")
+
+
+def test_training_rows_are_matched_by_line(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("1 1\n? ?\n\n3 3\n4 4 9\n")
+    (tmp_path / "y.txt").write_text("1\n0\n1\n   \n0\n")
+    rows = tables.read_training(spark, str(tmp_path / "x.txt"), str(tmp_path / "y.txt")).orderBy("id").collect()
+    assert [(r.id, r.y, r.features) for r in rows] == [(0, 1, [1.0, 1.0, 0.0]), (1, 0, [0.0, 0.0, 0.0]), (2, 1, [3.0, 3.0, 0.0]), (3, 0, [4.0, 4.0, 9.0])]
+    assert [(r.sample_index, r.features) for r in tables.read_matrix(spark, str(tmp_path / "x.txt")).orderBy("sample_index").collect()] == [(0, [1.0, 1.0, 0.0]), (1, [3.0, 3.0, 0.0]), (2, [4.0, 4.0, 9.0])]
+
+
+def test_long_matrices_of_many_blocks(spark, tmp_path):
+    n, part = 30_000, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "x.txt").write_text("".join(f"{k} {'?' if k % 2 else k} {'x' * (k % 50)}\n" if k % 5 else "? header\n" for k in range(n)))
+    (tmp_path / "y.txt").write_text("".join(f"{2 if k % 7 == 0 else k % 2}\n" for k in range(n)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 50_000)
+        matrix = tables.read_matrix(spark, str(tmp_path / "x.txt"))
+        assert [(r.sample_index, r.features[0]) for r in matrix.orderBy("sample_index").collect()] == list(enumerate(float(k) for k in range(n) if k % 5))
+        train = tables.read_training(spark, str(tmp_path / "x.txt"), str(tmp_path / "y.txt"))
+        want = [(j, k % 2, float(k) if k % 5 else 0.0) for j, k in enumerate(k for k in range(n) if k % 7)]
+        assert [(r.id, r.y, r.features[0]) for r in train.orderBy("id").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", part)
+
+
+def test_stage_artefacts(spark, tmp_path):
+    root = str(tmp_path)
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data/x_train.txt").write_text("var_0 var_1\n1 2\n3 4\n")
+    (tmp_path / "data/y_train.txt").write_text("y\n1\n0\n")
+    (tmp_path / "data/x_test.txt").write_text("var_0 var_1\n5 6\n")
+    (tmp_path / "outputs").mkdir()
+    (tmp_path / "outputs/stage3_feature_set_scores.csv").write_text("feature_set_name,feature_count,features\ntop_01,1,\"['var_1']\"\ntop_02,2,\"['var_1', 'var_0']\"\n")
+    (tmp_path / "outputs/feature_selection_results.csv").write_text("feature,order\nvar_1,1\nvar_0,2\n")
+    assert tables.find_root(f"{root}/data") == root
+    with pytest.raises(FileNotFoundError):
+        tables.find_root("/proc")
+    context = tables.run_context(spark, root, "a")
+    assert [r.features for r in context["widest"].orderBy("id").collect()] == [[2.0, 1.0], [4.0, 3.0]] and context["outputs"] == f"{root}/outputs/a"
+    assert [r.features for r in context["test"].collect()] == [[5.0, 6.0]]
+    assert tables.stage_data(spark, f"{root}/data", f"{root}/outputs", without=["top_02"])["candidates"].count() == 1
+    assert [(r.set_name, r.features) for r in tables.feature_sets_from_selection(spark, f"{root}/outputs").orderBy("size").collect()] == [("top_01", ["var_1"]), ("top_02", ["var_1", "var_0"])]
+    made = []
+    build = lambda: made.append(1) or {"a": len(made)}
+    assert [tables.load_or_build_json(spark, f"{root}/j.json", build, force=f) for f in (False, False, True)] == [{"a": 1}, {"a": 1}, {"a": 2}]
+    assert tables.usable_outputs(spark, f"{root}/none", ["j.json"], legacy=root) == root and tables.usable_outputs(spark, root, ["j.json", "k"]) is None
+    tables.write_search_results(spark, root, "m", {"C": 1}, 2.5)
+    assert tables.read_json_or(spark, f"{root}/hpo/hpo_summary.json") == {"m": {"best_params": {"C": 1}, "cv_business_mean": 2.5}}
+    tables.write_json(spark, f"{root}/b.json", {"summary": {"k0_reference": {"business_with_var_penalty": 0}, "prior_dummy": {"business_with_var_penalty": {"mean": 5.0}}, "logistic_500feat_x": {"business_no_var_penalty": {"mean": 7}}}})
+    got = tables.baseline_reference_rows(spark, f"{root}/b.json", ["prior_dummy", "logistic_500feat_x", "absent"]).collect()
+    assert [tuple(r) for r in got] == [("baseline_k0", 0, 0.0, None), ("baseline_prior_dummy", 0, 5.0, None), ("baseline_logistic_500feat_x", 500, None, 7.0)]
+    assert tables.baseline_reference_rows(spark, f"{root}/none.json", ["x"]).collect() == []
+
+
+def test_recipes_of_an_inner_stage(spark, tmp_path):
+    rows = [("1", "2.0", "ps1__k_002__m1", None), ("x", "1", "ps2__k_001__m1", "ps2"), ("2", "1", "ps3__k_001__m2", "")]
+    raw = spark.createDataFrame(rows, "outer_fold string, feature_size string, recipe_config_id string, prescreen_recipe_id string")
+    assert [(r.outer_fold, r.feature_size, r.prescreen_recipe_id, r.inner_selection_rank) for r in tables.normalised_recipes(raw).orderBy("outer_fold").collect()] == [(1, 2, "ps1", 1), (2, 1, "ps3", 1)]
+    folder = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        tables.load_or_select_recipes(spark, folder, score=scoring.inner_scores)
+
+
+def test_exact_quantiles_over_ranges(spark):
+    r = np.random.default_rng(5)
+    groups = {"a": r.normal(size=1001), "b": np.full(300, 2.5), "c": np.array([1.0, 4.0]), "d": np.array([7.0]), None: r.integers(0, 5, 400).astype(float)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("a", float("nan")), ("e", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {x.g: x.q for x in ranges.quantiles(table.where("g IS NOT NULL"), "g", "v", (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile(groups[g], (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)), atol=1e-12)
+    assert ranges.quantiles(table.limit(0), "g", "v", (0.5,)).collect() == []
+
+
+def test_records_of_scored_predictions(spark):
+    s = scored(spark, *FIVE)
+    record = only(records.scored_record(s, ["var_1", "var_2", "var_1"], method="m", columns=7, cap=3))
+    assert (record.oof_business_score, record.oof_optimal_k, record.oof_tp_at_optimal_k, record.oof_fp_at_optimal_k, record.source_feature_count, record.candidate_column_count) == (-380.0, 2, 2, 0, 2, 7)
+    assert (record.gross_score, record.feature_penalty, record.oof_selected_rate, record.f1_score, record.roc_auc_score) == (20.0, 400.0, 0.4, 1.0, 1.0)
+    assert record.source_features == ["var_1", "var_2"]
+    alike = only(records.scored_record(scored(spark, [1, 1], [0.9, 0.8]), ["a"], method="m"))
+    assert alike.f1_score is None and alike.roc_auc_score is None
+    scaled = only(records.scaled_record(scored(spark, [1, 1, 0, 0, 0], [0.95, 0.9, 0.4, 0.3, 0.2]), ["a", "b"], method="m", cap=3, reference_rows=10))
+    assert (scaled.oof_business_score, scaled.oof_business_score_unscaled_feature_cost, scaled.oof_business_value_before_feature_cost, scaled.oof_optimal_k) == (-190.0, -390.0, 10.0, 2)
+    assert (scaled.feature_cost_scale, scaled.scaled_true_positive_value, scaled.scaled_feature_cost, scaled.target_limit, scaled.evaluation_row_count) == (0.5, 5.0, 200.0, 3, 5)
+    point = only(records.best_f1(s, cap=2))
+    assert (point.f1_k, point.best_f1) == (2, 1.0)
+
+
+def test_random_baselines_know_nothing(spark):
+    rows = [(1, "r", k, int(k % 3 == 0)) for k in range(3000)]
+    samples = spark.createDataFrame(rows, "outer_fold int, round_name string, id long, y int")
+    got = records.random_baselines(samples, ["outer_fold", "round_name"], repeats=3, cap=500).collect()
+    assert {r.random_repeat for r in got} == {0, 1, 2} and all(abs(r.roc_auc_score - 0.5) < 0.05 and 0 <= r.k <= 500 for r in got)
+    again = records.random_baselines(samples.repartition(7), ["outer_fold", "round_name"], repeats=3, cap=500).collect()
+    assert sorted(again) == sorted(got)
+    p = inner_rows(spark)
+    base = scoring.baselines(p, cap=3, random_repeats=2)
+    assert base.where("baseline = 'random_score'").count() == 2
+    manifest = spark.createDataFrame([(1, k, 1) for k in range(4)], "outer_fold int, sample_index long, y int")
+    by_manifest = {r.baseline: r.business_score for r in scoring.baselines(p, cap=3, manifest=manifest).collect()}
+    assert by_manifest["select_all_0"] == 30 and by_manifest["select_all_full_1"] == -160
+    assert scoring.with_baselines(scoring.inner_scores(p, cap=3), base).count() == 2
+
+
+def test_blocks_that_failed_have_a_row(spark):
+    block = "block array<struct<sample_index: long, y_true: int, score: double>>"
+    rows = [(1, "r1", "a", 1, 1, [(0, 1, 0.9), (1, 0, 0.1)], "ok", None, 2.0), (1, "r1", "a", 2, 1, [(2, 1, 0.8)], "ok", None, 4.0), (1, "r1", "b", 1, 1, [(0, 1, 0.9)], "ok", None, 1.0), (1, "r1", "b", 2, 1, [], "error", "boom", 1.0)]
+    blocks = spark.createDataFrame(rows, f"outer_fold int, round_name string, pipeline_recipe_id string, inner_fold int, feature_size int, {block}, status string, error string, duration_seconds double")
+    got = {r.pipeline_recipe_id: r for r in scoring.block_scores(blocks).collect()}
+    assert (got["a"].status, got["a"].oof_score, got["a"].error, got["b"].status, got["b"].oof_score, got["b"].error) == ("ok", -180, None, "error", None, "boom")
+    assert abs(got["a"].mean_duration_seconds - 8 / 3) < 1e-9
+
+
+def test_summaries_of_baselines_and_experts(spark):
+    scores = spark.createDataFrame([("b", 2, 3.0), ("b", 1, 1.0)], "name string, fold int, m double")
+    row = only(records.fold_summary(scores, ["m"]))
+    assert (row["mean"], row["std"], row.folds) == (2.0, 1.0, [1.0, 3.0])
+    s = scored(spark, *FIVE).withColumn("fold", F.lit(1))
+    each = only(records.fold_scores(s, 1, cap=2))
+    assert (each.business_with_var_penalty, each.business_no_var_penalty, each.f1_topk) == (-180.0, 20.0, 1.0)
+    experts = spark.createDataFrame([("x", "m", "top_1", ["var_2", "d"], 1.0, 0.1, 0.25), ("y", "m", "top_2", ["var_10"], 2.0, 0.1, 0.75)], "expert string, model string, feature_set string, features array<string>, cv_business_mean double, cv_business_std double, weight double")
+    assert [(r.expert, r.n_features) for r in records.experts_summary(experts).collect()] == [("y", 1), ("x", 2)]
+    assert sorted(r.feature for r in records.union_features(experts).collect()) == ["d", "var_10", "var_2"]
+    sources = spark.createDataFrame([("d", ["var_10", "var_1"])], "feature string, originals array<string>")
+    assert {r.expert: r.paid for r in records.distinct_paid(experts, sources).collect()} == {"x": ["var_1", "var_2", "var_10"], "y": ["var_10"]}
+
+
+def test_searches(spark):
+    df = shared.written(matrix(spark, n=120, width=3).coalesce(1), "t")
+    f = shared.written(folds.outer_folds(df, n_splits=2).coalesce(1), "t")
+    with pytest.raises(ValueError, match="not both"):
+        search.parameter_search(df, f, models.logistic, features=1, grid={"c": [1.0]}, choices={"c": [1.0]})
+    drawn = search.drawn_points(search.LEAFWISE_CHOICES, 20)
+    assert len(drawn) == 20 == len({tuple(sorted(p.items())) for p in drawn}) and len(search.drawn_points({"a": [1, 2]}, 9)) == 2
+    saved = []
+    fit, params, score = search.winner_search(df, f, "logistic_regression", features=3, grid={"C": [1.0], "l1_ratio": [0.0]}, save=lambda *a: saved.append(a))
+    assert params == {"C": 1.0, "l1_ratio": 0.0} and saved == [("logistic_regression", params, score)]
+    assert auc(fit(df).score(df)) > 0.9 and fit(df).score(df).columns == [*df.columns, "score"]
+    assert search.nonzero_features([0.0, 2.0], ["a", "b"]) == ["b"] and search.nonzero_features([1.0], ["a", "b"]) == ["a", "b"]
+    path = [{"c": c, "nonzero": n, "coefficients": [1.0] * n + [0.0] * (4 - n), "score": s} for c, n, s in ((1, 0, 99.0), (2, 1, 5.0), (3, 2, 3.0), (4, 4, 9.0))]
+    names = list("abcd")
+    assert search.banded_features(path, names, band=(1, 2)) == ["a"] and search.banded_features(path, names, band=(3, 3)) == names and search.banded_features(path, names, target=2) == ["a", "b"]
+    assert search.banded_features(path[:1], names) == []
+    real = search.sparse_path(df, f, cs=(0.05,))
+    assert 0 < real[0]["nonzero"] <= 3
+    greedy = search.greedy_selection(df, f, models.logistic(iterations=5), ["var_0", "var_1"], most=2)
+    assert greedy[0][0] == "var_0" and len(greedy) == 1
+    assert search.without_features(df).first().features == []
+    assert len(recipes.search_specs()) == 15 and recipes.model_specs(spark, recipes.search_specs(["logistic"])).count() == 3
+
+
+def test_rankings_by_method(spark):
+    df = shared.written(matrix(spark, n=120, width=3).coalesce(1), "t")
+    f = shared.written(folds.outer_folds(df, n_splits=2).coalesce(1), "t")
+    long, failed = search.collected_rankings(df, ["abs_corr", "nothing", "mutual_info"])
+    assert [r.method for r in failed.collect()] == ["nothing"] and long.count() == 6
+    with pytest.raises(ValueError, match="nothing"):
+        search.ensemble_ranking(df, ["abs_corr", "nothing"])
+    ranking = search.ensemble_ranking(df, ["abs_corr", "logistic_l1", "pairwise_sparse"])
+    assert ranking.orderBy("order").first().feature == "var_0" and "score__pairwise_sparse" in ranking.columns
+    named = shared.written(ranking, "t").select(F.lit("r").alias("name"), "feature", "order")
+    judged = search.evaluated_rankings(df, f, named.unionByName(named.withColumn("name", F.lit("s"))), models.logistic(), sizes=(1, 2, 9)).collect()
+    assert [(r.prescreen_name, r.feature_set_name) for r in judged] == [("r", "top_01"), ("s", "top_01"), ("r", "top_02"), ("s", "top_02")]
+    both = search.component_comparison(df, f, models.logistic(), [2]).collect()
+    assert {r.method for r in both} == {"raw", "pca_2"} and both[0].roc_auc_score > 0.9
+    verdicts = {n: v for n, _, v in search.shadow_selection(df, 3, rounds=6, fit=models.random_forest(trees=10))}
+    assert verdicts["var_0"] == "confirmed"
+    best = only(features.best_univariate_feature(df))
+    assert best.feature == "var_0" and best.abs_corr > 0.5
+    report = spark.createDataFrame([("s", 0, 5, 0.1), ("s", 1, 7, 0.4)], "feature_set string, cluster int, n long, rate double")
+    assert tuple(only(features.cluster_set_summary(report))) == ("s", 2, 5, 7, 0.1, 0.4)
+
+
+def test_comparisons_of_models(spark):
+    df = shared.written(matrix(spark, n=120, width=3).coalesce(1), "t")
+    f = shared.written(folds.outer_folds(df, n_splits=2).coalesce(1), "t")
+    both = models.compare(df, f, {"good": [0], "bad": [2]}, {"m": models.logistic()}).collect()
+    assert {r.feature_set: r.n_features for r in both} == {"good": 1, "bad": 1}
+    assert {r.feature_set: r.score for r in both}["good"] > {r.feature_set: r.score for r in both}["bad"]
+    dropped = models.drop_column_ranking(df.withColumn("features", F.slice("features", 1, 2)), f, models.logistic(iterations=5), 2).collect()
+    assert dropped[0].feature == "var_0" and dropped[0].delta < dropped[-1].delta
+    assert models.grid_search(df, f, lambda **p: models.logistic(iterations=5, **p), [{"c": 1.0}], features=3).count() == 1
+
+
+def test_permuted_values_come_from_all_rows(spark):
+    df = matrix(spark, n=200, width=3)
+
+    class First:
+        def score(self, table):
+            return table.withColumn("score", F.col("features")[0])
+
+    loss = models.permutation_ranking(df, First(), lambda t: auc(t.select("id", "y", "score")), 3)
+    assert loss[0] > 0.3 and abs(loss[1]) < 1e-12 and abs(loss[2]) < 1e-12

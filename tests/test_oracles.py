@@ -39,7 +39,7 @@ def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["standardised_all_features", "robust_scaled_all_features"])
+@pytest.mark.parametrize("name", ["standardised", "robust_scaled"])
 def test_scaling_returns_every_feature_of_every_row(spark, duck, name):
     n = duck.execute("SELECT count(*) FROM embeddings").fetchone()[0]
     got = QUERIES[name](spark, SF).groupBy("feature").count().collect()
