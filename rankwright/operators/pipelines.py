@@ -65,7 +65,8 @@ def materialised_rankings(rankings: DataFrame, recipes: DataFrame) -> DataFrame:
     shares = used.withColumn("share", F.col("weight") / total).select("prescreen_recipe_id", "method", "share")
     joined = rankings.join(F.broadcast(shares), "method")
     scored = joined.groupBy("prescreen_recipe_id", "feature").agg(F.sum(F.col("share") * F.col("rank_score")).alias("ensemble_score"), F.sum(F.col("share") * F.col("rank")).alias("mean_rank"))
-    order = Window.partitionBy("prescreen_recipe_id").orderBy(F.desc("ensemble_score"), "mean_rank", "feature")
+    # Sums of the same numbers in another order tie.
+    order = Window.partitionBy("prescreen_recipe_id").orderBy(F.desc(F.round("ensemble_score", 12)), F.round("mean_rank", 12), "feature")
     return scored.withColumn("order", F.row_number().over(order).cast("long"))
 
 

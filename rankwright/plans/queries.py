@@ -164,6 +164,7 @@ iw AS (SELECT o.id, o.y, f.outer_fold FROM o JOIN (SELECT DISTINCT outer_fold FR
 i AS (SELECT outer_fold, id, y, CAST((row_number() OVER (PARTITION BY outer_fold, y ORDER BY md5(CAST(42 + 1009 * outer_fold AS VARCHAR) || ':' || CAST(id AS VARCHAR)), id) - 1) % 4 + 1 AS INTEGER) AS inner_fold FROM iw)"""
 
 
+_FOLDS = _folds_sql()
 _COMPLEMENT = """SELECT {k}, CAST(sum(val_n) OVER w - val_n AS BIGINT) AS train_n, CAST(sum(val_pos) OVER w - val_pos AS BIGINT) AS train_pos,
 round(coalesce(CAST(sum(val_pos) OVER w - val_pos AS DOUBLE) / nullif(sum(val_n) OVER w - val_n, 0), 0), 6) AS train_rate, val_n, val_pos, round(coalesce(CAST(val_pos AS DOUBLE) / nullif(val_n, 0), 0), 6) AS val_rate FROM v WINDOW w AS ({w})"""
 
@@ -649,11 +650,6 @@ def materialized_rankings(spark, d):
     return _six(whole, "ensemble_score", "mean_rank").drop("order")
 
 
-@query()
-def fold_candidates(spark, d):
-    return pipelines.fold_candidates(long_rankings(spark, d), recipes.prescreen_recipes(spark, METHODS), [1, 3, 5, 10])
-
-
 # --- feature statistics ---------------------------------------------------------------------------------------------
 
 
@@ -774,3 +770,6 @@ def fan_out_blocks(spark, d):
     fold = df.join(folds.outer_folds(df, n_splits=3).withColumnRenamed("outer_fold", "fold"), "id")
     tasks = spark.createDataFrame([(t, f, p) for t, p in enumerate(([0], [0, 1], [0, 1, 2, 3])) for f in (1, 2, 3)], "task_id long, fold int, places array<int>")
     return scoring.from_blocks(models.evaluate_tasks(fold, tasks, trees=10))
+
+
+from . import artefacts  # noqa: E402, F401  registers its queries here

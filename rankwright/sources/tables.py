@@ -215,7 +215,8 @@ def normalised_recipes(recipes: DataFrame) -> DataFrame:
     known = missing_when_empty(F.col("prescreen_recipe_id")) if "prescreen_recipe_id" in out.columns else F.lit(None).cast("string")
     out = out.withColumn("prescreen_recipe_id", F.coalesce(known, made))
     if "recipe_config_id" not in out.columns:
-        out = out.withColumn("recipe_config_id", config_id(F.col("prescreen_recipe_id"), F.col("feature_size"), F.col("model_spec_id")))
+        made = config_id(F.col("prescreen_recipe_id"), F.col("feature_size"), F.col("model_spec_id")) if "model_spec_id" in out.columns else F.col("pipeline_recipe_id")
+        out = out.withColumn("recipe_config_id", made)
     if "inner_selection_rank" not in out.columns:
         order = Window.partitionBy("outer_fold").orderBy("pipeline_recipe_id" if "pipeline_recipe_id" in out.columns else "recipe_config_id")  # recipes that a stage has chosen
         out = out.withColumn("inner_selection_rank", F.row_number().over(order).cast("long"))
