@@ -323,6 +323,23 @@ def test_preference_pairs(spark):
     assert not re.search("Python|Pandas|Arrow", chat.paired_by_number(df)._jdf.queryExecution().toString())
 
 
+def test_preference_pairs_of_odd_conversations(spark):
+    long = "é" * 200_000
+    rows = [
+        (0, 0, "user", "q"), (0, 0, "user", "q"), (0, 1, "assistant", long),  # a repeated row is a repeated turn
+        (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", long + "x"),
+        (2, 5, "user", "b"), (2, 5, "user", "a"), (2, 5, None, "c"), (2, None, "user", "z"),  # ties in the turn go by role and text
+        (3, 5, None, "c"), (3, 5, "user", "a"), (3, 5, "user", "b"), (3, None, "user", "z"),
+        (4, 0, "user", ""), (5, 0, "user", None),  # an empty text is no null text
+    ]
+    turns = spark.createDataFrame([(*r, 1, "p", "c") for r in rows], "conv_id long, turn int, role string, text string, pair_id int, prompt string, chosen string").repartition(4)
+    got = {r.pair_id: r for r in chat.paired_by_number(turns).collect()}
+    assert (got[0].prompt_turns, got[0].prompt.count("q")) == (2, 2) and long in got[0].chosen and long + "x" in got[0].rejected
+    assert got[0].chosen_mask == f"{len(got[0].chosen)}:1" and got[0].rejected_mask == f"{len(got[0].rejected)}:1"
+    assert (got[1].prompt_turns, got[1].chosen, got[1].rejected) == (4, "", "")
+    assert got[2].prompt_turns == 0 and got[2].chosen == got[2].rejected != ""
+
+
 @pytest.mark.parametrize("strange", ["", "plain", "<", "<p", "</p></div>x", "<p>a<p>b", "&amp;&lt;&nbsp;&#x41;&bogus;", "<!-- x", "<script>var t='</p>'", "<b><i>a</b>c</i>", '<div class="x>y">z</div>', "<table><tr><td>a<td>b<tr><td>c"])
 def test_strange_html_does_not_crash(strange):
     html_text.extract(strange, html_text.default_trees())
