@@ -228,14 +228,14 @@ def prior_scores(df: DataFrame, train: DataFrame) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, folds: DataFrame, fit: Fit, *, fold: str = "outer_fold") -> DataFrame:
-    """id, y, fold, score of every row from the model fitted on the other folds; a fold that can't be fitted
-    gives no rows but an error row in ``status``."""
+    """id, y, fold, score of every row from the model fitted on the other folds; a fold that can't be fitted or
+    scored gives no rows but an error row in ``status``.  Scores are written, so that an error shows here."""
     rows = df.join(folds, "id")
     out = None
     for k in sorted(r[0] for r in folds.select(fold).distinct().collect()):
         part = rows.where(F.col(fold) == k)
         try:
-            scored = fit(rows.where(F.col(fold) != k)).score(part).select("id", "y", fold, "score", F.lit("ok").alias("status"))
+            scored = written(fit(rows.where(F.col(fold) != k)).score(part).select("id", "y", fold, "score", F.lit("ok").alias("status")), "fold-scores")
         except Exception as e:
             scored = df.sparkSession.createDataFrame([(None, None, k, None, f"error: {type(e).__name__}")], f"id long, y int, {fold} int, score double, status string")
         out = scored if out is None else out.unionByName(scored)

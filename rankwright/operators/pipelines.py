@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ledger import FEATURE_COST, HIT_VALUE, MISS_COST
 from ..functions.parsing import set_key
+from ..functions.shared import written
 from .curves import best_point, profit_curve, ranked
 from .features import correlation_matrix, long_view, prune_correlated, prune_inflated, variance_filter
 from .models import Fit, forest_feature_scores, l1_feature_scores, out_of_fold
@@ -130,7 +131,7 @@ def inner_round(df: DataFrame, outer: DataFrame, inner: DataFrame, recipes: Data
 
 def _fitted(train: DataFrame, val: DataFrame, features: Sequence[str], fit: Fit) -> DataFrame:
     try:
-        return fit(narrowed(train, features)).score(narrowed(val, features)).select("id", "y", "score", F.lit("ok").alias("status"))
+        return written(fit(narrowed(train, features)).score(narrowed(val, features)).select("id", "y", "score", F.lit("ok").alias("status")), "scores")
     except Exception as e:
         return val.select("id", "y", F.lit(None).cast("double").alias("score"), F.lit(f"error: {type(e).__name__}").alias("status"))
 
