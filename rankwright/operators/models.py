@@ -1,8 +1,8 @@
 """Estimators behind one protocol, out-of-fold scoring, calibration, segments and pairwise ranking.
 
 A scorer is made from a training table (id, y, features) and adds ``score`` to
-another one.  ``KIND`` says of each family whether Spark has it ("native"),
-whether a stated stand-in is used ("substitute"), or neither ("unavailable").
+another one.  ``KIND`` says of each family whether it is made of Spark's own
+estimators and functions ("native") or grown here, on a bounded sample ("own").
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from .features import class_weight, collapse_basis, spline_basis
 from .rankings import fused_scores, fusion_weights
 
 KIND = {
-    "logistic": "native", "random_forest": "native", "gbt": "native", "extra_trees": "native", "borda": "native", "random": "native",
-    "lightgbm": "substitute", "xgboost": "substitute", "ranker": "substitute", "additive": "unavailable", "abess": "unavailable",
+    "logistic": "native", "random_forest": "native", "gbt": "native", "borda": "native", "random": "native", "pairwise": "native",
+    "extra_trees": "own", "lightgbm": "own", "xgboost": "own", "ranker": "own", "additive": "own", "best_subset": "own",
 }
 
 
@@ -112,7 +112,7 @@ def random_forest(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int
 
 
 def boosted(*, trees: int = 50, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Fit:
-    """Spark's gradient-boosted trees; also the stated stand-in for leaf-wise and histogram boosters."""
+    """Spark's gradient-boosted trees; leaf-wise ones are in ``boosters``."""
 
     def fit(train: DataFrame) -> Scorer:
         data, _ = _weighted(train, True)

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS
 from ..functions.ranges import placed
 from ..functions.shared import written
+from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .features import long_view
-from .models import Fit, Scorer, boosted, compare, forest_feature_scores, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores
+from .models import Fit, Scorer, compare, forest_feature_scores, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores
 from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
 from .records import fold_scores, scored_record
 
@@ -46,11 +47,16 @@ def scaled_logistic(*, c: float = 1.0, l1_ratio: float = 0.5, robust: bool = Tru
 
 
 def model_factories() -> dict[str, Callable[..., Fit]]:
-    """The models that feature sets are compared with, by name; boosted trees stand in for both boosters."""
+    """The models that feature sets are compared with, by name: leaf-wise and level-wise trees of the logistic loss.  The
+    shares of rows and columns that a search draws are taken and don't count: every tree sees all of the sample."""
     return {
-        "lightgbm": lambda n_estimators=50, max_depth=3, learning_rate=0.1, **other: boosted(trees=n_estimators, depth=3 if max_depth < 0 else max_depth, rate=learning_rate),
+        "lightgbm": lambda n_estimators=100, max_depth=-1, learning_rate=0.05, num_leaves=31, min_child_samples=20, scale_pos_weight_multiplier=1.0, **other: leafwise_boosted(
+            trees=n_estimators, depth=64 if max_depth < 0 else max_depth, rate=learning_rate, leaves=num_leaves, leaf=min_child_samples, multiplier=scale_pos_weight_multiplier
+        ),
         "logistic_regression": lambda C=1.0, l1_ratio=0.5: scaled_logistic(c=C, l1_ratio=l1_ratio),
-        "xgboost": lambda n_estimators=50, max_depth=4, learning_rate=0.05, **other: boosted(trees=n_estimators, depth=max_depth, rate=learning_rate),
+        "xgboost": lambda n_estimators=200, max_depth=4, learning_rate=0.05, scale_pos_weight_multiplier=1.0, **other: leafwise_boosted(
+            trees=n_estimators, depth=max_depth, rate=learning_rate, leaves=2**max_depth, leaf=1, multiplier=scale_pos_weight_multiplier
+        ),
     }
 
 
@@ -112,7 +118,10 @@ METHODS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "mutual_info": lambda df: binned_mutual_information(long_view(df, "features", "id", "y")).toDF("feature", "raw_score"),
     "logistic_l1": lambda df: _by_place(df, l1_feature_scores(df)),
     "sparse_gam": lambda df: _by_place(df, spline_feature_scores(df)),
-    "boosted_gain": lambda df: _by_place(df, forest_feature_scores(df)),
+    "boosted_gain": lambda df: _by_place(df, leafwise_boosted()(df).gains),
+    "lambdamart_gain": lambda df: _by_place(df, lambdamart()(df).gains),
+    "additive": lambda df: _by_place(df, additive_boosted()(df).importance),
+    "best_subset": lambda df: _by_place(df, best_subset_scores(df)),
     "forest_gain": lambda df: _by_place(df, forest_feature_scores(df, random_forest(trees=50))),
     "pairwise_sparse": lambda df: _by_place(df, np.abs(pairwise_ranker()(df).weights)),
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.shared import shared_folder
-from ..operators import curves, features, folds, models, pipelines, rankings, recipes, records, scoring, selection
+from ..operators import boosters, curves, features, folds, models, pipelines, rankings, recipes, records, scoring, selection
 from ..sources import tables
 from .frames import LONG, METHODS, ORDERS, PREDICTIONS, PROBABILITY, RANKED, RAW, by_probability, embedding_rows, predictions, scored_orders, table
 from .frames import rankings as long_rankings
@@ -330,6 +330,33 @@ def column_subset(spark, d):
     return narrow.select("id", F.size("features").cast("long").alias("n"), F.round(F.col("features")[0] + F.col("features")[1], 4).alias("total"))
 
 
-@query("SELECT 'logistic' AS method, 'native' AS kind UNION ALL SELECT 'lightgbm', 'substitute' UNION ALL SELECT 'abess', 'unavailable'")
+@query("SELECT unnest(['logistic', 'random_forest', 'gbt', 'borda', 'random', 'pairwise']) AS method, 'native' AS kind UNION ALL SELECT unnest(['extra_trees', 'lightgbm', 'xgboost', 'ranker', 'additive', 'best_subset']), 'own'")
 def availability(spark, d):
-    return models.availability(spark).where(F.col("method").isin("logistic", "lightgbm", "abess"))
+    return models.availability(spark)
+
+
+# --- estimators: no SQL gives their numbers ---------------------------------------------------------------------------
+
+
+@query()
+def leafwise_targets(spark, d):
+    df = embedding_rows(spark, d)
+    return models.select_and_score(df.where("id % 2 = 0"), df.where("id % 2 = 1"), boosters.leafwise_boosted(trees=20), k=100)
+
+
+@query()
+def lambdamart_targets(spark, d):
+    df = embedding_rows(spark, d)
+    return selection.top_targets(boosters.lambdamart(trees=20)(df.where("id % 2 = 0")).score(df.where("id % 2 = 1")), 100)
+
+
+@query()
+def additive_targets(spark, d):
+    df = embedding_rows(spark, d)
+    return models.select_and_score(df.where("id % 2 = 0"), df.where("id % 2 = 1"), boosters.additive_boosted(rounds=20), k=100)
+
+
+@query()
+def best_subset_ranking(spark, d):
+    scores = boosters.best_subset_scores(embedding_rows(spark, d), sizes=(1, 2, 4, 8))
+    return spark.createDataFrame([(f"var_{k}", float(s)) for k, s in enumerate(scores)], "feature string, raw_score double")

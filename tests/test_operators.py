@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankwright.functions import parsing, ranges, shared
-from rankwright.operators import curves, features, folds, metrics, models, rankings, recipes, records, scoring, search, selection
+from rankwright.operators import boosters, curves, features, folds, metrics, models, rankings, recipes, records, scoring, search, selection
 from rankwright.sources import tables
 from rankwright.streaming.predictions import absorb_predictions
 
@@ -639,3 +639,55 @@ def test_permuted_values_come_from_all_rows(spark):
 
     loss = models.permutation_ranking(df, First(), lambda t: auc(t.select("id", "y", "score")), 3)
     assert loss[0] > 0.3 and abs(loss[1]) < 1e-12 and abs(loss[2]) < 1e-12
+
+
+def test_boosters_on_held_out_rows(spark):
+    df = shared.written(matrix(spark, n=600, width=5), "t")
+    train, test = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    for make in (boosters.leafwise_boosted(trees=20), boosters.leafwise_boosted(trees=20, depth=2, leaves=4, leaf=1), boosters.lambdamart(trees=20), boosters.additive_boosted(rounds=30)):
+        fitted = make(train)
+        assert auc(fitted.score(test)) > 0.9 and fitted.score(test).columns == [*test.columns, "score"]
+        assert fitted.score(test.limit(0)).count() == 0
+        weights = fitted.importance if isinstance(fitted, boosters.Additive) else fitted.gains
+        assert int(np.argmax(weights)) == 0
+    scores = boosters.best_subset_scores(train, sizes=(1, 2))
+    assert scores[0] > 0 and sum(s > 0 for s in scores) <= 2
+    with pytest.raises(ValueError, match="no training rows"):
+        boosters.leafwise_boosted()(train.limit(0))
+
+
+def test_lambda_gradients_match_brute_force():
+    r = np.random.default_rng(2)
+    y, score = (r.random(30) < 0.3).astype(float), r.normal(size=30)
+    place = {i: k for k, i in enumerate(np.argsort(-score, kind="stable"))}
+    ideal = sum(1 / np.log2(k + 2) for k in range(int(y.sum())))
+    g, h = np.zeros(30), np.zeros(30)
+    for i in range(30):
+        for j in range(30):
+            if y[i] == 1 and y[j] == 0:
+                p = 1 / (1 + np.exp(score[i] - score[j]))
+                stake = abs(1 / np.log2(place[i] + 2) - 1 / np.log2(place[j] + 2)) / ideal
+                g[i], g[j] = g[i] + p * stake, g[j] - p * stake
+                h[i], h[j] = h[i] + p * (1 - p) * stake, h[j] + p * (1 - p) * stake
+    got = boosters.lambda_gradients(y, score, at_once=4)
+    assert np.allclose(got[0], g) and np.allclose(got[1], h)
+
+
+def test_splicing_finds_the_subset_that_all_subsets_would():
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(400, 7))
+    x[:, 6] = x[:, 0] + x[:, 1] + 0.3 * r.normal(size=400)  # strongest alone, of no use beside the two
+    y = (1.5 * x[:, 0] + 1.5 * x[:, 1] - x[:, 3] + r.logistic(size=400) > 0).astype(float)
+    want = min(combinations(range(7), 3), key=lambda c: boosters._newton(x[:, list(c)], y)[2])
+    assert tuple(boosters.spliced_subset(x, y, 3)[0]) == want == (0, 1, 3)
+
+
+def test_leafwise_trees_split_where_there_is_most_to_gain():
+    x = np.arange(100.0)[:, None]
+    g = np.where(x[:, 0] < 90, 0.0, 1.0) + np.where(x[:, 0] < 50, -0.2, 0.0)
+    gains = np.zeros(1)
+    tree, out = boosters.grow_leafwise(boosters.binned(x, 200), g, np.ones(100), leaves=3, depth=9, leaf=1, ridge=1e-12, gains=gains)
+    assert [int(t) for t in sorted(t for f, t in zip(tree.feature, tree.threshold) if f == 0)] == [49, 89] and gains[0] > 0
+    assert np.allclose(out, g) and np.allclose(tree.predict(x), g)
