@@ -21,7 +21,7 @@ from ..functions.ranges import placed
 from ..functions.shared import written
 from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .features import long_view
-from .models import Fit, Scorer, compare, forest_feature_scores, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores
+from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores
 from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
 from .records import fold_scores, scored_record
 
@@ -60,6 +60,53 @@ def model_factories() -> dict[str, Callable[..., Fit]]:
     }
 
 
+def fit_of_spec(family: str, params: Mapping) -> Fit:
+    """The fit that a model spec (family and parameters, as ``recipes`` lists them) stands for."""
+    p = {k: v for k, v in params.items() if k != "class_weight"}
+    if family in ("lightgbm", "xgboost"):
+        return model_factories()[family](**p)
+    if family == "logistic":
+        return scaled_logistic(c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5))
+    forest = {"trees": p.get("n_estimators", 100), "depth": p.get("max_depth", 5), "leaf": p.get("min_samples_leaf", 8)}
+    makers = {
+        "extra_trees": lambda: extra_trees(**forest),
+        "random_forest": lambda: random_forest(**forest),
+        "additive": lambda: additive_boosted(bins=p.get("max_bins", 32)),
+        "ranker": lambda: lambdamart(leaves=p.get("num_leaves", 15)),
+    }
+    if family not in makers:
+        raise ValueError(f"unknown family {family}")
+    return makers[family]()
+
+
+def evaluated_specs(df: DataFrame, folds: DataFrame, specs: Sequence[tuple[str, str, str, Mapping]], sets: Mapping[str, Sequence[str]], *, cap: int = MAX_TARGETS) -> DataFrame:
+    """model_spec_id, base_model_family, feature_set_id, n_features, status, error, score, k, f1_score, roc_auc_score of every spec
+    on every feature set; a pair that fails says so and has no score."""
+    schema = "model_spec_id string, base_model_family string, feature_set_id string, n_features long, status string, error string, score double, k long, f1_score double, roc_auc_score double"
+    rows = []
+    for name, features in sets.items():
+        narrow = _named(df, features)
+        for spec, family, _, params in specs:
+            try:
+                scores = out_of_fold(narrow, folds, fit_of_spec(family, params))
+                if failed := scores.where("status <> 'ok'").first():
+                    raise RuntimeError(failed.status)
+                r = scored_record(scores.select("id", "y", "score"), features, method=spec, cap=cap).first()
+                rows.append((spec, family, name, len(features), "ok", None, r.oof_business_score, r.oof_optimal_k, r.f1_score, r.roc_auc_score))
+            except Exception as e:
+                rows.append((spec, family, name, len(features), "error", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None, None, None, None))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def cluster_counts_by_set(df: DataFrame, sets: Mapping[str, Sequence[str]], ks: Sequence[int], *, seed: int = 42) -> DataFrame:
+    """feature_set, k, inertia, silhouette of k-means on the standardised features of every set."""
+    out = []
+    for name, features in sets.items():
+        wide, *_ = scaled(_named(df, features), robust=False)
+        out.append(kmeans_diagnostics(wide, ks, seed=seed).select(F.lit(name).alias("feature_set"), "k", "inertia", "silhouette"))
+    return reduce(DataFrame.unionByName, out)
+
+
 #: Grids and distributions of the winner's search (fixed values).
 LOGISTIC_GRID = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [1.0, 0.0]}
 LEAFWISE_CHOICES = {"num_leaves": [15, 31, 63, 127], "learning_rate": [0.01, 0.03, 0.05, 0.1], "n_estimators": [100, 200, 400], "max_depth": [3, 4, 6, 8, -1], "subsample": [0.6, 0.8, 1.0], "colsample_bytree": [0.6, 0.8, 1.0]}

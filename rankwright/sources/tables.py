@@ -15,7 +15,7 @@ from ..functions.parsing import config_id, missing_when_empty, names_from_text,
 from ..functions.ranges import placed
 from ..functions.shared import written
 from ..operators.rankings import prefix_sets
-from ..operators.scoring import aggregate_inner
+from ..operators.scoring import aggregate_inner, baselines, inner_scores, with_baselines
 from ..operators.selection import top_recipes
 
 STAGE_ONE = {
@@ -158,6 +158,31 @@ def prediction_contexts(predictions: DataFrame, *, outer_folds: Sequence[int] |
     return kept.select("outer_fold", "round_name").distinct().orderBy("outer_fold", "round_name")
 
 
+#: Columns of a file of inner predictions that scoring reads, and their types.
+PREDICTION_COLUMNS = {"outer_fold": "int", "inner_fold": "int", "round_name": "string", "pipeline_recipe_id": "string", "feature_size": "int", "sample_index": "long", "y_true": "int", "score": "double"}
+
+
+def scored_predictions_csv(
+    spark: SparkSession, path: str, *, outer_folds: Sequence[int] | None = None, rounds: Sequence[str] | None = None, cap: int = 1000, random_repeats: int = 0, seed: int = 42, manifest: DataFrame | None = None,
+    scores_path: str | None = None, baselines_path: str | None = None,
+) -> DataFrame:
+    """``inner_scores`` with their baselines of a CSV file of predictions, all contexts in one pass over the file; written
+    to the paths that are given."""
+    if not has_columns(spark, path, list(PREDICTION_COLUMNS)):
+        raise ValueError(f"{path} lacks some of {', '.join(PREDICTION_COLUMNS)}")
+    raw = spark.read.csv(path, header=True)
+    rows = raw.select(*(F.col(c).try_cast(PREDICTION_COLUMNS[c]).alias(c) if c in PREDICTION_COLUMNS else F.col(c) for c in raw.columns))
+    rows = rows.where(F.col("outer_fold").isin(*outer_folds)) if outer_folds else rows
+    rows = rows.where(F.col("round_name").isin(*rounds)) if rounds else rows
+    rows = written(rows, "predictions")
+    base = baselines(rows, cap=cap, random_repeats=random_repeats, seed=seed)
+    out = with_baselines(inner_scores(rows, cap=cap, manifest=manifest), base)
+    for df, target in ((out, scores_path), (base, baselines_path)):
+        if target:
+            df.write.mode("overwrite").parquet(target)
+    return out
+
+
 def write_submission(ranking: DataFrame, features: Sequence[str], folder: str) -> None:
     """One-based row numbers, best first, and one-based variable numbers, one a line; at most as many as are ranked."""
     spark = ranking.sparkSession

@@ -691,3 +691,28 @@ def test_leafwise_trees_split_where_there_is_most_to_gain():
     tree, out = boosters.grow_leafwise(boosters.binned(x, 200), g, np.ones(100), leaves=3, depth=9, leaf=1, ridge=1e-12, gains=gains)
     assert [int(t) for t in sorted(t for f, t in zip(tree.feature, tree.threshold) if f == 0)] == [49, 89] and gains[0] > 0
     assert np.allclose(out, g) and np.allclose(tree.predict(x), g)
+
+
+def test_predictions_from_a_csv_file(spark, tmp_path):
+    path = str(tmp_path / "p.csv")
+    inner_rows(spark).unionByName(inner_rows(spark).withColumn("outer_fold", F.lit(2))).coalesce(1).write.csv(path, header=True)
+    file = next(str(f) for f in (tmp_path / "p.csv").iterdir() if f.name.startswith("part"))
+    got = {r.pipeline_recipe_id: r for r in tables.scored_predictions_csv(spark, file, outer_folds=[1], cap=3, random_repeats=1, scores_path=str(tmp_path / "s"), baselines_path=str(tmp_path / "b")).collect()}
+    assert (got["fr2__m1"].oof_score, got["fr2__m1"].beats_select_all_1, got["fr1__m1"].beats_select_all_1) == (-180, True, False)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2 and spark.read.parquet(str(tmp_path / "b")).where("baseline = 'random_score'").count() == 1
+    (tmp_path / "q.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError, match="lacks"):
+        tables.scored_predictions_csv(spark, str(tmp_path / "q.csv"))
+
+
+def test_specs_on_feature_sets(spark):
+    df = shared.written(matrix(spark, n=120, width=3).coalesce(1), "t")
+    f = shared.written(folds.outer_folds(df, n_splits=2).coalesce(1), "t")
+    specs = [("a", "additive", "classifier", {"max_bins": 8}), ("l", "lightgbm", "classifier", {"n_estimators": 5, "num_leaves": 4, "min_child_samples": 5}), ("x", "nothing", "classifier", {})]
+    got = {(r.model_spec_id, r.feature_set_id): r for r in search.evaluated_specs(df, f, specs, {"good": ["var_0"], "gone": ["var_9"]}).collect()}
+    assert got["a", "good"].status == got["l", "good"].status == "ok" and got["a", "good"].roc_auc_score > 0.8
+    assert {got[k].status for k in got if k[0] == "x" or k[1] == "gone"} == {"error"} and "nothing" in got["x", "good"].error
+    for _, family, _, params in (*recipes.default_model_specs(), *recipes.search_specs()):
+        search.fit_of_spec(family, params)
+    ks = search.cluster_counts_by_set(df, {"s": ["var_0", "var_1"]}, [2, 3]).collect()
+    assert [(r.feature_set, r.k) for r in ks] == [("s", 2), ("s", 3)] and ks[0].inertia > ks[1].inertia
