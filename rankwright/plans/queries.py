@@ -683,7 +683,8 @@ def corr_pairs(spark, d):
     return _six(features.correlated_pairs(embedding_rows(spark, d), "features", size=64, least=0.05), "corr")
 
 
-@query(f"WITH {LONG}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY feature) SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature")
+@query(f"""WITH {LONG}, m AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM l GROUP BY feature), v AS (SELECT id, l.feature, round((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 4) AS value FROM l JOIN m ON l.feature = m.feature)
+SELECT id, feature, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE value END AS value FROM v""")
 def standardised(spark, d):
     return features.standardised(embedding_long(spark, d).drop("y")).withColumn("value", F.round("value", 4))
 
