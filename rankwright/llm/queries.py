@@ -16,6 +16,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def quality_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2_quality_rules SQL can express."""
+    return op2_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_rules, op3_language_id, op4_secret_scan, op5_token_files, op6_html_text, op7_preference_chat, op8_simhash, op9_bpe_codec, op10_best_fit_packing,
+        quality_base_columns,
     )
 }
 
@@ -63,6 +69,18 @@ FROM d
 """
 
 
+QUALITY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 2),
+r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1),
+c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN c ON d.doc_id = c.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+"""
+
+
 def _op4_sql() -> str:
     quoted = lambda s: s.replace("'", "''")
     kinds = " UNION ALL ".join(
@@ -102,4 +120,4 @@ SELECT pair_id, min(conv_id) FILTER (WHERE side) AS chosen_id, min(conv_id) FILT
 FROM j GROUP BY pair_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_secret_scan": _op4_sql(), "op7_preference_chat": OP7_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "quality_base_columns": QUALITY_SQL, "op4_secret_scan": _op4_sql(), "op7_preference_chat": OP7_SQL}
