@@ -28,7 +28,7 @@ _STREAM = {
     # Else each of the state's partitions sets 4 MB aside for its manifest alone.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 _KEYS = "digest string, part string, doc_id long, file string, row long"
 _FIRST = "struct<no_id: boolean, doc_id: long, file: string, row: long>"
