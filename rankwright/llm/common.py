@@ -36,10 +36,18 @@ def hot_and_rest(side: DataFrame, weight: str, total: int) -> tuple[DataFrame, D
     return F.broadcast(side.where(hot)), side.where(~hot)
 
 
-def join_on_counted(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``side`` (one row a key, with the number of its rows in ``weight``): the rows of hot
-    keys stay where they are.  Every key of ``rows`` that ``side`` lacks goes."""
+def join_on_counted(rows: DataFrame, side: DataFrame, key: str | list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``side`` (written, one row a key, with the number of its rows in ``weight``): the rows of
+    hot keys stay where they are.  Every key of ``rows`` that ``side`` lacks goes.
+
+    How many keys are hot is counted first: if none is, or no other, one plain join does.
+    """
     hot, rest = hot_and_rest(side, weight, total)
+    n = side.agg(F.count("*").alias("all"), F.count_if(F.col(weight) * HOT_KEYS > F.lit(total).cast("long")).alias("hot")).first()
+    if not n.hot:
+        return rows.join(side, key)
+    if n.hot == n["all"]:
+        return rows.join(F.broadcast(side), key)
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
