@@ -26,7 +26,7 @@ from .exact_dedup import drop_marked
 
 BITS, SEED, SHINGLE = 64, 42, 4
 #: Variants that one task spells out at a time (8 bytes each, and as much again to sort).
-RANGE_VARIANTS = 1 << 21
+RANGE_VARIANTS = 1 << 20
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
