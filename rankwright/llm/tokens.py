@@ -139,7 +139,7 @@ class WordLevel:
         self.special = tuple(special)
         self.core = tiktoken.Encoding(name, pat_str=WORD_PIECES, mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(WORD_PIECES)
-        self.memory = _Memory(self.word, 3)
+        self.memory = _Memory(self.word, 2)
 
     def word(self, raw: bytes) -> bytes:
         text = raw.decode()
