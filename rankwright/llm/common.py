@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,19 @@ def semi_join_on_counted(rows: DataFrame, side: DataFrame, key: str, weight: str
     return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
 
 
+def with_texts(docs: DataFrame, text_col: str, change: Callable[[list], list]) -> DataFrame:
+    """``docs`` with ``change`` applied to the texts of every Arrow batch; whatever the other columns are called, they stay."""
+    place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+
+    def run(batches):
+        for batch in batches:
+            field = batch.schema.field(place)
+            yield batch.set_column(place, field, pa.array(change(batch.column(place).to_pylist()), field.type))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, html_text, language, lexicon_bpe, near_dedup, packing, quality, secrets, token_files
+from . import chat, exact_dedup, html_text, language, lexicon_bpe, near_dedup, packing, periodic_runs, pii, quality, secrets, token_files, vector_codes
 from .common import table
 
 
@@ -53,11 +53,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def personal_data_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op11_personal_data SQL can express."""
+    return op11_personal_data(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE), "base_sha256")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_rules, op3_language_id, op4_secret_scan, op5_token_files, op6_html_text, op7_preference_chat, op8_simhash, op9_bpe_codec, op10_best_fit_packing,
-        quality_base_columns,
+        op11_personal_data, op12_periodic_runs, op13_vector_codes, quality_base_columns, personal_data_base_columns,
     )
 }
 
@@ -120,4 +137,51 @@ SELECT pair_id, min(conv_id) FILTER (WHERE side) AS chosen_id, min(conv_id) FILT
 FROM j GROUP BY pair_id
 """
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "quality_base_columns": QUALITY_SQL, "op4_secret_scan": _op4_sql(), "op7_preference_chat": OP7_SQL}
+
+def _op11_sql() -> str:
+    """The four kinds by pattern; a match's place is the length of all pieces and matches before it."""
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(f, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(x AS INTEGER), 999) > 255)) = 0"),
+        ("card", r"[0-9]([\x20-]?[0-9])+", "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(d)), lambda i: CASE WHEN (length(d) - i) % 2 = 1 THEN CAST(d[i + 1] AS INTEGER) ELSE 2 * CAST(d[i + 1] AS INTEGER) - CASE WHEN d[i + 1] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
+    )
+    each = " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, '{name}' AS name, regexp_extract_all(t, '{rule}') AS f, regexp_split_to_array(t, '{rule}') AS g FROM t WHERE regexp_matches(t, '{rule}')" for k, (name, rule, _) in enumerate(kinds))
+    passes = " ".join(f"WHEN {k} THEN {test}" for k, (_, _, test) in enumerate(kinds))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({each}),
+u AS (SELECT doc_id, kind, name, generate_subscripts(f, 1) AS nth, unnest(f) AS f, unnest(g[1:len(f)]) AS g FROM m),
+p AS (SELECT *, regexp_replace(f, '[^0-9]', '', 'g') AS d, CAST(sum(length(g) + length(f)) OVER (PARTITION BY doc_id, kind ORDER BY nth) AS BIGINT) AS e FROM u),
+s AS (SELECT doc_id, kind, e - length(f) AS b, name || ':' || (e - length(f)) || ':' || e AS item FROM p WHERE CASE kind {passes} END),
+r AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, (name, _, _) in enumerate(kinds))}, string_agg(item, ',' ORDER BY b, kind) AS base FROM s GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _, _ in kinds)}, sha256(coalesce(base, '')) AS base_sha256 FROM t LEFT JOIN r ON t.doc_id = r.doc_id
+"""
+
+
+def _op13_sql() -> str:
+    """Every round as three tables: nearest entries, their sums, and the next codebook.  All floors go down."""
+    scale, parts, entries = vector_codes.SCALE, vector_codes.PARTS, vector_codes.ENTRIES
+    nearest = lambda k: f"""
+d{k} AS (SELECT x.vec_id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c ON x.part = c.part AND x.pos = c.pos GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY ALL)"""
+    turns = "".join(
+        f"""{nearest(k)},
+n{k} AS (SELECT a.part, a.entry, x.pos, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM a{k} a JOIN x ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, coalesce(n.v, c.v) AS v FROM c{k} c LEFT JOIN n{k} n ON c.part = n.part AND c.entry = n.entry AND c.pos = n.pos),"""
+        for k in range(vector_codes.ROUNDS)
+    )
+    last = vector_codes.ROUNDS
+    return f"""
+WITH e AS (SELECT vec_id, label, embedding AS w, len(embedding) // {parts} AS size FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+u AS (SELECT vec_id, size, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS y FROM e),
+x AS MATERIALIZED (SELECT vec_id, i // size AS part, i % size AS pos, CAST(floor({scale} * CAST(y AS DOUBLE)) AS BIGINT) AS v FROM u),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e ORDER BY vec_id LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT x.part, f.entry, x.pos, x.v FROM x JOIN f ON x.vec_id = f.vec_id),{turns}{nearest(last)},
+r AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{last})
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN e ON r.vec_id = e.vec_id, h
+"""
+
+
+ORACLES = {"op1_exact_dedup": OP1_SQL, "quality_base_columns": QUALITY_SQL, "op4_secret_scan": _op4_sql(), "op7_preference_chat": OP7_SQL, "personal_data_base_columns": _op11_sql(), "op13_vector_codes": _op13_sql()}

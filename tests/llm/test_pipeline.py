@@ -43,7 +43,7 @@ def test_stages(spark, documents):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(ORACLES[name]).df()
     got = QUERIES[name](spark, SF).toPandas()[list(want.columns)]
