@@ -77,10 +77,15 @@ def gram(df: DataFrame, vector: str, size: int) -> DataFrame:
     def add(batches):
         n, one, two, sab = (np.zeros((size, size)) for _ in range(4))
         for batch in batches:
-            rows = [[np.nan if v is None else v for v in (r if r is not None else ())[:size]] for r in batch.column(0).to_pylist()]
-            if not rows:
+            column = batch.column(0)
+            if not len(column):
                 continue
-            x = np.array([r + [np.nan] * (size - len(r)) for r in rows], float) - origin
+            offsets, values = np.asarray(column.offsets), column.values.to_numpy(zero_copy_only=False)
+            lengths = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.minimum(np.diff(offsets), size))
+            x = np.full((len(column), size), np.nan)
+            there = np.arange(size) < lengths[:, None]
+            x[there] = values[(offsets[:-1, None] + np.arange(size))[there]]
+            x -= origin
             known = ~np.isnan(x)
             x, seen = np.where(known, x, 0.0), known.astype(float)
             n += seen.T @ seen
@@ -140,17 +145,59 @@ def prune_correlated(features: Sequence[str], corr: np.ndarray, strength: dict[s
     return [f for f in features if f not in gone]
 
 
-def variance_inflation(corr: np.ndarray) -> np.ndarray:
-    """Variance inflation of each standardised feature: the diagonal of the inverse correlation matrix."""
-    try:
-        return np.diag(np.linalg.inv(corr)).copy()
-    except np.linalg.LinAlgError:
-        return np.full(len(corr), np.inf)
+def independent_columns(corr: np.ndarray, *, least: float = 1e-9) -> list[int]:
+    """Places of a largest set of columns of which none is a combination of the others, in the order in which a pivoted
+    Cholesky factorisation takes them: each time the one of which those before explain least."""
+    n = len(corr)
+    left = np.diag(corr).astype(float).copy()
+    factor = np.zeros((n, n))
+    chosen: list[int] = []
+    while len(chosen) < n:
+        p = int(left.argmax())
+        if left[p] <= least:
+            break
+        k = len(chosen)
+        factor[:, k] = (corr[:, p] - factor[:, :k] @ factor[p, :k]) / np.sqrt(left[p])
+        left = left - factor[:, k] ** 2
+        chosen.append(p)
+        left[chosen] = 0.0
+    return chosen
+
+
+def variance_inflation(corr: np.ndarray, *, least: float = 1e-9) -> np.ndarray:
+    """Variance inflation 1 / (1 - R2) of each feature when regressed on all others, from their correlation matrix.
+
+    It is NaN for a constant feature (NaN in the matrix), which the others are regressed without, and infinite for one
+    of which the others explain all but ``least``; such features leave the values of the others as they are.
+    """
+    n = len(corr)
+    out = np.full(n, np.nan)
+    known = np.flatnonzero(~np.isnan(np.diag(corr)))
+    if not len(known):
+        return out
+    own = np.nan_to_num(corr[np.ix_(known, known)])
+    base = independent_columns(own, least=least)
+    rest = [k for k in range(len(known)) if k not in set(base)]
+    inverse = np.linalg.inv(own[np.ix_(base, base)])
+    values = np.full(len(known), np.inf)
+    # One that takes part in the combination that makes up another column is itself a combination of the others.
+    bound = np.abs(inverse @ own[np.ix_(base, rest)]).max(1, initial=0.0) > np.sqrt(least)
+    values[base] = np.where(bound, np.inf, np.diag(inverse))
+    out[known] = values
+    return out
 
 
 def prune_inflated(features: Sequence[str], corr: np.ndarray, *, most: float = 5.0) -> list[str]:
-    """All features above the bound go at once, as one look at the table decides."""
-    return [f for f, v in zip(features, variance_inflation(corr)) if v <= most]
+    """All features above the bound go at once, as one look at the table decides; constant ones have no value and stay."""
+    return [f for f, v in zip(features, variance_inflation(corr)) if not v > most]
+
+
+def inflation_report(df: DataFrame, vector: str, size: int, *, most: float = 5.0) -> DataFrame:
+    """place, inflation (null for a constant column, and where the others explain a column wholly), dependent, kept: the
+    verdict on each place of an array column.  The Gram matrix, of the number of places squared, comes to the driver."""
+    values = variance_inflation(correlation_matrix(df, vector, range(size)))
+    rows = [(k, float(v) if np.isfinite(v) else None, bool(np.isinf(v)), not bool(v > most)) for k, v in enumerate(values)]
+    return df.sparkSession.createDataFrame(rows, "place int, inflation double, dependent boolean, kept boolean")
 
 
 def class_weight(df: DataFrame, *, multiplier: float = 1.0) -> DataFrame:

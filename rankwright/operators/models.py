@@ -22,6 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.permute import permuted_columns
 from ..functions.ranges import placed, quantiles
 from ..functions.shared import written
 from .curves import best_point, expected_value, profit_curve, ranked
@@ -396,17 +397,22 @@ def forest_feature_scores(df: DataFrame, fit: Fit | None = None) -> list[float]:
     return [float(v) for v in (fit or boosted(trees=20))(df).model.featureImportances.toArray()]
 
 
+def with_mixed(df: DataFrame, width: int, *, seed: int = 42) -> DataFrame:
+    """``df`` (written) with ``mixed``, its features with every column permuted among all rows on its own."""
+    numbered = written(placed(df, [], [F.col("id")], name="_r").withColumn("place", F.col("_r") - 1).drop("_r"), "permutation-rows")
+    mixed = permuted_columns(numbered.select("place", "features"), numbered.count(), width, seed)
+    return written(numbered.join(mixed, "place").drop("place"), "permutation-mixed")
+
+
 def permutation_ranking(df: DataFrame, scorer: Scorer, metric: Callable[[DataFrame], float], width: int, *, seed: int = 42) -> list[float]:
-    """Loss of ``metric`` when one feature's values are dealt out anew among all rows: the row of the n-th least hash gets
-    the value of the row of the n-th least id.  Places come from ranges, so the table may be of any size."""
-    base = metric(scorer.score(df))
-    numbered = written(placed(df, [], [F.col("id")], name="_r"), "permutation-rows")
+    """Loss of ``metric`` when one feature's values are dealt out anew among all rows.  All columns are permuted in one
+    pass; after that each feature costs a scoring of the table."""
+    both = with_mixed(df, width, seed=seed)
+    base = metric(scorer.score(both.drop("mixed")))
     out = []
     for k in range(width):
-        values = placed(df.select("id", F.col("features")[k].alias("_x")), [], [F.xxhash64(F.lit(seed + k), "id"), F.col("id")], name="_r").select("_r", "_x")
-        new = F.transform("features", lambda x, i: F.when(i == k, F.col("_x")).otherwise(x))
-        mixed = numbered.join(values, "_r").withColumn("features", new).drop("_r", "_x")
-        out.append(base - metric(scorer.score(mixed)))
+        new = F.transform("features", lambda x, i: F.when(i == k, F.get("mixed", F.lit(k))).otherwise(x))
+        out.append(base - metric(scorer.score(both.withColumn("features", new).drop("mixed"))))
     return out
 
 

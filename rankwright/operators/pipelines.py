@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ledger import FEATURE_COST, HIT_VALUE, MISS_COST
+from ..functions.ledger import FEATURE_COST, HIT_VALUE, MAX_TARGETS, MISS_COST
 from ..functions.parsing import set_key
 from ..functions.shared import written
 from .curves import best_point, profit_curve, ranked
 from .features import correlation_matrix, long_view, prune_correlated, prune_inflated, variance_filter
-from .models import Fit, forest_feature_scores, l1_feature_scores, out_of_fold
+from .folds import outer_folds
+from .models import Fit, forest_feature_scores, out_of_fold
 from .rankings import binned_mutual_information, floored_weights, normalised_ranks, rank_sum, top_rank_scores
+from .search import banded_features, sparse_path
 
 Prescreen = Callable[[DataFrame], DataFrame]
 
@@ -29,9 +31,16 @@ def univariate_filter(df: DataFrame, *, least_variance: float = 0.01, keep: int
     return [r.feature for r in both.orderBy("combined", "feature").limit(keep).collect()]
 
 
-def multicollinearity_filter(df: DataFrame, features: Sequence[str], *, correlation: float = 0.85, inflation: float = 5.0, cs: Sequence[float] = (0.02, 0.05, 0.1, 0.5, 1.0)) -> list[str]:
-    """Correlated, then inflated features go; what an L1 model leaves out goes last.  Matrices are as large as the
-    number of features squared, and come to the driver."""
+def multicollinearity_filter(
+    df: DataFrame, features: Sequence[str], folds: DataFrame | None = None, *, correlation: float = 0.85, inflation: float = 5.0,
+    cs: Sequence[float] = tuple(np.logspace(-4, 2, 50)), band: tuple[int, int] = (20, 30), target: int | None = None, cap: int = MAX_TARGETS,
+) -> list[str]:
+    """Correlated, then inflated features go; last, those without a coefficient at the best point of the L1 path.
+
+    The path has a balanced model for each of ``cs`` and is judged over ``folds`` (five stratified ones by default): the
+    best score with ``band`` features, or the number nearest to ``target``.  Matrices are as large as the number of
+    features squared, and come to the driver.
+    """
     long = long_view(df, "features", "id", "y").where(F.col("feature").isin(*features))
     strength = {r.feature: r.mutual_info for r in binned_mutual_information(long).collect()}
     corr = correlation_matrix(df, "features", [int(f.removeprefix("var_")) for f in features])
@@ -40,8 +49,8 @@ def multicollinearity_filter(df: DataFrame, features: Sequence[str], *, correlat
     left = prune_inflated(left, corr[np.ix_(places, places)], most=inflation)
     if not left:
         return []
-    scores = l1_feature_scores(narrowed(df, left), cs=cs)
-    return [f for f, s in zip(left, scores) if s > 1e-12]
+    path = sparse_path(narrowed(df, left), folds if folds is not None else outer_folds(df, n_splits=5), cs=cs, cap=cap)
+    return banded_features(path, left, band=band, target=target)
 
 
 def narrowed(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS
-from ..functions.ranges import placed
 from ..functions.shared import written
+from .curves import best_point, profit_curve
 from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .features import long_view
-from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores
+from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores, with_mixed
 from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
+from .paths import LogisticTask, fit_many, held_out_scores
 from .records import fold_scores, scored_record
 
 RANKINGS = "feature string, raw_score double"
@@ -228,18 +229,25 @@ def nonzero_features(coefficients: Sequence[float], features: Sequence[str]) ->
     return [f for f, c in zip(features, coefficients) if abs(c) > 1e-12]
 
 
-def sparse_path(df: DataFrame, folds: DataFrame, *, cs: Sequence[float] = tuple(np.logspace(-4, 2, 50)), cap: int = MAX_TARGETS) -> list[dict]:
-    """c, nonzero, coefficients and score (mean over folds of the best score less the price of the features that are left)
-    of L1 logistic models of standardised features."""
+def sparse_path(df: DataFrame, folds: DataFrame, *, cs: Sequence[float] = tuple(np.logspace(-4, 2, 50)), cap: int = MAX_TARGETS, penalise_intercept: bool = True) -> list[dict]:
+    """c, nonzero, coefficients and score (mean over folds of the best score less the price of all features) of balanced L1
+    logistic models of standardised features; every penalty, on all rows and without each fold, is fitted in the same passes.
+
+    The intercept is penalised as the coefficients are, unless told otherwise."""
     wide, *_ = scaled(df, robust=False)
-    wide, out = written(wide.select("id", "y", "features"), "sparse-path"), []
-    for c in cs:
-        fit = logistic(c=float(c), l1_ratio=1.0)
-        coefficients = np.array(fit(wide).model.coefficients)
-        left = int((np.abs(coefficients) > 1e-12).sum())
-        scores = out_of_fold(wide, folds, fit).where("status = 'ok'").withColumnRenamed("outer_fold", "fold")
-        score = fold_scores(scores, left, cap=cap).agg(F.avg("business_with_var_penalty").alias("s")).first().s
-        out.append({"c": float(c), "nonzero": left, "coefficients": coefficients, "score": score})
+    wide = written(wide.select("id", "y", "features").join(folds.select("id", F.col("outer_fold").alias("fold")), "id"), "sparse-path")
+    held = sorted(r.fold for r in wide.select("fold").distinct().collect())
+    tasks = [LogisticTask(float(c), 1.0, f) for c in cs for f in (None, *held)]
+    fits = fit_many(wide, tasks, penalise_intercept=penalise_intercept)
+    width = max((len(f.coefficients) for f in fits), default=0)
+    scores = written(held_out_scores(wide, fits).withColumnRenamed("fold", "_fold"), "sparse-path-scores")
+    gross = {r.model: r.business_score for r in best_point(profit_curve(scores, ["model"], features=width, cap=cap), ["model"]).collect()}  # a row a model
+    out = []
+    for k, c in enumerate(cs):
+        own = range(k * (len(held) + 1), (k + 1) * (len(held) + 1))
+        coefficients = fits[own[0]].coefficients
+        found = [float(gross[m]) for m in own[1:] if m in gross]
+        out.append({"c": float(c), "nonzero": int((np.abs(coefficients) > 1e-12).sum()), "coefficients": coefficients, "score": float(np.mean(found)) if found else float("nan")})
     return out
 
 
@@ -284,13 +292,13 @@ def component_comparison(df: DataFrame, folds: DataFrame, fit: Fit, ks: Sequence
 
 
 def shadow_selection(df: DataFrame, width: int, *, rounds: int = 20, alpha: float = 0.05, fit: Fit | None = None, seed: int = 42) -> list[tuple[str, int, str]]:
-    """(feature, hits, verdict): how often a feature's importance was above that of every shadow, a feature whose values
-    come from another row; "confirmed" or "rejected" where chance would hardly give that many or that few."""
-    numbered = written(placed(df, [], [F.col("id")], name="_r"), "shadow-rows")
+    """(feature, hits, verdict): how often a feature's importance was above that of every shadow, a feature whose values are
+    dealt out anew among all rows, each on its own; "confirmed" or "rejected" where chance would hardly give that many or
+    that few."""
     hits = np.zeros(width, int)
     for r in range(rounds):
-        mixed = placed(df.select("id", F.col("features").alias("_x")), [], [F.xxhash64(F.lit(seed + r), "id"), F.col("id")], name="_r").select("_r", "_x")
-        both = numbered.join(mixed, "_r").withColumn("features", F.concat("features", "_x")).drop("_r", "_x")
+        both = with_mixed(df, width, seed=seed + r)
+        both = both.withColumn("features", F.concat("features", "mixed")).drop("mixed")
         found = np.array(forest_feature_scores(both, fit or random_forest(trees=50, seed=seed + r)))
         hits += found[:width] > found[width:].max()
     tail = lambda k: sum(comb(rounds, j) for j in range(k, rounds + 1)) / 2**rounds
