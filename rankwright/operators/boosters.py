@@ -1,12 +1,14 @@
 """Boosters and subset selection that Spark lacks: leaf-wise trees, LambdaMART, additive boosting, best subsets.
 
-Each is fitted on a bounded sample of labelled rows, the ``sample`` rows with the least hash of the id, which comes
-to the driver; the bound is a parameter of the operator.  Scoring runs over all rows in Arrow batches.
+Each is fitted on a bounded sample of labelled rows, the ``sample`` rows with the least hash of the id; the bound is a
+parameter of the operator.  The sample meets in one task, where the model is grown, and only the model comes to the
+driver.  Scoring runs over all rows in Arrow batches.  The functions ``fit_...`` are what a task runs.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -21,12 +23,22 @@ from .models import Fit
 SAMPLE = 20_000
 
 
-def sampled(train: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the ``sample`` rows with the least hash of the id."""
-    rows = train.orderBy(F.xxhash64("id"), "id").limit(sample).select("features", "y").collect()
-    if not rows:
+def fitted_in_task(train: DataFrame, sample: int, grow: Callable[[np.ndarray, np.ndarray], object]):
+    """What ``grow`` makes, in a task, of the features and labels of the ``sample`` rows with the least hash of the id."""
+
+    def run(batches):
+        rows = [b for b in batches if len(b)]
+        if rows:
+            both = pd.concat(rows)
+            model = grow(np.stack(both["features"].to_numpy()).astype(float), both["y"].to_numpy().astype(float))
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    # A limit leaves one partition: the sample is one task's.
+    picked = train.where("y IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample).select("features", "y")
+    made = picked.mapInPandas(run, "model binary").collect()
+    if not made:
         raise ValueError("no training rows")
-    return np.array([r.features for r in rows], float), np.array([r.y for r in rows], float)
+    return pickle.loads(bytes(made[0].model))
 
 
 @dataclass
@@ -68,21 +80,25 @@ def binned(x: np.ndarray, bins: int) -> Bins:
     return Bins(places, cuts, max(map(len, cuts)) + 1)
 
 
-def _best_split(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, leaf: int, ridge: float) -> tuple[float, int, int]:
-    """Gain, feature and last bin on the left of the best split of ``rows``."""
+def _best_split(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, leaf: int, ridge: float, least: float, columns: np.ndarray | None) -> tuple[float, int, int]:
+    """Gain, feature and last bin on the left of the best split of ``rows`` by one of ``columns`` (all if none) with ``leaf``
+    rows and curvature of ``least`` on either side."""
     m = b.places.shape[1]
     index = (b.places[rows] + np.arange(m) * b.width).ravel()
     sums = [np.bincount(index, np.repeat(v, m), m * b.width).reshape(m, b.width).cumsum(1) for v in (g[rows], h[rows], np.ones(len(rows)))]
     whole = [s[:, -1:] for s in sums]
     score = lambda a, c: a * a / (c + ridge)
     gain = score(sums[0], sums[1]) + score(whole[0] - sums[0], whole[1] - sums[1]) - score(whole[0], whole[1])
-    gain[(sums[2] < leaf) | (whole[2] - sums[2] < leaf)] = -np.inf
+    gain[(sums[2] < leaf) | (whole[2] - sums[2] < leaf) | (sums[1] < least) | (whole[1] - sums[1] < least)] = -np.inf
+    if columns is not None:
+        gain[np.setdiff1d(np.arange(m), columns)] = -np.inf
     f, k = divmod(int(gain.argmax()), b.width)
     return float(gain[f, k]), f, k
 
 
-def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth: int, leaf: int, ridge: float, gains: np.ndarray) -> tuple[Tree, np.ndarray]:
-    """A tree that always splits the leaf with the most to gain, and its value for each row; ``gains`` adds up by feature."""
+def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth: int, leaf: int, ridge: float, gains: np.ndarray, splits: np.ndarray, least: float = 0.0, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
+    """A tree, grown on ``rows`` (all if none), that always splits the leaf with the most to gain, and its value for each of
+    them; ``gains`` and ``splits`` add up by feature."""
     tree, out = Tree(), np.zeros(len(g))
     waiting: list[tuple] = []
 
@@ -90,16 +106,17 @@ def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth:
         node = tree.add(float(g[rows].sum() / (h[rows].sum() + ridge)))
         out[rows] = tree.value[node]
         if level < depth and len(rows) >= 2 * leaf:
-            gain, f, k = _best_split(b, rows, g, h, leaf, ridge)
+            gain, f, k = _best_split(b, rows, g, h, leaf, ridge, least, columns)
             if gain > 1e-9 and k < len(b.cuts[f]):
                 heapq.heappush(waiting, (-gain, node, f, k, level, rows))
         return node
 
-    offer(np.arange(len(g)), 0)
+    offer(np.arange(len(g)) if rows is None else rows, 0)
     made = 1
     while waiting and made < leaves:
         gain, node, f, k, level, rows = heapq.heappop(waiting)
         gains[f] -= gain
+        splits[f] += 1
         under = b.places[rows, f] <= k
         tree.feature[node], tree.threshold[node] = f, float(b.cuts[f][k])
         tree.left[node] = offer(rows[under], level + 1)
@@ -108,58 +125,78 @@ def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth:
     return tree, out
 
 
+def _scored(df: DataFrame, model) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(features: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.predict(np.stack(features.to_numpy()).astype(float)) if len(features) else [], dtype=float)
+
+    return df.withColumn("score", run("features"))
+
+
 @dataclass(frozen=True)
 class Boosted:
-    """Summed trees, as a probability or as they are; ``gains`` says what each feature's splits gained."""
+    """Summed trees, as a probability or as they are; ``gains`` and ``splits`` say what each feature's splits gained and how
+    many there are."""
 
     base: float
     rate: float
     trees: list
     gains: np.ndarray
+    splits: np.ndarray
     probability: bool
     features: int
 
-    def score(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast((self.base, self.rate, self.trees, self.probability))
-
-        @F.pandas_udf("double")
-        def run(features: pd.Series) -> pd.Series:
-            base, rate, trees, probability = shared.value
-            if not len(features):
-                return pd.Series([], dtype=float)
-            x = np.stack(features.to_numpy()).astype(float)
-            total = base + rate * sum((t.predict(x) for t in trees), np.zeros(len(x)))
-            return pd.Series(1 / (1 + np.exp(-total)) if probability else total)
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        total = self.base + self.rate * sum((t.predict(x) for t in self.trees), np.zeros(len(x)))
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500))) if self.probability else total
 
-        return df.withColumn("score", run("features"))
+    def score(self, df: DataFrame) -> DataFrame:
+        return _scored(df, self)
 
 
-def _boost(x: np.ndarray, gradients: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], base: float, *, trees: int, rate: float, leaves: int, depth: int, leaf: int, ridge: float, bins: int, probability: bool) -> Boosted:
-    b, score, made, gains = binned(x, bins), np.full(len(x), base), [], np.zeros(x.shape[1])
+def _boost(
+    x: np.ndarray, gradients: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], base: float, *, trees: int, rate: float, leaves: int, depth: int, leaf: int, ridge: float, bins: int, probability: bool,
+    least: float = 0.0, row_share: float = 1.0, column_share: float = 1.0, seed: int = 42,
+) -> Boosted:
+    """Each tree is grown on a share of the rows and of the columns, drawn anew; all rows move by its values."""
+    b, score, made = binned(x, bins), np.full(len(x), base), []
+    gains, splits, r = np.zeros(x.shape[1]), np.zeros(x.shape[1], int), np.random.default_rng(seed)
     for _ in range(trees):
         g, h = gradients(score)
-        tree, step = grow_leafwise(b, g, h, leaves=leaves, depth=depth, leaf=leaf, ridge=ridge, gains=gains)
-        score += rate * step
+        rows = None if row_share >= 1 else np.sort(r.permutation(len(x))[: max(1, round(row_share * len(x)))])
+        columns = None if column_share >= 1 else np.sort(r.permutation(x.shape[1])[: max(1, round(column_share * x.shape[1]))])
+        tree, step = grow_leafwise(b, g, h, leaves=leaves, depth=depth, leaf=leaf, ridge=ridge, gains=gains, splits=splits, least=least, rows=rows, columns=columns)
+        score += rate * (step if rows is None else tree.predict(x))
         made.append(tree)
-    return Boosted(base, rate, made, gains, probability, x.shape[1])
+    return Boosted(base, rate, made, gains, splits, probability, x.shape[1])
 
 
-def leafwise_boosted(*, trees: int = 100, rate: float = 0.05, leaves: int = 31, depth: int = 64, leaf: int = 20, ridge: float = 1.0, bins: int = 64, multiplier: float = 1.0, sample: int = SAMPLE) -> Fit:
-    """Boosted leaf-wise trees of the logistic loss; positives weigh ``multiplier`` times negatives over positives.
-    With ``leaves`` 2 ** ``depth`` the trees are level-wise."""
+def fit_leafwise(
+    x: np.ndarray, y: np.ndarray, *, trees: int = 100, rate: float = 0.05, leaves: int = 31, depth: int = 64, leaf: int = 20, ridge: float = 1.0, bins: int = 64, multiplier: float | None = 1.0,
+    least: float = 0.0, row_share: float = 1.0, column_share: float = 1.0, seed: int = 42,
+) -> Boosted:
+    weight = np.where(y == 1, 1.0 if multiplier is None else multiplier * (len(y) - y.sum()) / max(y.sum(), 1), 1.0)
+    share = np.clip((weight * y).sum() / weight.sum(), 0.01, 0.99)
 
-    def fit(train: DataFrame) -> Boosted:
-        x, y = sampled(train, sample)
-        weight = np.where(y == 1, multiplier * (len(y) - y.sum()) / max(y.sum(), 1), 1.0)
-        share = np.clip((weight * y).sum() / weight.sum(), 0.01, 0.99)
+    def gradients(score):
+        p = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
+        return weight * (y - p), weight * p * (1 - p)
+
+    return _boost(
+        x, gradients, float(np.log(share / (1 - share))), trees=trees, rate=rate, leaves=leaves, depth=depth, leaf=leaf, ridge=ridge, bins=bins, probability=True,
+        least=least, row_share=row_share, column_share=column_share, seed=seed,
+    )
 
-        def gradients(score):
-            p = 1 / (1 + np.exp(-score))
-            return weight * (y - p), weight * p * (1 - p)
 
-        return _boost(x, gradients, float(np.log(share / (1 - share))), trees=trees, rate=rate, leaves=leaves, depth=depth, leaf=leaf, ridge=ridge, bins=bins, probability=True)
+def leafwise_boosted(*, sample: int = SAMPLE, **ways) -> Fit:
+    """Boosted leaf-wise trees of the logistic loss (``fit_leafwise`` has the parameters).
 
-    return fit
+    Positives weigh ``multiplier`` times negatives over positives (1 if it is None); a split leaves ``leaf`` rows and
+    curvature of ``least`` on either side; ``row_share`` and ``column_share`` of the sample are drawn for each tree.  With
+    ``leaves`` 2 ** ``depth`` the trees are level-wise."""
+    return lambda train: fitted_in_task(train, sample, lambda x, y: fit_leafwise(x, y, **ways))
 
 
 def lambda_gradients(y: np.ndarray, score: np.ndarray, *, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -183,14 +220,13 @@ def lambda_gradients(y: np.ndarray, score: np.ndarray, *, at_once: int = 256) ->
     return g, h
 
 
-def lambdamart(*, trees: int = 100, rate: float = 0.1, leaves: int = 15, leaf: int = 20, ridge: float = 1e-3, bins: int = 64, sample: int = SAMPLE) -> Fit:
-    """Leaf-wise trees boosted on the gradients of ``lambda_gradients``; scores order rows and are no probabilities."""
+def fit_lambdamart(x: np.ndarray, y: np.ndarray, *, trees: int = 100, rate: float = 0.1, leaves: int = 15, leaf: int = 20, ridge: float = 1e-3, bins: int = 64) -> Boosted:
+    return _boost(x, lambda s: lambda_gradients(y, s), 0.0, trees=trees, rate=rate, leaves=leaves, depth=64, leaf=leaf, ridge=ridge, bins=bins, probability=False)
 
-    def fit(train: DataFrame) -> Boosted:
-        x, y = sampled(train, sample)
-        return _boost(x, lambda s: lambda_gradients(y, s), 0.0, trees=trees, rate=rate, leaves=leaves, depth=64, leaf=leaf, ridge=ridge, bins=bins, probability=False)
 
-    return fit
+def lambdamart(*, sample: int = SAMPLE, **ways) -> Fit:
+    """Leaf-wise trees boosted on the gradients of ``lambda_gradients``; scores order rows and are no probabilities."""
+    return lambda train: fitted_in_task(train, sample, lambda x, y: fit_lambdamart(x, y, **ways))
 
 
 @dataclass(frozen=True)
@@ -203,48 +239,40 @@ class Additive:
     importance: np.ndarray
     features: int
 
-    def score(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast((self.base, self.cuts, self.values))
-
-        @F.pandas_udf("double")
-        def run(features: pd.Series) -> pd.Series:
-            base, cuts, values = shared.value
-            if not len(features):
-                return pd.Series([], dtype=float)
-            x = np.stack(features.to_numpy()).astype(float)
-            total = base + sum((v[np.searchsorted(c, x[:, f], side="left")] for f, (c, v) in enumerate(zip(cuts, values))), np.zeros(len(x)))
-            return pd.Series(1 / (1 + np.exp(-total)))
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        total = self.base + sum((v[np.searchsorted(c, x[:, f], side="left")] for f, (c, v) in enumerate(zip(self.cuts, self.values))), np.zeros(len(x)))
+        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
-        return df.withColumn("score", run("features"))
+    def score(self, df: DataFrame) -> DataFrame:
+        return _scored(df, self)
 
 
-def additive_boosted(*, rounds: int = 200, rate: float = 0.05, bins: int = 32, leaf: int = 5, ridge: float = 1.0, sample: int = SAMPLE) -> Fit:
+def fit_additive(x: np.ndarray, y: np.ndarray, *, rounds: int = 200, rate: float = 0.05, bins: int = 32, leaf: int = 5, ridge: float = 1.0) -> Additive:
+    b = binned(x, bins)
+    share = np.clip(y.mean(), 0.01, 0.99)
+    base = float(np.log(share / (1 - share)))
+    values, score = [np.zeros(len(c) + 1) for c in b.cuts], np.full(len(x), base)
+    counts = [np.bincount(b.places[:, f], minlength=len(v)).cumsum() for f, v in enumerate(values)]
+    for _ in range(rounds):
+        for f, v in enumerate(values):
+            p = 1 / (1 + np.exp(-score))
+            g, h = (np.bincount(b.places[:, f], w, len(v)).cumsum() for w in (y - p, p * (1 - p)))
+            fits = (counts[f] >= leaf) & (counts[f][-1] - counts[f] >= leaf)
+            if not fits.any():
+                continue
+            gain = np.where(fits, g * g / (h + ridge) + (g[-1] - g) ** 2 / (h[-1] - h + ridge), -np.inf)
+            k = int(gain.argmax())
+            step = rate * np.where(np.arange(len(v)) <= k, g[k] / (h[k] + ridge), (g[-1] - g[k]) / (h[-1] - h[k] + ridge))
+            v += step
+            score += step[b.places[:, f]]
+    importance = np.array([np.abs(v[b.places[:, f]] - v[b.places[:, f]].mean()).mean() for f, v in enumerate(values)])
+    return Additive(base, b.cuts, values, importance, x.shape[1])
+
+
+def additive_boosted(*, sample: int = SAMPLE, **ways) -> Fit:
     """Additive boosting: in each round every feature in turn gets one small step, the best split of its own bins, so that
     no feature speaks for another; its importance is the mean size of its function."""
-
-    def fit(train: DataFrame) -> Additive:
-        x, y = sampled(train, sample)
-        b = binned(x, bins)
-        share = np.clip(y.mean(), 0.01, 0.99)
-        base = float(np.log(share / (1 - share)))
-        values, score = [np.zeros(len(c) + 1) for c in b.cuts], np.full(len(x), base)
-        counts = [np.bincount(b.places[:, f], minlength=len(v)).cumsum() for f, v in enumerate(values)]
-        for _ in range(rounds):
-            for f, v in enumerate(values):
-                p = 1 / (1 + np.exp(-score))
-                g, h = (np.bincount(b.places[:, f], w, len(v)).cumsum() for w in (y - p, p * (1 - p)))
-                fits = (counts[f] >= leaf) & (counts[f][-1] - counts[f] >= leaf)
-                if not fits.any():
-                    continue
-                gain = np.where(fits, g * g / (h + ridge) + (g[-1] - g) ** 2 / (h[-1] - h + ridge), -np.inf)
-                k = int(gain.argmax())
-                step = rate * np.where(np.arange(len(v)) <= k, g[k] / (h[k] + ridge), (g[-1] - g[k]) / (h[-1] - h[k] + ridge))
-                v += step
-                score += step[b.places[:, f]]
-        importance = np.array([np.abs(v[b.places[:, f]] - v[b.places[:, f]].mean()).mean() for f, v in enumerate(values)])
-        return Additive(base, b.cuts, values, importance, x.shape[1])
-
-    return fit
+    return lambda train: fitted_in_task(train, sample, lambda x, y: fit_additive(x, y, **ways))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
@@ -287,10 +315,7 @@ def spliced_subset(x: np.ndarray, y: np.ndarray, size: int, *, rounds: int = 20)
     return inside, beta[1:], loss
 
 
-def best_subset_scores(train: DataFrame, *, sizes: Sequence[int] = tuple(range(1, 11)), sample: int = SAMPLE) -> list[float]:
-    """Absolute coefficients, of standardised features, of the best subset; its size is the one with the least information
-    criterion (log n for each feature), and features outside it have 0."""
-    x, y = sampled(train, sample)
+def fit_best_subset(x: np.ndarray, y: np.ndarray, *, sizes: Sequence[int] = tuple(range(1, 11))) -> list[float]:
     spread = x.std(0)
     x = (x - x.mean(0)) / np.where(spread > 0, spread, 1.0)
     found = [(2 * loss + len(inside) * np.log(len(y)), inside, beta) for inside, beta, loss in (spliced_subset(x, y, s) for s in sorted({min(s, x.shape[1]) for s in sizes}))]
@@ -298,3 +323,9 @@ def best_subset_scores(train: DataFrame, *, sizes: Sequence[int] = tuple(range(1
     out = np.zeros(x.shape[1])
     out[inside] = np.abs(beta)
     return out.tolist()
+
+
+def best_subset_scores(train: DataFrame, *, sizes: Sequence[int] = tuple(range(1, 11)), sample: int = SAMPLE) -> list[float]:
+    """Absolute coefficients, of standardised features, of the best subset; its size is the one with the least information
+    criterion (log n for each feature), and features outside it have 0."""
+    return fitted_in_task(train, sample, lambda x, y: fit_best_subset(x, y, sizes=sizes))

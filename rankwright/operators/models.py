@@ -103,9 +103,9 @@ def logistic(*, c: float = 1.0, l1_ratio: float = 0.0, balanced: bool = True, it
     return fit
 
 
-def random_forest(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int = 42) -> Fit:
+def random_forest(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int = 42, balanced: bool = True) -> Fit:
     def fit(train: DataFrame) -> Scorer:
-        data, _ = _weighted(train, True)
+        data, _ = _weighted(train, balanced)
         rf = RandomForestClassifier(featuresCol="_v", labelCol="y", weightCol="_w", numTrees=trees, maxDepth=min(depth, 30), minInstancesPerNode=leaf, seed=seed)
         return Scorer(rf.fit(_vectors(data)), _width(train))
 
@@ -123,11 +123,11 @@ def boosted(*, trees: int = 50, depth: int = 3, rate: float = 0.1, seed: int = 4
     return fit
 
 
-def grow_extra_trees(x: np.ndarray, y: np.ndarray, *, trees: int, depth: int, leaf: int, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Trees on all rows with one random threshold for each candidate feature; balanced class weights."""
+def grow_extra_trees(x: np.ndarray, y: np.ndarray, *, trees: int, depth: int, leaf: int, seed: int, balanced: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Trees on all rows with one random threshold for each candidate feature; balanced class weights, unless told otherwise."""
     r = np.random.default_rng(seed)
     pos = max(y.mean(), 1e-9)
-    weight = np.where(y == 1, 0.5 / pos, 0.5 / max(1 - pos, 1e-9))
+    weight = np.where(y == 1, 0.5 / pos, 0.5 / max(1 - pos, 1e-9)) if balanced else np.ones(len(y))
     tried = max(1, int(np.sqrt(x.shape[1])))
     out = []
     for _ in range(trees):
@@ -196,7 +196,7 @@ class TreeScorer:
         return df.withColumn("score", run("features"))
 
 
-def extra_trees(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int = 42, sample: int = 20_000) -> Fit:
+def extra_trees(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int = 42, sample: int = 20_000, balanced: bool = True) -> Fit:
     """Extremely randomised trees, grown in parallel tasks on a training sample of at most ``sample`` rows
     (the least hashes of id), which is broadcast; growing on a bounded sample is part of the operator."""
 
@@ -209,7 +209,7 @@ def extra_trees(*, trees: int = 100, depth: int = 5, leaf: int = 8, seed: int =
 
         def grow(group: pd.DataFrame) -> pd.DataFrame:
             x, y = shared.value
-            made = [(int(k), *grow_extra_trees(x, y, trees=1, depth=depth, leaf=leaf, seed=seed + int(k))[0]) for k in group["k"]]
+            made = [(int(k), *grow_extra_trees(x, y, trees=1, depth=depth, leaf=leaf, seed=seed + int(k), balanced=balanced)[0]) for k in group["k"]]
             return pd.DataFrame(made, columns=["k", "feature", "threshold", "value"])
 
         tasks = spark.range(trees).select(F.col("id").alias("k"), F.pmod("id", F.lit(parts)).alias("part"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.ledger import FEATURE_COST, HIT_VALUE, MAX_TARGETS, MISS_COST
 from ..functions.parsing import set_key
-from ..functions.shared import written
+from ..functions.shared import broadcast_if_small, written
+from .boosters import SAMPLE
 from .curves import best_point, profit_curve, ranked
+from .fanout import TASKS, fan_out, plain_split, predictions_of
 from .features import correlation_matrix, long_view, prune_correlated, prune_inflated, variance_filter
 from .folds import outer_folds
 from .models import Fit, forest_feature_scores, out_of_fold
@@ -116,26 +119,56 @@ def correlation_prescreen(df: DataFrame) -> DataFrame:
     return normalised_ranks(a.unionByName(b))
 
 
-def inner_round(df: DataFrame, outer: DataFrame, inner: DataFrame, recipes: DataFrame, sizes: Sequence[int], fits: Mapping[str, Fit], *, prescreen: Prescreen = correlation_prescreen, most: int = 300, round_name: str = "round_1") -> DataFrame:
+#: A model: a fit, or the family and parameters that ``fanout`` has it by.
+Model = Fit | tuple[str, Mapping]
+
+
+def _places(features: Sequence[str]) -> list[int]:
+    return [int(f.removeprefix("var_")) for f in features]
+
+
+def _fanned(df: DataFrame, members: DataFrame, jobs: Sequence[tuple], keys: str, *, sample: int) -> DataFrame | None:
+    """Predictions of ``jobs`` (key values, split, fold, features, (family, params)) with the columns ``keys`` (a schema) in
+    front; None if there are no jobs."""
+    if not jobs:
+        return None
+    spark = df.sparkSession
+    tasks = written(spark.createDataFrame([(k, s, f, m[0], json.dumps(dict(m[1])), _places(names)) for k, (_, s, f, names, m) in enumerate(jobs)], TASKS), "fan-out-tasks")
+    named = spark.createDataFrame([(k, *key) for k, (key, *_) in enumerate(jobs)], f"task_id long, {keys}")
+    found = predictions_of(fan_out(df, members, tasks, sample=sample))
+    return found.join(broadcast_if_small(named, len(jobs), 200), "task_id").drop("task_id")
+
+
+def inner_round(
+    df: DataFrame, outer: DataFrame, inner: DataFrame, recipes: DataFrame, sizes: Sequence[int], fits: Mapping[str, Model], *, prescreen: Prescreen = correlation_prescreen, most: int = 300, round_name: str = "round_1", sample: int = SAMPLE
+) -> DataFrame:
     """Predictions of every candidate and model on every inner validation part, ranked anew on each training part.
 
-    Folds, candidates and models are few and are walked on the driver; each step of the walk is a distributed
-    job over the rows.  A fit that fails becomes a row with its error.
+    Folds are walked on the driver, for their rankings.  Models given as (family, parameters) are all fitted in one
+    fan-out, on at most ``sample`` rows; a task that fails becomes one row with its error.  Models given as fits, which
+    may be any Spark estimator, are jobs of their own.
     """
-    out = None
+    keys = "outer_fold int, inner_fold int, round_name string, pipeline_recipe_id string, feature_size long"
+    jobs, out = [], None
     for o, i in sorted((r.outer_fold, r.inner_fold) for r in inner.select("outer_fold", "inner_fold").distinct().collect()):
         own = inner.where(F.col("outer_fold") == o).select("id", "inner_fold")
         rows = df.join(own, "id")
         train = rows.where(F.col("inner_fold") != i)
         val = rows.where(F.col("inner_fold") == i)
         for c in fold_candidates(prescreen(train), recipes, sizes, most=most).collect():
-            for model, fit in fits.items():
-                part = _fitted(train, val, c.features, fit).select(
-                    F.lit(o).alias("outer_fold"), F.lit(i).alias("inner_fold"), F.lit(round_name).alias("round_name"), F.lit(f"{c.feature_recipe_id}__{model}").alias("pipeline_recipe_id"),
-                    F.col("id").alias("sample_index"), F.col("y").alias("y_true"), "score", F.lit(c.feature_size).alias("feature_size"), "status",
-                )
+            for name, model in fits.items():
+                key = o, i, round_name, f"{c.feature_recipe_id}__{name}", c.feature_size
+                if isinstance(model, tuple):
+                    jobs.append((key, o, i, c.features, model))
+                    continue
+                columns = (F.lit(v).alias(k) for v, k in zip(key, ("outer_fold", "inner_fold", "round_name", "pipeline_recipe_id", "feature_size")))
+                part = _fitted(train, val, c.features, model).select(*columns, F.col("id").alias("sample_index"), F.col("y").alias("y_true"), "score", "status")
                 out = part if out is None else out.unionByName(part)
-    return out
+    members = inner.select(F.col("outer_fold").cast("int").alias("split"), "id", F.col("inner_fold").cast("int").alias("fold"))
+    fanned = _fanned(df, members, jobs, keys, sample=sample)
+    both = [p for p in (out, fanned) if p is not None]
+    found = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    return found.select("outer_fold", "inner_fold", "round_name", "pipeline_recipe_id", "sample_index", "y_true", "score", "feature_size", "status")
 
 
 def _fitted(train: DataFrame, val: DataFrame, features: Sequence[str], fit: Fit) -> DataFrame:
@@ -145,19 +178,28 @@ def _fitted(train: DataFrame, val: DataFrame, features: Sequence[str], fit: Fit)
         return val.select("id", "y", F.lit(None).cast("double").alias("score"), F.lit(f"error: {type(e).__name__}").alias("status"))
 
 
-def outer_evaluation(df: DataFrame, outer: DataFrame, configs: Sequence[tuple[str, str, int, str]], recipes: DataFrame, fits: Mapping[str, Fit], *, prescreen: Prescreen = correlation_prescreen) -> tuple[DataFrame, DataFrame]:
-    """Predictions on the outer validation parts and the features of each refit, for (config, recipe, size, model)."""
-    out, chosen = None, []
+def outer_evaluation(
+    df: DataFrame, outer: DataFrame, configs: Sequence[tuple[str, str, int, str]], recipes: DataFrame, fits: Mapping[str, Model], *, prescreen: Prescreen = correlation_prescreen, sample: int = SAMPLE
+) -> tuple[DataFrame, DataFrame]:
+    """Predictions on the outer validation parts and the features of each refit, for (config, recipe, size, model); models
+    are as in ``inner_round``."""
+    out, chosen, jobs = None, [], []
     for o in sorted(r.outer_fold for r in outer.select("outer_fold").distinct().collect()):
         rows = df.join(outer, "id")
         train, val = rows.where(F.col("outer_fold") != o), rows.where(F.col("outer_fold") == o)
         sets = {(c.prescreen_recipe_id, c.feature_size): c.features for c in fold_candidates(prescreen(train), recipes, sorted({c[2] for c in configs}), most=None, distinct=False).collect()}
-        for config, recipe, size, model in configs:
-            names = sets[recipe, size]
+        for config, recipe, size, name in configs:
+            names, model = sets[recipe, size], fits[name]
             chosen.append((o, config, names))
-            part = _fitted(train, val, names, fits[model]).select(F.lit(o).alias("outer_fold"), F.lit(config).alias("recipe_config_id"), F.col("id").alias("sample_index"), F.col("y").alias("y_true"), "score", "status")
+            if isinstance(model, tuple):
+                jobs.append(((o, config), 0, o, names, model))
+                continue
+            part = _fitted(train, val, names, model).select(F.lit(o).alias("outer_fold"), F.lit(config).alias("recipe_config_id"), F.col("id").alias("sample_index"), F.col("y").alias("y_true"), "score", "status")
             out = part if out is None else out.unionByName(part)
-    return out, df.sparkSession.createDataFrame(chosen, "outer_fold int, recipe_config_id string, features array<string>")
+    fanned = _fanned(df, plain_split(outer), jobs, "outer_fold int, recipe_config_id string", sample=sample)
+    both = [p for p in (out, fanned) if p is not None]
+    found = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    return found.select("outer_fold", "recipe_config_id", "sample_index", "y_true", "score", "status"), df.sparkSession.createDataFrame(chosen, "outer_fold int, recipe_config_id string, features array<string>")
 
 
 def refit_finalists(train: DataFrame, test: DataFrame, finalists: Sequence[tuple[str, str, int, str]], recipes: DataFrame, fits: Mapping[str, Fit], *, top: int, prescreen: Prescreen = correlation_prescreen) -> DataFrame:

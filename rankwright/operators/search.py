@@ -20,6 +20,7 @@ from ..functions.ledger import FEATURE_COST, MAX_TARGETS
 from ..functions.shared import written
 from .curves import best_point, profit_curve
 from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
+from .fanout import boosting_ways
 from .features import long_view
 from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores, with_mixed
 from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
@@ -29,12 +30,12 @@ from .records import fold_scores, scored_record
 RANKINGS = "feature string, raw_score double"
 
 
-def scaled_logistic(*, c: float = 1.0, l1_ratio: float = 0.5, robust: bool = True) -> Fit:
+def scaled_logistic(*, c: float = 1.0, l1_ratio: float = 0.5, robust: bool = True, balanced: bool = True) -> Fit:
     """Logistic regression of features that are centred and scaled by the training rows' own statistics."""
 
     def fit(train: DataFrame) -> Scorer:
         change = scaling(train, robust=robust)
-        inner = logistic(c=c, l1_ratio=l1_ratio)(change(train))
+        inner = logistic(c=c, l1_ratio=l1_ratio, balanced=balanced)(change(train))
 
         class Scaled(Scorer):
             def score(self, df: DataFrame) -> DataFrame:
@@ -48,27 +49,24 @@ def scaled_logistic(*, c: float = 1.0, l1_ratio: float = 0.5, robust: bool = Tru
 
 
 def model_factories() -> dict[str, Callable[..., Fit]]:
-    """The models that feature sets are compared with, by name: leaf-wise and level-wise trees of the logistic loss.  The
-    shares of rows and columns that a search draws are taken and don't count: every tree sees all of the sample."""
+    """The models that feature sets are compared with, by name: leaf-wise and level-wise trees of the logistic loss, grown
+    on the shares of rows and columns that a search draws.  A parameter that a model hasn't got is an error."""
     return {
-        "lightgbm": lambda n_estimators=100, max_depth=-1, learning_rate=0.05, num_leaves=31, min_child_samples=20, scale_pos_weight_multiplier=1.0, **other: leafwise_boosted(
-            trees=n_estimators, depth=64 if max_depth < 0 else max_depth, rate=learning_rate, leaves=num_leaves, leaf=min_child_samples, multiplier=scale_pos_weight_multiplier
-        ),
+        "lightgbm": lambda **p: leafwise_boosted(**boosting_ways(p, levels=False)),
         "logistic_regression": lambda C=1.0, l1_ratio=0.5: scaled_logistic(c=C, l1_ratio=l1_ratio),
-        "xgboost": lambda n_estimators=200, max_depth=4, learning_rate=0.05, scale_pos_weight_multiplier=1.0, **other: leafwise_boosted(
-            trees=n_estimators, depth=max_depth, rate=learning_rate, leaves=2**max_depth, leaf=1, multiplier=scale_pos_weight_multiplier
-        ),
+        "xgboost": lambda **p: leafwise_boosted(**boosting_ways(p, levels=True)),
     }
 
 
 def fit_of_spec(family: str, params: Mapping) -> Fit:
     """The fit that a model spec (family and parameters, as ``recipes`` lists them) stands for."""
+    balanced = params.get("class_weight", "balanced") is not None
     p = {k: v for k, v in params.items() if k != "class_weight"}
     if family in ("lightgbm", "xgboost"):
         return model_factories()[family](**p)
     if family == "logistic":
-        return scaled_logistic(c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5))
-    forest = {"trees": p.get("n_estimators", 100), "depth": p.get("max_depth", 5), "leaf": p.get("min_samples_leaf", 8)}
+        return scaled_logistic(c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5), balanced=balanced)
+    forest = {"trees": p.get("n_estimators", 100), "depth": p.get("max_depth", 5) or 14, "leaf": p.get("min_samples_leaf", 8), "balanced": balanced}
     makers = {
         "extra_trees": lambda: extra_trees(**forest),
         "random_forest": lambda: random_forest(**forest),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankwright.functions import permute, ranges, shared
-from rankwright.operators import features, folds, models, paths, pipelines, search
+from rankwright.operators import fanout, features, folds, models, paths, pipelines, recipes, search
 
 from .test_operators import matrix
 
@@ -120,3 +122,71 @@ def test_ties_are_spread_and_counted(spark):
     assert {r.g: r.q for r in ranges.quantiles(odd, "g", "v", (0.5,)).collect()} == {None: [2.0], "b": [2.0]}
     k = ranges.placed(df, ["g"], [F.col("v")], ranges=8)
     assert k.agg(F.countDistinct("k").alias("n"), F.max("k").alias("m")).first()[:] == (200_000, 200_000) and k.where("k > 180000 AND v = 0").count() == 0
+
+
+def test_fan_out_of_every_family(spark):
+    df = shared.written(matrix(spark, n=240, width=4), "t")
+    outer = shared.written(folds.outer_folds(df, n_splits=3), "t")
+    small = {"extra_trees": {"n_estimators": 8}, "random_forest": {"n_estimators": 8, "class_weight": None, "max_depth": None}, "lightgbm": {"n_estimators": 10}, "xgboost": {"n_estimators": 10, "max_depth": 2}, "logistic": {"C": 0.5}, "additive": {}, "ranker": {}}
+    specs = [*((f, json.dumps(p), [0, 1]) for f, p in small.items()), ("logistic", "{}", []), ("lightgbm", json.dumps({"bagging": 1}), [0]), ("nothing", "{}", [0]), ("logistic", "{}", [99])]
+    rows = [(10 * k + f, 0, f, family, params, places) for k, (family, params, places) in enumerate(specs) for f in (1, 2, 3)]
+    rows.append((999, 0, 9, "logistic", "{}", [0]))
+    tasks = spark.createDataFrame(rows, fanout.TASKS)
+    blocks = shared.written(fanout.fan_out(df, fanout.plain_split(outer), tasks), "t")
+    per = {r.task_id: r for r in blocks.groupBy("task_id").agg(F.max("status").alias("s"), F.sum(F.size("block")).alias("n"), F.max("error").alias("e"), F.max("fit_seconds").alias("t")).collect()}
+    assert set(per) == {r[0] for r in rows} and all(p.t >= 0 for p in per.values())
+    assert sum(per[k].n for k in (1, 2, 3)) == 240 and per[999].s == "ok" and per[999].n == 0
+    for k, text in ((7, "without features"), (8, "bagging"), (9, "nothing"), (10, "IndexError")):
+        assert all(per[10 * k + f].s == "error" and text in per[10 * k + f].e and per[10 * k + f].n == 0 for f in (1, 2, 3))
+    flat = fanout.predictions_of(blocks)
+    assert flat.where("status LIKE 'error%' AND sample_index IS NULL").count() == 12
+    for k in range(len(small)):
+        own = flat.where(f"task_id BETWEEN {10 * k} AND {10 * k + 9} AND status = 'ok'")
+        good = own.groupBy("y_true").agg(F.avg("score").alias("m")).orderBy("y_true").collect()
+        assert own.count() == 240 and good[0].m < good[1].m
+    fanout.PACK, before = 2000, fanout.PACK  # many packs give the same blocks
+    try:
+        again = fanout.predictions_of(fanout.fan_out(df, fanout.plain_split(outer), tasks))
+    finally:
+        fanout.PACK = before
+    key = lambda t: sorted((r.task_id, r.sample_index or -1, round(r.score or 0, 9), r.status) for r in t.collect())
+    assert key(again) == key(flat)
+    assert {r.status for r in fanout.fan_out(df.limit(0), fanout.plain_split(outer), tasks).collect()} == {"error"}
+
+
+def test_rounds_as_task_tables(spark):
+    df = shared.written(matrix(spark, n=150, width=3), "t")
+    outer = shared.written(folds.outer_folds(df, n_splits=2), "t")
+    inner = shared.written(folds.inner_folds(df, outer, n_splits=2), "t")
+    space = recipes.prescreen_recipes(spark, ["abs_corr", "mutual_info"]).where("prescreen_recipe_id = 'ps_mean_0001'")
+    fits = {"lr": ("logistic", {"C": 1.0}), "et": ("extra_trees", {"n_estimators": 5}), "bad": ("logistic", {"C": "x"})}
+    p = pipelines.inner_round(df, outer, inner, space, [1, 2], fits)
+    good = p.where("status = 'ok'")
+    # Each outer fold's training rows are scored once by each candidate and model.
+    counts = {(r.outer_fold, r.pipeline_recipe_id): r["count"] for r in good.groupBy("outer_fold", "pipeline_recipe_id").count().collect()}
+    assert len(counts) == 8 and all(n == inner.where(F.col("outer_fold") == o).count() for (o, _), n in counts.items())
+    assert p.where("status LIKE 'error%'").count() == 8
+    trained = good.join(inner, (good.outer_fold == inner.outer_fold) & (good.sample_index == inner.id) & (good.inner_fold == inner.inner_fold), "left_anti")
+    assert trained.count() == 0
+    predictions, chosen = pipelines.outer_evaluation(df, outer, [("c1", "ps_mean_0001", 1, "lr"), ("c2", "ps_mean_0001", 1, "et")], space, fits)
+    assert predictions.groupBy("recipe_config_id").count().collect()[0]["count"] == 150 and chosen.count() == 4
+
+
+def test_every_parameter_counts():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 6))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=400) > 0.5).astype(float)
+    for family, base, changes in (
+        ("lightgbm", {"n_estimators": 12}, {"n_estimators": 5, "learning_rate": 0.2, "num_leaves": 5, "max_depth": 2, "min_child_samples": 60, "subsample": 0.6, "colsample_bytree": 0.5, "scale_pos_weight_multiplier": 1.5, "min_child_weight": 20.0, "reg_lambda": 50.0}),
+        ("xgboost", {"n_estimators": 12}, {"n_estimators": 5, "learning_rate": 0.2, "max_depth": 2, "subsample": 0.6, "colsample_bytree": 0.5, "scale_pos_weight_multiplier": 1.5, "min_child_weight": 20.0}),
+        ("extra_trees", {"n_estimators": 6}, {"n_estimators": 3, "max_depth": 2, "min_samples_leaf": 60, "class_weight": None}),
+        ("random_forest", {"n_estimators": 6}, {"n_estimators": 3, "max_depth": 2, "min_samples_leaf": 60, "class_weight": None}),
+        ("logistic", {}, {"C": 0.01, "l1_ratio": 1.0, "class_weight": None}),
+    ):
+        plain = fanout.FAMILIES[family](x, y, base).predict(x)
+        assert np.allclose(plain, fanout.FAMILIES[family](x, y, base).predict(x))
+        for name, value in changes.items():
+            assert not np.allclose(plain, fanout.FAMILIES[family](x, y, base | {name: value}).predict(x)), (family, name)
+        if family not in ("logistic",):
+            with pytest.raises(ValueError, match="bagging"):
+                fanout.FAMILIES[family](x, y, base | {"bagging": 1})
