@@ -99,6 +99,16 @@ def _forest_ways(params: Mapping) -> dict:
     return {"trees": params.get("n_estimators", 100), "depth": params.get("max_depth", 5), "leaf": params.get("min_samples_leaf", 8), "seed": params.get("random_state", 42), "balanced": params.get("class_weight", "balanced") is not None}
 
 
+def _renamed(params: Mapping, names: Mapping[str, str], fixed: Mapping | None = None) -> dict:
+    """Parameters under their names here; those that are ``fixed`` have one value, and any other is refused."""
+    for name, value in (fixed or {}).items():
+        if params.get(name, value) != value:
+            raise ValueError(f"{name} can only be {value}")
+    if other := sorted(set(params) - set(names) - set(fixed or {})):
+        raise ValueError(f"unknown parameters: {', '.join(other)}")
+    return {names[k]: v for k, v in params.items() if k in names}
+
+
 #: family -> what fits a model with ``predict`` on features and labels.
 FAMILIES: dict[str, Callable[[np.ndarray, np.ndarray, Mapping], object]] = {
     "logistic": lambda x, y, p: Logistic(x, y, c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5), balanced=p.get("class_weight", "balanced") is not None),
@@ -106,8 +116,8 @@ FAMILIES: dict[str, Callable[[np.ndarray, np.ndarray, Mapping], object]] = {
     "random_forest": lambda x, y, p: Forest(x, y, drawn=True, **_forest_ways(p)),
     "lightgbm": lambda x, y, p: fit_leafwise(x, y, **boosting_ways(p, levels=False)),
     "xgboost": lambda x, y, p: fit_leafwise(x, y, **boosting_ways(p, levels=True)),
-    "additive": lambda x, y, p: fit_additive(x, y, bins=p.get("max_bins", 32)),
-    "ranker": lambda x, y, p: fit_lambdamart(x, y, leaves=p.get("num_leaves", 15)),
+    "additive": lambda x, y, p: fit_additive(x, y, **_renamed(p, {"max_bins": "bins", "max_rounds": "rounds", "learning_rate": "rate"}, fixed={"interactions": 0, "outer_bags": 1})),
+    "ranker": lambda x, y, p: fit_lambdamart(x, y, **_renamed(p, {"n_estimators": "trees", "learning_rate": "rate", "num_leaves": "leaves"})),
 }
 
 

@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.ledger import FEATURE_COST, HIT_VALUE, MAX_TARGETS, MISS_COST
 from ..functions.parsing import set_key
 from ..functions.shared import broadcast_if_small, written
-from .boosters import SAMPLE
+from .boosters import SAMPLE, leafwise_boosted
 from .curves import best_point, profit_curve, ranked
 from .fanout import TASKS, fan_out, plain_split, predictions_of
 from .features import correlation_matrix, long_view, prune_correlated, prune_inflated, variance_filter
 from .folds import outer_folds
-from .models import Fit, forest_feature_scores, out_of_fold
+from .models import Fit, out_of_fold
 from .rankings import binned_mutual_information, floored_weights, normalised_ranks, rank_sum, top_rank_scores
 from .search import banded_features, sparse_path
 
 Prescreen = Callable[[DataFrame], DataFrame]
 
 
-def univariate_filter(df: DataFrame, *, least_variance: float = 0.01, keep: int = 80) -> list[str]:
-    """Names of the features that vary, by the sum of their places in mutual information and tree importance."""
+def univariate_filter(df: DataFrame, *, least_variance: float = 0.01, keep: int = 80, least_rows: int = 20) -> list[str]:
+    """Names of the features that vary, by the sum of their places in mutual information and in the number of splits that
+    leaf-wise boosted trees make by them."""
     long = long_view(df, "features", "id", "y")
     varying = variance_filter(long, least=least_variance).select("feature")
     information = binned_mutual_information(long.join(F.broadcast(varying), "feature", "left_semi")).select("feature", F.col("mutual_info").alias("score"))
-    importance = df.sparkSession.createDataFrame([(f"var_{k}", s) for k, s in enumerate(forest_feature_scores(df))], "feature string, score double")
+    importance = df.sparkSession.createDataFrame([(f"var_{k}", float(s)) for k, s in enumerate(leafwise_boosted(leaf=least_rows)(df).splits)], "feature string, score double")
     both = rank_sum(information, importance.join(F.broadcast(varying), "feature", "left_semi"))
     return [r.feature for r in both.orderBy("combined", "feature").limit(keep).collect()]
 

@@ -135,14 +135,14 @@ def binned_mutual_information(long: DataFrame, *, bins: int = 10) -> DataFrame:
     return per.groupBy("feature").agg(F.sum(F.col("n") / F.col("nn") * F.log(F.col("n").cast("double") * F.col("nn") / (F.col("nb").cast("double") * F.col("ny")))).alias("mutual_info"))
 
 
-def borda_scores(train: DataFrame, scored: DataFrame) -> DataFrame:
+def borda_scores(train: DataFrame, scored: DataFrame, *, directed: bool = True) -> DataFrame:
     """id, score of the rows of ``scored`` (long: id, feature, value): each feature gives n + 1 - rank points by
-    its value, taken in the direction of its correlation with the label on ``train``; the mean over features is
-    brought to 0..1 over the rows that are scored."""
-    signs = train.groupBy("feature").agg(F.when(F.coalesce(guarded_corr("value", "y"), F.lit(0.0)) < 0, -1.0).otherwise(1.0).alias("sign"))
-    directed = scored.join(F.broadcast(signs), "feature").withColumn("v", F.col("value") * F.col("sign"))
+    its value, taken in the direction of its correlation with the label on ``train`` or, unless ``directed``, as it is;
+    the mean over features is brought to 0..1 over the rows that are scored."""
+    signs = train.select("feature").distinct().withColumn("sign", F.lit(1.0)) if not directed else train.groupBy("feature").agg(F.when(F.coalesce(guarded_corr("value", "y"), F.lit(0.0)) < 0, -1.0).otherwise(1.0).alias("sign"))
+    turned = scored.join(F.broadcast(signs), "feature").withColumn("v", F.col("value") * F.col("sign"))
     sizes = scored.groupBy("feature").agg(F.count("*").alias("n"))
-    points = placed(directed.select("id", "feature", "v"), ["feature"], [F.col("v"), F.col("id")], name="r").join(F.broadcast(sizes), "feature").groupBy("id").agg(F.avg((F.col("n") + 1 - F.col("r")).cast("double")).alias("points"))
+    points = placed(turned.select("id", "feature", "v"), ["feature"], [F.col("v"), F.col("id")], name="r").join(F.broadcast(sizes), "feature").groupBy("id").agg(F.avg((F.col("n") + 1 - F.col("r")).cast("double")).alias("points"))
     ends = points.agg(F.min("points").alias("lo"), F.max("points").alias("hi"))
     return points.join(F.broadcast(ends)).select("id", ((F.col("points") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-12)).alias("score"))
 

@@ -81,6 +81,44 @@ def search_specs(families: Sequence[str] | None = None) -> list[tuple[str, str,
     ]
 
 
+#: The larger grids of the last stage (fixed values): family -> rows of parameters under the names before them; None in the
+#: last places leaves a parameter out.
+_FOREST = ("n_estimators", "max_depth", "min_samples_leaf", "class_weight")
+EXPANDED = {
+    "extra_trees": (_FOREST, (
+        (320, 3, 8, "balanced"), (320, 4, 12, "balanced"), (400, 5, 16, "balanced"), (400, 6, 20, "balanced"), (500, 7, 24, "balanced"), (500, 8, 30, "balanced"), (400, None, 35, "balanced"), (500, 5, 20, None),
+    )),
+    "random_forest": (_FOREST, (
+        (320, 4, 10, "balanced_subsample"), (400, 5, 16, "balanced_subsample"), (400, 6, 20, "balanced"), (500, 7, 24, "balanced"), (500, 8, 30, None), (600, None, 40, "balanced_subsample"),
+    )),
+    "lightgbm": (("n_estimators", "learning_rate", "num_leaves", "min_child_samples", "scale_pos_weight_multiplier", "subsample", "colsample_bytree", "reg_lambda"), (
+        (160, 0.05, 7, 10, 0.75), (220, 0.04, 11, 15, 0.9), (260, 0.035, 15, 20, 1.0), (300, 0.03, 23, 25, 1.1), (360, 0.025, 31, 30, 1.25), (420, 0.02, 39, 35, 1.4),
+        (260, 0.04, 15, 40, None, 0.8, 0.8), (320, 0.03, 23, 50, None, None, None, 3.0),
+    )),
+    "logistic": (("C", "l1_ratio", "class_weight"), (
+        (0.05, 0.0, "balanced"), (0.1, 0.2, "balanced"), (0.2, 0.5, "balanced"), (0.5, 0.8, "balanced"), (1.0, 1.0, "balanced"), (2.0, 0.5, None),
+    )),
+    "xgboost": (("n_estimators", "learning_rate", "max_depth", "min_child_weight", "scale_pos_weight_multiplier", "subsample", "colsample_bytree", "reg_lambda"), (
+        (160, 0.05, 2, 1.0, 0.75), (220, 0.04, 2, 2.0, 1.0), (260, 0.035, 3, 3.0, 1.0), (300, 0.03, 3, 5.0, 1.2), (360, 0.025, 4, 5.0, 1.3), (420, 0.02, 4, 8.0, 1.5),
+        (300, 0.03, 2, 8.0, None, 0.8, 0.8), (360, 0.025, 3, 10.0, None, None, None, 3.0),
+    )),
+    "additive": (("interactions", "max_bins", "outer_bags", "max_rounds"), ((0, 64, 4, 3000), (0, 128, 6, 4000), (2, 64, 4, 3000))),
+    "ranker": (("n_estimators", "learning_rate", "num_leaves"), ((160, 0.05, 15), (240, 0.04, 23), (320, 0.03, 31))),
+}
+
+
+def expanded_specs(*, xgboost: bool = True, additive: bool = False, ranker: bool = True) -> list[tuple[str, str, str, dict]]:
+    """Specs of the larger grids; three families can be left out or taken in.  A class weight or depth of None is one."""
+    left_out = {f for f, wanted in (("xgboost", xgboost), ("additive", additive), ("ranker", ranker)) if not wanted}
+    kept = ("class_weight", "max_depth")
+    out = []
+    for family, (names, rows) in EXPANDED.items():
+        if family not in left_out:
+            kind = "ranker" if family == "ranker" else "classifier"
+            out += [(f"{family}_deep{k:02d}", family, kind, {n: v for n, v in zip(names, row) if v is not None or n in kept}) for k, row in enumerate(rows, 1)]
+    return out
+
+
 def pipeline_recipes(prescreens: DataFrame, sizes: DataFrame, models: DataFrame, *, stage: str = "round_1") -> DataFrame:
     """The cartesian space, numbered in the order of its three tables' ids: a product that is asked for, of small tables."""
     crossed = prescreens.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(models))

@@ -22,6 +22,12 @@ def best_f1(df: DataFrame, groups: Sequence[str] = (), *, cap: int = MAX_TARGETS
     return best.select(*groups, F.col("k").alias("f1_k"), F.col("f1").alias("best_f1"), F.col("threshold").alias("f1_threshold"))
 
 
+def f1_scorer(model, df: DataFrame, *, cap: int = MAX_TARGETS) -> float:
+    """The best F1 among the ``cap`` best rows of ``df`` by a model's score; 0 where there is no positive row or none at all."""
+    found = best_f1(model.score(df).select("id", "y", "score"), cap=cap).first()
+    return float(found.best_f1) if found and found.best_f1 is not None else 0.0
+
+
 def _quality(df: DataFrame, groups: Sequence[str], cap: int) -> DataFrame:
     """groups, n, f1_score, roc_auc_score; both null where one of the classes is missing."""
     sizes = df.groupBy(*groups).agg(F.count("*").alias("n"), (F.count_if(F.col("y") == 1) * F.count_if(F.col("y") == 0) > 0).alias("_both"))

@@ -151,8 +151,9 @@ def with_baselines(scores: DataFrame, base: DataFrame, names: Sequence[str] = ("
     return joined.withColumns({f"beats_{n}": F.col("oof_score") > F.col(f"{n}_business_score") for n in names})
 
 
-def aggregate_inner(scores: DataFrame, by: Sequence[str], *, score: str = "oof_score") -> DataFrame:
-    """Scores of recipes over inner folds or contexts, with inner_selection_rank within the outer fold.
+def aggregate_inner(scores: DataFrame, by: Sequence[str], *, score: str = "oof_score", scope: str = "table") -> DataFrame:
+    """Scores of recipes over inner folds or contexts, with inner_selection_rank over the whole table or, with ``scope``
+    "outer_fold", within each outer fold.
 
     Pooled scores (no ``inner_fold`` column) are ranked by mean score, mean AUC and size; those that miss predictions
     or folds are left out.  Scores of single inner folds are ranked by mean, median and least score and size.
@@ -175,7 +176,9 @@ def aggregate_inner(scores: DataFrame, by: Sequence[str], *, score: str = "oof_s
         *_means(scores, {"oof_k": "mean_k", "k": "mean_k", "f1_score": "mean_f1", "contact_rate": "mean_contact_rate", "gross_score": "mean_gross_score", "feature_penalty": "mean_feature_penalty"}),
         *_shares(scores), *_firsts(scores, by),
     )
-    groups = ["outer_fold"] if "outer_fold" in by else []
+    if scope not in ("table", "outer_fold"):
+        raise ValueError(f"unknown scope {scope}")
+    groups = ["outer_fold"] if scope == "outer_fold" and "outer_fold" in by else []
     keys = ["mean_score", "mean_roc_auc"] if pooled else ["mean_score", "median_score", "min_score"]
     order = [*(F.desc_nulls_last(k) for k in keys if k in stats.columns), F.asc_nulls_last("feature_size"), *(F.asc(k) for k in by)]
     return stats.withColumn("inner_selection_rank", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))

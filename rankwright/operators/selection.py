@@ -26,10 +26,12 @@ def missing_keys(wanted: DataFrame, have: DataFrame, keys: Sequence[str]) -> Dat
 
 
 def with_fallback(predicted: DataFrame, original: DataFrame, keys: Sequence[str], fill: Sequence[str], *, always: Sequence[str] = ()) -> DataFrame:
-    """``original`` with ``fill`` taken from ``predicted`` where it has them, the first row of each key."""
-    first = predicted.groupBy(*keys).agg(*(F.min_by(c, "sample_index", ) .alias(f"_{c}") for c in fill))
+    """``original`` with ``fill`` taken from ``predicted`` where it has them, the first row of each key; an empty string
+    counts as missing, as null does."""
+    first = predicted.groupBy(*keys).agg(*(F.min_by(c, "sample_index").alias(f"_{c}") for c in fill))
     joined = original.join(first, list(keys), "left")
-    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in fill and c not in always else F.col(c) for c in original.columns))
+    known = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
+    return joined.select(*(F.coalesce(known(f"_{c}"), known(c)).alias(c) if c in fill and c not in always else F.col(c) for c in original.columns))
 
 
 def suffix_join(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str]) -> DataFrame:
@@ -40,11 +42,18 @@ def suffix_join(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str])
     return left.join(right, key, "left")
 
 
-def top_recipes(aggregated: DataFrame, *, top: int, least_folds: int = 1, runs: str = "runs") -> DataFrame:
-    """The best ``top`` of each outer fold; recipes with too few runs go after the ranking, so ranks may have gaps."""
-    order = Window.partitionBy("outer_fold").orderBy("inner_selection_rank")
+def top_recipes(aggregated: DataFrame, *, top: int, least_folds: int = 1, runs: str = "runs", scope: str = "table") -> DataFrame:
+    """The best ``top`` of the whole table, or of each outer fold with ``scope`` "outer_fold"; recipes with too few runs go
+    after the ranking, so ranks may have gaps."""
     kept = aggregated.where(F.col(runs) >= least_folds)
-    return kept.withColumn("selected_rank", F.row_number().over(order).cast("long")).where(F.col("selected_rank") <= top)
+    if scope == "table":
+        order = [F.asc(c) for c in ("inner_selection_rank", *(c for c in ("outer_fold", "pipeline_recipe_id") if c in aggregated.columns))]
+        kept = kept.orderBy(*order).limit(top)
+        return kept.withColumn("selected_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))  # ``top`` rows
+    if scope != "outer_fold":
+        raise ValueError(f"unknown scope {scope}")
+    own = Window.partitionBy("outer_fold").orderBy("inner_selection_rank")
+    return kept.withColumn("selected_rank", F.row_number().over(own).cast("long")).where(F.col("selected_rank") <= top)
 
 
 def global_candidates(scores: DataFrame, by: Sequence[str], folds: DataFrame, *, top: int = 20, least_runs: int = 5, most_features: int | None = None) -> DataFrame:

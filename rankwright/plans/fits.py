@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, folds, pipelines, search
+from ..operators import fanout, features, folds, pipelines, search
 from .frames import embedding_rows
 from .queries import _six, query
 
@@ -49,3 +49,14 @@ def sparse_path_points(spark, d):
 def multicollinearity_survivors(spark, d):
     left = pipelines.multicollinearity_filter(_with_odd_columns(embedding_rows(spark, d)), [f"var_{k}" for k in range(_WIDTH)])
     return spark.createDataFrame([(k, f) for k, f in enumerate(left)], "place int, feature string")
+
+
+@query()
+def fan_out_predictions(spark, d):
+    """Two feature sets, four families and three folds as one table of tasks; every row of the embeddings is scored by each."""
+    df = embedding_rows(spark, d)
+    members = fanout.plain_split(folds.outer_folds(df, n_splits=3))
+    specs = [("logistic", '{"C": 0.1}'), ("extra_trees", '{"n_estimators": 16}'), ("lightgbm", '{"n_estimators": 20, "subsample": 0.8}'), ("ranker", '{"n_estimators": 10}')]
+    sets = [list(range(64)), list(range(0, 64, 2))]
+    rows = [(100 * s + 10 * m + f, 0, f, family, params, places) for s, places in enumerate(sets) for m, (family, params) in enumerate(specs) for f in (1, 2, 3)]
+    return fanout.predictions_of(fanout.fan_out(df, members, spark.createDataFrame(rows, fanout.TASKS)))

@@ -448,21 +448,32 @@ def baseline_merge(spark, d):
 _AGGREGATED = f"""{_INNER}, ag AS (SELECT outer_fold, pipeline_recipe_id, count(*) AS runs, avg(CAST(oof_score AS DOUBLE)) AS mean_score, median(CAST(oof_score AS DOUBLE)) AS median_score, min(CAST(oof_score AS DOUBLE)) AS min_score,
 max(CAST(oof_score AS DOUBLE)) AS max_score, stddev_samp(CAST(oof_score AS DOUBLE)) AS std_score, max(feature_size) AS feature_size, round(avg(roc_auc), 6) AS mean_roc_auc,
 min(inner_folds) AS inner_folds, avg(CAST(oof_k AS DOUBLE)) AS mean_k, round(avg(f1_score), 6) AS mean_f1, round(avg(contact_rate), 6) AS mean_contact_rate, avg(CAST(gross_score AS DOUBLE)) AS mean_gross_score, avg(CAST(feature_penalty AS DOUBLE)) AS mean_feature_penalty FROM sc GROUP BY outer_fold, pipeline_recipe_id),
-ar AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY mean_score DESC, mean_roc_auc DESC, feature_size, outer_fold, pipeline_recipe_id) AS inner_selection_rank FROM ag)"""
+ar AS (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY mean_score DESC, mean_roc_auc DESC, feature_size, outer_fold, pipeline_recipe_id) AS inner_selection_rank FROM ag),
+wr AS (SELECT * EXCLUDE (inner_selection_rank), row_number() OVER (ORDER BY mean_score DESC, mean_roc_auc DESC, feature_size, outer_fold, pipeline_recipe_id) AS inner_selection_rank FROM ar)"""
 
 
-def _aggregated(spark, d) -> DataFrame:
-    return _six(scoring.aggregate_inner(_scores(spark, d), ["outer_fold", "pipeline_recipe_id"]), "mean_roc_auc", "mean_contact_rate", "mean_f1")
+def _aggregated(spark, d, scope: str = "outer_fold") -> DataFrame:
+    return _six(scoring.aggregate_inner(_scores(spark, d), ["outer_fold", "pipeline_recipe_id"], scope=scope), "mean_roc_auc", "mean_contact_rate", "mean_f1")
 
 
-@query(f"WITH {_AGGREGATED} SELECT * FROM ar")
+@query(f"WITH {_AGGREGATED} SELECT * FROM wr")
 def aggregate_inner(spark, d):
+    return _aggregated(spark, d, "table")
+
+
+@query(f"WITH {_AGGREGATED} SELECT * FROM ar")
+def aggregate_inner_by_fold(spark, d):
     return _aggregated(spark, d)
 
 
-@query(f"WITH {_AGGREGATED} SELECT outer_fold, pipeline_recipe_id, inner_selection_rank AS selected_rank FROM ar WHERE inner_selection_rank <= 2")
+@query(f"WITH {_AGGREGATED} SELECT outer_fold, pipeline_recipe_id, inner_selection_rank AS selected_rank FROM wr WHERE inner_selection_rank <= 3")
 def top_recipes(spark, d):
-    return selection.top_recipes(_aggregated(spark, d), top=2).select("outer_fold", "pipeline_recipe_id", "selected_rank")
+    return selection.top_recipes(_aggregated(spark, d, "table"), top=3).select("outer_fold", "pipeline_recipe_id", "selected_rank")
+
+
+@query(f"WITH {_AGGREGATED} SELECT outer_fold, pipeline_recipe_id, inner_selection_rank AS selected_rank FROM ar WHERE inner_selection_rank <= 2")
+def top_recipes_by_fold(spark, d):
+    return selection.top_recipes(_aggregated(spark, d), top=2, scope="outer_fold").select("outer_fold", "pipeline_recipe_id", "selected_rank")
 
 
 @query(f"""WITH {_AGGREGATED}, g AS (SELECT pipeline_recipe_id, avg(mean_score) AS global_mean, median(mean_score) AS global_median, min(mean_score) AS global_min, max(mean_score) AS global_max, max(feature_size) AS feature_size,

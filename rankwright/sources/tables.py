@@ -35,10 +35,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def find_root(start: str, marker: str = "data/x_train.txt") -> str:
-    """The nearest folder from ``start`` (on this machine) upwards that holds ``marker``."""
+    """The nearest folder from ``start`` (on this machine) upwards that holds ``marker``; what can't be read doesn't."""
     for folder in (p := Path(start).resolve(), *p.parents):
-        if (folder / marker).exists():
-            return str(folder)
+        try:
+            if (folder / marker).exists():
+                return str(folder)
+        except OSError:
+            continue
     raise FileNotFoundError(f"no folder from {start} upwards holds {marker}")
 
 
@@ -263,7 +266,8 @@ def load_or_select_recipes(
         score(spark.read.parquet(predictions)).write.mode("overwrite").parquet(scores)
     found = small(spark.read.parquet(scores))
     found = found.where(F.col("outer_fold").isin(*outer_folds)) if outer_folds else found
-    kept = top_recipes(aggregate_inner(found, ["outer_fold", "pipeline_recipe_id"]), top=top, least_folds=least_runs, runs="runs" if "inner_folds" not in found.columns else "inner_folds")
+    ranked = aggregate_inner(found, ["outer_fold", "pipeline_recipe_id"], scope="outer_fold")
+    kept = top_recipes(ranked, top=top, least_folds=least_runs, runs="runs" if "inner_folds" not in found.columns else "inner_folds", scope="outer_fold")
     out = normalised_recipes(kept.withColumn("selection_artifact", F.lit("round2_inner_oof_scores")))
     if not write:
         return out

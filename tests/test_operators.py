@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -469,8 +471,8 @@ def test_long_matrices_of_many_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", part)
 
 
-def test_stage_artefacts(spark, tmp_path):
-    root = str(tmp_path)
+@pytest.fixture()
+def stage_folder(tmp_path):
     (tmp_path / "data").mkdir()
     (tmp_path / "data/x_train.txt").write_text("var_0 var_1\n1 2\n3 4\n")
     (tmp_path / "data/y_train.txt").write_text("y\n1\n0\n")
@@ -478,24 +480,56 @@ def test_stage_artefacts(spark, tmp_path):
     (tmp_path / "outputs").mkdir()
     (tmp_path / "outputs/stage3_feature_set_scores.csv").write_text("feature_set_name,feature_count,features\ntop_01,1,\"['var_1']\"\ntop_02,2,\"['var_1', 'var_0']\"\n")
     (tmp_path / "outputs/feature_selection_results.csv").write_text("feature,order\nvar_1,1\nvar_0,2\n")
-    assert tables.find_root(f"{root}/data") == root
+    return str(tmp_path)
+
+
+def test_root_folder(stage_folder, monkeypatch):
+    assert tables.find_root(f"{stage_folder}/data") == stage_folder
     with pytest.raises(FileNotFoundError):
-        tables.find_root("/proc")
-    context = tables.run_context(spark, root, "a")
-    assert [r.features for r in context["widest"].orderBy("id").collect()] == [[2.0, 1.0], [4.0, 3.0]] and context["outputs"] == f"{root}/outputs/a"
+        tables.find_root("/proc", marker="no such file at all")
+    seen = Path.exists
+
+    def exists(path):
+        if str(path).startswith(f"{stage_folder}/data/closed"):
+            raise PermissionError(13, "Permission denied")
+        return seen(path)
+
+    monkeypatch.setattr(Path, "exists", exists)
+    assert tables.find_root(f"{stage_folder}/data/closed/deep") == stage_folder
+
+
+def test_stage_tables(spark, stage_folder):
+    context = tables.run_context(spark, stage_folder, "a")
+    assert [r.features for r in context["widest"].orderBy("id").collect()] == [[2.0, 1.0], [4.0, 3.0]] and context["outputs"] == f"{stage_folder}/outputs/a"
     assert [r.features for r in context["test"].collect()] == [[5.0, 6.0]]
-    assert tables.stage_data(spark, f"{root}/data", f"{root}/outputs", without=["top_02"])["candidates"].count() == 1
-    assert [(r.set_name, r.features) for r in tables.feature_sets_from_selection(spark, f"{root}/outputs").orderBy("size").collect()] == [("top_01", ["var_1"]), ("top_02", ["var_1", "var_0"])]
+    assert tables.stage_data(spark, f"{stage_folder}/data", f"{stage_folder}/outputs", without=["top_02"])["candidates"].count() == 1
+    assert [(r.set_name, r.features) for r in tables.feature_sets_from_selection(spark, f"{stage_folder}/outputs").orderBy("size").collect()] == [("top_01", ["var_1"]), ("top_02", ["var_1", "var_0"])]
+
+
+def test_cached_artefacts(spark, stage_folder):
     made = []
     build = lambda: made.append(1) or {"a": len(made)}
-    assert [tables.load_or_build_json(spark, f"{root}/j.json", build, force=f) for f in (False, False, True)] == [{"a": 1}, {"a": 1}, {"a": 2}]
-    assert tables.usable_outputs(spark, f"{root}/none", ["j.json"], legacy=root) == root and tables.usable_outputs(spark, root, ["j.json", "k"]) is None
-    tables.write_search_results(spark, root, "m", {"C": 1}, 2.5)
-    assert tables.read_json_or(spark, f"{root}/hpo/hpo_summary.json") == {"m": {"best_params": {"C": 1}, "cv_business_mean": 2.5}}
-    tables.write_json(spark, f"{root}/b.json", {"summary": {"k0_reference": {"business_with_var_penalty": 0}, "prior_dummy": {"business_with_var_penalty": {"mean": 5.0}}, "logistic_500feat_x": {"business_no_var_penalty": {"mean": 7}}}})
-    got = tables.baseline_reference_rows(spark, f"{root}/b.json", ["prior_dummy", "logistic_500feat_x", "absent"]).collect()
+    assert [tables.load_or_build_json(spark, f"{stage_folder}/j.json", build, force=f) for f in (False, False, True)] == [{"a": 1}, {"a": 1}, {"a": 2}]
+    assert tables.usable_outputs(spark, f"{stage_folder}/none", ["j.json"], legacy=stage_folder) == stage_folder and tables.usable_outputs(spark, stage_folder, ["j.json", "k"]) is None
+    tables.write_search_results(spark, stage_folder, "m", {"C": 1}, 2.5)
+    assert tables.read_json_or(spark, f"{stage_folder}/hpo/hpo_summary.json") == {"m": {"best_params": {"C": 1}, "cv_business_mean": 2.5}}
+
+
+def test_baseline_reference_rows(spark, stage_folder):
+    tables.write_json(spark, f"{stage_folder}/b.json", {"summary": {"k0_reference": {"business_with_var_penalty": 0}, "prior_dummy": {"business_with_var_penalty": {"mean": 5.0}}, "logistic_500feat_x": {"business_no_var_penalty": {"mean": 7}}}})
+    got = tables.baseline_reference_rows(spark, f"{stage_folder}/b.json", ["prior_dummy", "logistic_500feat_x", "absent"]).collect()
     assert [tuple(r) for r in got] == [("baseline_k0", 0, 0.0, None), ("baseline_prior_dummy", 0, 5.0, None), ("baseline_logistic_500feat_x", 500, None, 7.0)]
-    assert tables.baseline_reference_rows(spark, f"{root}/none.json", ["x"]).collect() == []
+    assert tables.baseline_reference_rows(spark, f"{stage_folder}/none.json", ["x"]).collect() == []
+
+
+def test_expanded_grids():
+    specs = recipes.expanded_specs()
+    count = lambda family, found=specs: sum(f == family for _, f, _, _ in found)
+    assert [count(f) for f in ("extra_trees", "random_forest", "lightgbm", "logistic", "xgboost", "additive", "ranker")] == [8, 6, 8, 6, 8, 0, 3]
+    assert count("additive", recipes.expanded_specs(additive=True)) == 3 and count("xgboost", recipes.expanded_specs(xgboost=False)) == 0 == count("ranker", recipes.expanded_specs(ranker=False))
+    by_id = {i: p for i, _, _, p in specs}
+    assert by_id["lightgbm_deep07"] == {"n_estimators": 260, "learning_rate": 0.04, "num_leaves": 15, "min_child_samples": 40, "subsample": 0.8, "colsample_bytree": 0.8}
+    assert by_id["extra_trees_deep08"]["class_weight"] is None and by_id["xgboost_deep08"]["reg_lambda"] == 3.0 and "subsample" not in by_id["xgboost_deep08"]
 
 
 def test_recipes_of_an_inner_stage(spark, tmp_path):
