@@ -52,17 +52,6 @@ def join_on_counted(rows: DataFrame, side: DataFrame, key: str | list[str], weig
     return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
-def semi_join_on_counted(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, *, key_bytes: int) -> DataFrame:
-    """The ``rows`` whose key is in ``side`` (one row a key, written): no row is moved if the keys are counted to be few,
-    and those of hot keys never are."""
-    keys = side.select(key)
-    if (small := broadcast_if_small(keys, side.count(), key_bytes)) is not keys:
-        return rows.join(small, key, "left_semi")
-    hot, rest = (part.select(key) for part in hot_and_rest(side, weight, total))
-    hot = F.broadcast(hot)
-    return rows.join(hot, key, "left_semi").unionByName(rows.join(hot, key, "left_anti").join(rest, key, "left_semi"))
-
-
 def with_texts(docs: DataFrame, text_col: str, change: Callable[[list], list]) -> DataFrame:
     """``docs`` with ``change`` applied to the texts of every Arrow batch; whatever the other columns are called, they stay."""
     place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]

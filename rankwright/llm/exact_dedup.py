@@ -13,13 +13,15 @@ shuffles, so a text with very many copies costs a row a task.
 from __future__ import annotations
 
 import re
+import uuid
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, broadcast_if_small, hot_and_rest, join_on_counted, require_columns, semi_join_on_counted, shared_folder, whole_row, written
+from .common import SPACES, broadcast_if_small, join_on_counted, require_columns, shared_folder, written
+from .located import RowSet, is_located, located, place, without_rows
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STREAM = {
@@ -43,26 +45,27 @@ class DedupState:
     """The stream's state in a shared folder; ``absorb`` may be called again with later documents.
 
     Locators point into the tables that were given, as long as they are plain Parquet tables, which then have to
-    stay as they are, else into copies of the texts in ``folder``.
+    stay as they are, else into copies of the texts in the shared folder.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, *, text_col: str = "text"):
-        self.spark, self.folder, self.text_col, self.used = spark, folder or shared_folder(spark, "dedup"), text_col, False
+        self.spark, self.folder, self.text_col = spark, folder or shared_folder(spark, "dedup"), text_col
 
-    def located(self, docs: DataFrame, id_col: str) -> DataFrame:
-        """doc_id, norm, file, row of every row: the normalised text and where it stands."""
-        where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
-        pick = lambda df, i, t: df.select(df[f"`{i}`"].cast("long").alias("doc_id"), normalised(df[f"`{t}`"]).alias("norm"), *where)
+    def _written(self, name: str) -> bool:
         try:
-            if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-                found = pick(docs, id_col, self.text_col)
-                found.schema  # noqa: B018  the plan is analysed here
-                return found
+            self.spark.read.schema("x int").parquet(f"{self.folder}/{name}")
+            return True
         except AnalysisException:
-            pass  # not Parquet: rows have no numbers
-        path = f"{shared_folder(self.spark, 'dedup-content')}"
-        docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), docs[f"`{self.text_col}`"].cast("string").alias(self.text_col)).write.parquet(path)
-        return pick(self.spark.read.parquet(path), "doc_id", self.text_col)
+            return False
+
+    @property
+    def used(self) -> bool:
+        """Whether the folder holds documents of earlier calls, of this session or another."""
+        return self._written("changes")
+
+    def located(self, docs: DataFrame, id_col: str) -> DataFrame:
+        """doc_id, norm, file, row of every row of a located table: the normalised text and where it stands."""
+        return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), normalised(docs[f"`{self.text_col}`"]).alias("norm"), *place())
 
     def texts_at(self, locators: DataFrame) -> DataFrame:
         """``locators`` (file, row, ...) with norm, the text that stands there; only files that are named are read."""
@@ -74,16 +77,23 @@ class DedupState:
         read = content.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(F.col(f"`{self.text_col}`")).alias("norm"))
         return locators.join(read, ["file", "row"])
 
-    def absorb(self, keys: DataFrame, files_per_batch: int | None = None) -> None:
-        """Run the stream over ``keys`` (digest, part, doc_id, file, row) until all of it is in the state."""
+    def absorb(self, keys: DataFrame, files_per_batch: int | None = None, *, call: str | None = None) -> None:
+        """Run the stream over ``keys`` (digest, part, doc_id, file, row) until all of it is in the state.
+
+        A ``call`` that failed may be made again under its name: keys that lie in the inbox already are not written a
+        second time, and the stream goes on from its checkpoint, so that no row counts twice.
+        """
         spark, inbox, out = self.spark, f"{self.folder}/inbox", f"{self.folder}/changes"
-        keys.select("digest", "part", "doc_id", "file", "row").write.mode("append").parquet(inbox)
+        call = call or uuid.uuid4().hex
+        if not self._written(f"calls/{call}"):
+            keys.select("digest", "part", "doc_id", "file", "row").write.mode("overwrite").parquet(f"{inbox}/{call}")
+            spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/calls/{call}")
         # An id that is null stands behind all others.
         first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row"))
         source = spark.readStream.schema(_KEYS)
         if files_per_batch:
             source = source.option("maxFilesPerTrigger", files_per_batch)
-        state = source.parquet(inbox).groupBy("digest", "part").agg(first.alias("first"), F.count("*").alias("n"))
+        state = source.parquet(f"{inbox}/*").groupBy("digest", "part").agg(first.alias("first"), F.count("*").alias("n"))
 
         def save(changed: DataFrame, batch: int) -> None:
             changed.select("digest", "part", "first", "n").write.mode("overwrite").parquet(f"{out}/batch={batch}")
@@ -100,7 +110,6 @@ class DedupState:
                     spark.conf.unset(k)
                 else:
                     spark.conf.set(k, v)
-        self.used = True
 
     def groups(self) -> DataFrame:
         """digest, part, keep_id, file, row, group_size as of now."""
@@ -125,14 +134,17 @@ def _with_parts(texts: DataFrame, keys: DataFrame, state: DedupState) -> DataFra
         earlier = written(state.texts_at(written(found, "dedup-locators")).select("digest", "part", "norm"), "dedup-earlier")
         known = earlier.select("digest").distinct().withColumn("known", F.lit(True))
         hits = counted.join(known, "digest", "left").where("n > 1 OR known").select("digest", "n")
-    seen = semi_join_on_counted(texts.select("digest", "norm"), written(hits, "dedup-hits"), "digest", "n", keys.count(), key_bytes=96)
+    hits = written(hits, "dedup-hits")
+    rows = join_on_counted(keys.select("digest", "file", "row"), hits, "digest", "n", keys.count())
+    # Only the rows that are hit leave the table, and of each task's equal texts one.
+    seen = texts.where(RowSet(written(rows.select("file", "row"), "dedup-hit-rows")).holds(F.col("file"), F.col("row"))).select("digest", "norm")
     seen = (seen if earlier is None else seen.union(earlier.select("digest", "norm"))).distinct()
     collided = written(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "dedup-collided")
     plain = keys.withColumn("part", F.lit(""))
     if collided.isEmpty():
         return plain
     # A text's part is that of the state if it is there, else the place of its first row: no two texts have that.
-    odd = texts.join(collided, "digest", "left_semi")
+    odd = texts.join(broadcast_if_small(collided, collided.count(), 96), "digest", "left_semi")
     own = odd.groupBy("digest", "norm").agg(F.min(F.struct("file", "row")).alias("at")).select("digest", "norm", F.concat_ws("#", "at.file", "at.row").alias("own"))
     if earlier is None:
         named = own.withColumnRenamed("own", "part")
@@ -142,61 +154,46 @@ def _with_parts(texts: DataFrame, keys: DataFrame, state: DedupState) -> DataFra
     return written(plain.join(collided, "digest", "left_anti").unionByName(apart), "dedup-parts")
 
 
-def exact_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_digits: int = 64, state: DedupState | None = None, files_per_batch: int | None = None
-) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when they are after normalisation; the smallest id of equal texts stays.  With a ``state`` that
-    has seen documents before, those count as well.  Null text counts as empty, null ids stand behind all others,
-    rows that repeat both id and text are the same document and all say ``kept``; an empty table gives an empty
-    result.  Other columns are ignored.  ``digest_digits`` below 64 makes digests collide, which the check by full
-    bytes then tells apart; one state wants the same number always.
-    """
-    require_columns(docs, [id_col, text_col])
-    state = state or DedupState(docs.sparkSession, text_col=text_col)
+def _grouped(docs: DataFrame, id_col: str, text_col: str, digest_digits: int, state: DedupState, files_per_batch: int | None, call: str | None) -> DataFrame:
+    """doc_id, text_sha256, file, row of every row of ``docs`` (located), and keep_id, group_size and keep_file, keep_row: the
+    place of the text that stays."""
     if state.text_col != text_col:
         raise ValueError(f"the state's texts are in {state.text_col}")
     texts = state.located(docs, id_col).withColumn("text_sha256", F.sha2("norm", 256))
     texts = texts.withColumn("digest", F.substring("text_sha256", 1, digest_digits))
     keys = written(texts.select("digest", "doc_id", "file", "row", "text_sha256"), "dedup-keys")
     keys = _with_parts(texts, keys, state)
-    state.absorb(keys, files_per_batch)
-    groups = written(state.groups().select("digest", "part", "keep_id", "group_size"), "dedup-groups")
+    state.absorb(keys, files_per_batch, call=call)
+    groups = written(state.groups().select("digest", "part", "keep_id", F.col("file").alias("keep_file"), F.col("row").alias("keep_row"), "group_size"), "dedup-groups")
     total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0)).alias("n")).first().n
-    rows = join_on_counted(keys.select("digest", "part", "doc_id", "text_sha256"), groups, ["digest", "part"], "group_size", total)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return join_on_counted(keys.select("digest", "part", "doc_id", "text_sha256", "file", "row"), groups, ["digest", "part"], "group_size", total)
 
 
-def drop_marked(docs: DataFrame, judged: DataFrame, doc_id, sha) -> DataFrame:
-    """``docs`` without the rows that ``judged`` (doc_id, sha, stays, n) turns down, and once each of the others.
+def exact_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest_digits: int = 64, state: DedupState | None = None, files_per_batch: int | None = None, call: str | None = None
+) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    A row is known by its id, which may be null, and the digest ``sha`` of its text; ``n`` counts the rows of that key.
-    The few keys with very many rows are broadcast, the rest as well if they are counted to be few; else whole rows
-    are moved.
+    Texts are equal when they are after normalisation; the smallest id of equal texts stays.  With a ``state`` that
+    has seen documents before, those count as well, whichever session they came in; a ``call`` that failed can be made
+    again under its name.  Null text counts as empty, null ids stand behind all others, rows that repeat both id and
+    text are the same document and all say ``kept``; an empty table gives an empty result.  Other columns are ignored.
+    ``digest_digits`` below 64 makes digests collide, which the check by full bytes then tells apart; one state wants
+    the same number always.
     """
-    key = lambda i, s: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("-")), s.cast("string"))
-    judged = judged.groupBy(key(F.col("doc_id"), F.col("sha")).alias("_key"), "stays").agg(F.sum("n").alias("_n"))
-    judged = written(judged.where("NOT stays OR _n > 1"), "judged")
-    size = judged.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count_if("stays").alias("again"), F.count_if(~F.col("stays")).alias("gone")).first()
-    rows = docs.select(whole_row(docs), key(doc_id, sha).alias("_key"))
-    gone, again = ([f.select("_key") for f in hot_and_rest(judged.where(c), "_n", size.rows)] for c in ("NOT stays", "stays"))
-    gone[1], again[1] = broadcast_if_small(gone[1], size.gone, 120), broadcast_if_small(again[1], size.again, 120)
-    gone[0], again[0] = F.broadcast(gone[0]), F.broadcast(again[0])
-    for part in gone:
-        rows = rows.join(part, "_key", "left_anti")
-    if not size.again:
-        return rows.select("_row.*")
-    once = rows
-    for part in again:
-        once = once.join(part, "_key", "left_anti")
-    for part in again:
-        once = once.unionByName(rows.join(part, "_key", "left_semi").dropDuplicates(["_key"]).select(*once.columns))
-    return once.select("_row.*")
+    require_columns(docs, [id_col, text_col])
+    state = state or DedupState(docs.sparkSession, text_col=text_col)
+    narrow = docs if is_located(docs) else written(docs.select(docs[f"`{id_col}`"], docs[f"`{text_col}`"].cast("string").alias(text_col)), "dedup-content")
+    rows = _grouped(narrow, id_col, text_col, digest_digits, state, files_per_batch, call)
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies: of equal texts the row with the smallest id stays, and once."""
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col)
-    judged = groups.groupBy("doc_id", F.col("text_sha256").alias("sha"), F.col("kept").alias("stays")).agg(F.count("*").alias("n"))
-    return drop_marked(docs, judged, docs[f"`{id_col}`"].cast("long"), F.sha2(normalised(docs[f"`{text_col}`"]), 256))
+    """``docs`` without exact copies: of equal texts the row with the smallest id stays, and once.
+
+    The rows that go are known by their places in the table's files, so no text is moved for them to be left out."""
+    require_columns(docs, [id_col, text_col])
+    docs = located(docs, "dedup-content")
+    rows = _grouped(docs, id_col, text_col, 64, DedupState(docs.sparkSession, text_col=text_col), None, None)
+    stays = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    return without_rows(docs, written(rows.where(~stays).select("file", "row"), "dedup-gone"))

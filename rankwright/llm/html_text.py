@@ -163,8 +163,11 @@ class Page:
             name, ends, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
             if in_head:
                 if name == "title" and not ends:
-                    closing = re.compile(r"</title\b[^>]*>", re.I).search(html, at)
-                    at = closing.end() if closing else at
+                    closing = None if "title" in unclosed else re.compile(r"</title\b[^>]*>", re.I).search(html, at)
+                    if closing:
+                        at = closing.end()
+                    else:  # nor have any of those that follow an end
+                        unclosed.add("title")
                     continue
                 in_head = name in HEAD
                 if in_head and (ends or name not in SILENT):

@@ -14,11 +14,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, hot_and_rest, join_on_counted, require_columns, small_batches, whole_row, written
+from .common import broadcast_if_small, join_on_counted, require_columns, small_batches, whole_row, written
+from .located import located, place, without_rows
 
 #: Hash slots of the character trigrams.
 SLOTS = 1 << 15
@@ -55,41 +57,69 @@ class TextModel:
         return self.table[slots].mean(0) * min(len(slots), weight)
 
 
-def train(labelled: list[tuple[str, str]]) -> TextModel:
-    """Smoothed trigram frequencies of (language, text) pairs.
+def model_of(counts: dict[str, np.ndarray]) -> TextModel:
+    """Smoothed frequencies from the trigram counts of each language.
 
     The row of the unknown language gives each slot the same probability, raised by 0.5: a language has
     to explain a trigram better than that.
     """
-    languages = tuple(sorted({lang for lang, _ in labelled}))
-    counts = {lang: np.full(SLOTS, 0.05) for lang in languages}
-    for lang, text in labelled:
-        counts[lang] += np.bincount(trigrams(text), minlength=SLOTS)
-    rows = [np.log(c / c.sum()) for c in counts.values()] + [np.full(SLOTS, np.log(1 / SLOTS) + 0.5)]
+    languages = tuple(sorted(counts))
+    smooth = [counts[lang] + 0.05 for lang in languages]
+    rows = [np.log(c / c.sum()) for c in smooth] + [np.full(SLOTS, np.log(1 / SLOTS) + 0.5)]
     return TextModel(languages, np.ascontiguousarray(np.stack(rows, 1)))
 
 
+def train(labelled: list[tuple[str, str]]) -> TextModel:
+    """The model of (language, text) pairs."""
+    counts: dict[str, np.ndarray] = {}
+    for lang, text in labelled:
+        counts[lang] = counts.get(lang, np.zeros(SLOTS)) + np.bincount(trigrams(text), minlength=SLOTS)
+    return model_of(counts)
+
+
+#: Rows of a label that each task hands on at most: Spark cuts a window's rows before it moves them up to this limit.
+MOST_OF_LABEL = 1000
+
+
 def fit(docs: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample: int = 2000, languages: int = 100) -> TextModel:
     """Train on a bounded sample of labelled rows: the ``languages`` most frequent labels of the whole table get the same
-    share of ``sample`` rows each, those with the least hash of the id.
+    share of ``sample`` rows each, at most 1,000 a label, those with the least hash of the id.
 
-    Labels are counted over all rows, so that a rare language is learnt as well as a frequent one.  The hashes are
-    chosen first and alone, so that only the texts of the sample are moved.  A table without labels gives a model
-    that knows no language.
+    Labels are counted over all rows, so that a rare language is learnt as well as a frequent one.  As hashes are spread
+    evenly, all but about four times a label's share are passed over by their hash before any are put in order.  The
+    trigrams of the sample are counted in the tasks that hold its texts, and only counts come to the driver.  A table
+    without labels gives a model that knows no language.
     """
-    hashed = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col)).alias("h"), F.lower(F.col(label_col)).alias("l"), F.col(text_col).alias("t")
-    )
-    known = [r.l for r in hashed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()]
+    label, text, key = (docs[f"`{c}`"] for c in (label_col, text_col, id_col))
+    hashed = docs.where(label.isNotNull() & text.isNotNull()).select(F.xxhash64(key).alias("h"), F.lower(label).alias("l"), text.cast("string").alias("t"))
+    known = hashed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()
     if not known:
-        return train([])
-    share = max(1, sample // len(known))
+        return model_of({})
+    share = max(1, min(MOST_OF_LABEL, sample // len(known)))
+    # A label's rows are near if their hash lies in the lowest part of its range, which about 4 * share of them do.
+    bounds = docs.sparkSession.createDataFrame([(r.l, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * share // r.n)) for r in known], "l string, bound long")
     place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    last = hashed.where(F.col("l").isin(known)).select("l", "h").withColumn("k", place).where(F.col("k") <= share).groupBy("l").agg(F.max("h").alias("last"))
-    near = hashed.join(F.broadcast(last), "l").where("h <= last").select("l", "h", "t")
+    near = hashed.join(F.broadcast(bounds), "l").where("h <= bound")
+    last = near.select("l", "h").withColumn("k", place).where(F.col("k") <= share).groupBy("l").agg(F.max("h").alias("last"))
+    picked = near.join(F.broadcast(last), "l").where("h <= last").select("l", "h", "t")
     # Rows that repeat an id have one hash: they are cut off here.
-    rows = near.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("k") <= share).orderBy("l", "h", "t").collect()
-    return train([(r.l, r.t) for r in rows])
+    picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("k") <= share)
+
+    def count(batches):
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[lang] = total.get(lang, np.zeros(SLOTS, np.int64)) + np.bincount(trigrams(t), minlength=SLOTS)
+        for lang, n in total.items():
+            slots = np.flatnonzero(n)
+            # A language whose texts hold no trigram is known all the same.
+            slots = slots if len(slots) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slots), pa.string()), pa.array(slots.astype(np.int32)), pa.array(n[slots])], names=["l", "slot", "n"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in picked.select("l", "t").mapInArrow(count, "l string, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).collect():  # slots x languages
+        counts.setdefault(r.l, np.zeros(SLOTS))[r.slot] = r.n
+    return model_of(counts)
 
 
 def declared_in_markup(html: Column) -> Column:
@@ -155,12 +185,15 @@ def host_priors(base: DataFrame, names: int, evidence: Evidence) -> DataFrame:
     sums = [F.sum(F.col("_post")[k]).alias(f"s{k}") for k in range(names)]
     hosts = base.groupBy("_key", "_suffix").agg(F.count("*").alias("n"), *sums)
     add = [F.sum(c).alias(c) for c in ("n", *(f"s{k}" for k in range(names)))]
-    suffixes = hosts.groupBy("_suffix").agg(*add)
+    hosts = written(hosts, "host-sums")
+    suffixes = written(hosts.groupBy("_suffix").agg(*add), "suffix-sums")
+    few = suffixes.count()
     total = suffixes.agg(*add).select(F.col("n").alias("gn"), *(F.coalesce(F.col(f"s{k}"), F.lit(0.0)).alias(f"g{k}") for k in range(names)))
     share = lambda k: (F.col(f"g{k}") + 1.0) / (F.coalesce(F.col("gn"), F.lit(0)) + float(names))
     smoothed = F.array(*((F.col(f"s{k}") + evidence.suffix_count * share(k)) / (F.col("n") + evidence.suffix_count) for k in range(names)))
     suffixes = suffixes.join(F.broadcast(total)).select(F.col("_suffix").alias("_x"), smoothed.alias("_by_suffix"))
-    priors = hosts.join(suffixes, hosts["_suffix"].eqNullSafe(suffixes["_x"]))
+    # Suffixes are far fewer than hosts, of which the null suffix alone may have all.
+    priors = hosts.join(broadcast_if_small(suffixes, few, 64 + 16 * names), hosts["_suffix"].eqNullSafe(suffixes["_x"]))
     return written(priors.select("_key", F.col("n").alias("_n"), F.array(*(f"s{k}" for k in range(names))).alias("_sums"), "_by_suffix"), "host-priors")
 
 
@@ -257,18 +290,20 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("_row.*", "language.*")
 
 
+def page_report(pages: DataFrame, model: TextModel) -> DataFrame:
+    """page_id, declared, host, suffix, lang, posterior, text_lang, kept of every page: text, markup language, address suffix
+    and host are all heard."""
+    require_columns(pages, ["page_id", "url", "html"])
+    found = identify_pages(pages.select("page_id", "url", "html"), model)
+    host = host_of(F.col("url"))
+    return found.select("page_id", declared_in_markup(F.col("html")).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"), "language.*")
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Documents whose language is known, with their own columns; the others go.
 
-    The verdict hangs on text, declared language and host alone, by whose digest the rejected rows are known: only
-    digests of rejected rows meet the documents, broadcast if they are counted to be few.
-    """
+    The rejected rows are known by their places in the table's files, so no text is moved for them to be left out."""
     require_columns(docs, ["doc_id", "text", "lang", "source"])
-    part = lambda c: F.coalesce(F.concat(F.char_length(docs[c]).cast("string"), F.lit(":"), docs[c]), F.lit("-"))
-    key = F.unhex(F.sha2(F.concat(part("lang"), part("source"), part("text")), 256))
-    judged = _documents(docs, F.struct(key.alias("key")), None, Evidence()).where("NOT language.kept")
-    gone = written(judged.select(F.col("_row.key").alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")), "language-gone")
-    size = gone.agg(F.count("*").alias("keys"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).first()
-    hot, rest = (p.select("_key") for p in hot_and_rest(gone, "_n", size.rows))
-    rows = docs.select(whole_row(docs), key.alias("_key"))
-    return rows.join(F.broadcast(hot), "_key", "left_anti").join(broadcast_if_small(rest, size.keys, 48), "_key", "left_anti").select("_row.*")
+    docs = located(docs, "language-documents")
+    judged = _documents(docs, F.struct(*place()), None, Evidence()).where("NOT language.kept")
+    return without_rows(docs, written(judged.select("_row.file", "_row.row"), "language-gone"))

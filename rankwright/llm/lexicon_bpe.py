@@ -215,7 +215,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield from out()
         yield from out()
 
-    counted = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, "word string, n long")
+    counted = docs.select(F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text")).mapInArrow(count, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -269,7 +269,7 @@ def encode_with_lexicon(docs: DataFrame, lexicon: str, *, id_col: str = "doc_id"
                 out["text"] = pa.array(map(encoder.decode, ids), pa.string())
             yield pa.RecordBatch.from_pydict(out)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     return texts.mapInArrow(encode, "doc_id long, ids binary" + ", text string" * decoded)
 
 
@@ -286,7 +286,10 @@ def decode_ids(ids: DataFrame) -> DataFrame:
 
 
 def codec_digest(docs: DataFrame) -> DataFrame:
-    """Encode, decode, and describe both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Encode, decode, and describe both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null text counts as empty and has no ids; null and repeated ids stay, each row on its own; an empty table gives an
+    empty result; other columns are ignored."""
     coded = encode_with_lexicon(docs, build_lexicon(docs), decoded=True)
     return coded.select(
         "doc_id",

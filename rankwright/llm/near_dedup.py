@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_on_counted, require_columns, small_batches, written
-from .exact_dedup import drop_marked
+from .located import located, place, without_rows
 
 BITS, SEED, SHINGLE = 64, 42, 4
 #: Variants that one task spells out at a time (8 bytes each, and as much again to sort).
@@ -47,23 +47,27 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
 
 
-def _identity(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
-    """A row's id and the SHA-256 of its text: what a row is known by."""
-    return docs[f"`{id_col}`"].cast("long"), F.unhex(F.sha2(F.coalesce(docs[f"`{text_col}`"], F.lit("")), 256))
-
-
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """doc_id, sha (of the text), fp (the fingerprint as a signed long); null text counts as empty."""
-    require_columns(docs, [id_col, text_col])
+def _fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, *where: Column) -> DataFrame:
+    """doc_id, sha (of the text), what says ``where`` a row is (file and row), and fp, the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "sha", "file", "row", "fp"]
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "sha", "fp"])
+            found = np.array([fingerprint(t, words) for t in batch.column(4).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(found.view(np.int64))], names=names)
+
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("sha"), *where, text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sha binary, file string, row long, fp long")
 
-    doc_id, sha = _identity(docs, id_col, text_col)
-    return docs.select(doc_id.alias("doc_id"), sha.alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, sha binary, fp long")
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) of every row.  Null text counts as empty, and a text without a word has
+    the fingerprint zero; null and repeated ids stay; an empty table gives an empty result."""
+    require_columns(docs, [id_col, text_col])
+    none = F.lit(None)
+    return _fingerprints(docs, id_col, text_col, words, none.cast("string").alias("file"), none.cast("long").alias("row")).select("doc_id", "fp")
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -222,12 +226,12 @@ def _with_first(marked: DataFrame, order: Column, radius: int = 2, range_variant
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with exactly one row of each component: the one with the smallest id, nulls last, and of several
-    texts under that id the one with the least SHA-256; of rows that repeat both, one.  Null text counts as empty, an
-    empty table gives an empty result, and all columns stay."""
-    marked = written(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
-    named = _with_first(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
-    judged = named.groupBy("doc_id", F.hex("sha").alias("sha"), stays.alias("stays")).agg(F.count("*").alias("n"))
-    own_id, own_sha = _identity(docs, id_col, text_col)
-    return drop_marked(docs, judged, own_id, F.hex(own_sha))
+    """``docs`` with exactly one row of each component: the one with the smallest id, nulls last, of several
+    texts under that id the one with the least SHA-256, and of rows that repeat both the first.  Null text counts as empty, an empty table gives an empty result, and all columns
+    stay.  The rows that go are known by their places in the table's files, so no text is moved for them to be left out."""
+    require_columns(docs, [id_col, text_col])
+    docs = located(docs, "near-copies")
+    marked = written(_fingerprints(docs, id_col, text_col, SHINGLE, *place()), "fingerprints")
+    named = _with_first(marked, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha", "file", "row"))
+    stays = (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
+    return without_rows(docs, written(named.where(~stays).select("file", "row"), "near-gone"))

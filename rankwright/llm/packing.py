@@ -127,7 +127,7 @@ def pieces_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text")).mapInArrow(cut, PIECES + ", ids binary" * with_ids)
 
 
 def pack_pieces(pieces: DataFrame, cap: Capacities = Capacities()) -> DataFrame:
@@ -194,6 +194,9 @@ def pack_pieces(pieces: DataFrame, cap: Capacities = Capacities()) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, cap: Capacities = Capacities(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenise and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null text counts as empty and is its end id alone; null and repeated ids stay, each row packed on its own; an empty
+    table gives an empty result; other columns are ignored."""
     pieces = written(pieces_of(docs, id_col=id_col, text_col=text_col, capacity=cap.tokens), "pieces")
     return pack_pieces(pieces, cap)

@@ -143,7 +143,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 kinds = [*[pa.int64()] * 6, pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     measured = written(texts.mapInArrow(measure, ", ".join(f"{n} long" for n in names[:-1]) + ", votes string"), "quality-votes")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # What the base rule turns down needs no verdict, so it doesn't shape the model.  At most 3 ** len(RULES) rows.

@@ -25,6 +25,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op3_language_id over pages, whose addresses and markup take part."""
+    return language.page_report(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_quality_rules, op3_language_id, op4_secret_scan, op5_token_files, op6_html_text, op7_preference_chat, op8_simhash, op9_bpe_codec, op10_best_fit_packing,
-        op11_personal_data, op12_periodic_runs, op13_vector_codes, quality_base_columns, personal_data_base_columns,
+        op11_personal_data, op12_periodic_runs, op13_vector_codes, quality_base_columns, personal_data_base_columns, page_languages,
     )
 }
 

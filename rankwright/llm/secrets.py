@@ -81,10 +81,10 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", re
     require_columns(docs, [c for c in (id_col, text_col, repo_col, owner_col) if c])
     texts = docs.select(
         F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(repo_col or id_col).cast("string").alias("repo"),
-        F.col(owner_col or id_col).cast("string").alias("owner"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        docs[f"`{id_col}`"].cast("long").alias("doc_id"),
+        docs[f"`{repo_col or id_col}`"].cast("string").alias("repo"),
+        docs[f"`{owner_col or id_col}`"].cast("string").alias("owner"),
+        F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"),
     )
     found = texts.select("row", "doc_id", "repo", "owner", F.concat(*(_matches(F.col("text"), k, kind) for k, kind in enumerate(KINDS))).alias("m"))
     each = found.select("row", "doc_id", "repo", "owner", F.explode_outer("m").alias("m")).select("row", "doc_id", "repo", "owner", "m.*")
@@ -153,10 +153,10 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", o
     changes; null and repeated ids stay; an empty table gives an empty result; other columns stay.
     """
     require_columns(docs, [id_col, text_col, owner_col])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
     hit = reduce(or_, (kind.found_in(text) for kind in sorted(KINDS, key=lambda k: not k.holds)))
     # Written, so that the numbers of the few rows with a match hold in what follows.
-    own = F.col(id_col).cast("string").alias("_repo"), F.col(owner_col).cast("string").alias("_owner"), text.alias("_text")
+    own = docs[f"`{id_col}`"].cast("string").alias("_repo"), docs[f"`{owner_col}`"].cast("string").alias("_owner"), text.alias("_text")
     flagged = written(docs.where(hit).select(F.monotonically_increasing_id().alias("_n"), *own, whole_row(docs)), "secret-rows")
     found = spans(flagged, id_col="_n", text_col="_text", repo_col="_repo", owner_col="_owner")
     found = written(found.where("kind IS NOT NULL").select(F.col("doc_id").alias("_n"), "repo", "owner", "cut", "end", "value_sha256"), "secret-values")

@@ -175,16 +175,18 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
     """Encode ``docs`` with byte_bpe_50k.json into shards under ``folder`` in ascending id order; return the manifest.
 
     One row of the manifest stands for one frame.  Null ids come first, null text counts as empty, rows
-    with equal ids all stay, other columns are ignored; an empty table gives an empty manifest.  A task
+    with equal ids all stay, in the order of their texts' hashes, by which rows without an id or of one id are spread over
+    shards; other columns are ignored; an empty table gives an empty manifest.  A task
     that runs again writes a file of another name, and the manifest lists the files of the attempts that
     Spark committed.  ``id_bytes`` 2 holds for vocabularies of up to 65,536 ids; a larger id is an error.
     """
     require_columns(docs, [id_col, text_col])
     small_batches(docs.sparkSession)
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id")
+        docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("text"))
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange("id", "tie")
+        .sortWithinPartitions("id", "tie", "text")
     )
     end = pack([end_id])
 
@@ -247,7 +249,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
 
 def token_file_digest(docs: DataFrame) -> DataFrame:
-    """Write the token files, read them back, and describe each document: doc_id, start, n_tokens, ids_crc32."""
+    """Write the token files, read them back, and describe each document: doc_id, start, n_tokens, ids_crc32.
+
+    Null text counts as empty and has the end id alone; null ids come first, rows that repeat an id all stay, in the order
+    of their texts' hashes; an empty table gives an empty result."""
     manifest = write_token_files(docs, shared_folder(docs.sparkSession, "token-files"))
     return read_token_files(manifest).select(
         "doc_id", "start", F.floor(F.octet_length("tokens") / 4).cast("long").alias("n_tokens"), F.crc32("tokens").alias("ids_crc32")

@@ -7,11 +7,12 @@ from collections import defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from rankwright.llm import exact_dedup, near_dedup
+from rankwright.llm import common, exact_dedup, language, located, near_dedup
 
 from .conftest import SF
 
@@ -206,3 +207,50 @@ def test_dropping_near_copies_decides_by_row(spark):
     first = min((texts[1], near(1)), key=lambda t: sha256(t.encode()).digest())
     want = [(1, texts[0]), (None, texts[3]), (None, texts[4]), (None, first), (2, texts[2]), (3, texts[5]), (7, "once again"), (8, "")]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_state_that_is_opened_again(spark, tmp_path):
+    folder = f"file://{tmp_path}/state"
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, text string").repartition(2)
+    first = exact_dedup.DedupState(spark, folder)
+    assert not first.used
+    exact_dedup.exact_groups(rows((1, "a"), (2, "b")), state=first, digest_digits=0).collect()
+    again = exact_dedup.DedupState(spark, folder)  # as a new session does
+    assert again.used
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows((11, "zz"), (12, "a")), state=again, digest_digits=0).collect()}
+    assert got == {11: (11, 1, True), 12: (1, 2, False)}
+
+
+def test_a_call_that_failed_counts_once(spark, tmp_path):
+    state = exact_dedup.DedupState(spark, f"file://{tmp_path}/state")
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    with pytest.raises(Exception):  # the stream fails when the rows are in the inbox
+        exact_dedup.exact_groups(docs, state=state, call="monday", files_per_batch=-1).collect()
+    for _ in range(2):  # the call again, and once more
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, state=state, call="monday").collect()}
+        assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+    more = {r.doc_id: r.group_size for r in exact_dedup.exact_groups(docs, state=state, call="tuesday").collect()}
+    assert more == {1: 4, 2: 4, 3: 2}
+
+
+def test_no_text_is_moved_to_drop_rows(spark, documents, capsys):
+    """Whatever the number of rows that go, the plan that leaves them out has no exchange."""
+    written_docs = common.written(documents, "plan-test")
+    for kept in (exact_dedup.drop_exact_copies(written_docs), near_dedup.drop_near_copies(written_docs), language.keep_identified(written_docs)):
+        kept.explain()
+        assert "Exchange" not in capsys.readouterr().out
+
+
+def test_rows_by_their_places(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(located, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(located, "BUCKET_PLACES", 50)
+    path = f"{tmp_path}/a b%20c"
+    spark.range(3000).withColumn("x.y", F.col("id") % 7).repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert located.is_located(docs) and not located.is_located(docs.where("id > 5"))
+    gone = docs.where("id % 3 = 0").select(*located.place())
+    left = located.without_rows(docs, common.written(gone, "t"))
+    assert left.columns == docs.columns and sorted(r.id for r in left.collect()) == [k for k in range(3000) if k % 3]
+    assert located.without_rows(docs, common.written(gone.limit(0), "t")).count() == 3000
+    other = docs.where("id < 10").select(F.lit("file:///no/such/file").alias("file"), F.col("_metadata.row_index").alias("row"))
+    assert located.without_rows(docs, common.written(other, "t")).count() == 3000

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from rankwright.llm import chat, html_text, language, quality, secrets
+from rankwright.llm import chat, exact_dedup, html_text, language, near_dedup, packing, periodic_runs, pii, quality, secrets
 
 from .conftest import SF, by_id
 
@@ -171,6 +172,25 @@ def test_rare_languages_are_in_the_sample(spark, documents):
     assert model.languages == ("en", "frp")
 
 
+def test_heads_of_unclosed_titles_are_linear():
+    began = time.perf_counter()
+    html_text.Page("<html><head>" + "<title>" * 150_000)
+    assert time.perf_counter() - began < 3
+
+
+def test_dotted_columns(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijklmnop and more words", "en", "s", None), (2, None, None, None, None)], "`d.id` long, `t.x` string, `l.g` string, `o.w` string, n_chars long")
+    ways = {"id_col": "d.id", "text_col": "t.x"}
+    assert quality.quality_rules(docs, **ways).count() == 2
+    assert secrets.secret_report(docs, owner_col="o.w", **ways).count() == 2
+    assert secrets.redact(docs, owner_col="o.w", **ways).columns == docs.columns
+    assert language.fit(docs, label_col="l.g", **ways).languages == ("en",)
+    assert near_dedup.near_duplicate_groups(docs, **ways).count() == 2 and near_dedup.drop_near_copies(docs, **ways).columns == docs.columns
+    assert exact_dedup.exact_groups(docs, **ways).count() == 2 and exact_dedup.drop_exact_copies(docs, **ways).columns == docs.columns
+    assert packing.best_fit_pack(docs, **ways).count() == 2
+    assert pii.personal_data(docs, **ways).count() == 2 and periodic_runs.run_report(docs, **ways).count() == 2
+
+
 def test_language_of_pages(spark, documents):
     model = language.fit(documents)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
@@ -182,6 +202,30 @@ def test_language_of_pages(spark, documents):
     assert [tuple(p) for p in parts] == [("a.example.de", "de"), ("b.fr", "fr"), (None, None), (None, None)]
 
 
+def test_pages_fuse_address_markup_and_text(spark, documents):
+    """Every page against the plain formulas, address suffix and markup included."""
+    model = language.fit(documents)
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    host = language.host_of(F.col("url"))
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>|&[#\w]+;", " ")
+    rows = pages.select("page_id", plain.alias("t"), language.declared_in_markup(F.col("html")).alias("d"), host.alias("h"), language.suffix_of(host).alias("s")).orderBy("page_id").collect()
+    want = fused_brute([tuple(r)[1:] for r in rows], model)
+    got = language.page_report(pages, model).orderBy("page_id").collect()
+    assert [(g.page_id, g.declared, g.host, g.suffix, g.lang, g.text_lang, g.kept) for g in got] == [(r.page_id, r.d, r.h, r.s, w[0], w[2], w[3]) for r, w in zip(rows, want)]
+    assert all(abs(g.posterior - w[1]) < 2e-6 for g, w in zip(got, want)) and any(r.s for r in rows) and any(r.d for r in rows)
+
+
+def test_one_label_is_not_one_task(spark, documents, capsys):
+    """A label's rows are cut within the tasks before they meet."""
+    assert language.fit(documents.withColumn("lang", F.lit("en")), sample=5000).languages == ("en",)
+    many = documents.select("doc_id", "text", F.lit("en").alias("lang"))
+    got = language.fit(many, sample=60)
+    assert got.languages == ("en",) and np.isfinite(got.table).all()
+    counted = language.train([("en", t) for t in ("abc abc", "xyz")])
+    two = language.fit(spark.createDataFrame([(1, "abc abc", "en"), (2, "xyz", "EN"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string"))
+    assert np.allclose(counted.table, two.table)
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     got = language.identify_documents(odd_docs).collect()
     assert len(got) == 15 and all(0 <= r.language.posterior <= 1 for r in got)
