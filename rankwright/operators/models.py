@@ -18,7 +18,6 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from ..functions.ranges import placed, quantiles
 from ..functions.shared import written
 from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
+from .isotonic import calibrated  # noqa: F401
 from .rankings import fused_scores, fusion_weights
 
 KIND = {
@@ -243,13 +243,6 @@ def out_of_fold(df: DataFrame, folds: DataFrame, fit: Fit, *, fold: str = "outer
     return out
 
 
-def calibrated(train: DataFrame, df: DataFrame) -> DataFrame:
-    """``df`` with ``score`` replaced by its isotonic fit on ``train`` (y, score), within 0..1."""
-    model = IsotonicRegression(featuresCol="score", labelCol="y").fit(train.select(F.col("y").cast("double").alias("y"), "score"))
-    out = model.transform(df).withColumn("score", F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0)))
-    return out.select(*df.columns)
-
-
 def select_and_score(train: DataFrame, test: DataFrame, fit: Fit, *, k: int) -> DataFrame:
     """Fit on all of ``train`` and rank the best ``k`` of ``test``: rank, id, score, expected_value."""
     scored = fit(train).score(test)

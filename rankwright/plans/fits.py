@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fanout, features, folds, pipelines, search
+from ..operators import fanout, features, folds, isotonic, pipelines, search
 from .frames import embedding_rows
 from .queries import _six, query
 
@@ -60,3 +60,12 @@ def fan_out_predictions(spark, d):
     sets = [list(range(64)), list(range(0, 64, 2))]
     rows = [(100 * s + 10 * m + f, 0, f, family, params, places) for s, places in enumerate(sets) for m, (family, params) in enumerate(specs) for f in (1, 2, 3)]
     return fanout.predictions_of(fanout.fan_out(df, members, spark.createDataFrame(rows, fanout.TASKS)))
+
+
+@query("""WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, round(CAST(embedding[1] AS DOUBLE), 2) AS score FROM embeddings),
+g AS (SELECT score, sum(y) AS t, count(*) AS n, row_number() OVER (ORDER BY score) AS i FROM v GROUP BY score), c AS (SELECT i, score, sum(t) OVER (ORDER BY i) AS ct, sum(n) OVER (ORDER BY i) AS cn, t, n FROM g),
+m AS (SELECT a.i AS j, b.i AS k, CAST(b.ct - a.ct + a.t AS DOUBLE) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON b.i >= a.i), l AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS low FROM m),
+f AS (SELECT i, max(low) AS value FROM l GROUP BY i) SELECT id, y, round(value, 6) AS score FROM v JOIN g ON v.score = g.score JOIN f ON f.i = g.i""")
+def calibrated_scores(spark, d):
+    df = embedding_rows(spark, d).select("id", "y", F.round(F.col("features")[0], 2).alias("score"))
+    return _six(isotonic.calibrated(df, df), "score")

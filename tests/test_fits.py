@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankwright.functions import permute, ranges, shared
-from rankwright.operators import fanout, features, folds, models, paths, pipelines, recipes, search
+from rankwright.operators import fanout, features, folds, isotonic, models, paths, pipelines, recipes, search
 
 from .test_operators import matrix
 
@@ -190,3 +190,27 @@ def test_every_parameter_counts():
         if family not in ("logistic",):
             with pytest.raises(ValueError, match="bagging"):
                 fanout.FAMILIES[family](x, y, base | {"bagging": 1})
+
+
+def isotonic_brute(x, y):
+    """Greatest of the least means, of each distinct score."""
+    at = np.unique(x)
+    t, n = (np.array([f(y[x == v]) for v in at], float) for f in (np.sum, len))
+    mean = lambda j, k: t[j : k + 1].sum() / n[j : k + 1].sum()
+    return at, np.array([max(min(mean(j, k) for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))])
+
+
+def test_isotonic_over_many_ranges(spark):
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=300), 1)  # many ties
+    y = (r.random(300) < 1 / (1 + np.exp(-x))).astype(int)
+    at, want = isotonic_brute(x, y)
+    train = spark.createDataFrame([(k, int(b), float(a)) for k, (a, b) in enumerate(zip(x, y))] + [(900, 1, None), (901, None, 0.3)], "id long, y int, score double").repartition(4)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate([*at, at[0] - 5, at[-1] + 5, (at[3] + at[4]) / 2])] + [(950, None), (951, float("nan"))], "id long, score double")
+    for parts in (1, 5, 64):
+        got = {g.id: g.score for g in isotonic.calibrated(train, df, ranges=parts).collect()}
+        assert np.allclose([got[k] for k in range(len(at))], want)
+        assert got[len(at)] == want[0] and got[len(at) + 1] == want[-1] and abs(got[len(at) + 2] - (want[3] + want[4]) / 2) < 1e-12 and got[950] is None and got[951] is None
+    assert {g.score for g in isotonic.calibrated(train.limit(0), df).collect()} == {None}
+    rising = isotonic.isotonic_blocks(spark.createDataFrame([(0, 1.0), (1, 2.0)], "y int, score double")).collect()
+    assert [tuple(b) for b in rising] == [(1.0, 1.0, 0.0), (2.0, 2.0, 1.0)]
