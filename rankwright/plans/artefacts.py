@@ -314,14 +314,17 @@ def recipe_failures(spark, d):
     return pipelines.recipe_failures(long_rankings(spark, d).where("method <> 'peak'"), recipes.prescreen_recipes(spark, METHODS))
 
 
-@query(f"WITH {RAW} SELECT string_agg(method || '=' || w, ';' ORDER BY method) AS weights FROM (VALUES ('a', '0.250000'), ('b', '0.750000')) t(method, w)")
+@query(f"""WITH {ORDERS}, n AS (SELECT grp, CAST(count(*) AS DOUBLE) AS w FROM s WHERE grp <> '5-LOW' GROUP BY grp) SELECT string_agg(grp || '=' || printf('%.6f', w / (SELECT sum(w) FROM n)), ';' ORDER BY grp) AS weights FROM n""")
 def weights_text(spark, d):
-    return rankings.weights_text(spark.createDataFrame([("b", 3.0), ("a", 1.0), ("c", -1.0)], "method string, weight double"))
+    sizes = scored_orders(spark, d).groupBy(F.col("grp").alias("method")).agg(F.count("*").cast("double").alias("weight"))
+    return rankings.weights_text(sizes.withColumn("weight", F.when(F.col("method") == "5-LOW", -F.col("weight")).otherwise(F.col("weight"))))
 
 
-@query(f"WITH {RAW} SELECT e.expert, CASE e.expert WHEN 'a' THEN 0.25::DOUBLE WHEN 'b' THEN 0.75::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM (VALUES ('a'), ('b'), ('c')) e(expert)")
+@query(f"""WITH {ORDERS}, m AS (SELECT grp AS expert, avg(CASE WHEN y = 1 THEN 10.0::DOUBLE ELSE -5.0::DOUBLE END) - CASE WHEN grp = '5-LOW' THEN 100 ELSE 0 END AS cv FROM s GROUP BY grp),
+r AS (SELECT expert, greatest(cv, 0.0::DOUBLE) AS w FROM m) SELECT expert, round(w / sum(w) OVER (), 6) AS weight FROM r""")
 def fusion_weights(spark, d):
-    return rankings.fusion_weights(spark.createDataFrame([("a", 100.0), ("b", 300.0), ("c", -5.0)], "expert string, cv_mean double"))
+    mean = F.avg(F.when(F.col("y") == 1, 10.0).otherwise(-5.0)) - F.when(F.col("grp") == "5-LOW", 100.0).otherwise(0.0)
+    return _six(rankings.fusion_weights(scored_orders(spark, d).groupBy("grp").agg(mean.alias("cv_mean")).withColumnRenamed("grp", "expert")), "weight")
 
 
 @query(f"WITH {LONG} SELECT id, count(*) AS n, round(sum(value), 4) AS total FROM l WHERE feature IN ('var_3', 'var_0') GROUP BY id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fanout, features, folds, isotonic, pipelines, search
+from ..operators import fanout, features, folds, isotonic, models, pipelines, search
 from .frames import embedding_rows
 from .queries import _six, query
 
@@ -69,3 +69,28 @@ f AS (SELECT i, max(low) AS value FROM l GROUP BY i) SELECT id, y, round(value,
 def calibrated_scores(spark, d):
     df = embedding_rows(spark, d).select("id", "y", F.round(F.col("features")[0], 2).alias("score"))
     return _six(isotonic.calibrated(df, df), "score")
+
+
+@query()
+def final_refit(spark, d):
+    """A finalist refitted on all rows, and all rows ranked by it: 400 trees of depth 5 and leaves of 16 on six features."""
+    df = pipelines.narrowed(embedding_rows(spark, d), [f"var_{k}" for k in range(6)])
+    return models.select_and_score(df, df, models.extra_trees(trees=400, depth=5, leaf=16), k=1000)
+
+
+@query()
+def sparse_additive_ranking(spark, d):
+    scores = models.spline_feature_scores(embedding_rows(spark, d))
+    return spark.createDataFrame([(f"var_{k}", float(s)) for k, s in enumerate(scores)], "feature string, raw_score double")
+
+
+@query()
+def pair_difference_rows(spark, d):
+    return models.pair_differences(embedding_rows(spark, d)).select("id", "y", F.size("features").alias("features"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query()
+def split_count_selection(spark, d):
+    """The univariate filter: places in mutual information and in the splits of leaf-wise trees."""
+    kept = pipelines.univariate_filter(embedding_rows(spark, d), keep=20)
+    return spark.createDataFrame(list(enumerate(kept)), "place int, feature string")
