@@ -96,7 +96,7 @@ def _best_split(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, leaf: i
     return float(gain[f, k]), f, k
 
 
-def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth: int, leaf: int, ridge: float, gains: np.ndarray, splits: np.ndarray, least: float = 0.0, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
+def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth: int, leaf: int, ridge: float, gains: np.ndarray, splits: np.ndarray | None = None, least: float = 0.0, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
     """A tree, grown on ``rows`` (all if none), that always splits the leaf with the most to gain, and its value for each of
     them; ``gains`` and ``splits`` add up by feature."""
     tree, out = Tree(), np.zeros(len(g))
@@ -116,7 +116,8 @@ def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth:
     while waiting and made < leaves:
         gain, node, f, k, level, rows = heapq.heappop(waiting)
         gains[f] -= gain
-        splits[f] += 1
+        if splits is not None:
+            splits[f] += 1
         under = b.places[rows, f] <= k
         tree.feature[node], tree.threshold[node] = f, float(b.cuts[f][k])
         tree.left[node] = offer(rows[under], level + 1)
