@@ -12,10 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -28,6 +25,7 @@ from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
 from .isotonic import calibrated  # noqa: F401
 from .rankings import fused_scores, fusion_weights
+from .segments import kmeans_clusters, kmeans_diagnostics, mixture_segments  # noqa: F401
 
 KIND = {
     "logistic": "native", "random_forest": "native", "gbt": "native", "borda": "native", "random": "native", "pairwise": "native",
@@ -290,39 +288,6 @@ def grid_search(df: DataFrame, folds: DataFrame, make: Callable[..., Fit], grid:
     return compare(df, folds, {"all": range(features)}, fits).select(F.col("model").alias("params"), "k", "score").orderBy(F.desc("score"), "params")
 
 
-def kmeans_clusters(train: DataFrame, *others: DataFrame, k: int, restarts: int = 10, seed: int = 42) -> list[DataFrame]:
-    """Tables with ``cluster`` from the best of several k-means runs on ``train``."""
-    data = _vectors(train).cache()
-    models = [KMeans(featuresCol="_v", k=k, seed=seed + s, maxIter=50).fit(data) for s in range(restarts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    data.unpersist()
-    return [best.transform(_vectors(df)).select(*df.columns, F.col("prediction").alias("cluster")) for df in (train, *others)]
-
-
-def kmeans_diagnostics(df: DataFrame, ks: Sequence[int], *, seed: int = 42) -> DataFrame:
-    """k, inertia, silhouette (by squared distances, MLlib's own)."""
-    data = _vectors(df).cache()
-    rows = []
-    for k in ks:
-        model = KMeans(featuresCol="_v", k=k, seed=seed, maxIter=50).fit(data)
-        silhouette = ClusteringEvaluator(featuresCol="_v").evaluate(model.transform(data))
-        rows.append((k, float(model.summary.trainingCost), float(silhouette)))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-
-
-def mixture_segments(train: DataFrame, *others: DataFrame, k: int = 5, components: int | None = 5, restarts: int = 3, seed: int = 42) -> list[DataFrame]:
-    """Tables with ``cluster`` from the likeliest of several Gaussian mixtures, after an optional PCA."""
-    steps, column = [], "_v"
-    if components and components < _width(train):
-        steps, column = [PCA(k=components, inputCol="_v", outputCol="_c")], "_c"
-    data = _vectors(train).cache()
-    fitted = [Pipeline(stages=[*steps, GaussianMixture(featuresCol=column, k=k, seed=seed + s, maxIter=50)]).fit(data) for s in range(restarts)]
-    best = max(fitted, key=lambda m: m.stages[-1].summary.logLikelihood)
-    data.unpersist()
-    return [best.transform(_vectors(df)).select(*df.columns, F.col("prediction").alias("cluster")) for df in (train, *others)]
-
-
 def per_cluster_scores(train: DataFrame, test: DataFrame, fit: Fit, fallback: Fit, *, least: int = 80) -> DataFrame:
     """``test`` with ``score`` from the model of its cluster; clusters with few training rows use one for all rows."""
     counts = train.groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("y").alias("c")).collect()

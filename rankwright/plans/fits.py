@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fanout, features, folds, isotonic, models, pipelines, search
-from .frames import embedding_rows
+from ..operators import fanout, features, folds, isotonic, models, pipelines, search, segments
+from .frames import embedding_rows, table
 from .queries import _six, query
 
 _WIDTH = 66
@@ -94,3 +94,19 @@ def split_count_selection(spark, d):
     """The univariate filter: places in mutual information and in the splits of leaf-wise trees."""
     kept = pipelines.univariate_filter(embedding_rows(spark, d), keep=20)
     return spark.createDataFrame(list(enumerate(kept)), "place int, feature string")
+
+
+@query("""WITH v AS (SELECT vec_id AS id, label AS c, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS w FROM embeddings WHERE label IS NOT NULL),
+d AS (SELECT a.id, a.c AS own, b.c AS c, sum(list_distance(a.w, b.w)) AS total, count(*) AS n FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id, a.c, b.c),
+m AS (SELECT id, max(CASE WHEN c = own THEN total / n END) AS a, min(CASE WHEN c <> own THEN total / n END) AS b FROM d GROUP BY id)
+SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM m""")
+def label_silhouette(spark, d):
+    """How well the labels of the embeddings part them: exact up to a sample's size, and beyond on a sample of that size."""
+    labelled = embedding_rows(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("cluster")), "id")
+    return spark.createDataFrame([(round(segments.silhouette(labelled), 6),)], "silhouette double")
+
+
+@query()
+def segment_diagnostics(spark, d):
+    """Ten starts of each number of segments, fitted in the same passes over all embeddings."""
+    return _six(segments.kmeans_diagnostics(embedding_rows(spark, d), range(2, 9)), "inertia", "silhouette")
