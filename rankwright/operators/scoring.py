@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS, profit, require_columns
+from ..functions.multisets import PIECES, multiset_print
 from .curves import best_point, profit_curve, ranked_curve
 from .metrics import roc_auc
 from .records import best_f1, random_baselines
@@ -237,12 +238,19 @@ def outer_points(predictions: DataFrame, features: DataFrame, *, caps: Mapping[i
 
 
 def complete_pairs(predictions: DataFrame, outer: DataFrame) -> DataFrame:
-    """(outer_fold, config) whose samples are exactly the fold's, each once."""
+    """(outer_fold, config) whose samples are exactly the fold's, each once.
+
+    Predictions are only added up to a fingerprint a pair (see ``multiset_print``), so no row of them is moved; the manifest
+    is shuffled once by sample.  A fold whose manifest repeats a sample or holds a null one has no complete pair,
+    nor has a pair that holds a null sample.
+    """
     keys = ["outer_fold", "recipe_config_id"]
-    wanted = outer.groupBy("outer_fold").agg(F.count("*").alias("want"))
-    hits = predictions.join(outer.select("outer_fold", F.col("id").alias("sample_index"), F.lit(1).alias("hit")), ["outer_fold", "sample_index"], "left")
-    seen = hits.groupBy(*keys).agg(F.count("*").alias("rows"), F.count_distinct("sample_index").alias("samples"), F.count("hit").alias("hits"))
-    return seen.join(F.broadcast(wanted), "outer_fold").where("rows = want AND samples = want AND hits = want").select(*keys)
+    names = ["n", *PIECES]
+    times = outer.groupBy("outer_fold", "id").agg(F.count("*").alias("times"))
+    wanted = times.groupBy("outer_fold").agg(F.max("times").alias("times"), *multiset_print("id")).where("times = 1 AND n = known")
+    wanted = wanted.select("outer_fold", F.struct(*names).alias("want"))
+    seen = predictions.groupBy(*keys).agg(*multiset_print("sample_index")).where("n = known").select(*keys, F.struct(*names).alias("seen"))
+    return seen.join(F.broadcast(wanted), "outer_fold").where("seen = want").select(*keys)
 
 
 def pooled_best(predictions: DataFrame, by: Sequence[str], *, features: int, cap: int = MAX_TARGETS) -> DataFrame:
