@@ -9,7 +9,7 @@ from ..functions import parsing
 from ..functions.shared import shared_folder
 from ..operators import boosters, curves, features, folds, models, pipelines, rankings, recipes, records, scoring, selection
 from ..sources import tables
-from .frames import LONG, METHODS, ORDERS, PREDICTIONS, PROBABILITY, RANKED, RAW, by_probability, embedding_rows, predictions, scored_orders, table
+from .frames import LONG, METHODS, ORDERS, PREDICTIONS, PRESCREENS, PROBABILITY, RANKED, RAW, by_probability, embedding_rows, ordered_methods, predictions, scored_orders, table
 from .frames import rankings as long_rankings
 from .queries import _AGGREGATED, _EFFECTIVE, _FOLDS, _INNER, _KEYS, _MATERIALISED, _PROFILE, _VALIDATION, _auc_sql, _curve_sql, _profile, _scores, _six, _validation, _zero_sql, query
 
@@ -147,12 +147,19 @@ def prediction_contexts(spark, d):
     return tables.prediction_contexts(predictions(spark, d), outer_folds=[2], rounds=["r1"])
 
 
-@query("SELECT * FROM (VALUES ('b', 'mb', NULL, 7.5::DOUBLE, 0::INTEGER, 7.5::DOUBLE), ('a', NULL, 'fs', 3.5::DOUBLE, 2::INTEGER, NULL)) t(approach, best_model, best_feature_set, score, n_features, oof_business_score)")
+@query(f"""WITH {ORDERS}, g AS (SELECT grp, count(*) AS n, round(avg(CASE WHEN y = 1 THEN 10.0::DOUBLE ELSE -5.0::DOUBLE END), 6) AS mean FROM s GROUP BY grp)
+SELECT grp AS approach, CASE WHEN n % 2 = 0 THEN 'm' || substr(grp, 1, 1) END AS best_model, 'fs' AS best_feature_set, CASE WHEN n % 2 = 0 THEN mean * 2 ELSE mean END AS score, CAST(n % 3 AS INTEGER) AS n_features,
+CASE WHEN n % 2 = 0 THEN mean * 2 END AS oof_business_score FROM g""")
 def compared_approaches(spark, d):
+    """An approach for each priority of the orders, with a summary file of its own."""
     root = shared_folder(spark, "approaches")
-    tables.write_json(spark, f"{root}/a/modeling_summary.json", {"approach": "a", "best_model": "", "best_feature_set": "fs", "features": ["var_1", "var_2"], "cv_business_mean": 3.5})
-    tables.write_json(spark, f"{root}/b/modeling_summary.json", {"approach": "b", "best_model": "mb", "oof_business_score": 7.5, "cv_business_mean": 1.0})
-    return tables.compared_approaches(tables.read_summaries(spark, root, ["a", "b", "c"])).select("approach", "best_model", "best_feature_set", "score", "n_features", "oof_business_score")
+    value = F.round(F.avg(F.when(F.col("y") == 1, 10.0).otherwise(-5.0)), 6)
+    groups = scored_orders(spark, d).groupBy("grp").agg(F.count("*").alias("n"), value.alias("mean")).collect()  # five
+    for r in groups:
+        found = {"best_model": f"m{r.grp[0]}", "oof_business_score": r.mean * 2} if r.n % 2 == 0 else {"best_model": ""}
+        tables.write_json(spark, f"{root}/{r.grp}/modeling_summary.json", {"approach": r.grp, "best_feature_set": "fs", "features": [f"var_{k}" for k in range(r.n % 3)], "cv_business_mean": r.mean, **found})
+    summaries = tables.read_summaries(spark, root, [*(r.grp for r in groups), "absent"])
+    return tables.compared_approaches(summaries).select("approach", "best_model", "best_feature_set", "score", "n_features", "oof_business_score")
 
 
 @query(f"""WITH {_INNER} SELECT outer_fold, CAST(feature_size AS INTEGER) AS feature_size, pipeline_recipe_id, substr(pipeline_recipe_id, 1, 3) AS prescreen_recipe_id, substr(pipeline_recipe_id, 1, 3) || '__k_' || lpad(CAST(feature_size AS VARCHAR), 3, '0') || '__' || substr(pipeline_recipe_id, 6) AS recipe_config_id,
@@ -215,20 +222,32 @@ def inner_train_rows(spark, d):
     return folds.inner_part(s, folds.inner_folds(s, folds.outer_folds(s), n_splits=4), 2, 3, train=True).select("id", "y")
 
 
-@query("SELECT * FROM (VALUES ('extra_trees_01', 'extra_trees'), ('logistic_hpo02', 'logistic')) t(model_spec_id, base_model_family)")
+@query("""WITH o AS (SELECT DISTINCT o_orderkey % 12 AS n FROM orders) SELECT 'extra_trees_' || lpad(CAST(n AS VARCHAR), 2, '0') AS model_spec_id, 'extra_trees' AS base_model_family FROM o WHERE n BETWEEN 1 AND 8
+UNION ALL SELECT 'logistic_hpo' || lpad(CAST(n AS VARCHAR), 2, '0'), 'logistic' FROM o WHERE n BETWEEN 1 AND 3""")
 def filtered_specs(spark, d):
+    """The specs that the orders name; some that they name aren't there."""
+    number = F.format_string("%02d", (F.col("o_orderkey") % 12).cast("int"))
+    named = table(spark, d, "orders").select(F.explode(F.array(F.concat(F.lit("extra_trees_"), number), F.concat(F.lit("logistic_hpo"), number))).alias("id")).distinct()
     specs = recipes.model_specs(spark, [*recipes.default_model_specs(), *recipes.search_specs()])
-    return recipes.filter_specs(specs, ["logistic_hpo02", "extra_trees_01", "absent"]).select("model_spec_id", "base_model_family")
+    return recipes.filter_specs(specs, [r.id for r in named.collect()]).select("model_spec_id", "base_model_family")  # 24 ids at most
 
 
-@query("SELECT f AS base_model_family, CAST(3 AS BIGINT) AS specs FROM (SELECT unnest(['extra_trees', 'random_forest', 'lightgbm', 'xgboost', 'logistic']) AS f)")
+@query("""WITH f AS (SELECT * FROM (VALUES ('extra_trees', 3, 8), ('random_forest', 3, 6), ('lightgbm', 3, 8), ('xgboost', 3, 8), ('logistic', 3, 6), ('ranker', 0, 3)) t(family, small, deep)),
+g AS (SELECT family, unnest(range(1, small + 1)) AS k, 'hpo' AS part FROM f WHERE small > 0 UNION ALL SELECT family, unnest(range(1, deep + 1)), 'deep' FROM f),
+n AS (SELECT family, row_number() OVER (ORDER BY family || '_' || part || lpad(CAST(k AS VARCHAR), 2, '0')) - 1 AS place FROM g)
+SELECT family AS base_model_family, count(DISTINCT place) AS specs, count(*) AS runs, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM n JOIN orders ON o_orderkey % 54 = place GROUP BY family""")
 def search_specs(spark, d):
-    return recipes.model_specs(spark, recipes.search_specs()).groupBy("base_model_family").agg(F.count("*").alias("specs"))
+    """The small and the larger grids by family, with the orders dealt out to their specs as runs."""
+    specs = sorted([*recipes.search_specs(), *recipes.expanded_specs()])
+    placed = recipes.model_specs(spark, specs).join(F.broadcast(spark.createDataFrame([(s[0], k) for k, s in enumerate(specs)], "model_spec_id string, place long")), "model_spec_id")
+    runs = table(spark, d, "orders").select((F.col("o_orderkey") % len(specs)).cast("long").alias("place"), (F.col("o_orderstatus") == "F").cast("long").alias("hit"))
+    return runs.join(F.broadcast(placed), "place").groupBy("base_model_family").agg(F.count_distinct("model_spec_id").alias("specs"), F.count("*").alias("runs"), F.sum("hit").alias("hits"))
 
 
-@query("SELECT * FROM (VALUES ('ps_mean_0001', 1), ('ps_mean_0002', 1), ('ps_adaptive_top3', 3), ('ps_adaptive_weighted', 3)) t(prescreen_recipe_id, prescreen_method_count)")
+@query(f"""WITH {PRESCREENS} SELECT id AS prescreen_recipe_id, n AS prescreen_method_count FROM px WHERE id IN ('ps_mean_0001', 'ps_mean_0002')
+UNION ALL SELECT unnest(['ps_adaptive_top3', 'ps_adaptive_weighted']), CAST(count(*) AS INTEGER) FROM mo""")
 def filtered_prescreens(spark, d):
-    space = recipes.prescreen_recipes(spark, METHODS)
+    space = recipes.prescreen_recipes(spark, ordered_methods(spark, d))
     plain = recipes.filter_prescreens(space, adaptive=False, most=2)
     return plain.unionByName(space.where("adaptive")).select("prescreen_recipe_id", "prescreen_method_count")
 
@@ -333,9 +352,13 @@ def column_subset(spark, d):
     return narrow.select("id", F.size("features").cast("long").alias("n"), F.round(F.col("features")[0] + F.col("features")[1], 4).alias("total"))
 
 
-@query("SELECT unnest(['logistic', 'random_forest', 'gbt', 'borda', 'random', 'pairwise']) AS method, 'native' AS kind UNION ALL SELECT unnest(['extra_trees', 'lightgbm', 'xgboost', 'ranker', 'additive', 'best_subset']), 'own'")
+@query("""WITH m AS (SELECT unnest(['logistic', 'random_forest', 'gbt', 'borda', 'random', 'pairwise']) AS method, 'native' AS kind UNION ALL SELECT unnest(['extra_trees', 'lightgbm', 'xgboost', 'ranker', 'additive', 'best_subset']), 'own'),
+n AS (SELECT *, row_number() OVER (ORDER BY method) - 1 AS place FROM m) SELECT method, kind, count(*) AS runs FROM n JOIN orders ON o_orderkey % 12 = place GROUP BY method, kind""")
 def availability(spark, d):
-    return models.availability(spark)
+    """What each method is made of, with the orders dealt out to the methods as runs."""
+    names = F.array(*(F.lit(m) for m in sorted(models.KIND)))
+    runs = table(spark, d, "orders").select(names[(F.col("o_orderkey") % len(models.KIND)).cast("int")].alias("method"))
+    return runs.join(F.broadcast(models.availability(spark)), "method").groupBy("method", "kind").agg(F.count("*").alias("runs"))
 
 
 # --- estimators: no SQL gives their numbers ---------------------------------------------------------------------------

@@ -85,3 +85,23 @@ nr AS (SELECT feature, method, raw_score, CAST(rank AS DOUBLE) AS rank, CASE WHE
 
 def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalised_ranks(raw_rankings(spark, sf_dir))
+
+
+def ordered_methods(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The methods by the mean score that they give the features; a row a method."""
+    means = raw_rankings(spark, sf_dir).groupBy("method").agg(F.round(F.avg("raw_score"), 6).alias("mean"))
+    return [r.method for r in means.orderBy(F.desc("mean"), "method").collect()]
+
+
+PRESCREENS = f"""{RANKED}, mo AS (SELECT method, row_number() OVER (ORDER BY round(avg(raw_score), 6) DESC, method) AS place FROM nr GROUP BY method),
+cb AS (SELECT 'single__' || method AS name, 1 AS n, place AS a, 0 AS b FROM mo UNION ALL SELECT 'pair__' || x.method || '__' || y.method, 2, x.place, y.place FROM mo x JOIN mo y ON x.place < y.place
+UNION ALL SELECT 'triple__' || string_agg(method, '__' ORDER BY place), 3, 0, 0 FROM mo), px AS (SELECT 'ps_mean_' || lpad(CAST(row_number() OVER (ORDER BY n, a, b) AS VARCHAR), 4, '0') AS id, name, n FROM cb)"""
+
+
+def ranked_sizes(spark: SparkSession, sf_dir: str) -> list[int]:
+    """The sizes that the ranked features suffice for."""
+    n = raw_rankings(spark, sf_dir).agg(F.count_distinct("feature").alias("n")).first().n
+    return [s for s in (1, 3, 5, 100) if s <= n]
+
+
+SIZES = "sz AS (SELECT s FROM (SELECT unnest([1, 3, 5, 100]) AS s) WHERE s <= (SELECT count(DISTINCT feature) FROM nr))"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing
 from ..operators import curves, features, folds, metrics, models, pipelines, rankings, recipes, scoring, selection
 from .frames import (
-    LONG, METHODS, ORDERS, PREDICTIONS, PROBABILITY, RANKED, RAW, by_probability, embedding_long, embedding_rows, predictions, raw_rankings, scored_orders, table,
+    LONG, METHODS, ORDERS, PREDICTIONS, PRESCREENS, PROBABILITY, RANKED, RAW, SIZES, by_probability, embedding_long, embedding_rows, ordered_methods, predictions, ranked_sizes, raw_rankings, scored_orders, table,
 )
 from .frames import rankings as long_rankings
 
@@ -376,30 +376,30 @@ def combined_rank_sum(spark, d):
 # --- recipes --------------------------------------------------------------------------------------------------------
 
 
-def _space(spark: SparkSession) -> DataFrame:
-    return recipes.pipeline_recipes(recipes.prescreen_recipes(spark, METHODS), recipes.feature_sizes(spark, [1, 3, 5]), recipes.model_specs(spark, recipes.default_model_specs()))
+def _space(spark: SparkSession, d: str) -> DataFrame:
+    return recipes.pipeline_recipes(recipes.prescreen_recipes(spark, ordered_methods(spark, d)), recipes.feature_sizes(spark, ranked_sizes(spark, d)), recipes.model_specs(spark, recipes.default_model_specs()))
 
 
-@query("""SELECT f AS base_model_family, CAST(s AS INTEGER) AS feature_size, CAST(n * 9 AS BIGINT) AS recipes FROM
-(VALUES ('extra_trees', 8), ('random_forest', 6), ('lightgbm', 8), ('xgboost', 8), ('logistic', 6), ('additive', 3), ('ranker', 3)) t(f, n), (SELECT unnest([1, 3, 5]) AS s)""")
+@query(f"""WITH {PRESCREENS}, {SIZES} SELECT f AS base_model_family, CAST(s AS INTEGER) AS feature_size, CAST(m * ((SELECT count(*) FROM px) + 2) AS BIGINT) AS recipes FROM
+(VALUES ('extra_trees', 8), ('random_forest', 6), ('lightgbm', 8), ('xgboost', 8), ('logistic', 6), ('additive', 3), ('ranker', 3)) t(f, m), sz""")
 def recipe_space_summary(spark, d):
-    return recipes.space_summary(_space(spark))
+    return recipes.space_summary(_space(spark, d))
 
 
-@query("SELECT CAST(9 * 3 * 42 AS BIGINT) AS recipes, CAST(9 * 3 * 42 AS BIGINT) AS ids, 'pipe_0000001' AS first_id, 'pipe_0001134' AS last_id")
+@query(f"""WITH {PRESCREENS}, {SIZES}, n AS (SELECT CAST(((SELECT count(*) FROM px) + 2) * (SELECT count(*) FROM sz) * 42 AS BIGINT) AS n)
+SELECT n AS recipes, n AS ids, 'pipe_0000001' AS first_id, 'pipe_' || lpad(CAST(n AS VARCHAR), 7, '0') AS last_id FROM n""")
 def recipe_space(spark, d):
-    return _space(spark).agg(F.count("*").alias("recipes"), F.count_distinct("pipeline_recipe_id").alias("ids"), F.min("pipeline_recipe_id").alias("first_id"), F.max("pipeline_recipe_id").alias("last_id"))
+    return _space(spark, d).agg(F.count("*").alias("recipes"), F.count_distinct("pipeline_recipe_id").alias("ids"), F.min("pipeline_recipe_id").alias("first_id"), F.max("pipeline_recipe_id").alias("last_id"))
 
 
-@query("""SELECT * FROM (VALUES ('ps_mean_0001', 'single__variance', 1), ('ps_mean_0002', 'single__peak', 1), ('ps_mean_0003', 'single__centre', 1), ('ps_mean_0004', 'pair__variance__peak', 2), ('ps_mean_0005', 'pair__variance__centre', 2),
-('ps_mean_0006', 'pair__peak__centre', 2), ('ps_mean_0007', 'triple__variance__peak__centre', 3)) t(prescreen_recipe_id, prescreen_name, prescreen_method_count)""")
+@query(f"WITH {PRESCREENS} SELECT id AS prescreen_recipe_id, name AS prescreen_name, n AS prescreen_method_count FROM px")
 def prescreen_recipes(spark, d):
-    return recipes.filter_prescreens(recipes.prescreen_recipes(spark, METHODS), adaptive=False).select("prescreen_recipe_id", "prescreen_name", "prescreen_method_count")
+    return recipes.filter_prescreens(recipes.prescreen_recipes(spark, ordered_methods(spark, d)), adaptive=False).select("prescreen_recipe_id", "prescreen_name", "prescreen_method_count")
 
 
-@query("SELECT * FROM (VALUES ('variance', 1::BIGINT), ('peak', 2::BIGINT), ('centre', 3::BIGINT)) t(method, place)")
+@query(f"WITH {PRESCREENS} SELECT method, place FROM mo")
 def required_methods(spark, d):
-    return recipes.required_methods(recipes.prescreen_recipes(spark, METHODS).where("NOT adaptive"))
+    return recipes.required_methods(recipes.prescreen_recipes(spark, ordered_methods(spark, d)).where("NOT adaptive"))
 
 
 # --- experiment scoring ---------------------------------------------------------------------------------------------
