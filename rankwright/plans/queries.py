@@ -784,4 +784,4 @@ def fan_out_blocks(spark, d):
     return scoring.from_blocks(models.evaluate_tasks(fold, tasks, trees=10))
 
 
-from . import artefacts, fits  # noqa: E402, F401  these register their queries here
+from . import artefacts, fits, stages  # noqa: E402, F401  these register their queries here
