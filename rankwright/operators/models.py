@@ -18,12 +18,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ledger import FEATURE_COST
 from ..functions.permute import permuted_columns
 from ..functions.ranges import placed, quantiles
 from ..functions.shared import written
 from .curves import best_point, expected_value, profit_curve, ranked
 from .features import class_weight, collapse_basis, spline_basis
 from .isotonic import calibrated  # noqa: F401
+from .paths import LogisticTask, fit_many, held_out_scores
 from .rankings import fused_scores, fusion_weights
 from .segments import kmeans_clusters, kmeans_diagnostics, mixture_segments  # noqa: F401
 
@@ -98,6 +100,7 @@ def logistic(*, c: float = 1.0, l1_ratio: float = 0.0, balanced: bool = True, it
         lr = LogisticRegression(featuresCol="_v", labelCol="y", weightCol="_w", regParam=1 / (c * total), elasticNetParam=l1_ratio, standardization=False, maxIter=iterations)
         return Scorer(lr.fit(_vectors(data)), _width(train))
 
+    fit.together = {"c": c, "l1_ratio": l1_ratio, "balanced": balanced}  # what ``out_of_fold_sets`` fits in shared passes
     return fit
 
 
@@ -254,6 +257,33 @@ def out_of_fold(df: DataFrame, folds: DataFrame, fit: Fit, *, fold: str = "outer
     return out
 
 
+def out_of_fold_sets(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int]], fits: Sequence[Fit], *, fold: str = "outer_fold") -> dict[int, DataFrame]:
+    """Place in ``fits`` -> set (place in ``sets``), id, y, score of the out-of-fold scores of all sets, written, for those fits
+    whose models share their passes: logistic ones of the same weighting, on whole-numbered ids and folds whose other
+    rows hold both classes."""
+    spark = df.sparkSession
+    able = [k for k, f in enumerate(fits) if getattr(f, "together", None)]
+    if not able or not sets or dict(df.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return {}
+    rows = written(df.select("id", "y", "features").join(folds.select("id", F.col(fold).alias("fold")), "id"), "set-rows")
+    counts = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}  # two rows a fold
+    held = sorted({f for f, _ in counts})
+    if len(held) < 2 or not all(any(f != h and y == v for f, y in counts) for h in held for v in (0, 1)):
+        return {}
+    out = {}
+    for balanced in (True, False):
+        own = [k for k in able if fits[k].together["balanced"] == balanced]
+        if not own:
+            continue
+        jobs = [(k, s, h) for k in own for s in range(len(sets)) for h in held]
+        models = fit_many(rows, [LogisticTask(fits[k].together["c"], fits[k].together["l1_ratio"], h, tuple(sets[s])) for k, s, h in jobs], balanced=balanced)
+        scores = written(held_out_scores(rows, models), "set-scores")
+        named = spark.createDataFrame([(m, k, s) for m, (k, s, _) in enumerate(jobs)], "model int, fit int, set int")
+        scores = scores.join(F.broadcast(named), "model")  # a row a model
+        out.update({k: scores.where(F.col("fit") == k).select("set", "id", "y", "score") for k in own})
+    return out
+
+
 def select_and_score(train: DataFrame, test: DataFrame, fit: Fit, *, k: int) -> DataFrame:
     """Fit on all of ``train`` and rank the best ``k`` of ``test``: rank, id, score, expected_value."""
     scored = fit(train).score(test)
@@ -261,15 +291,28 @@ def select_and_score(train: DataFrame, test: DataFrame, fit: Fit, *, k: int) ->
 
 
 def compare(df: DataFrame, folds: DataFrame, sets: Mapping[str, Sequence[int]], fits: Mapping[str, Fit]) -> DataFrame:
-    """model, feature_set, n_features and the best point of the out-of-fold curve for every model and set."""
+    """model, feature_set, n_features and the best point of the out-of-fold curve for every model and set.
+
+    Logistic models of all sets and folds are fitted in the same passes and judged by one grouped curve; the others go set
+    by set."""
+    shared = out_of_fold_sets(df, folds, list(sets.values()), list(fits.values()))
+    names = df.sparkSession.createDataFrame([(s, name, len(places)) for s, (name, places) in enumerate(sets.items())], "set int, feature_set string, n_features int")
     out = None
-    for name, places in sets.items():
-        narrow = df.withColumn("features", F.array(*(F.col("features")[p] for p in places)))
-        for model, fit in fits.items():
+
+    def add(row: DataFrame) -> None:
+        nonlocal out
+        out = row if out is None else out.unionByName(row)
+
+    for f, (model, fit) in enumerate(fits.items()):
+        if f in shared:
+            point = best_point(profit_curve(shared[f], ["set"], features=0, zero=True), ["set"]).join(F.broadcast(names), "set")
+            add(point.select(F.lit(model).alias("model"), "feature_set", "n_features", "k", (F.col("business_score") - F.col("n_features") * FEATURE_COST).alias("score")))
+            continue
+        for name, places in sets.items():
+            narrow = df.withColumn("features", F.array(*(F.col("features")[p] for p in places)))
             scores = out_of_fold(narrow, folds, fit).where("status = 'ok'")
             point = best_point(profit_curve(scores, features=len(places), zero=True))
-            row = point.select(F.lit(model).alias("model"), F.lit(name).alias("feature_set"), F.lit(len(places)).alias("n_features"), "k", F.col("business_score").alias("score"))
-            out = row if out is None else out.unionByName(row)
+            add(point.select(F.lit(model).alias("model"), F.lit(name).alias("feature_set"), F.lit(len(places)).alias("n_features"), "k", F.col("business_score").alias("score")))
     return out
 
 

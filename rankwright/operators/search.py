@@ -22,7 +22,7 @@ from .curves import best_point, profit_curve
 from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .fanout import boosting_ways
 from .features import long_view
-from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores, with_mixed
+from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, out_of_fold_sets, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores, with_mixed
 from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
 from .paths import LogisticTask, fit_many, held_out_scores
 from .records import fold_scores, scored_record
@@ -204,17 +204,21 @@ def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def evaluated_rankings(df: DataFrame, folds: DataFrame, rankings: DataFrame, fit: Fit, *, sizes: Sequence[int] = (1, 2, 3, 5, 8, 10, 15, 20, 30), cap: int = MAX_TARGETS) -> DataFrame:
     """Records of the out-of-fold scores of the first features, in every size, of every ranking (name, feature, order):
-    best score first, then fewer features.  Sets that several rankings share are fitted once."""
+    best score first, then fewer features.  Sets that several rankings share are fitted once, and logistic models of all
+    sets and folds in the same passes."""
     listed = rankings.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "feature"))), lambda x: x["feature"]).alias("features")).orderBy("name").collect()
-    fitted: dict[tuple, DataFrame] = {}
+    wanted = [(ranking.name, size, tuple(ranking.features[:size])) for ranking in listed for size in sorted({s for s in sizes if 0 < s <= len(ranking.features)})]
+    distinct = list(dict.fromkeys(names for _, _, names in wanted))
+    places = [[int(n.removeprefix("var_")) for n in names] for names in distinct]
+    shared = out_of_fold_sets(df, folds, places, [fit]).get(0)
+    if shared is not None:
+        fitted = {names: shared.where(F.col("set") == s).drop("set") for s, names in enumerate(distinct)}
+    else:
+        fitted = {names: written(out_of_fold(_named(df, names), folds, fit).where("status = 'ok'").select("id", "y", "score"), "ranking-scores") for names in distinct}
     rows = []
-    for ranking in listed:
-        for size in sorted({s for s in sizes if 0 < s <= len(ranking.features)}):
-            names = ranking.features[:size]
-            if tuple(names) not in fitted:
-                fitted[tuple(names)] = written(out_of_fold(_named(df, names), folds, fit).where("status = 'ok'").select("id", "y", "score"), "ranking-scores")
-            record = scored_record(fitted[tuple(names)], names, method=f"{ranking.name}::top_{size:02d}", cap=cap)
-            rows.append(record.select("*", F.lit(ranking.name).alias("prescreen_name"), F.lit(f"top_{size:02d}").alias("feature_set_name")))
+    for name, size, names in wanted:
+        record = scored_record(fitted[names], list(names), method=f"{name}::top_{size:02d}", cap=cap)
+        rows.append(record.select("*", F.lit(name).alias("prescreen_name"), F.lit(f"top_{size:02d}").alias("feature_set_name")))
     if not rows:
         raise ValueError("no ranking holds a feature")
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc_nulls_last("oof_business_score"), "source_feature_count", "method")

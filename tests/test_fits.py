@@ -214,3 +214,24 @@ def test_isotonic_over_many_ranges(spark):
     assert {g.score for g in isotonic.calibrated(train.limit(0), df).collect()} == {None}
     rising = isotonic.isotonic_blocks(spark.createDataFrame([(0, 1.0), (1, 2.0)], "y int, score double")).collect()
     assert [tuple(b) for b in rising] == [(1.0, 1.0, 0.0), (2.0, 2.0, 1.0)]
+
+
+def test_sets_fitted_together_compare_as_single_ones(spark):
+    df = matrix(spark, n=300, width=4)
+    outer = folds.outer_folds(df, n_splits=3)
+    sets = {"first": [0], "pair": [2, 0]}  # no set that a penalty empties: constant scores tie but for the solver's last digits
+    fits = {"plain": models.logistic(c=0.5), "sparse": models.logistic(c=0.1, l1_ratio=1.0, balanced=False)}
+    alone = {name: (lambda train, f=f: f(train)) for name, f in fits.items()}  # without the mark that they can share passes
+    assert not models.out_of_fold_sets(df, outer, [[0]], list(alone.values()))
+    key = lambda rows: sorted((r.model, r.feature_set, r.n_features, r.k, r.score) for r in rows)
+    both = models.compare(df, outer, sets, fits)
+    assert key(both.collect()) == key(models.compare(df, outer, sets, alone).collect())
+    single = models.out_of_fold(df.withColumn("features", F.array(F.col("features")[2], F.col("features")[0])), outer, fits["sparse"])
+    shared = models.out_of_fold_sets(df, outer, [[1], [2, 0]], [models.extra_trees(trees=2), fits["sparse"]])
+    assert list(shared) == [1]
+    gap = shared[1].where("set = 1").select("id", F.col("score").alias("other")).join(single, "id").select(F.max(F.abs(F.col("score") - F.col("other"))), F.count("*")).first()
+    assert gap[0] < 1e-4 and gap[1] == 300
+    assert not models.out_of_fold_sets(df.where("y = 1"), outer, [[0]], [fits["plain"]])
+    ranked = spark.createDataFrame([("a", "var_0", 1), ("a", "var_1", 2), ("b", "var_0", 1), ("b", "var_3", 2)], "name string, feature string, order int")
+    one, two = (search.evaluated_rankings(df, outer, ranked, f, sizes=(1, 2)).select("method", "oof_business_score", "oof_optimal_k").collect() for f in (fits["plain"], alone["plain"]))
+    assert one == two and len(one) == 4
