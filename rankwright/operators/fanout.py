@@ -93,7 +93,7 @@ def boosting_ways(params: Mapping, *, levels: bool) -> dict:
     return ways
 
 
-def _forest_ways(params: Mapping) -> dict:
+def forest_ways(params: Mapping) -> dict:
     if other := sorted(set(params) - {"n_estimators", "max_depth", "min_samples_leaf", "class_weight", "random_state"}):
         raise ValueError(f"unknown parameters: {', '.join(other)}")
     return {"trees": params.get("n_estimators", 100), "depth": params.get("max_depth", 5), "leaf": params.get("min_samples_leaf", 8), "seed": params.get("random_state", 42), "balanced": params.get("class_weight", "balanced") is not None}
@@ -109,15 +109,23 @@ def _renamed(params: Mapping, names: Mapping[str, str], fixed: Mapping | None =
     return {names[k]: v for k, v in params.items() if k in names}
 
 
+def additive_ways(params: Mapping) -> dict:
+    return _renamed(params, {"max_bins": "bins", "max_rounds": "rounds", "learning_rate": "rate"}, fixed={"interactions": 0, "outer_bags": 1})
+
+
+def ranker_ways(params: Mapping) -> dict:
+    return _renamed(params, {"n_estimators": "trees", "learning_rate": "rate", "num_leaves": "leaves"})
+
+
 #: family -> what fits a model with ``predict`` on features and labels.
 FAMILIES: dict[str, Callable[[np.ndarray, np.ndarray, Mapping], object]] = {
     "logistic": lambda x, y, p: Logistic(x, y, c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5), balanced=p.get("class_weight", "balanced") is not None),
-    "extra_trees": lambda x, y, p: Forest(x, y, drawn=False, **_forest_ways(p)),
-    "random_forest": lambda x, y, p: Forest(x, y, drawn=True, **_forest_ways(p)),
+    "extra_trees": lambda x, y, p: Forest(x, y, drawn=False, **forest_ways(p)),
+    "random_forest": lambda x, y, p: Forest(x, y, drawn=True, **forest_ways(p)),
     "lightgbm": lambda x, y, p: fit_leafwise(x, y, **boosting_ways(p, levels=False)),
     "xgboost": lambda x, y, p: fit_leafwise(x, y, **boosting_ways(p, levels=True)),
-    "additive": lambda x, y, p: fit_additive(x, y, **_renamed(p, {"max_bins": "bins", "max_rounds": "rounds", "learning_rate": "rate"}, fixed={"interactions": 0, "outer_bags": 1})),
-    "ranker": lambda x, y, p: fit_lambdamart(x, y, **_renamed(p, {"n_estimators": "trees", "learning_rate": "rate", "num_leaves": "leaves"})),
+    "additive": lambda x, y, p: fit_additive(x, y, **additive_ways(p)),
+    "ranker": lambda x, y, p: fit_lambdamart(x, y, **ranker_ways(p)),
 }
 
 

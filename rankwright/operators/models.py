@@ -39,14 +39,30 @@ def availability(spark) -> DataFrame:
     return spark.createDataFrame(sorted(KIND.items()), "method string, kind string")
 
 
+def _statistics(long: DataFrame, key: str, robust: bool) -> DataFrame:
+    """key, q: quartiles of ``v``, or its mean and half a population spread to either side."""
+    if robust:
+        return quantiles(long, key, "v", (0.25, 0.5, 0.75))
+    return long.groupBy(key).agg(F.array(F.avg("v") - F.stddev_pop("v") / 2, F.avg("v"), F.avg("v") + F.stddev_pop("v") / 2).alias("q"))
+
+
+def held_out_scalings(rows: DataFrame, held: Sequence[int], *, robust: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """held-out fold -> centre and scale of the features by the rows (features, fold) outside it, as ``scaling`` takes them;
+    a row a feature and fold comes to the driver.  A feature without values stays as it is."""
+    width = rows.agg(F.max(F.size("features")).alias("n")).first().n or 0
+    others = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(h).alias("h")) for i, h in enumerate(held))), lambda x: x["h"] != F.col("fold"))
+    long = rows.select(F.explode(others).alias("o"), "features").select("o.i", F.posexplode("features").alias("p", "v")).select((F.col("i") * width + F.col("p")).alias("g"), "v")
+    out = {h: (np.zeros(width), np.ones(width)) for h in held}
+    for r in _statistics(long, "g", robust).collect():
+        centre, scale = out[held[r.g // width]]
+        centre[r.g % width], scale[r.g % width] = r.q[1], r.q[2] - r.q[0] or 1.0
+    return out
+
+
 def scaling(train: DataFrame, *, robust: bool = True) -> Callable[[DataFrame], DataFrame]:
     """What centres and scales ``features`` by the median and interquartile range (or mean and population spread) of
     ``train``; only one row of statistics, as wide as the array, comes to the driver."""
-    long = train.select(F.posexplode("features").alias("p", "v"))
-    if robust:
-        stats = quantiles(long, "p", "v", (0.25, 0.5, 0.75))
-    else:
-        stats = long.groupBy("p").agg(F.array(F.avg("v") - F.stddev_pop("v") / 2, F.avg("v"), F.avg("v") + F.stddev_pop("v") / 2).alias("q"))
+    stats = _statistics(train.select(F.posexplode("features").alias("p", "v")), "p", robust)
     rows = sorted(stats.collect(), key=lambda r: r.p)
     centre = F.array(*(F.lit(float(r.q[1])) for r in rows))
     scale = F.array(*(F.lit(float(r.q[2] - r.q[0]) or 1.0) for r in rows))
@@ -86,6 +102,9 @@ class Scorer:
 
 Fit = Callable[[DataFrame], Scorer]
 
+#: Types of ids that blocks of predictions can hold.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
 
 def _width(df: DataFrame) -> int:
     row = df.select(F.size("features").alias("n")).first()
@@ -257,33 +276,40 @@ def out_of_fold(df: DataFrame, folds: DataFrame, fit: Fit, *, fold: str = "outer
     return out
 
 
-def out_of_fold_sets(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int]], fits: Sequence[Fit], *, fold: str = "outer_fold") -> dict[int, DataFrame]:
-    """Place in ``fits`` -> set (place in ``sets``), id, y, score of the out-of-fold scores of all sets, written, for those fits
-    whose models share their passes: logistic ones of the same weighting, on whole-numbered ids and folds whose other
-    rows hold both classes."""
+def shared_scores(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int]], fits: Sequence[Fit], *, fold: str = "outer_fold") -> DataFrame | None:
+    """fit and set (places in ``fits`` and ``sets``), fold, id, y, score of the out-of-fold scores of all sets, written, for
+    those fits whose models share their passes: logistic ones, on whole-numbered ids and folds whose other rows hold both
+    classes.  Models of one weighting and scaling go together; scaled ones by the rows that they see.  None without any."""
     spark = df.sparkSession
     able = [k for k, f in enumerate(fits) if getattr(f, "together", None)]
-    if not able or not sets or dict(df.dtypes)["id"] not in ("tinyint", "smallint", "int", "bigint"):
-        return {}
+    if not able or not sets or dict(df.dtypes)["id"] not in WHOLE:
+        return None
     rows = written(df.select("id", "y", "features").join(folds.select("id", F.col(fold).alias("fold")), "id"), "set-rows")
     counts = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count("*").alias("n")).collect()}  # two rows a fold
     held = sorted({f for f, _ in counts})
     if len(held) < 2 or not all(any(f != h and y == v for f, y in counts) for h in held for v in (0, 1)):
-        return {}
-    out = {}
-    for balanced in (True, False):
-        own = [k for k in able if fits[k].together["balanced"] == balanced]
-        if not own:
-            continue
-        jobs = [(k, s, h) for k in own for s in range(len(sets)) for h in held]
-        models = fit_many(rows, [LogisticTask(fits[k].together["c"], fits[k].together["l1_ratio"], h, tuple(sets[s])) for k, s, h in jobs], balanced=balanced)
-        scores = written(held_out_scores(rows, models), "set-scores")
+        return None
+    out, scalings = None, {}
+    way = lambda k: (fits[k].together["balanced"], fits[k].together.get("robust"))
+    for balanced, robust in dict.fromkeys(map(way, able)):  # six at most
+        if robust is not None and robust not in scalings:
+            scalings[robust] = held_out_scalings(rows, held, robust=robust)
+        jobs = [(k, s, h) for k in able if way(k) == (balanced, robust) for s in range(len(sets)) for h in held]
+        models = fit_many(rows, [LogisticTask(fits[k].together["c"], fits[k].together["l1_ratio"], h, tuple(sets[s])) for k, s, h in jobs], balanced=balanced, scalings=scalings.get(robust))
         named = spark.createDataFrame([(m, k, s) for m, (k, s, _) in enumerate(jobs)], "model int, fit int, set int")
-        scores = scores.join(F.broadcast(named), "model")  # a row a model
-        out.update({k: scores.where(F.col("fit") == k).select("set", "id", "y", "score") for k in own})
+        scores = written(held_out_scores(rows, models, scalings=scalings.get(robust)).join(F.broadcast(named), "model").select("fit", "set", "fold", "id", "y", "score"), "set-scores")  # a row a model
+        out = scores if out is None else out.unionByName(scores)
     return out
 
 
+def out_of_fold_sets(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int]], fits: Sequence[Fit], *, fold: str = "outer_fold") -> dict[int, DataFrame]:
+    """Place in ``fits`` -> set, id, y, score, for the fits that ``shared_scores`` knows."""
+    scores = shared_scores(df, folds, sets, fits, fold=fold)
+    if scores is None:
+        return {}
+    return {k: scores.where(F.col("fit") == k).select("set", "id", "y", "score") for k, f in enumerate(fits) if getattr(f, "together", None)}
+
+
 def select_and_score(train: DataFrame, test: DataFrame, fit: Fit, *, k: int) -> DataFrame:
     """Fit on all of ``train`` and rank the best ``k`` of ``test``: rank, id, score, expected_value."""
     scored = fit(train).score(test)

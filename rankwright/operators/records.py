@@ -94,13 +94,14 @@ def fold_summary(scores: DataFrame, metrics: Sequence[str], *, name: str = "name
     return each.groupBy(name, "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), listed.alias("folds"))
 
 
-def fold_scores(df: DataFrame, features: int, *, cap: int = MAX_TARGETS, fold: str = "fold") -> DataFrame:
-    """fold, business_with_var_penalty, business_no_var_penalty, f1_topk of out-of-fold scores (id, y, score, fold): the best
-    score with and without the price of the features, and the best F1."""
-    point = best_point(profit_curve(df, [fold], features=0, cap=cap), [fold])
-    both = join_groups(point, best_f1(df, [fold], cap=cap), [fold])
+def fold_scores(df: DataFrame, features: int, *, groups: Sequence[str] = (), cap: int = MAX_TARGETS, fold: str = "fold") -> DataFrame:
+    """groups, fold, business_with_var_penalty, business_no_var_penalty, f1_topk of out-of-fold scores (groups, id, y, score,
+    fold): the best score with and without the price of the features, and the best F1."""
+    keys = [*groups, fold]
+    point = best_point(profit_curve(df, keys, features=0, cap=cap), keys)
+    both = join_groups(point, best_f1(df, keys, cap=cap), keys)
     gross = profit(F.col("tp"), F.col("fp")).cast("double")
-    return both.select(fold, (gross - float(features * FEATURE_COST)).alias("business_with_var_penalty"), gross.alias("business_no_var_penalty"), F.col("best_f1").alias("f1_topk"))
+    return both.select(*keys, (gross - float(features * FEATURE_COST)).alias("business_with_var_penalty"), gross.alias("business_no_var_penalty"), F.col("best_f1").alias("f1_topk"))
 
 
 def experts_summary(experts: DataFrame) -> DataFrame:

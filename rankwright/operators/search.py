@@ -1,6 +1,7 @@
 """Searches over parameters, rankings and feature sets: each candidate is judged by its out-of-fold scores.
 
-Candidates are loops on the driver, as many as are asked for; fitting and scoring are Spark's.
+Candidates of a search or of a table of specs are fitted together (``out_of_fold_all``); the greedy search goes one step
+after the other.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS
 from ..functions.shared import written
+from . import fanout
+from .boosters import SAMPLE, additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .curves import best_point, profit_curve
-from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
-from .fanout import boosting_ways
 from .features import long_view
-from .models import Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, out_of_fold_sets, pairwise_ranker, principal_components, random_forest, scaled, scaling, spline_feature_scores, with_mixed
-from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
+from .models import WHOLE, Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, out_of_fold_sets, pairwise_ranker, principal_components, random_forest, scaled, scaling, shared_scores, spline_feature_scores, with_mixed
 from .paths import LogisticTask, fit_many, held_out_scores
+from .rankings import abs_corr, binned_mutual_information, combined_ranking, normalised_ranks
 from .records import fold_scores, scored_record
 
 RANKINGS = "feature string, raw_score double"
@@ -45,55 +46,116 @@ def scaled_logistic(*, c: float = 1.0, l1_ratio: float = 0.5, robust: bool = Tru
 
         return Scaled(inner.model, inner.features)
 
+    fit.together = {"c": c, "l1_ratio": l1_ratio, "balanced": balanced, "robust": robust}
     return fit
 
 
+def _tasked(fit: Fit, family: str, params: Mapping) -> Fit:
+    """``fit`` marked with the row of a task table that stands for it."""
+    marked = lambda train: fit(train)
+    marked.task = family, json.dumps(dict(params))
+    return marked
+
+
 def model_factories() -> dict[str, Callable[..., Fit]]:
     """The models that feature sets are compared with, by name: leaf-wise and level-wise trees of the logistic loss, grown
     on the shares of rows and columns that a search draws.  A parameter that a model hasn't got is an error."""
     return {
-        "lightgbm": lambda **p: leafwise_boosted(**boosting_ways(p, levels=False)),
+        "lightgbm": lambda **p: _tasked(leafwise_boosted(**fanout.boosting_ways(p, levels=False)), "lightgbm", p),
         "logistic_regression": lambda C=1.0, l1_ratio=0.5: scaled_logistic(c=C, l1_ratio=l1_ratio),
-        "xgboost": lambda **p: leafwise_boosted(**boosting_ways(p, levels=True)),
+        "xgboost": lambda **p: _tasked(leafwise_boosted(**fanout.boosting_ways(p, levels=True)), "xgboost", p),
     }
 
 
 def fit_of_spec(family: str, params: Mapping) -> Fit:
-    """The fit that a model spec (family and parameters, as ``recipes`` lists them) stands for."""
+    """The fit that a model spec (family and parameters, as ``recipes`` lists them) stands for; a family or a parameter that
+    there isn't is an error."""
     balanced = params.get("class_weight", "balanced") is not None
     p = {k: v for k, v in params.items() if k != "class_weight"}
     if family in ("lightgbm", "xgboost"):
         return model_factories()[family](**p)
     if family == "logistic":
         return scaled_logistic(c=p.get("C", 1.0), l1_ratio=p.get("l1_ratio", 0.5), balanced=balanced)
-    forest = {"trees": p.get("n_estimators", 100), "depth": p.get("max_depth", 5) or 14, "leaf": p.get("min_samples_leaf", 8), "balanced": balanced}
-    makers = {
-        "extra_trees": lambda: extra_trees(**forest),
-        "random_forest": lambda: random_forest(**forest),
-        "additive": lambda: additive_boosted(bins=p.get("max_bins", 32)),
-        "ranker": lambda: lambdamart(leaves=p.get("num_leaves", 15)),
-    }
-    if family not in makers:
+    if family == "additive":
+        return _tasked(additive_boosted(**fanout.additive_ways(p)), family, p)
+    if family == "ranker":
+        return _tasked(lambdamart(**fanout.ranker_ways(p)), family, p)
+    if family not in ("extra_trees", "random_forest"):
         raise ValueError(f"unknown family {family}")
-    return makers[family]()
+    ways = fanout.forest_ways(params)
+    ways["depth"] = ways["depth"] or 14
+    if family == "random_forest":  # Spark's own, on all rows
+        return random_forest(**ways)
+    return _tasked(extra_trees(**ways), family, {**params, "max_depth": ways["depth"]})
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+
+def out_of_fold_all(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int]], fits: Sequence[Fit]) -> tuple[DataFrame, dict[tuple[int, int], str]]:
+    """fit, set (places in ``fits`` and ``sets``), fold, id, y, score of the out-of-fold scores of every fit on every set, and
+    the error of each fit and set that has one; folds that could be fitted keep their scores.
+
+    Logistic models share their passes.  What is grown on a bounded sample is a task of one fan-out, whose sample is so
+    much larger that the rows outside a fold are about as many.  Others, and all on ids that aren't whole numbers, go one
+    by one.  A set without features, or with one that the table hasn't got, is an error.
+    """
+    spark = df.sparkSession
+    width = df.agg(F.max(F.size("features")).alias("n")).first().n or 0
+    errors = {(k, s): "ValueError: no features, or some that the table hasn't got" for s, p in enumerate(sets) if not p or not all(0 <= q < width for q in p) for k in range(len(fits))}
+    good = [s for s in range(len(sets)) if (0, s) not in errors]
+    parts, done = [], set()
+    if good and (shared := shared_scores(df, folds, [sets[s] for s in good], fits)) is not None:
+        parts.append(shared.withColumn("set", F.array(*map(F.lit, good))[F.col("set")]))
+        done |= {k for k, f in enumerate(fits) if getattr(f, "together", None)}
+    tasked = [k for k, f in enumerate(fits) if getattr(f, "task", None)]
+    held = sorted(r[0] for r in folds.select("outer_fold").distinct().collect())
+    if good and tasked and len(held) > 1 and dict(df.dtypes)["id"] in WHOLE:
+        jobs = [(k, s, h) for k in tasked for s in good for h in held]
+        tasks = spark.createDataFrame([(n, 0, h, *fits[k].task, list(sets[s])) for n, (k, s, h) in enumerate(jobs)], fanout.TASKS)
+        blocks = fanout.fan_out(df, fanout.plain_split(folds), tasks, sample=-(-SAMPLE * len(held) // (len(held) - 1)))
+        for r in blocks.where("status <> 'ok'").select("task_id", "error").collect():  # a row a failed task
+            errors[jobs[r.task_id][:2]] = r.error
+        named = spark.createDataFrame([(n, *job) for n, job in enumerate(jobs)], "task_id long, fit int, set int, fold int")
+        rows = fanout.predictions_of(blocks.where("status = 'ok'")).join(F.broadcast(named), "task_id")  # a row a task
+        parts.append(rows.select("fit", "set", "fold", F.col("sample_index").alias("id"), F.col("y_true").alias("y"), "score"))
+        done |= set(tasked)
+    for k, s in ((k, s) for k in range(len(fits)) if k not in done for s in good):
+        try:
+            scores = out_of_fold(df.withColumn("features", F.array(*(F.col("features")[q] for q in sets[s]))), folds, fits[k])
+            if failed := scores.where("status <> 'ok'").first():
+                errors[k, s] = failed.status.removeprefix("error: ")
+            parts.append(scores.where("status = 'ok'").select(F.lit(k).alias("fit"), F.lit(s).alias("set"), F.col("outer_fold").alias("fold"), "id", "y", "score"))
+        except Exception as e:
+            errors[k, s] = _said(e)
+    empty = spark.createDataFrame([], "fit int, set int, fold int, id long, y int, score double")
+    return written(reduce(DataFrame.unionByName, parts) if parts else empty, "all-scores"), errors
 
 
 def evaluated_specs(df: DataFrame, folds: DataFrame, specs: Sequence[tuple[str, str, str, Mapping]], sets: Mapping[str, Sequence[str]], *, cap: int = MAX_TARGETS) -> DataFrame:
     """model_spec_id, base_model_family, feature_set_id, n_features, status, error, score, k, f1_score, roc_auc_score of every spec
-    on every feature set; a pair that fails says so and has no score."""
+    on every feature set; a pair that fails says so and has no score.  All are fitted together and judged by one grouped curve."""
     schema = "model_spec_id string, base_model_family string, feature_set_id string, n_features long, status string, error string, score double, k long, f1_score double, roc_auc_score double"
+    fits, place, refused = [], {}, {}
+    for n, (_, family, _, params) in enumerate(specs):
+        try:
+            fits.append(fit_of_spec(family, params))
+            place[n] = len(fits) - 1
+        except Exception as e:
+            refused[n] = _said(e)
+    scores, errors = out_of_fold_all(df, folds, [[int(f.removeprefix("var_")) for f in features] for features in sets.values()], fits)
+    found = {(r.fit, r.set): r for r in scored_record(scores, [], ["fit", "set"], method="", cap=cap).collect()}  # a row a spec and set
     rows = []
-    for name, features in sets.items():
-        narrow = _named(df, features)
-        for spec, family, _, params in specs:
-            try:
-                scores = out_of_fold(narrow, folds, fit_of_spec(family, params))
-                if failed := scores.where("status <> 'ok'").first():
-                    raise RuntimeError(failed.status)
-                r = scored_record(scores.select("id", "y", "score"), features, method=spec, cap=cap).first()
-                rows.append((spec, family, name, len(features), "ok", None, r.oof_business_score, r.oof_optimal_k, r.f1_score, r.roc_auc_score))
-            except Exception as e:
-                rows.append((spec, family, name, len(features), "error", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", None, None, None, None))
+    for s, (name, features) in enumerate(sets.items()):
+        for n, (spec, family, _, _) in enumerate(specs):
+            key = place.get(n), s
+            error = refused.get(n) or errors.get(key) or (None if key in found else "ValueError: no rows")
+            if error:
+                rows.append((spec, family, name, len(features), "error", error, None, None, None, None))
+                continue
+            r = found[key]
+            rows.append((spec, family, name, len(features), "ok", None, r.oof_business_score - float(len(set(features)) * FEATURE_COST), r.oof_optimal_k, r.f1_score, r.roc_auc_score))
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -127,16 +189,16 @@ def drawn_points(choices: Mapping[str, Sequence], n: int, *, seed: int = 42) ->
 def parameter_search(
     df: DataFrame, folds: DataFrame, make: Callable[..., Fit], *, features: int, grid: Mapping[str, Sequence] | None = None, choices: Mapping[str, Sequence] | None = None, n_iter: int = 20, seed: int = 42, cap: int = MAX_TARGETS
 ) -> DataFrame:
-    """params (JSON), mean_score, mean_f1, place of each point of a grid, or of ``n_iter`` points drawn from choices, by the mean
-    over folds of the best score less the features' price; best first, ties by params."""
+    """params (JSON), mean_score, mean_f1 of each point of a grid, or of ``n_iter`` points drawn from choices, by the mean
+    over folds of the best score less the features' price; best first, ties by params.  All points are fitted together."""
     if (grid is None) == (choices is None):
         raise ValueError("give a grid or choices, not both")
-    out = []
-    for point in grid_points(grid) if grid is not None else drawn_points(choices, n_iter, seed=seed):
-        scores = out_of_fold(df, folds, make(**point)).where("status = 'ok'").withColumnRenamed("outer_fold", "fold")
-        each = fold_scores(scores, features, cap=cap).agg(F.avg("business_with_var_penalty").alias("mean_score"), F.avg("f1_topk").alias("mean_f1"))
-        out.append(each.select(F.lit(json.dumps(point, sort_keys=True)).alias("params"), "mean_score", "mean_f1"))
-    return reduce(DataFrame.unionByName, out).orderBy(F.desc_nulls_last("mean_score"), "params")
+    points = grid_points(grid) if grid is not None else drawn_points(choices, n_iter, seed=seed)
+    width = df.agg(F.max(F.size("features")).alias("n")).first().n or 0
+    scores, _ = out_of_fold_all(df, folds, [range(width)], [make(**p) for p in points])
+    means = fold_scores(scores, features, groups=["fit"], cap=cap).groupBy("fit").agg(F.avg("business_with_var_penalty").alias("mean_score"), F.avg("f1_topk").alias("mean_f1"))
+    named = df.sparkSession.createDataFrame([(k, json.dumps(p, sort_keys=True)) for k, p in enumerate(points)], "fit int, params string")
+    return named.join(F.broadcast(means), "fit", "left").select("params", "mean_score", "mean_f1").orderBy(F.desc_nulls_last("mean_score"), "params")  # a row a point
 
 
 def winner_search(df: DataFrame, folds: DataFrame, model: str, *, features: int, n_iter: int = 20, save: Callable[[str, Mapping, float], None] | None = None, **ways) -> tuple[Fit, dict, float]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rankwright.functions import permute, ranges, shared
-from rankwright.operators import fanout, features, folds, isotonic, models, paths, pipelines, recipes, search
+from rankwright.operators import fanout, features, folds, isotonic, models, paths, pipelines, recipes, records, search
 
 from .test_operators import matrix
 
@@ -235,3 +235,45 @@ def test_sets_fitted_together_compare_as_single_ones(spark):
     ranked = spark.createDataFrame([("a", "var_0", 1), ("a", "var_1", 2), ("b", "var_0", 1), ("b", "var_3", 2)], "name string, feature string, order int")
     one, two = (search.evaluated_rankings(df, outer, ranked, f, sizes=(1, 2)).select("method", "oof_business_score", "oof_optimal_k").collect() for f in (fits["plain"], alone["plain"]))
     assert one == two and len(one) == 4
+
+
+def test_candidates_fitted_together_score_as_single_ones(spark):
+    df = shared.written(matrix(spark, n=240, width=4).coalesce(1), "t")
+    outer = shared.written(folds.outer_folds(df, n_splits=3).coalesce(1), "t")
+    sets = [[0, 1, 2, 3], [2, 0]]
+    specs = [("logistic", {"C": 0.5, "l1_ratio": 0.0}), ("logistic", {"C": 0.2, "l1_ratio": 1.0, "class_weight": None}), ("extra_trees", {"n_estimators": 6, "max_depth": None}), ("lightgbm", {"n_estimators": 6, "subsample": 0.7, "min_child_samples": 5}), ("ranker", {"n_estimators": 4, "num_leaves": 7}), ("random_forest", {"n_estimators": 3})]
+    fits = [search.fit_of_spec(*s) for s in specs]
+    scores, errors = search.out_of_fold_all(df, outer, [*sets, [9], []], fits)
+    assert set(errors) == {(k, s) for k in range(len(fits)) for s in (2, 3)}
+    got = {(r.fit, r.set, r.id): (r.fold, r.y, r.score) for r in scores.collect()}
+    assert len(got) == scores.count() == len(fits) * 2 * 240
+    for k, fit in enumerate(fits):
+        alone = models.out_of_fold(df.withColumn("features", F.array(F.col("features")[2], F.col("features")[0])), outer, fit).collect()
+        assert len(alone) == 240 and {r.status for r in alone} == {"ok"}
+        assert all(got[k, 1, r.id][:2] == (r.outer_fold, r.y) and abs(got[k, 1, r.id][2] - r.score) < 2e-3 for r in alone), specs[k]
+    none, failed = search.out_of_fold_all(df.limit(0), outer, sets, fits[:1])
+    assert none.count() == 0 and set(failed) == {(0, 0), (0, 1)}
+    with pytest.raises(ValueError, match="unknown parameters"):
+        search.fit_of_spec("ranker", {"depth": 3})
+
+
+def test_scalings_by_held_out_fold(spark):
+    df = shared.written(matrix(spark, n=90, width=3).join(spark.range(90).select("id", (F.col("id") % 4).cast("int").alias("fold")), "id").withColumn("features", F.concat("features", F.array(F.lit(2.0)))), "t")
+    for robust in (True, False):
+        for held, (centre, scale) in models.held_out_scalings(df, [0, 1, 2, 3], robust=robust).items():
+            x = np.array([r.features for r in df.where(F.col("fold") != held).collect()])
+            low, middle, high = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+            spread = high - low if robust else x.std(axis=0)
+            assert np.allclose(centre, middle if robust else x.mean(axis=0)) and np.allclose(scale, np.where(spread > 0, spread, 1))
+
+
+def test_search_of_points_fitted_together(spark):
+    df = shared.written(matrix(spark, n=200, width=3).coalesce(1), "t")
+    outer = shared.written(folds.outer_folds(df, n_splits=2).coalesce(1), "t")
+    for make, grid in ((search.model_factories()["lightgbm"], {"n_estimators": [2, 8], "subsample": [0.5, 1.0]}), (search.model_factories()["logistic_regression"], {"C": [0.01, 1.0], "l1_ratio": [0.0]})):
+        rows = search.parameter_search(df, outer, make, features=3, grid=grid).collect()
+        assert len(rows) == np.prod([len(v) for v in grid.values()]) and [r.mean_score for r in rows] == sorted((r.mean_score for r in rows), reverse=True)
+        for r in rows[:2]:
+            alone = models.out_of_fold(df, outer, make(**json.loads(r.params))).withColumnRenamed("outer_fold", "fold")
+            each = records.fold_scores(alone, 3).agg(F.avg("business_with_var_penalty").alias("s"), F.avg("f1_topk").alias("f")).first()
+            assert abs(each.s - r.mean_score) <= 10 and abs(each.f - r.mean_f1) < 0.02
