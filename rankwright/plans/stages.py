@@ -112,6 +112,18 @@ def evaluated_model_specs(spark, d):
     return search.evaluated_specs(df, folds.outer_folds(df, n_splits=3), specs, sets)
 
 
+@query()
+def searched_parameters(spark, d):
+    """The logistic grid, and drawn points of leaf-wise and level-wise boosting, on the embeddings: all points of a model at once."""
+    df = embedding_rows(spark, d)
+    outer = folds.outer_folds(df, n_splits=3)
+    made = search.model_factories()
+    out = search.parameter_search(df, outer, made["logistic_regression"], features=64, grid=search.LOGISTIC_GRID).withColumn("model", F.lit("logistic_regression"))
+    for model, choices in (("lightgbm", search.LEAFWISE_CHOICES), ("xgboost", search.LEVELWISE_CHOICES)):
+        out = out.unionByName(search.parameter_search(df, outer, made[model], features=64, choices=choices).withColumn("model", F.lit(model)))
+    return _six(out, "mean_score", "mean_f1")
+
+
 @query()
 def mixture_segment_targets(spark, d):
     """Gaussian mixtures over five components segment the embeddings; each large segment has a model of its own."""
