@@ -115,13 +115,14 @@ def paid_sources(spark, d):
 # --- artefacts --------------------------------------------------------------------------------------------------------
 
 #: Lines of the two files by the id of a row: blank lines, lines without a number, and labels that are none.
-_X_LINES = """x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS line, f0, f1 FROM (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1 FROM embeddings) WHERE id % 50 <> 7)"""
+_X_LINES = """x AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS line, f0, f1, width, every - CASE WHEN id % 3 = 0 THEN f1 ELSE 0 END AS total
+FROM (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding[1] AS DOUBLE) AS f0, CAST(embedding[2] AS DOUBLE) AS f1, len(embedding) AS width, list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS every FROM embeddings) WHERE id % 50 <> 7)"""
 
 
 def _text_files(spark, d) -> tuple[str, str]:
     """The embeddings as two text files: of every 50 lines one is blank, of every 5 one has no number, of every 7 no label."""
     rows = embedding_rows(spark, d).orderBy("id")
-    number = F.concat_ws(" \t", F.col("features")[0].cast("string"), F.when(F.col("id") % 3 == 0, F.lit("?")).otherwise(F.col("features")[1].cast("string")))
+    number = F.array_join(F.transform("features", lambda v, i: F.when((i == 1) & (F.col("id") % 3 == 0), F.lit("?")).otherwise(v.cast("string"))), " \t")
     x = F.when(F.col("id") % 50 == 7, F.lit("  ")).when(F.col("id") % 5 == 1, F.lit("var_0 var_1")).otherwise(number)
     y = F.when(F.col("id") % 50 == 7, F.lit("")).when(F.col("id") % 7 == 0, F.lit("y")).otherwise((F.col("id") % 2).cast("string"))
     paths = shared_folder(spark, "x-lines"), shared_folder(spark, "y-lines")
@@ -130,16 +131,22 @@ def _text_files(spark, d) -> tuple[str, str]:
     return paths
 
 
-@query(f"""WITH {_X_LINES} SELECT row_number() OVER (ORDER BY line) - 1 AS id, CAST(id % 2 AS INTEGER) AS y, round(CASE WHEN id % 5 = 1 THEN 0 ELSE f0 END, 6) AS f0, round(CASE WHEN id % 5 = 1 OR id % 3 = 0 THEN 0 ELSE f1 END, 6) AS f1
-FROM x WHERE id % 7 <> 0""")
+def _seen(rows: DataFrame, *names: str) -> DataFrame:
+    """Of the features that were read: the first two, how many there are, and what they add up to."""
+    total = F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 4)
+    return _six(rows.select(*names, F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), F.size("features").cast("long").alias("width"), total.alias("total")), "f0", "f1")
+
+
+@query(f"""WITH {_X_LINES} SELECT row_number() OVER (ORDER BY line) - 1 AS id, CAST(id % 2 AS INTEGER) AS y, round(CASE WHEN id % 5 = 1 THEN 0 ELSE f0 END, 6) AS f0, round(CASE WHEN id % 5 = 1 OR id % 3 = 0 THEN 0 ELSE f1 END, 6) AS f1,
+width, round(CASE WHEN id % 5 = 1 THEN 0 ELSE total END, 4) AS total FROM x WHERE id % 7 <> 0""")
 def training_rows(spark, d):
     x, y = _text_files(spark, d)
-    return _six(tables.read_training(spark, x, y).select("id", "y", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1")), "f0", "f1")
+    return _seen(tables.read_training(spark, x, y), "id", "y")
 
 
-@query(f"WITH {_X_LINES} SELECT row_number() OVER (ORDER BY line) - 1 AS sample_index, round(f0, 6) AS f0, round(CASE WHEN id % 3 = 0 THEN 0 ELSE f1 END, 6) AS f1 FROM x WHERE id % 5 <> 1")
+@query(f"WITH {_X_LINES} SELECT row_number() OVER (ORDER BY line) - 1 AS sample_index, round(f0, 6) AS f0, round(CASE WHEN id % 3 = 0 THEN 0 ELSE f1 END, 6) AS f1, width, round(total, 4) AS total FROM x WHERE id % 5 <> 1")
 def test_rows(spark, d):
-    return _six(tables.read_matrix(spark, _text_files(spark, d)[0]).select("sample_index", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1")), "f0", "f1")
+    return _seen(tables.read_matrix(spark, _text_files(spark, d)[0]), "sample_index")
 
 
 @query(f"WITH {PREDICTIONS} SELECT DISTINCT outer_fold, round_name FROM pr WHERE outer_fold = 2")
