@@ -110,7 +110,7 @@ def scaled_curve(
     curve = ranked_curve(df, groups, cap=cap, zero=cap == 0)
     joined = join_groups(curve, sizes, groups)
     scale = F.col("n") / F.lit(float(reference_rows))
-    gross = F.col("tp") * (hit * scale) - F.col("fp") * (miss * scale)
+    gross = profit(F.col("tp"), F.col("fp"), hit=hit, miss=miss) * scale  # scaled last: points of equal profit stay equal
     price = float(features * feature_cost)
     return joined.select(
         *groups, "k", "tp", "fp", "threshold", gross.alias("gross"), scale.alias("scale"), (gross - price * scale).alias("scaled_score"), (gross - price).alias("unscaled_cost_score")
@@ -147,7 +147,7 @@ def f1_curve(df: DataFrame, groups: Sequence[str] = (), *, cap: int = MAX_TARGET
     c = c.withColumns({"precision": ratio(F.col("tp"), F.col("k")), "recall": ratio(F.col("tp"), F.col("pos"))})
     return c.select(
         *groups, "k", "tp", "fp", "fn", "tn", "precision", "recall",
-        ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"),
+        ratio(2 * F.col("tp"), F.col("k") + F.col("pos")).alias("f1"),  # one division: equal fractions stay equal
         ratio(F.col("tp") + F.col("tn"), F.col("pos") + F.col("neg")).alias("accuracy"),
         ratio(F.col("tn"), F.col("neg")).alias("specificity"),
         "threshold",
