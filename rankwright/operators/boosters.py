@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .models import Fit
 
-#: Rows a model is fitted on.
-SAMPLE = 20_000
+#: Rows a model is fitted on, and rows of a leaf whose bins are always added up from its own rows.
+SAMPLE, FEW = 20_000, 512
 
 
 def fitted_in_task(train: DataFrame, sample: int, grow: Callable[[np.ndarray, np.ndarray], object]):
@@ -67,9 +67,10 @@ class Tree:
 
 @dataclass(frozen=True)
 class Bins:
-    """Features cut at quantiles: place of each value, and the cuts."""
+    """Features cut at quantiles: place of each value, by row and once more by feature, and the cuts."""
 
     places: np.ndarray
+    by_feature: np.ndarray
     cuts: list[np.ndarray]
     width: int
 
@@ -77,51 +78,70 @@ class Bins:
 def binned(x: np.ndarray, bins: int) -> Bins:
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     places = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)
-    return Bins(places, cuts, max(map(len, cuts)) + 1)
+    return Bins(places, np.ascontiguousarray(places.T), cuts, max(map(len, cuts)) + 1)
 
 
-def _best_split(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, leaf: int, ridge: float, least: float, columns: np.ndarray | None) -> tuple[float, int, int]:
-    """Gain, feature and last bin on the left of the best split of ``rows`` by one of ``columns`` (all if none) with ``leaf``
+def _bin_sums(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Slopes, curvatures and numbers of ``rows`` in each bin of each of ``columns``, added up in the order of the rows."""
+    m, g, h = len(columns), g[rows], h[rows]
+    if len(rows) > FEW:
+        out = np.empty((3, m, b.width))
+        for j, f in enumerate(columns):
+            own = b.by_feature[f, rows]
+            out[0, j], out[1, j], out[2, j] = np.bincount(own, g, b.width), np.bincount(own, h, b.width), np.bincount(own, None, b.width)
+        return out
+    index = (b.places[rows][:, columns] + np.arange(m) * b.width).ravel()
+    return np.stack([np.bincount(index, w, m * b.width) for w in (np.repeat(g, m), np.repeat(h, m), None)]).reshape(3, m, b.width)
+
+
+def _best_split(sums: np.ndarray, leaf: int, ridge: float, least: float, columns: np.ndarray) -> tuple[float, int, int]:
+    """Gain, feature and last bin on the left of the best split, by one of ``columns`` whose bins hold ``sums``, with ``leaf``
     rows and curvature of ``least`` on either side."""
-    m = b.places.shape[1]
-    index = (b.places[rows] + np.arange(m) * b.width).ravel()
-    sums = [np.bincount(index, np.repeat(v, m), m * b.width).reshape(m, b.width).cumsum(1) for v in (g[rows], h[rows], np.ones(len(rows)))]
-    whole = [s[:, -1:] for s in sums]
+    sums = sums.cumsum(2)
+    whole = sums[:, :, -1:]
     score = lambda a, c: a * a / (c + ridge)
     gain = score(sums[0], sums[1]) + score(whole[0] - sums[0], whole[1] - sums[1]) - score(whole[0], whole[1])
     gain[(sums[2] < leaf) | (whole[2] - sums[2] < leaf) | (sums[1] < least) | (whole[1] - sums[1] < least)] = -np.inf
-    if columns is not None:
-        gain[np.setdiff1d(np.arange(m), columns)] = -np.inf
-    f, k = divmod(int(gain.argmax()), b.width)
-    return float(gain[f, k]), f, k
+    j, k = divmod(int(gain.argmax()), gain.shape[1])
+    return float(gain[j, k]), int(columns[j]), k
 
 
 def grow_leafwise(b: Bins, g: np.ndarray, h: np.ndarray, *, leaves: int, depth: int, leaf: int, ridge: float, gains: np.ndarray, splits: np.ndarray | None = None, least: float = 0.0, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> tuple[Tree, np.ndarray]:
-    """A tree, grown on ``rows`` (all if none), that always splits the leaf with the most to gain, and its value for each of
-    them; ``gains`` and ``splits`` add up by feature."""
+    """A tree, grown on ``rows`` and ``columns`` (all if none), that always splits the leaf with the most to gain, and its value
+    for each of the rows; ``gains`` and ``splits`` add up by feature.
+
+    Of the two sides of a large leaf only the smaller is added up; the other has what is left of the leaf's sums.
+    """
     tree, out = Tree(), np.zeros(len(g))
+    columns = np.arange(b.places.shape[1]) if columns is None else columns
     waiting: list[tuple] = []
 
-    def offer(rows: np.ndarray, level: int) -> int:
+    def offer(rows: np.ndarray, level: int, sums: np.ndarray | None = None) -> int:
         node = tree.add(float(g[rows].sum() / (h[rows].sum() + ridge)))
         out[rows] = tree.value[node]
         if level < depth and len(rows) >= 2 * leaf:
-            gain, f, k = _best_split(b, rows, g, h, leaf, ridge, least, columns)
+            sums = _bin_sums(b, rows, g, h, columns) if sums is None else sums
+            gain, f, k = _best_split(sums, leaf, ridge, least, columns)
             if gain > 1e-9 and k < len(b.cuts[f]):
-                heapq.heappush(waiting, (-gain, node, f, k, level, rows))
+                heapq.heappush(waiting, (-gain, node, f, k, level, rows, sums if len(rows) > FEW else None))
         return node
 
     offer(np.arange(len(g)) if rows is None else rows, 0)
     made = 1
     while waiting and made < leaves:
-        gain, node, f, k, level, rows = heapq.heappop(waiting)
+        gain, node, f, k, level, rows, sums = heapq.heappop(waiting)
         gains[f] -= gain
         if splits is not None:
             splits[f] += 1
-        under = b.places[rows, f] <= k
+        under = b.by_feature[f, rows] <= k
+        sides, known = (rows[under], rows[~under]), [None, None]
+        large = int(len(sides[1]) > len(sides[0]))
+        if level + 1 < depth and sums is not None and len(sides[large]) > max(FEW, 2 * leaf):
+            known[1 - large] = _bin_sums(b, sides[1 - large], g, h, columns)
+            known[large] = np.where(sums[2] == known[1 - large][2], 0.0, sums - known[1 - large])  # a bin without rows holds nothing
         tree.feature[node], tree.threshold[node] = f, float(b.cuts[f][k])
-        tree.left[node] = offer(rows[under], level + 1)
-        tree.right[node] = offer(rows[~under], level + 1)
+        tree.left[node] = offer(sides[0], level + 1, known[0])
+        tree.right[node] = offer(sides[1], level + 1, known[1])
         made += 1
     return tree, out
 

@@ -179,7 +179,9 @@ def fan_out(df: DataFrame, members: DataFrame, tasks: DataFrame, *, sample: int
             if out:
                 yield pd.DataFrame(out, columns=["task_id", "split", "fold", "places", "model", "error", "fit_seconds"])
 
-    spread = tasks.select("task_id", "split", "fold", "family", "params", "places").repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("task_id"))
+    # By ranges of the hash a fit is a Spark task of its own, up to that many: a few long ones don't wait for each other.
+    apart = max(1, min(tasks.count(), 32 * spark.sparkContext.defaultParallelism))
+    spread = tasks.select("task_id", "split", "fold", "family", "params", "places").repartitionByRange(apart, F.xxhash64("task_id"))
     models = written(spread.mapInPandas(fit, "task_id long, split int, fold int, places array<int>, model binary, error string, fit_seconds double"), "fan-out-models")
     # In the order of their folds, so that a pack meets few of them.  A row a task.
     sizes = models.where("model IS NOT NULL").select("split", "fold", "task_id", F.length("model").alias("n")).orderBy("split", "fold", "task_id").collect()

@@ -6,9 +6,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from rankwright.functions import permute, ranges, shared
-from rankwright.operators import fanout, features, folds, isotonic, models, paths, pipelines, recipes, records, search
+from rankwright.operators import boosters, fanout, features, folds, isotonic, models, paths, pipelines, recipes, records, search
 
 from .test_operators import matrix
 
@@ -277,3 +278,29 @@ def test_search_of_points_fitted_together(spark):
             alone = models.out_of_fold(df, outer, make(**json.loads(r.params))).withColumnRenamed("outer_fold", "fold")
             each = records.fold_scores(alone, 3).agg(F.avg("business_with_var_penalty").alias("s"), F.avg("f1_topk").alias("f")).first()
             assert abs(each.s - r.mean_score) <= 10 and abs(each.f - r.mean_f1) < 0.02
+
+
+def test_of_a_large_leaf_only_the_smaller_side_is_added_up(monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(6000, 5)), 2)
+    y = (r.random(6000) < 1 / (1 + np.exp(-x[:, 0] * x[:, 1]))).astype(float)
+    ways = {"trees": 4, "leaves": 40, "row_share": 0.8, "column_share": 0.6}
+    seen, plain = [], boosters._bin_sums
+    monkeypatch.setattr(boosters, "_bin_sums", lambda b, rows, *rest: seen.append(len(rows)) or plain(b, rows, *rest))
+    got, some = boosters.fit_leafwise(x, y, **ways), sum(seen)
+    seen.clear()
+    monkeypatch.setattr(boosters, "FEW", 10**9)
+    want = boosters.fit_leafwise(x, y, **ways)
+    assert [vars(t) for t in got.trees] == [vars(t) for t in want.trees]
+    assert some < 0.6 * sum(seen)
+
+
+def test_fits_of_a_fan_out_do_not_share_a_task(spark):
+    def place(x, y, params):
+        raise ValueError(TaskContext.get().partitionId())
+
+    df = spark.createDataFrame([(k, k % 2, [float(k)]) for k in range(20)], "id long, y int, features array<double>")
+    members = spark.createDataFrame([(0, k, k // 2 % 2 + 1) for k in range(20)], "split int, id long, fold int")
+    tasks = spark.createDataFrame([(k, 0, 1 + k % 2, "place", "{}", [0]) for k in range(40)], fanout.TASKS)
+    places = [r.error for r in fanout.fan_out(df, members, tasks, families={"place": place}).collect()]
+    assert len(places) == len(set(places)) == 40
