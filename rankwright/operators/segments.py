@@ -13,7 +13,7 @@ that isn't finite, take no part in a fit and get a null cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +30,8 @@ from .paths import CELLS, as_matrix
 SAMPLE = 5_000
 #: Rows of the sample whose distances to all of the sample one task holds at a time.
 BLOCK = 250
+#: Distances of a batch to the centres of all models that are held at a time.
+AWAY = 1 << 19
 
 
 @dataclass
@@ -113,15 +115,14 @@ def _starts(rows: DataFrame, x: np.ndarray, jobs: Sequence[tuple[int, int]]) ->
 
 
 def _totals(rows: DataFrame, width: int, models: dict, sums_of: Callable) -> dict[int, np.ndarray]:
-    """model -> the sum over all rows of what ``sums_of`` (rows, model) gives for a batch of them."""
+    """model -> the sum over all rows of what ``sums_of`` (rows, models) gives, model by model, for a batch of them."""
 
     def local(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             if batch.num_rows:
                 x = as_matrix(batch.column(0), width)
-                for j, model in models.items():
-                    s = sums_of(x, model)
+                for j, s in sums_of(x, models):
                     total[j] = total[j] + s if j in total else s
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tolist() for s in total.values()], pa.list_(pa.float64()))], names=["j", "sums"])
@@ -153,11 +154,36 @@ def _groups(sizes: Sequence[int]) -> list[list[int]]:
     return out
 
 
-def _mean_sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    own = squared_distances(x, centres).argmin(1)
-    one = np.zeros((len(x), len(centres)))
-    one[np.arange(len(x)), own] = 1.0
-    return np.concatenate([[((x - centres[own]) ** 2).sum()], one.sum(0), (one.T @ x).ravel()])
+def _mean_sums(x: np.ndarray, models: Mapping[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each model (its centres), the number and the sum of the rows nearest to each centre.  The distances to the centres of
+    all models are one product of matrices, and so are the sums; of centres that are equally near the first has the row."""
+    ends = np.cumsum([len(c) for c in models.values()])
+    starts, every = np.concatenate([[0], ends[:-1]]), np.vstack(list(models.values()))
+    sizes, lengths = ends - starts, (every * every).sum(1)[:, None]
+    counts, sums = np.zeros(len(every)), np.zeros(every.shape)
+    step = max(1, AWAY // len(every))
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        away = every @ part.T
+        away *= -2
+        away += (part * part).sum(1)
+        away += lengths
+        np.maximum(away, 0.0, out=away)
+        one = (away == np.repeat(np.minimum.reduceat(away, starts), sizes, axis=0)).astype(float)
+        if one.sum() != len(part) * len(models):
+            for a, b in zip(starts, ends):
+                own = one[a:b].argmax(0)
+                one[a:b] = 0.0
+                one[a + own, np.arange(len(part))] = 1.0
+        counts += one.sum(1)
+        sums += one @ part
+    for j, a, b in zip(models, starts, ends):
+        yield j, np.concatenate([counts[a:b], sums[a:b].ravel()])
+
+
+def _mean_inertia(x: np.ndarray, models: Mapping[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    for j, centres in models.items():
+        yield j, np.array([((x - centres[squared_distances(x, centres).argmin(1)]) ** 2).sum()])
 
 
 def fit_means(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int = 300, tolerance: float = 1e-4, sample: int = SAMPLE) -> list[Means]:
@@ -182,7 +208,7 @@ def _means_of(rows: DataFrame, n: int, width: int, jobs: Sequence[tuple[int, int
             found = _totals(rows, width, {j: fits[j].centres for j in live}, _mean_sums)
             for j in list(live):
                 f = fits[j]
-                counts, sums = found[j][1 : f.k + 1], found[j][f.k + 1 :].reshape(f.k, width)
+                counts, sums = found[j][: f.k], found[j][f.k :].reshape(f.k, width)
                 new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], f.centres)
                 moved, f.centres, f.steps = float(((new - f.centres) ** 2).sum()), new, f.steps + 1
                 if moved <= still:
@@ -190,7 +216,7 @@ def _means_of(rows: DataFrame, n: int, width: int, jobs: Sequence[tuple[int, int
                     live.remove(j)
             if not live:
                 break
-        for j, sums in _totals(rows, width, {j: fits[j].centres for j in group}, _mean_sums).items():
+        for j, sums in _totals(rows, width, {j: fits[j].centres for j in group}, _mean_inertia).items():
             fits[j].inertia = float(sums[0])
     return fits
 
@@ -246,7 +272,7 @@ def fit_mixtures(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int =
     for group in _groups([f.k * (1 + width + width * width) for f in fits]):
         live = list(group)
         for step in range(steps + 1):
-            found = _totals(rows, width, {j: fits[j] for j in live}, _mixture_sums)
+            found = _totals(rows, width, {j: fits[j] for j in live}, lambda x, models: ((j, _mixture_sums(x, m)) for j, m in models.items()))
             for j in list(live):
                 f = fits[j]
                 likely = found[j][0] / n if step else -np.inf

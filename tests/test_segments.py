@@ -103,3 +103,18 @@ def test_rows_that_take_no_part(spark):
         segments.fit_means(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "features array<double>"), [(1, 1)])
     same = spark.createDataFrame([([1.0, 1.0],)] * 6, "features array<double>")
     assert segments.fit_means(same, [(3, 1)])[0].inertia == 0.0
+
+
+def test_sums_of_all_models_of_a_pass(monkeypatch):
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(300, 3)))
+    models = {4: x[:5], 1: np.vstack([x[:2], x[:2]]), 7: r.normal(size=(2, 3))}  # equal centres: the first has the rows
+    for most in (1 << 19, 50):
+        monkeypatch.setattr(segments, "AWAY", most)
+        got = dict(segments._mean_sums(x, models))
+        assert list(got) == [4, 1, 7]
+        for j, centres in models.items():
+            own = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
+            one = np.eye(len(centres))[own]
+            assert np.allclose(got[j], np.concatenate([one.sum(0), (one.T @ x).ravel()]))
+            assert np.isclose(dict(segments._mean_inertia(x, models))[j][0], ((x - centres[own]) ** 2).sum())
