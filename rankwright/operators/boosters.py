@@ -77,8 +77,9 @@ class Bins:
 
 def binned(x: np.ndarray, bins: int) -> Bins:
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
-    places = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)
-    return Bins(places, np.ascontiguousarray(places.T), cuts, max(map(len, cuts)) + 1)
+    width = max(map(len, cuts)) + 1
+    by_feature = np.stack([np.searchsorted(c, x[:, f], side="left").astype(np.min_scalar_type(width)) for f, c in enumerate(cuts)])
+    return Bins(np.ascontiguousarray(by_feature.T), by_feature, cuts, width)
 
 
 def _bin_sums(b: Bins, rows: np.ndarray, g: np.ndarray, h: np.ndarray, columns: np.ndarray) -> np.ndarray:

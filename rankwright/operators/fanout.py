@@ -1,10 +1,11 @@
 """Many candidates fitted and scored as rows of a task table.
 
 A task is a feature set, a model family with its parameters, and a fold of a split.
-All fits are one job: the labelled sample (bounded, a parameter) is broadcast, each
-task row is fitted where it lies, and a fit that fails becomes an error.  Scoring is
-one narrow pass over all rows for each pack of models of a bounded size, so the number
-of jobs follows the bytes of the models and not the number of tasks.
+All fits are one job: each task row is fitted where it lies, on a labelled sample that
+is broadcast or on all rows outside its fold, which one shuffle deals out to the tasks;
+a fit that fails becomes an error.  Scoring is one narrow pass over all rows for each
+pack of models of a bounded size, so the number of jobs follows the bytes of the models
+and not the number of tasks.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shared import broadcast_if_small, shared_folder, written
 from .boosters import SAMPLE, fit_additive, fit_lambdamart, fit_leafwise
 from .models import grow_extra_trees, tree_scores
-from .paths import descend
+from .paths import as_matrix, descend
 
 TASKS = "task_id long, split int, fold int, family string, params string, places array<int>"
+MODELS = "task_id long, split int, fold int, places array<int>, model binary, error string, fit_seconds double"
 BLOCKS = "task_id long, split int, fold int, block array<struct<sample_index: long, y_true: int, score: double>>, status string, error string, fit_seconds double"
 #: Bytes of models that one scoring pass broadcasts, and of the sample that the fits are handed.
 PACK, MOST_SAMPLE = 64 << 20, 1 << 30
@@ -134,14 +138,23 @@ def plain_split(folds: DataFrame, fold: str = "outer_fold") -> DataFrame:
     return folds.select(F.lit(0).alias("split"), "id", F.col(fold).cast("int").alias("fold"))
 
 
-def fan_out(df: DataFrame, members: DataFrame, tasks: DataFrame, *, sample: int = SAMPLE, families: Mapping[str, Callable] = FAMILIES) -> DataFrame:
-    """Blocks of predictions (``BLOCKS``) of every task: fitted on the rows of its split (``members``: split, id, fold) outside
-    its fold, scored on those inside it.
+def _fitted(task, training: Callable[[], tuple[np.ndarray, np.ndarray]], families: Mapping[str, Callable]) -> tuple:
+    """The row of ``MODELS`` of a task whose features and labels ``training`` gives."""
+    began, model, error = time.perf_counter(), None, None
+    try:
+        if task.places is None or not len(task.places):
+            raise ValueError("a task without features")
+        x, y = training()
+        if len(set(y.tolist())) < 2:
+            raise ValueError("no training rows of both classes")
+        model = pickle.dumps(families[task.family](x[:, list(task.places)], y, json.loads(task.params or "{}")))
+    except Exception as e:
+        error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+    return task.task_id, task.split, task.fold, task.places, model, error, time.perf_counter() - began
 
-    Fits see at most ``sample`` labelled rows of the table, those with the least hash of the id; scoring sees all rows.  A
-    task has a block for each batch of its rows, an empty one if it has none; one that fails has one row with its error.
-    ``fit_seconds`` is what its fit took.  Null features count as 0; an empty table gives an error for each task.
-    """
+
+def _fits_of_sample(df: DataFrame, members: DataFrame, tasks: DataFrame, sample: int, families: Mapping[str, Callable]) -> DataFrame:
+    """``MODELS`` of fits that see the ``sample`` labelled rows with the least hash of the id, which every task is handed."""
     spark = df.sparkSession
     picked = df.where("y IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "y", "features")
     rows = picked.collect()  # bounded by ``sample``
@@ -164,25 +177,70 @@ def fan_out(df: DataFrame, members: DataFrame, tasks: DataFrame, *, sample: int
         for batch in batches:
             out = []
             for t in batch.itertuples(index=False):
-                began, model, error = time.perf_counter(), None, None
-                try:
-                    if t.places is None or not len(t.places):
-                        raise ValueError("a task without features")
-                    at = parts.get(t.split, np.full(len(y), -1))
-                    train = (at >= 0) & (at != t.fold)
-                    if not train.any() or len(set(y[train].tolist())) < 2:
-                        raise ValueError("no training rows of both classes")
-                    model = pickle.dumps(families[t.family](x[train][:, list(t.places)], y[train], json.loads(t.params or "{}")))
-                except Exception as e:
-                    error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
-                out.append((t.task_id, t.split, t.fold, t.places, model, error, time.perf_counter() - began))
+                at = parts.get(t.split, np.full(len(y), -1))
+                train = (at >= 0) & (at != t.fold)
+                out.append(_fitted(t, lambda: (x[train], y[train]), families))
             if out:
                 yield pd.DataFrame(out, columns=["task_id", "split", "fold", "places", "model", "error", "fit_seconds"])
 
     # By ranges of the hash a fit is a Spark task of its own, up to that many: a few long ones don't wait for each other.
     apart = max(1, min(tasks.count(), 32 * spark.sparkContext.defaultParallelism))
     spread = tasks.select("task_id", "split", "fold", "family", "params", "places").repartitionByRange(apart, F.xxhash64("task_id"))
-    models = written(spread.mapInPandas(fit, "task_id long, split int, fold int, places array<int>, model binary, error string, fit_seconds double"), "fan-out-models")
+    return spread.mapInPandas(fit, MODELS)
+
+
+def _fits_of_all(rows: DataFrame, tasks: DataFrame, families: Mapping[str, Callable]) -> DataFrame:
+    """``MODELS`` of fits that see every labelled row of their split outside their fold (``rows``: id, y, features, split, fold).
+
+    A fit is a Spark task of its own, and the rows that it needs are dealt out to it, in the order of the hash of the id."""
+    spark = rows.sparkSession
+    listed = tasks.select("task_id", "split", "fold", "family", "params", "places").collect()  # a row a task
+    width = rows.agg(F.max(F.size("features")).alias("n")).first().n or 0
+    jobs = spark.createDataFrame([(k, *r) for k, r in enumerate(listed)], f"place int, {TASKS}")
+    each = F.broadcast(jobs.select("place", "split", F.col("fold").alias("held")))
+    dealt = rows.where("y IS NOT NULL").join(each, "split").where("fold <> held").select("place", F.xxhash64("id").alias("hash"), F.col("id").cast("long").alias("id"), F.col("y").cast("double").alias("y"), "features")
+    both = jobs.unionByName(dealt, allowMissingColumns=True).repartitionById(max(1, len(listed)), F.col("place"))
+
+    def fit(batches):
+        asked, parts = {}, {}
+        for batch in batches:
+            wanted = pc.is_valid(batch.column("task_id"))
+            for t in pd.DataFrame(batch.filter(wanted).to_pylist()).astype(object).itertuples(index=False):
+                asked[t.place] = t
+            batch = batch.filter(pc.invert(wanted))
+            for place in pc.unique(batch.column("place")).to_pylist():
+                own = batch.filter(pc.equal(batch.column("place"), place))
+                parts.setdefault(place, []).append((*(own.column(c).to_numpy() for c in ("hash", "id", "y")), as_matrix(own.column("features"), width)))
+
+        def training(place):
+            if place not in parts:
+                return np.zeros((0, width)), np.zeros(0)
+            hashes, ids, y, x = (np.concatenate(c) for c in zip(*parts.pop(place)))
+            order = np.lexsort((ids, hashes))
+            return x[order], y[order]
+
+        for place, t in asked.items():
+            row = _fitted(t, lambda: training(place), families)
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.string(), pa.float64()))], names=["task_id", "split", "fold", "places", "model", "error", "fit_seconds"])
+
+    return both.mapInArrow(fit, MODELS)
+
+
+def fan_out(df: DataFrame, members: DataFrame, tasks: DataFrame, *, sample: int | None = SAMPLE, families: Mapping[str, Callable] = FAMILIES) -> DataFrame:
+    """Blocks of predictions (``BLOCKS``) of every task: fitted on the rows of its split (``members``: split, id, fold) outside
+    its fold, scored on those inside it.
+
+    Fits see at most ``sample`` labelled rows of the table, those with the least hash of the id, or all of them if it is
+    None (ids are whole numbers then); scoring sees all rows.  A task has a block for each batch of its rows, an empty one
+    if it has none; one that fails has one row with its error.  ``fit_seconds`` is what its fit took.  Null features count
+    as 0; an empty table gives an error for each task.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark, "fan-out-rows")
+    joined = df.select("id", "y", "features").join(members.select("split", "id", "fold"), "id")
+    joined.write.partitionBy("split", "fold").parquet(folder)
+    cut = spark.read.schema("id long, y int, features array<double>, split int, fold int").parquet(folder)
+    models = written(_fits_of_all(cut, tasks, families) if sample is None else _fits_of_sample(df, members, tasks, sample, families), "fan-out-models")
     # In the order of their folds, so that a pack meets few of them.  A row a task.
     sizes = models.where("model IS NOT NULL").select("split", "fold", "task_id", F.length("model").alias("n")).orderBy("split", "fold", "task_id").collect()
     packs, full = [], PACK
@@ -192,10 +250,6 @@ def fan_out(df: DataFrame, members: DataFrame, tasks: DataFrame, *, sample: int
             full = 0
         packs[-1].append(r)
         full += r.n
-    folder = shared_folder(spark, "fan-out-rows")
-    joined = df.select("id", "y", "features").join(members.select("split", "id", "fold"), "id")
-    joined.write.partitionBy("split", "fold").parquet(folder)
-    cut = spark.read.schema("id long, y int, features array<double>, split int, fold int").parquet(folder)
     blocks = shared_folder(spark, "fan-out-blocks")
     for k, pack in enumerate(packs):
         _score_pack(cut, models, pack).write.parquet(f"{blocks}/pack={k}")

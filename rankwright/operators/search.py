@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.ledger import FEATURE_COST, MAX_TARGETS
 from ..functions.shared import written
 from . import fanout
-from .boosters import SAMPLE, additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
+from .boosters import additive_boosted, best_subset_scores, lambdamart, leafwise_boosted
 from .curves import best_point, profit_curve
 from .features import long_view
 from .models import WHOLE, Fit, Scorer, compare, extra_trees, forest_feature_scores, kmeans_diagnostics, l1_feature_scores, logistic, out_of_fold, out_of_fold_sets, pairwise_ranker, principal_components, random_forest, scaled, scaling, shared_scores, spline_feature_scores, with_mixed
@@ -97,9 +97,9 @@ def out_of_fold_all(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int
     """fit, set (places in ``fits`` and ``sets``), fold, id, y, score of the out-of-fold scores of every fit on every set, and
     the error of each fit and set that has one; folds that could be fitted keep their scores.
 
-    Logistic models share their passes.  What is grown on a bounded sample is a task of one fan-out, whose sample is so
-    much larger that the rows outside a fold are about as many.  Others, and all on ids that aren't whole numbers, go one
-    by one.  A set without features, or with one that the table hasn't got, is an error.
+    Logistic models share their passes.  Boosters and forests are tasks of one fan-out, each fitted on all rows outside its
+    fold.  Others, and all on ids that aren't whole numbers, go one by one.  A set without features, or with one that the
+    table hasn't got, is an error.
     """
     spark = df.sparkSession
     width = df.agg(F.max(F.size("features")).alias("n")).first().n or 0
@@ -114,7 +114,7 @@ def out_of_fold_all(df: DataFrame, folds: DataFrame, sets: Sequence[Sequence[int
     if good and tasked and len(held) > 1 and dict(df.dtypes)["id"] in WHOLE:
         jobs = [(k, s, h) for k in tasked for s in good for h in held]
         tasks = spark.createDataFrame([(n, 0, h, *fits[k].task, list(sets[s])) for n, (k, s, h) in enumerate(jobs)], fanout.TASKS)
-        blocks = fanout.fan_out(df, fanout.plain_split(folds), tasks, sample=-(-SAMPLE * len(held) // (len(held) - 1)))
+        blocks = fanout.fan_out(df, fanout.plain_split(folds), tasks, sample=None)
         for r in blocks.where("status <> 'ok'").select("task_id", "error").collect():  # a row a failed task
             errors[jobs[r.task_id][:2]] = r.error
         named = spark.createDataFrame([(n, *job) for n, job in enumerate(jobs)], "task_id long, fit int, set int, fold int")

@@ -304,3 +304,32 @@ def test_fits_of_a_fan_out_do_not_share_a_task(spark):
     tasks = spark.createDataFrame([(k, 0, 1 + k % 2, "place", "{}", [0]) for k in range(40)], fanout.TASKS)
     places = [r.error for r in fanout.fan_out(df, members, tasks, families={"place": place}).collect()]
     assert len(places) == len(set(places)) == 40
+
+
+def test_candidates_see_all_rows_outside_their_fold(spark, monkeypatch):
+    monkeypatch.setitem(fanout.FAMILIES, "lightgbm", lambda x, y, p: boosters.Boosted(float(len(y)), 0.0, [], x[0], x[0], False, 1))
+    df = spark.range(36_000).select("id", (F.col("id") % 2).cast("int").alias("y"), F.array(F.col("id").cast("double")).alias("features"))
+    outer = df.select("id", (F.col("id") % 3 + 1).cast("int").alias("outer_fold"))
+    scores, errors = search.out_of_fold_all(df, outer, [[0]], [search.fit_of_spec("lightgbm", {})])
+    assert not errors and [tuple(r) for r in scores.groupBy("score").count().collect()] == [(24_000.0, 36_000)]
+
+
+def test_fits_of_all_rows_equal_those_of_a_sample_that_holds_all(spark):
+    def place(x, y, params):
+        raise ValueError(TaskContext.get().partitionId())
+
+    df = matrix(spark, n=240, width=4).withColumn("y", F.when(F.col("id") % 20 > 0, F.col("y"))).withColumn("features", F.when(F.col("id") % 30 > 0, F.col("features")))
+    df = shared.written(df.withColumn("features", F.when(F.col("id") % 7 > 0, F.col("features")).otherwise(F.array(F.lit(None), F.lit(float("nan")), F.lit(1.0)))), "t")
+    members = shared.written(fanout.plain_split(folds.outer_folds(df.select("id", F.coalesce("y", F.lit(0)).alias("y")), n_splits=3)), "t")
+    specs = [("lightgbm", '{"n_estimators": 4, "subsample": 0.7}', [3, 0]), ("extra_trees", '{"n_estimators": 3}', [0, 1]), ("logistic", "{}", []), ("nothing", "{}", [0]), ("logistic", "{}", [99]), ("place", None, [0])]
+    rows = [(1000 - 10 * k - f, 0, f, *spec) for k, spec in enumerate(specs) for f in (1, 2, 3)] + [(2000, 0, 9, "logistic", "{}", [0]), (2001, 5, 1, "logistic", "{}", [0])]
+    tasks = spark.createDataFrame(rows, fanout.TASKS)
+    found = []
+    for sample in (None, 1000):
+        flat = fanout.predictions_of(fanout.fan_out(df, members, tasks, sample=sample, families={**fanout.FAMILIES, "place": place}))
+        found.append(sorted((r.task_id, -1 if r.sample_index is None else r.sample_index, r.y_true is None or r.y_true, None if r.score is None else round(r.score, 9), r.status) for r in flat.collect()))
+    keep = lambda rows: [r for r in rows if not 940 < r[0] < 950]
+    assert keep(found[0]) == keep(found[1]) and len(keep(found[0])) > 480
+    places = [r[4] for r in found[0] if 940 < r[0] < 950]
+    assert len(places) == len(set(places)) == 3  # a fit is a Spark task of its own
+    assert {r.status for r in fanout.fan_out(df.limit(0), members, tasks, sample=None).collect()} == {"error"}
