@@ -6,9 +6,10 @@ products of each component.  The sums of a model meet in one task.  So ten start
 nine values of k take as many passes as the slowest of the 90 models takes steps, and
 what moves is a row a model and task, whatever the number of rows.
 
-Starts are drawn by k-means++ from a sample of about ``sample`` rows (all rows, if there
-are no more), one task a model.  Rows whose features are null, or hold a null or a number
-that isn't finite, take no part in a fit and get a null cluster.
+Starts are drawn by k-means++ from all rows: a pass draws the next centre of every model.
+Silhouettes are those of all rows, whose distances to each other are worked out in tiles of
+bounded size.  Rows whose features are null, or hold a null or a number that isn't finite,
+take no part in a fit and get a null cluster.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -26,10 +28,8 @@ from pyspark.sql import functions as F
 from ..functions.shared import written
 from .paths import CELLS, as_matrix
 
-#: Rows of the sample that starts are drawn from and silhouettes are taken on.
-SAMPLE = 5_000
-#: Rows of the sample whose distances to all of the sample one task holds at a time.
-BLOCK = 250
+#: Rows whose distances to all rows on the other side of a tile are held at a time, and rows on a side that are worth a tile.
+BLOCK, TILE = 128, 1024
 #: Distances of a batch to the centres of all models that are held at a time.
 AWAY = 1 << 19
 
@@ -79,11 +79,6 @@ def _sampled(rows: DataFrame, n: int, sample: int, seed: int) -> DataFrame:
     return rows if n <= sample else rows.where(F.rand(seed) < sample / n)
 
 
-def _matrix(rows: DataFrame, width: int) -> np.ndarray:
-    got = rows.select("v").collect()
-    return np.array([r.v for r in got], float).reshape(len(got), width)
-
-
 def squared_distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0.0)
 
@@ -101,17 +96,32 @@ def spread_start(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return centres
 
 
-def _starts(rows: DataFrame, x: np.ndarray, jobs: Sequence[tuple[int, int]]) -> list[np.ndarray]:
-    spark = rows.sparkSession
-
-    def run(batches):
-        for batch in batches:
-            for j, k, seed in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([spread_start(x, k, seed).ravel().tolist()], pa.list_(pa.float64()))], names=["j", "c"])
+def _starts(rows: DataFrame, width: int, jobs: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """The start of each (k, seed) as ``spread_start`` draws it, from all rows: each row has an exponential time over its
+    squared distance to the nearest centre so far, and the first is the next centre, so a task hands on a row a model."""
+    starts = [np.zeros((0, width)) for _ in jobs]
+    for step in range(max(k for k, _ in jobs)):
+        live = {j: starts[j] for j, (k, _) in enumerate(jobs) if k > step}
 
-    asked = spark.createDataFrame([(j, k, s) for j, (k, s) in enumerate(jobs)], "j int, k int, seed int").repartition(min(len(jobs), spark.sparkContext.defaultParallelism), "j")
-    found = {r.j: r.c for r in asked.mapInArrow(run, "j int, c array<double>").collect()}
-    return [np.array(found[j]).reshape(-1, x.shape[1]) for j in range(len(jobs))]
+        def first(batches):
+            drawn = {j: np.random.default_rng([abs(jobs[j][1]), step, TaskContext.get().partitionId()]) for j in live}
+            best: dict[int, tuple] = {}
+            for batch in batches:
+                x = as_matrix(batch.column(0), width)
+                for j, centres in live.items() if len(x) else ():
+                    near = squared_distances(x, centres).min(1) if step else np.ones(len(x))
+                    time = drawn[j].exponential(size=len(x))
+                    far = near > 0  # rows on a centre come after all others
+                    time[far] /= near[far]
+                    at = int(np.lexsort((time, ~far))[0])
+                    best[j] = min(best.get(j, (True, np.inf)), (not far[at], time[at], x[at].tolist()))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), *(pa.array([b[c] for b in best.values()], t) for c, t in enumerate((pa.bool_(), pa.float64(), pa.list_(pa.float64()))))], names=["j", "late", "time", "v"])
+
+        found = rows.select("v").mapInArrow(first, "j int, late boolean, time double, v array<double>").groupBy("j").agg(F.min_by("v", F.struct("late", "time")).alias("v"))
+        for r in found.collect():  # a row a model
+            starts[r.j] = np.vstack([starts[r.j], r.v])
+    return starts
 
 
 def _totals(rows: DataFrame, width: int, models: dict, sums_of: Callable) -> dict[int, np.ndarray]:
@@ -186,22 +196,23 @@ def _mean_inertia(x: np.ndarray, models: Mapping[int, np.ndarray]) -> Iterator[t
         yield j, np.array([((x - centres[squared_distances(x, centres).argmin(1)]) ** 2).sum()])
 
 
-def fit_means(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int = 300, tolerance: float = 1e-4, sample: int = SAMPLE) -> list[Means]:
+def fit_means(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int = 300, tolerance: float = 1e-4) -> list[Means]:
     """A k-means model for each (k, seed), all moved in the same passes.
 
     A model stands still when its centres move by no more than ``tolerance`` of the mean variance of a feature.  A cluster
     that loses all its rows keeps its centre; ties go to the lower number.  Without usable rows there are no centres.
     """
     rows, n, width = _rows(df)
-    return _means_of(rows, n, width, jobs, steps, tolerance, sample)
+    return _means_of(rows, n, width, jobs, steps, tolerance)
 
 
-def _means_of(rows: DataFrame, n: int, width: int, jobs: Sequence[tuple[int, int]], steps: int, tolerance: float, sample: int) -> list[Means]:
+def _means_of(rows: DataFrame, n: int, width: int, jobs: Sequence[tuple[int, int]], steps: int, tolerance: float) -> list[Means]:
     if not n or not jobs:
         return [Means(k, s, np.zeros((0, width)), converged=True) for k, s in jobs]
-    x = _matrix(_sampled(rows, n, sample, 42), width)
-    fits = [Means(k, s, c) for (k, s), c in zip(jobs, _starts(rows, x, jobs))]
-    still = tolerance * float(x.var(0).mean())
+    fits = [Means(k, s, c) for (k, s), c in zip(jobs, _starts(rows, width, jobs))]
+    about = fits[0].centres[0]
+    first, second = _totals(rows, width, {0: about}, lambda x, models: [(0, np.concatenate([(x - about).sum(0), ((x - about) ** 2).sum(0)]))])[0].reshape(2, width) / n
+    still = tolerance * float(np.maximum(second - first * first, 0.0).mean())
     for group in _groups([f.k * (width + 1) for f in fits]):
         live = list(group)
         for _ in range(steps):
@@ -262,11 +273,11 @@ def _renewed(model: Mixture, sums: np.ndarray, n: int, floor: float) -> None:
     model.weights, model.means = weights / n, model.means + first
 
 
-def fit_mixtures(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int = 100, tolerance: float = 1e-3, floor: float = 1e-6, sample: int = SAMPLE) -> list[Mixture]:
+def fit_mixtures(df: DataFrame, jobs: Sequence[tuple[int, int]], *, steps: int = 100, tolerance: float = 1e-3, floor: float = 1e-6) -> list[Mixture]:
     """A Gaussian mixture with full covariances for each (k, seed), all moved in the same passes from the clusters of a k-means
     model of the same start; one stands still when the mean log-likelihood changes by less than ``tolerance``."""
     rows, n, width = _rows(df)
-    fits = [Mixture(m.k, m.seed, np.zeros(m.k), m.centres) for m in _means_of(rows, n, width, jobs, 300, 1e-4, sample)]
+    fits = [Mixture(m.k, m.seed, np.zeros(m.k), m.centres) for m in _means_of(rows, n, width, jobs, 300, 1e-4)]
     if not n:
         return fits
     for group in _groups([f.k * (1 + width + width * width) for f in fits]):
@@ -325,65 +336,124 @@ def mixture_segments(train: DataFrame, *others: DataFrame, k: int = 5, component
     return [_with_cluster(df, column, best.means.shape[1], lambda x: log_densities(x, best).argmax(1)) for df in (train, *others)]
 
 
-def _block_silhouettes(x: np.ndarray, labels: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """model by row of ``at``: the silhouette against all rows of ``x``, 0 for a row alone in its cluster."""
-    away = np.sqrt(squared_distances(x[at], x))
-    away[np.arange(len(at)), at] = 0.0
-    out = np.zeros((len(labels), len(at)))
-    for m, own in enumerate(labels):
-        names, number = np.unique(own, return_inverse=True)
-        one = np.zeros((len(x), len(names)))
-        one[np.arange(len(x)), number] = 1.0
-        sums, counts = away @ one, one.sum(0)
-        mine = number[at]
-        inner = sums[np.arange(len(at)), mine] / np.maximum(counts[mine] - 1, 1)
-        means = sums / counts
-        means[np.arange(len(at)), mine] = np.inf
+def _tile_sums(x: np.ndarray, one: np.ndarray, other: np.ndarray, other_one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances from each row of ``x`` to the rows of ``other``, added up by cluster (columns of 0 and 1), and the other way."""
+    there, back = np.empty((len(x), one.shape[1])), np.zeros(other_one.shape)
+    for at in range(0, len(x), BLOCK):
+        away = np.sqrt(squared_distances(x[at : at + BLOCK], other))
+        if other is x:
+            away[np.arange(len(away)), at + np.arange(len(away))] = 0.0
+        there[at : at + BLOCK] = away @ other_one
+        if other is not x:
+            back += away.T @ one[at : at + BLOCK]
+    return there, back
+
+
+def _row_silhouettes(sums: np.ndarray, own: np.ndarray, counts: Sequence[np.ndarray]) -> np.ndarray:
+    """row by model: the silhouette by the distances to the rows of each cluster, 0 for a row alone in its cluster."""
+    out, at = np.zeros(own.shape), 0
+    for m, count in enumerate(counts):
+        part, mine, rows = sums[:, at : at + len(count)], own[:, m], np.arange(len(own))
+        at += len(count)
+        inner = part[rows, mine] / np.maximum(count[mine] - 1, 1)
+        means = np.where(count > 0, part / np.maximum(count, 1), np.inf)
+        means[rows, mine] = np.inf
         outer = means.min(1)
         with np.errstate(invalid="ignore", divide="ignore"):
             value = (outer - inner) / np.maximum(inner, outer)
-        out[m] = np.where((counts[mine] > 1) & np.isfinite(value), value, 0.0)
+        out[:, m] = np.where((count[mine] > 1) & np.isfinite(value), value, 0.0)
     return out
 
 
-def _silhouettes(spark, x: np.ndarray, labels: np.ndarray) -> list[float]:
-    """The mean silhouette of the rows of ``x`` for each of several labellings; the distances of a block of rows to all of
-    ``x`` are worked out once for all of them.  NaN for fewer than two clusters, or as many as there are rows."""
-    n = len(x)
-
-    def run(batches):
-        for batch in batches:
-            for start in batch.column(0).to_pylist():
-                values = _block_silhouettes(x, labels, np.arange(start, min(start + BLOCK, n))).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(labels), dtype=np.int32)), pa.array(values)], names=["m", "s"])
+def _silhouettes(rows: DataFrame, width: int, sizes: Sequence[int]) -> list[float]:
+    """The mean silhouette of all rows (v, own: a cluster below its size for each of several labellings) by each labelling.
+    NaN for fewer than two clusters, or as many as there are rows.
 
+    Rows are dealt into groups of bounded size.  A task has the distances between two groups, once for all labellings, and
+    hands on their sums by row and cluster; those of a group meet in one task.
+    """
+    spark = rows.sparkSession
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "silhouette-rows")
+    counts = [np.zeros(size) for size in sizes]
+    for r in rows.select(F.posexplode("own").alias("m", "c")).groupBy("m", "c").count().collect():  # a row a cluster
+        counts[r.m][r.c] = r["count"]
+    n, ends = int(counts[0].sum()) if sizes else 0, np.cumsum([0, *sizes])
     if not n:
-        return [float("nan")] * len(labels)
-    blocks = spark.range(0, n, BLOCK)
-    totals = {r.m: r.s for r in blocks.mapInArrow(run, "m int, s double").groupBy("m").agg(F.sum("s").alias("s")).collect()}
-    return [totals[m] / n if 1 < len(set(own.tolist())) < n else float("nan") for m, own in enumerate(labels)]
-
-
-def silhouette(df: DataFrame, *, cluster: str = "cluster", sample: int = SAMPLE, seed: int = 42) -> float:
-    """The mean Euclidean silhouette of a table (features, ``cluster``): of all usable rows, or of a sample of about ``sample``
-    of them, exact among those.  The work grows with the square of ``sample``, not with the table; rows without a
-    cluster are left out."""
+        return [float("nan")] * len(sizes)
+    wide, cores = int(ends[-1]), spark.sparkContext.defaultParallelism
+    groups = max(-(-n // max(1, CELLS // (width + wide))), min(-(-n // TILE), int(np.ceil(np.sqrt(4 * cores)))))
+    a, b, g = F.least("g", "h"), F.greatest("g", "h"), F.col("g")
+    dealt = rows.withColumn("g", F.pmod("at", F.lit(groups)).cast("int")).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    tile = (a * (2 * groups + 1 - a) / 2).cast("int") + b - a
+    dealt = dealt.select(tile.alias("tile"), (g != a).alias("other"), a.alias("a"), b.alias("b"), "at", "v", "own").repartitionById(groups * (groups + 1) // 2, F.col("tile"))
+
+    def sums(batches):
+        tiles: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            if batch.num_rows:
+                side, pair = batch.column("other").to_numpy(zero_copy_only=False), (batch.column("a")[0].as_py(), batch.column("b")[0].as_py())
+                own = batch.column("own").flatten().to_numpy().reshape(len(side), len(sizes))
+                tiles.setdefault(pair, []).append((side, batch.column("at").to_numpy(), as_matrix(batch.column("v"), width), own))
+        for (a, b), parts in tiles.items():
+            side, at, x, own = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(at)
+            first, second = order[~side[order]], order[side[order]]
+            one = np.zeros((len(x), wide))
+            for m, start in enumerate(ends[:-1]):
+                one[np.arange(len(x)), start + own[:, m]] = 1.0
+            left, left_one = x[first], one[first]
+            right, right_one = (left, left_one) if a == b else (x[second], one[second])
+            there, back = _tile_sums(left, left_one, right, right_one)
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([there.ravel()], pa.list_(pa.float64())), pa.array([own[first].ravel() if a == b else None], pa.list_(pa.int32()))], names=["g", "sums", "own"])
+            if a != b:
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([back.ravel()], pa.list_(pa.float64())), pa.array([None], pa.list_(pa.int32()))], names=["g", "sums", "own"])
+
+    def finish(batches):
+        total: dict[int, np.ndarray] = {}
+        labels: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, part, own in zip(batch.column("g").to_pylist(), batch.column("sums"), batch.column("own")):
+                part = part.values.to_numpy()
+                total[g] = total[g] + part if g in total else part.copy()
+                if own.is_valid:
+                    labels[g] = own.values.to_numpy().reshape(-1, len(sizes))
+        for g, part in total.items():
+            found = _row_silhouettes(part.reshape(-1, wide), labels[g], counts).sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sizes), dtype=np.int32)), pa.array(found)], names=["m", "s"])
+
+    added = dealt.mapInArrow(sums, "g int, sums array<double>, own array<int>").repartitionById(groups, F.col("g")).mapInArrow(finish, "m int, s double")
+    totals = {r.m: r.s for r in added.groupBy("m").agg(F.sum("s").alias("s")).collect()}
+    return [totals[m] / n if 1 < (count > 0).sum() < n else float("nan") for m, count in enumerate(counts)]
+
+
+def silhouette(df: DataFrame, *, cluster: str = "cluster", sample: int | None = None, seed: int = 42) -> float:
+    """The mean Euclidean silhouette of a table (features, ``cluster``): of all usable rows or, where asked for, of a sample
+    of about ``sample`` of them, exact among those.  The work grows with the square of the rows that it is taken on, the
+    memory of a task doesn't; rows without a cluster are left out."""
     rows, n, width = _rows(df.where(F.col(cluster).isNotNull()), cluster)
-    got = _sampled(rows, n, sample, seed).collect()
-    x = np.array([r.v for r in got], float).reshape(len(got), width)
-    return _silhouettes(df.sparkSession, x, np.array([np.unique([r[cluster] for r in got], return_inverse=True)[1]]))[0]
+    rows = rows if sample is None else _sampled(rows, n, sample, seed)
+    names = rows.select(cluster).distinct().collect()  # a row a cluster
+    numbers = df.sparkSession.createDataFrame([(r[0], k) for k, r in enumerate(names)], f"_name {rows.schema[cluster].dataType.simpleString()}, _number int")
+    return _silhouettes(rows.join(F.broadcast(numbers), F.col(cluster) == F.col("_name")).select("v", F.array("_number").alias("own")), width, [len(names)])[0]
 
 
-def kmeans_diagnostics(df: DataFrame, ks: Sequence[int], *, restarts: int = 10, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+def kmeans_diagnostics(df: DataFrame, ks: Sequence[int], *, restarts: int = 10, seed: int = 42) -> DataFrame:
     """k, inertia and Euclidean silhouette of the best of ``restarts`` k-means runs, for each k of at least two and below the
-    number of rows.  All runs of all k share their passes; inertia is over all rows, the silhouette as ``silhouette`` says."""
+    number of rows.  All runs of all k share their passes; inertia and silhouette are those of all rows."""
     spark = df.sparkSession
     rows, n, width = _rows(df)
     wanted = sorted({int(k) for k in ks if 2 <= int(k) < n})
     best: dict[int, Means] = {}
-    for m in _means_of(rows, n, width, [(k, seed + s) for k in wanted for s in range(restarts)], 300, 1e-4, sample):
+    for m in _means_of(rows, n, width, [(k, seed + s) for k in wanted for s in range(restarts)], 300, 1e-4):
         if m.k not in best or m.inertia < best[m.k].inertia:
             best[m.k] = m
-    x = _matrix(_sampled(rows, n, sample, seed), width)
-    values = _silhouettes(spark, x, np.array([squared_distances(x, best[k].centres).argmin(1) for k in wanted])) if wanted else []
+    centres = [best[k].centres for k in wanted]
+
+    @F.arrow_udf("array<int>")
+    def nearest(v: pa.Array) -> pa.Array:
+        x = as_matrix(v, width)
+        own = np.stack([squared_distances(x, c).argmin(1) for c in centres], 1).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, len(centres), dtype=np.int32)), pa.array(own.ravel()))
+
+    values = _silhouettes(rows.select("v", nearest("v").alias("own")), width, wanted) if wanted else []
     return spark.createDataFrame([(k, best[k].inertia, v) for k, v in zip(wanted, values)], "k int, inertia double, silhouette double")

@@ -101,7 +101,7 @@ d AS (SELECT a.id, a.c AS own, b.c AS c, sum(list_distance(a.w, b.w)) AS total,
 m AS (SELECT id, max(CASE WHEN c = own THEN total / n END) AS a, min(CASE WHEN c <> own THEN total / n END) AS b FROM d GROUP BY id)
 SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM m""")
 def label_silhouette(spark, d):
-    """How well the labels of the embeddings part them: exact up to a sample's size, and beyond on a sample of that size."""
+    """How well the labels of the embeddings part them, by the distances between all of them."""
     labelled = embedding_rows(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("label").alias("cluster")), "id")
     return spark.createDataFrame([(round(segments.silhouette(labelled), 6),)], "silhouette double")
 

@@ -118,3 +118,20 @@ def test_sums_of_all_models_of_a_pass(monkeypatch):
             one = np.eye(len(centres))[own]
             assert np.allclose(got[j], np.concatenate([one.sum(0), (one.T @ x).ravel()]))
             assert np.isclose(dict(segments._mean_inertia(x, models))[j][0], ((x - centres[own]) ** 2).sum())
+
+
+def test_silhouettes_and_starts_are_of_all_rows(spark, monkeypatch):
+    x, own = blobs(n=6000, k=3, seed=3)
+    df = frame(spark, x).join(spark.createDataFrame([(i, f"c{c}") for i, c in enumerate(own)], "id long, cluster string"), "id")
+    want = plain_silhouette(x, own)
+    assert segments.silhouette(df) == pytest.approx(want, abs=1e-9)
+    monkeypatch.setattr(segments, "CELLS", 6000)  # 1,000 rows a group at most
+    assert segments.silhouette(df) == pytest.approx(want, abs=1e-9)
+    row, = segments.kmeans_diagnostics(df, [3], restarts=2).collect()
+    centres = segments.fit_means(df, [(3, 42), (3, 43)])
+    near = segments.squared_distances(x, min(centres, key=lambda m: m.inertia).centres).argmin(1)
+    assert row.silhouette == pytest.approx(plain_silhouette(x, near), abs=1e-9)
+    far = np.vstack([np.zeros((7000, 2)), [[1.0, 1.0]], [[1.0, 3.0]]])  # whatever the first row, the others come next
+    for s in range(3):
+        fit, = segments.fit_means(frame(spark, far), [(3, s)])
+        assert sorted(map(tuple, fit.centres.tolist())) == [(0.0, 0.0), (1.0, 1.0), (1.0, 3.0)] and fit.inertia == 0.0
